@@ -104,3 +104,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     own = least.select("u", F.col("m").alias("v"))
     # A root keeps its loop (u = v), so that lone nodes stay in the table.
     return hung.unionByName(own).distinct()
+
+
+#: Residues that ``residue_filter`` can broadcast at most: 2**20 longs, some 20 MB hashed.
+RESIDUES = 1 << 20
+
+
+def residue_filter(rows: DataFrame, needed: DataFrame, keys: list[str], residues: int = RESIDUES) -> DataFrame:
+    """Rows that may match ``needed`` on ``keys``, before anything is shuffled.
+
+    What is broadcast are residues of the key's hash, of which there are ``residues`` at
+    most whatever the size of ``needed``. Rows that pass by chance are for the caller's own
+    exact join to drop; none that matches is lost.
+    """
+    residue = F.pmod(F.xxhash64(*keys), F.lit(residues))
+    wanted = needed.select(residue.alias("_residue")).distinct()
+    return rows.join(F.broadcast(wanted), residue == F.col("_residue"), "left_semi")

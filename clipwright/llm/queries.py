@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipwright.llm import simhash
+from clipwright.llm import exact_dedup, simhash
 from clipwright.llm.common import table
 
 
@@ -14,9 +14,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash,)}
+    return {f.__name__: f for f in (op1_simhash, op5_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB twins of the queries that SQL can express."""
+    return {"op5_exact_dedup": OP5_SQL}
+
+
+OP5_SQL = """
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM (
+  SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+         count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+         sha256(coalesce(text, '')) AS text_sha256
+  FROM documents) AS d
+"""
