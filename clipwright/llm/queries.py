@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipwright.llm import exact_dedup, packing, simhash
+from clipwright.llm import exact_dedup, packing, simhash, suffix_dedup
 from clipwright.llm.common import table
 
 
@@ -22,8 +22,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_packing, op5_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op4_packing, op5_exact_dedup, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
