@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipwright.llm import exact_dedup, packing, secrets, simhash, suffix_dedup
+from clipwright.llm import embedding_dedup, exact_dedup, packing, secrets, simhash, suffix_dedup
 from clipwright.llm.common import table
 
 
@@ -30,8 +30,12 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_secrets, op4_packing, op5_exact_dedup, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op3_secrets, op4_packing, op5_exact_dedup, op9_suffix_dedup, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
