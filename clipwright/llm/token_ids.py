@@ -7,6 +7,7 @@ the cache; the rest are encoded together.
 
 from __future__ import annotations
 
+import re
 from functools import cache
 from itertools import chain
 
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 
 #: Units kept in each of the two generations of the cache, and the longest unit kept.
 CACHED_UNITS, CACHED_LENGTH = 250_000, 64
+WORD = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 
 
 def default_path() -> str:
@@ -31,6 +33,10 @@ class UnitEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and not t.normalized)
+        self.separator = special[0] if special else None
+        self.separator_id = vocabulary.get(self.separator)
+        self.words: dict[str, bytes] = {}
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -55,40 +61,56 @@ class UnitEncoder:
     def _learn(self, fresh: list[str], into: dict[str, bytes]) -> None:
         """Units of Latin-1 letters, with one point or comma at most, are one word and a mark:
         they share the lower-case word's ids. All others are encoded as they stand."""
-        words: dict[str, bytes] = {}
         simple: list[tuple[str, str, str]] = []
         odd: list[str] = []
         for u in fresh:
-            core, mark = (u[:-1], u[-1]) if u[-1:] in (".", ",") else (u, "")
-            if core.isalpha() and max(core) <= "ÿ":
-                low = core.lower()
-                ids = into.get(low) or self.older.get(low)
-                if ids is not None:
-                    words[low] = ids
-                simple.append((u, low, mark))
+            if m := WORD(u):
+                simple.append((u, m[1].lower(), m[2]))
             else:
                 odd.append(u)
+        words = self.words
         missing = list({low for _, low, _ in simple}.difference(words))
         for i in range(0, len(missing), 20_000):
             block = missing[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(block), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self._ids(" ".join(block)), "<u4")
             stops = np.flatnonzero(self.ends_word[ids]) + 1
             if len(stops) != len(block):
                 raise ValueError("the vocabulary does not end every word")
-            begin = 0
-            for low, stop in zip(block, stops.tolist(), strict=True):
-                words[low] = ids[begin:stop].tobytes()
+            flat, begin = ids.tobytes(), 0
+            for low, stop in zip(block, (4 * stops).tolist(), strict=True):
+                words[low] = flat[begin:stop]
                 begin = stop
         marks = {m: self._whole(m) for m in ("", ".", ",")}
         for u, low, mark in simple:
             into[u] = words[low] + marks[mark]
-        for u in odd:
+        if len(words) > CACHED_UNITS:
+            words.clear()
+        self._learn_odd(odd, into)
+
+    def _learn_odd(self, odd: list[str], into: dict[str, bytes]) -> None:
+        """Units of any kind, encoded together with a special token between them: it is cut
+        out before anything else is done, so its neighbours do not see each other."""
+        apart = [u for u in odd if self.separator is None or self.separator in u or not u]
+        for u in apart:
             into[u] = self._whole(u)
+        together = list(set(odd).difference(apart))
+        for i in range(0, len(together), 20_000):
+            block = together[i : i + 20_000]
+            ids = np.array(self._ids(self.separator.join(block)), "<u4")
+            cuts = [-1, *np.flatnonzero(ids == self.separator_id).tolist(), len(ids)]
+            if len(cuts) != len(block) + 1:
+                raise ValueError("the separator is not kept apart")
+            flat = ids.tobytes()
+            for u, a, b in zip(block, cuts[:-1], cuts[1:], strict=True):
+                into[u] = flat[4 * (a + 1) : 4 * b]
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _whole(self, unit: str) -> bytes:
         if not unit:
             return b""
-        return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self._ids(unit), "<u4").tobytes()
 
 
 @cache
