@@ -120,3 +120,12 @@ def residue_filter(rows: DataFrame, needed: DataFrame, keys: list[str], residues
     residue = F.pmod(F.xxhash64(*keys), F.lit(residues))
     wanted = needed.select(residue.alias("_residue")).distinct()
     return rows.join(F.broadcast(wanted), residue == F.col("_residue"), "left_semi")
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``stored`` that nothing still to be computed reads."""
+    for df in tables:
+        folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+        for folder in folders:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -1,26 +1,26 @@
 """Removal of repeated 100-byte strings by bucket-pointer refinement.
 
-Suffixes are put into buckets by their first 25 bytes and refined on the bucket
-identifiers of later offsets: 25-byte identifiers at p and p + 25 give that of 50 bytes,
-and those at p and p + 50, reused, give that of 100 bytes. Only the order within a bucket
-that decides "is there an earlier one" is ever sorted for.
+Suffixes are put into buckets by their first 50 bytes, and buckets are refined on the
+bucket identifiers of later offsets: those at p and p + 50 give the identifier of the 100
+bytes at p, and those of a run's first and last 100 bytes, reused, that of the whole run.
 
 To keep shuffles small, not every suffix is dealt out. Of each 100-byte window, the
-leftmost least 25-byte identifier is its anchor; equal windows have equal anchors at equal
+leftmost least 50-byte identifier is its anchor; equal windows have equal anchors at equal
 offsets, so a bucket is an anchor's value. Neighbouring windows with one anchor form a
-*run*, about one for 39 bytes, and
-
-1. anchor values that occur once are dropped (a count with map-side combining, then a
-   bitmap of fixed size that the next pass over the texts carries);
-2. runs of a bucket are refined on the identifiers of their first and last window: of runs
-   that agree, all but the earliest are removed whole;
-3. where a bucket keeps several different runs, the refinement is applied to each of their
-   windows in the same way.
-
-All three are aggregates with map-side combining and equi-joins that adaptive execution
-can split, so a passage in a third of all documents meets in no single task. Long
-documents are taken in segments; only documents with something to refine or remove are
-shuffled, once each time.
+*run*, about one for 26 bytes.
+
+1. Anchor values and run values that occur once are told from the others: four bytes of
+   each are dealt out, and what comes back is a bitmap of fixed size.
+2. Runs that agree in their value are equal: all but the earliest are removed whole.
+3. Where a bucket keeps several different runs, the refinement is applied in the same way
+   to each of their windows: values that occur once are set aside by a bitmap, and of those
+   that agree, all but the earliest are removed.
+
+A bitmap only ever lets too much through; what it lets through is decided by exact
+aggregates and joins. Rows that a task already knows to be later than an equal one do not
+reach a shuffle, minima are combined on the map side and joins can be split, so a passage
+in a third of all documents meets in no single task. Long documents are taken in segments.
+Texts are read three times, and only documents that lose something are shuffled, once.
 """
 
 from __future__ import annotations
@@ -37,14 +37,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipwright.llm.common import passes, residue_filter, stored, text_bytes
+from clipwright.llm.common import discard, passes, residue_filter, stored, text_bytes
 
 LENGTH = 100
-Q = 25
+Q = 50
 WINDOW = LENGTH - Q + 1
 SEGMENT = 1 << 20
-#: Bits of the bitmap of anchor values that occur more than once (16 MB, at every size).
-BITMAP_BITS, PIECE_BITS = 27, 16
+#: Bits of a bitmap (16 MB, at every size).
+BITMAP_BITS = 27
 #: `at` holds position, 13 bits of the text's hash (to tell rows of one doc_id apart),
 #: the anchor's offset in the first window and the number of windows.
 POSITION_SHIFT, TEXT_SHIFT, OFFSET_SHIFT = 27, 14, 7
@@ -89,11 +89,12 @@ def gram_ids(data: np.ndarray) -> np.ndarray:
 
 def window_ids(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Identifiers of the 100-byte strings at the given positions, by doubling."""
-    return _mixed(_mixed(grams[at], grams[at + Q]), _mixed(grams[at + 2 * Q], grams[at + 3 * Q]))
+    return _mixed(grams[at], grams[at + Q])
 
 
 def runs(data: np.ndarray, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
-    """(anchor value, run value, first window, anchor's offset in it, windows) of all runs.
+    """(anchor value, run value, first window, anchor's offset in it, windows) of all runs,
+    and the identifiers of the Q bytes from each position on.
 
     ``bounds``: the texts' places in ``data``; no window crosses them.
     """
@@ -103,7 +104,7 @@ def runs(data: np.ndarray, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, .
     starts = np.flatnonzero(valid)
     if not len(starts):
         empty = np.empty(0, np.int64)
-        return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty
+        return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty, empty.view(np.uint64)
     grams = gram_ids(data)
     least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     step = 1
@@ -119,7 +120,7 @@ def runs(data: np.ndarray, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, .
     low, high, anchor = starts[first], starts[last], anchors[first]
     extent = ((anchor - low) * 128 + (high - low)).astype(np.uint64)
     value = _mixed(_mixed(window_ids(grams, low), window_ids(grams, high)), extent)
-    return grams[anchor], value, low, anchor - low, high - low + 1
+    return grams[anchor], value, low, anchor - low, high - low + 1, grams
 
 
 def _units(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
@@ -134,53 +135,206 @@ def _text_key(text: bytes) -> int:
     return xxhash.xxh64_intdigest(text, 42) % TEXT_KEYS
 
 
-def _occurrences(docs: DataFrame, wanted=None) -> DataFrame:
-    """``(a, s, doc_id, at)`` of the runs; with ``wanted``, a broadcast bitmap, of those
-    whose anchor value may occur again."""
-    names = ["a", "s", "doc_id", "at"]
+class _Runs:
+    """The runs of one pass: columns a, v, doc_id and at, and what their windows need."""
+
+    def __init__(self, ids: np.ndarray, texts: list[bytes], units: list[tuple[int, int, bytes]]):
+        ends = np.cumsum([len(u[2]) for u in units])
+        begins = ends - [len(u[2]) for u in units]
+        data = np.frombuffer(b"".join(u[2] for u in units), np.uint8)
+        self.a, self.v, self.low, offset, self.n, self.grams = runs(data, list(zip(begins.tolist(), ends.tolist(), strict=True)))
+        unit = np.searchsorted(ends, self.low, "right")
+        self.doc_id = ids[np.array([u[0] for u in units], np.int64)[unit]]
+        start = self.low + (np.array([u[1] for u in units], np.int64) - begins)[unit]
+        key = np.array([_text_key(texts[u[0]]) for u in units], np.int64)[unit]
+        self.at = (start << POSITION_SHIFT) | (key << TEXT_SHIFT) | (offset << OFFSET_SHIFT) | self.n
+
+    def place(self) -> np.ndarray:
+        return place_ids(self.doc_id, self.at)
+
+
+def place_ids(doc_id: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return _mixed(doc_id.astype(np.int64).view(np.uint64), at.view(np.uint64))
+
+
+def _runs_of(batch: pa.RecordBatch) -> Iterator[_Runs]:
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    texts = text_bytes(batch.column(1))
+    units = list(_units(texts))
+    for i, j in passes([len(u[2]) for u in units]):
+        yield _Runs(ids, texts, units[i:j])
+
+
+def _dealt_bits(values: np.ndarray, kind: int, least: int, piece_bits: int) -> Iterator[tuple[int, int, bytes]]:
+    """(kind, piece, the next 32 bits of each value in it): each value ``least`` times at most."""
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    keep[least:] = values[least:] != values[:-least]
+    values = values[keep]
+    piece = (values >> np.uint64(64 - piece_bits)).astype(np.int64)
+    rest = ((values >> np.uint64(32 - piece_bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    cuts = np.flatnonzero(piece[1:] != piece[:-1]) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(piece)], strict=True):
+        if b > a:
+            yield kind, int(piece[a]), rest[a:b].tobytes()
+
+
+_DEALT = "kind int, piece int, bits binary"
+
+
+def _dealt_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    kinds, pieces, bits = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(pieces, pa.int32()), pa.array(bits, pa.binary())], ["kind", "piece", "bits"])
+
+
+def _piece_bits(docs: DataFrame) -> int:
+    """Pieces follow the session's parallelism, so that one stays small at every size."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(7, min(22, (2 * partitions - 1).bit_length()))
+
+
+def _bitmaps(dealt: DataFrame, least: int, kinds: int, piece_bits: int) -> list[bytes]:
+    """For each kind, the bitmap of values dealt out ``least`` times or more. Pieces are
+    made by the executors; the driver gets 2**BITMAP_BITS bits for each kind."""
+    size = 1 << (BITMAP_BITS - piece_bits)
+
+    def piece(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        values = np.sort(np.frombuffer(b"".join(group["bits"]), np.uint32))
+        if least > 1:
+            values = values[least - 1 :][values[least - 1 :] == values[: 1 - least]]
+        bits = np.zeros(size, np.uint8)
+        bits[values >> np.uint32(32 - BITMAP_BITS + piece_bits)] = 1
+        return pd.DataFrame({"kind": [key[0]], "piece": [key[1]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    out = [bytearray(1 << (BITMAP_BITS - 3)) for _ in range(kinds)]
+    for row in dealt.groupBy("kind", "piece").applyInPandas(piece, _DEALT).toLocalIterator():
+        out[row.kind][row.piece * size // 8 : (row.piece + 1) * size // 8] = row.bits
+    return [bytes(x) for x in out]
+
+
+def _hits(bitmap: bytes, values: np.ndarray) -> np.ndarray:
+    residue = (values >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+    return (np.frombuffer(bitmap, np.uint8)[residue >> 3] >> (residue & 7).astype(np.uint8)) & 1 == 1
+
+
+def _repeated_anchors(docs: DataFrame) -> list[bytes]:
+    """Bitmaps of the anchor values and of the run values that occur more than once."""
+    bits = _piece_bits(docs)
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(wanted.value, np.uint8) if wanted is not None else None
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = text_bytes(batch.column(1))
-            units = list(_units(texts))
-            for i, j in passes([len(u[2]) for u in units]):
-                ends = np.cumsum([len(u[2]) for u in units[i:j]])
-                begins = ends - [len(u[2]) for u in units[i:j]]
-                data = np.frombuffer(b"".join(u[2] for u in units[i:j]), np.uint8)
-                a, s, low, offset, n = runs(data, list(zip(begins.tolist(), ends.tolist(), strict=True)))
-                unit = np.searchsorted(ends, low, "right")
-                if bitmap is not None:
-                    residue = (a & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
-                    keep = (bitmap[residue >> 3] >> (residue & 7).astype(np.uint8)) & 1 == 1
-                    a, s, low, offset, n, unit = (x[keep] for x in (a, s, low, offset, n, unit))
-                row = np.array([u[0] for u in units[i:j]], np.int64)[unit]
-                shift = np.array([u[1] for u in units[i:j]], np.int64) - begins
-                key = np.array([_text_key(texts[u[0]]) for u in units[i:j]], np.int64)[unit]
-                at = ((low + shift[unit]) << POSITION_SHIFT) | (key << TEXT_SHIFT) | (offset << OFFSET_SHIFT) | n
-                columns = (a.view(np.int64), s.view(np.int64), ids[row], at)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "a long, s long, doc_id long, at long")
-
-
-def _bitmap(values: DataFrame) -> bytes:
-    """The bitmap of residues of ``a``, made in pieces by the executors: the driver gets
-    2**BITMAP_BITS bits at most."""
-    size = 1 << PIECE_BITS
-
-    def piece(group: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(size, np.uint8)
-        bits[group["r"].to_numpy()] = 1
-        return pd.DataFrame({"p": [group["p"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+            found = [(r.a, r.v) for r in _runs_of(batch)]
+            if found:
+                rows = [x for kind, values in enumerate(zip(*found, strict=True)) for x in _dealt_bits(np.concatenate(values), kind, 2, bits)]
+                if rows:
+                    yield _dealt_batch(rows)
+
+    return _bitmaps(docs.mapInArrow(each, _DEALT), 2, 2, bits)
+
+
+def _value_bitmap(values: DataFrame, least: int, only: bytes | None = None) -> bytes:
+    """The bitmap of a column of identifiers; of rows ``(a, doc_id, at)`` and ``only``, that
+    of the places of those whose ``a`` hits it."""
+    bits = _piece_bits(values)
+    filtering = values.sparkSession.sparkContext.broadcast(only) if only is not None else None
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            if filtering is not None:
+                doc_id, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+                found = place_ids(doc_id, at)[_hits(filtering.value, found)]
+            if rows := list(_dealt_bits(found, 0, least, bits)):
+                yield _dealt_batch(rows)
+
+    return _bitmaps(values.mapInArrow(each, _DEALT), least, 1, bits)[0]
+
 
-    residue = F.col("a").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    spread = values.select(F.shiftright(residue, PIECE_BITS).alias("p"), residue.bitwiseAND(F.lit(size - 1)).alias("r")).distinct()
-    out = bytearray(1 << (BITMAP_BITS - 3))
-    for row in spread.groupBy("p").applyInPandas(piece, "p long, bits binary").toLocalIterator():
-        out[row.p * size // 8 : (row.p + 1) * size // 8] = row.bits
-    return bytes(out)
+def _local_later(v: np.ndarray, doc_id: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows that stand behind an equal one of the same batch."""
+    order = np.lexsort((at, doc_id, v))
+    new = np.ones(len(v), bool)
+    new[1:] = v[order][1:] != v[order][:-1]
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    later = np.zeros(len(v), bool)
+    later[order] = (doc_id[order] != doc_id[first]) | (at[order] != at[first])
+    return later
+
+
+_FOUND = "kind int, a long, v long, doc_id long, at long"
+#: Kinds of rows: one of its value (but not of its bucket), one of several equal, one that
+#: is known to be later.
+ALONE, SEVERAL, LATER = range(3)
+
+
+def _found_batch(kind: np.ndarray, a: np.ndarray, v: np.ndarray, doc_id: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    known = kind == LATER
+    a, v = (np.where(known, np.uint64(0), x).view(np.int64) for x in (a, v))
+    columns = [pa.array(kind.astype(np.int32)), *(pa.array(x, pa.int64()) for x in (a, v, doc_id, at))]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "a", "v", "doc_id", "at"])
+
+
+def _repeated_runs(docs: DataFrame, bitmaps: list[bytes]) -> DataFrame:
+    """The runs whose bucket has others."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmaps)
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_bucket, in_value = shared.value
+        for batch in batches:
+            held = []
+            for r in _runs_of(batch):
+                keep = _hits(in_bucket, r.a)
+                held.append([x[keep] for x in (r.a, r.v, r.doc_id, r.at)])
+            if held:
+                a, v, doc_id, at = (np.concatenate(x) for x in zip(*held, strict=True))
+                kind = np.where(_hits(in_value, v), SEVERAL, ALONE)
+                kind[_local_later(v, doc_id, at)] = LATER
+                yield _found_batch(kind, a, v, doc_id, at)
+
+    return docs.mapInArrow(each, _FOUND)
+
+
+def _contested_windows(docs: DataFrame, places: bytes) -> DataFrame:
+    """``(a, doc_id, at, h array<long>)``: the windows of the runs at the given places."""
+    shared = docs.sparkSession.sparkContext.broadcast(places)
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in _runs_of(batch):
+                keep = np.flatnonzero(_hits(shared.value, r.place()))
+                if not len(keep):
+                    continue
+                n = r.n[keep]
+                first = np.cumsum(n) - n
+                windows = np.repeat(r.low[keep] - first, n) + np.arange(n.sum())
+                h = pa.array(window_ids(r.grams, windows).view(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, n.sum()), pa.int32()), h)
+                columns = [pa.array(r.a[keep].view(np.int64)), pa.array(r.doc_id[keep], pa.int64()), pa.array(r.at[keep]), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "doc_id", "at", "h"])
+
+    return docs.mapInArrow(each, "a long, doc_id long, at long, h array<long>")
+
+
+def _repeated_windows(listed: DataFrame, bitmap: bytes) -> DataFrame:
+    """Single windows, as runs of one, that may have an equal."""
+    shared = listed.sparkSession.sparkContext.broadcast(bitmap)
+    carried = np.int64(((1 << POSITION_SHIFT) - 1) ^ ((1 << TEXT_SHIFT) - 1))
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, doc_id, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            n = at & 127
+            h = batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            step = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            keep = _hits(shared.value, h)
+            row = np.repeat(np.arange(len(at)), n)[keep]
+            where = (((at[row] >> POSITION_SHIFT) + step[keep]) << POSITION_SHIFT) | (at[row] & carried) | 1
+            h, owner = h[keep], doc_id[row]
+            if len(h):
+                kind = np.where(_local_later(h, owner, where), LATER, SEVERAL)
+                yield _found_batch(kind, a[row].view(np.uint64), h, owner, where)
+
+    return listed.mapInArrow(each, _FOUND)
 
 
 def _order() -> Column:
@@ -204,50 +358,22 @@ def _with_text(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     return keyed.join(grouped, ["doc_id", "key"], "left").select("doc_id", "text", "at")
 
 
-def _windows(docs: DataFrame, contested: DataFrame) -> DataFrame:
-    """``(a, h, doc_id, at)`` of every single window of the contested runs."""
-    names = ["a", "h", "doc_id", "at"]
-
-    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, lists = batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2)
-            held = []
-            for row, text in enumerate(texts):
-                at = lists[row].values
-                if at is None or not len(at):
-                    continue
-                at = np.sort(at.to_numpy(zero_copy_only=False))
-                low, offset, n = at >> POSITION_SHIFT, (at >> OFFSET_SHIFT) & 127, at & 127
-                for a in range(0, len(text), SEGMENT):
-                    inside = (low >= a) & (low < a + SEGMENT)
-                    if inside.any():
-                        part = np.frombuffer(text, np.uint8, min(len(text) - a, SEGMENT + 2 * LENGTH), a)
-                        grams = gram_ids(part)
-                        first, count = low[inside] - a, n[inside]
-                        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                        start = np.repeat(first, count) + step
-                        anchor = grams[np.repeat(first + offset[inside], count)]
-                        where = ((start + a) << POSITION_SHIFT) | (np.repeat(at[inside], count) & ((TEXT_KEYS - 1) << TEXT_SHIFT)) | 1
-                        held.append((anchor.view(np.int64), window_ids(grams, start).view(np.int64), np.full(len(start), ids[row]), where))
-            for i in range(0, len(held), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held[i : i + 4096], strict=True)], names)
-
-    return _with_text(docs, contested).filter("at is not null").mapInArrow(each, "a long, h long, doc_id long, at long")
-
-
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """``(doc_id, at)``: packed runs of windows that start earlier too, to be removed."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = _occurrences(docs).select("a").groupBy("a").count()
-    repeated = stored(counts.filter("count > 1").select("a"), "suffix-buckets")
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(repeated))
-    found = stored(_occurrences(docs, bitmap), "suffix-runs")
-    judged = _later(found, ["a", "s"])
-    kinds = found.groupBy("a").agg(F.min("s").alias("low"), F.max("s").alias("high")).filter("low <> high").select("a", F.lit(True).alias("contested"))
-    judged = stored(judged.join(kinds, "a", "left").filter("later or contested").select("doc_id", "at", "later"), "suffix-judged")
-    windows = stored(_windows(docs, judged.filter("not later").select("doc_id", "at")), "suffix-windows")
-    late = _later(windows, ["a", "h"]).filter("later").select("doc_id", "at")
-    return stored(judged.filter("later").select("doc_id", "at").unionByName(late), "suffix-removed")
+    found = stored(_repeated_runs(docs, _repeated_anchors(docs)), "suffix-runs")
+    judged = stored(_later(found.filter(F.col("kind") == SEVERAL).select("a", "v", "doc_id", "at"), ["a", "v"]), "suffix-judged")
+    leaders = found.filter(F.col("kind") == ALONE).select("a", "doc_id", "at").unionByName(judged.filter("not later").select("a", "doc_id", "at"))
+    contested = _value_bitmap(leaders, 1, _value_bitmap(leaders.select("a"), 2))
+    listed = stored(_contested_windows(docs, contested), "suffix-windows")
+    repeated = _value_bitmap(listed.select(F.explode("h").alias("h")), 2)
+    windows = stored(_repeated_windows(listed, repeated), "suffix-repeated")
+    late = _later(windows.filter(F.col("kind") == SEVERAL).select("a", "v", "doc_id", "at"), ["a", "v"])
+    known = [x.filter(F.col("kind") == LATER).select("doc_id", "at") for x in (found, windows)]
+    resolved = [x.filter("later").select("doc_id", "at") for x in (judged, late)]
+    removed = stored(known[0].unionByName(known[1]).unionByName(resolved[0]).unionByName(resolved[1]), "suffix-removed")
+    discard(found, judged, listed, windows)
+    return removed
 
 
 def merged_spans(at: np.ndarray) -> list[tuple[int, int]]:
