@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipwright.llm import embedding_dedup, exact_dedup, packing, secrets, simhash, suffix_dedup
+from clipwright.llm import embedding_dedup, exact_dedup, language_id, packing, secrets, simhash, suffix_dedup
 from clipwright.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_secrets, op4_packing, op5_exact_dedup, op9_suffix_dedup, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_secrets, op4_packing, op5_exact_dedup, op9_suffix_dedup, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
