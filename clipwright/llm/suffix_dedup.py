@@ -42,7 +42,9 @@ from clipwright.llm.common import discard, passes, residue_filter, stored, text_
 LENGTH = 100
 Q = 50
 WINDOW = LENGTH - Q + 1
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
+#: Bytes that one numpy pass takes; its arrays need some 80 times as much.
+PASS = 1 << 20
 #: Bits of a bitmap (16 MB, at every size).
 BITMAP_BITS = 27
 #: `at` holds position, 13 bits of the text's hash (to tell rows of one doc_id apart),
@@ -161,7 +163,7 @@ def _runs_of(batch: pa.RecordBatch) -> Iterator[_Runs]:
     ids = batch.column(0).to_numpy(zero_copy_only=False)
     texts = text_bytes(batch.column(1))
     units = list(_units(texts))
-    for i, j in passes([len(u[2]) for u in units]):
+    for i, j in passes([len(u[2]) for u in units], PASS):
         yield _Runs(ids, texts, units[i:j])
 
 
