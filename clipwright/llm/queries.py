@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipwright.llm import embedding_dedup, exact_dedup, language_id, packing, secrets, simhash, suffix_dedup, toxicity
+from clipwright.llm import chat_format, embedding_dedup, exact_dedup, language_id, packing, secrets, simhash, suffix_dedup, toxicity
 from clipwright.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.read_back(chat_format.windows(chat_format.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_secrets, op4_packing, op5_exact_dedup, op6_toxicity, op9_suffix_dedup, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_secrets, op4_packing, op5_exact_dedup, op6_toxicity, op8_chat_format, op9_suffix_dedup, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
