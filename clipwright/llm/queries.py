@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipwright.llm import chat_format, embedding_dedup, exact_dedup, language_id, packing, secrets, simhash, suffix_dedup, toxicity
+from clipwright.llm import chat_format, embedding_dedup, exact_dedup, language_id, packing, secrets, sentence_pieces, simhash, suffix_dedup, toxicity
 from clipwright.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.document_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.windows(chat_format.with_probe(table(spark, sf_dir, "conversations"))))
 
@@ -46,8 +50,14 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_secrets, op4_packing, op5_exact_dedup, op6_toxicity, op8_chat_format, op9_suffix_dedup, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_secrets, op4_packing, op5_exact_dedup, op6_toxicity, op7_sentence_pieces, op8_chat_format, op9_suffix_dedup, op10_embedding_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
