@@ -16,10 +16,9 @@ offsets, so a bucket is an anchor's value. Neighbouring windows with one anchor
    to each of their windows: values that occur once are set aside by a bitmap, and of those
    that agree, all but the earliest are removed.
 
-A bitmap only ever lets too much through; what it lets through is decided by exact
-aggregates and joins. Rows that a task already knows to be later than an equal one do not
-reach a shuffle, minima are combined on the map side and joins can be split, so a passage
-in a third of all documents meets in no single task. Long documents are taken in segments.
+A bitmap only ever lets too much through; what it lets through is decided exactly. Rows that
+a task already knows to be later than an equal one do not reach a shuffle, so a passage in
+a third of all documents is one row for each batch of them. Long documents are taken in segments.
 Texts are read three times, and only documents that lose something are shuffled, once.
 """
 
@@ -27,14 +26,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from decimal import Decimal
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipwright.llm.common import discard, passes, residue_filter, stored, text_bytes
@@ -339,16 +337,18 @@ def _repeated_windows(listed: DataFrame, bitmap: bytes) -> DataFrame:
     return listed.mapInArrow(each, _FOUND)
 
 
-def _order() -> Column:
-    """(doc_id, position, text key) as one number that a hash aggregate can minimise."""
-    return F.col("doc_id").cast("decimal(19,0)") * F.lit(Decimal(1 << 63)) + F.col("at")
+def _later(rows: DataFrame) -> DataFrame:
+    """``(a, doc_id, at, later)`` of rows of kind SEVERAL: later tells that an equal one
+    stands before.
 
-
-def _later(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with ``later``: an equal row of ``keys`` stands before this one."""
-    ordered = rows.withColumn("o", _order())
-    first = ordered.groupBy(*keys).agg(F.min("o").alias("least"))
-    return ordered.join(first, keys).withColumn("later", F.col("o") > F.col("least")).drop("o", "least")
+    A task that made the rows has passed on one of each value for each batch, so a value in
+    a third of all documents has a row for some ten thousand of them, and the window over
+    equal values is small.
+    """
+    order = F.struct("doc_id", "at")
+    first = F.min(order).over(Window.partitionBy("a", "v"))
+    judged = rows.filter(F.col("kind") == SEVERAL).withColumn("later", order > first)
+    return judged.select(F.when(~F.col("later"), F.col("a")).alias("a"), "doc_id", "at", "later")
 
 
 def _with_text(docs: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -364,18 +364,20 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """``(doc_id, at)``: packed runs of windows that start earlier too, to be removed."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = stored(_repeated_runs(docs, _repeated_anchors(docs)), "suffix-runs")
-    judged = stored(_later(found.filter(F.col("kind") == SEVERAL).select("a", "v", "doc_id", "at"), ["a", "v"]), "suffix-judged")
+    judged = stored(_later(found), "suffix-judged")
     leaders = found.filter(F.col("kind") == ALONE).select("a", "doc_id", "at").unionByName(judged.filter("not later").select("a", "doc_id", "at"))
     contested = _value_bitmap(leaders, 1, _value_bitmap(leaders.select("a"), 2))
+    known = found.filter(F.col("kind") == LATER).select("doc_id", "at")
+    whole = stored(known.unionByName(judged.filter("later").select("doc_id", "at")), "suffix-removed-runs")
+    discard(found, judged)
     listed = stored(_contested_windows(docs, contested), "suffix-windows")
     repeated = _value_bitmap(listed.select(F.explode("h").alias("h")), 2)
     windows = stored(_repeated_windows(listed, repeated), "suffix-repeated")
-    late = _later(windows.filter(F.col("kind") == SEVERAL).select("a", "v", "doc_id", "at"), ["a", "v"])
-    known = [x.filter(F.col("kind") == LATER).select("doc_id", "at") for x in (found, windows)]
-    resolved = [x.filter("later").select("doc_id", "at") for x in (judged, late)]
-    removed = stored(known[0].unionByName(known[1]).unionByName(resolved[0]).unionByName(resolved[1]), "suffix-removed")
-    discard(found, judged, listed, windows)
-    return removed
+    discard(listed)
+    known = windows.filter(F.col("kind") == LATER).select("doc_id", "at")
+    single = stored(known.unionByName(_later(windows).filter("later").select("doc_id", "at")), "suffix-removed-windows")
+    discard(windows)
+    return whole.unionByName(single)
 
 
 def merged_spans(at: np.ndarray) -> list[tuple[int, int]]:
