@@ -34,9 +34,9 @@ def median_box(boxes: DataFrame, key: str) -> DataFrame:
     return boxes.groupBy(key).agg(F.count("*").alias("n"), *[F.median(c).alias(c) for c in SIDES])
 
 
-def overlap_with_next(boxes: DataFrame, key: str, order: str) -> DataFrame:
+def overlap_with_next(boxes: DataFrame, key: str, *order: str) -> DataFrame:
     """Adds ``iou`` with the next box of the key; the last box has no row."""
-    w = Window.partitionBy(key).orderBy(order)
+    w = Window.partitionBy(key).orderBy(*order)
     rows = boxes.withColumns({f"next_{c}": F.lead(c).over(w) for c in SIDES}).filter("next_xmin is not null")
     shared = lambda at, size: F.greatest(F.lit(0.0), F.least(F.col(at) + F.col(size), F.col(f"next_{at}") + F.col(f"next_{size}")) - F.greatest(at, f"next_{at}"))
     both = shared("xmin", "width") * shared("ymin", "height")

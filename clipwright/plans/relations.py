@@ -102,7 +102,7 @@ def median_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.overlap_with_next(_boxes(spark, sf_dir), "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", r6("iou"))
+    return B.overlap_with_next(_boxes(spark, sf_dir), "l_orderkey", "l_linenumber", "xmin", "ymin", "height").select("l_orderkey", "l_linenumber", r6("iou"))
 
 
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +157,7 @@ QUERIES = {
     "margins": (margins, PRED + ", m AS (SELECT vec_id, y_true, max(s) FILTER (class = y_true) AS own, max(s) FILTER (class <> y_true) AS other FROM sims GROUP BY ALL) SELECT y_true, count(*) AS n, round(avg(greatest(0, 0.2 - (own - other))), 6) AS hinge, round(avg(coalesce((own - other) / nullif(greatest(1 - own, 1 - other), 0), 0)), 6) AS silhouette FROM m GROUP BY y_true"),
     "bbox_geometry": (bbox_geometry, BOXES + "SELECT l_orderkey, l_linenumber, round(width * height, 6) AS area, round(least(xmin, ymin, 1 - xmin - width, 1 - ymin - height), 6) AS edge, CASE WHEN round(ymin + height / 2, 9) < 0.5 THEN 'top' ELSE 'bottom' END || '_' || CASE WHEN round(xmin + width / 2, 9) < 0.5 THEN 'left' ELSE 'right' END AS corner, xmin BETWEEN 0 AND 1 AND ymin BETWEEN 0 AND 1 AND width > 0 AND height > 0 AND round(xmin + width, 9) <= 1 AND round(ymin + height, 9) <= 1 AS valid FROM b"),
     "median_box": (median_box, BOXES + "SELECT l_orderkey, count(*) AS n, round(median(xmin), 6) AS xmin, round(median(ymin), 6) AS ymin, round(median(width), 6) AS width, round(median(height), 6) AS height FROM b GROUP BY l_orderkey"),
-    "box_overlap": (box_overlap, BOXES + ", p AS (SELECT *, lead(xmin) OVER w AS x, lead(ymin) OVER w AS y, lead(width) OVER w AS ww, lead(height) OVER w AS hh FROM b WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)), i AS (SELECT *, greatest(0, least(xmin + width, x + ww) - greatest(xmin, x)) * greatest(0, least(ymin + height, y + hh) - greatest(ymin, y)) AS shared FROM p WHERE x IS NOT NULL) SELECT l_orderkey, l_linenumber, round(shared / (width * height + ww * hh - shared), 6) AS iou FROM i"),
+    "box_overlap": (box_overlap, BOXES + ", p AS (SELECT *, lead(xmin) OVER w AS x, lead(ymin) OVER w AS y, lead(width) OVER w AS ww, lead(height) OVER w AS hh FROM b WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, xmin, ymin, height)), i AS (SELECT *, greatest(0, least(xmin + width, x + ww) - greatest(xmin, x)) * greatest(0, least(ymin + height, y + hh) - greatest(ymin, y)) AS shared FROM p WHERE x IS NOT NULL) SELECT l_orderkey, l_linenumber, round(shared / (width * height + ww * hh - shared), 6) AS iou FROM i"),
     "pricing_summary": (pricing_summary, "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 6) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2"),
     "revenue_rollup": (revenue_rollup, "WITH s AS (SELECT o_custkey AS c_custkey, sum(o_totalprice) AS spent FROM orders GROUP BY 1) SELECT r_name, n_name, round(sum(spent), 2) AS spent, count(*) AS customers FROM s JOIN customer USING (c_custkey) JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)"),
     "top_customers_per_nation": (top_customers_per_nation, "SELECT * FROM (SELECT c_custkey, c_nationkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)::INTEGER AS rank FROM customer) AS x WHERE rank <= 3"),
