@@ -26,7 +26,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipwright.llm.common import passes
@@ -38,6 +38,9 @@ CLASSES, BEGIN, END, OTHERS = 48, 26, 27, 28
 DIMENSIONS = CLASSES**3
 #: Bounds of the fit: training texts of each label and their summed length, words shown.
 TEXTS, CHARACTERS, WORDS, LANDMARKS = 2500, 16 << 20, 6000, 256
+#: A longer text is not learnt from, so that no single one takes the place of many; it is
+#: scored like any other.
+LEARNT = 1 << 20
 #: A telling word: its share of toxic texts is unlikely by this many nats, and it stands in
 #: so many toxic texts that are no near copies of each other.
 NATS, APART = 9.0, 3
@@ -304,22 +307,29 @@ class _Scorer:
         return out
 
 
-def fit(labelled: DataFrame) -> Model:
-    """Fits on rows ``(doc_id, text, toxic)``: TEXTS of each label at most, the least by the
-    hash of doc_id, of CHARACTERS in all at most. Null texts and labels are left out."""
+def fit(labelled: DataFrame, characters: int = CHARACTERS, learnt: int = LEARNT) -> Model:
+    """Fits on rows ``(doc_id, text, toxic)``: of each label the texts of up to ``learnt``
+    characters in the order of the hash of doc_id, TEXTS of them at most and as long as they
+    have half of ``characters`` together. Rows of one doc_id, text and label count once; the
+    order of rows and files does not matter. Null texts and labels are left out; a label all
+    of whose texts are too long is an error."""
     usable = labelled.filter("toxic is not null and text is not null")
+    usable = usable.select("doc_id", "text", "toxic", F.xxhash64("text").alias("mark"), F.length("text").alias("n"))
     chosen: list[tuple[str, int]] = []
     for label in (1, 0):
-        ids = usable.filter(F.col("toxic") == label).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TEXTS)
-        # TEXTS rows at most: a fixed bound.
-        part = usable.filter(F.col("toxic") == label).join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
-        part = part.select("doc_id", "text").sortWithinPartitions("doc_id")
-        held = 0
-        for r in part.toLocalIterator():
-            held += len(r.text)
-            if held > CHARACTERS // 2:
-                break
-            chosen.append((r.text, label))
+        rows = usable.filter(F.col("toxic") == label)
+        short = rows.filter(F.col("n") <= learnt)
+        by_hash = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("mark")]
+        first = short.select("doc_id", "mark", "n").distinct().orderBy(*by_hash).limit(TEXTS)
+        # TEXTS rows at most, in one window and broadcast: a fixed bound.
+        order = Window.orderBy(*by_hash)
+        ranked = first.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.row_number().over(order).alias("rank"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+        ranked = ranked.filter(F.col("upto") <= max(learnt, characters // 2))
+        part = short.join(F.broadcast(ranked), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+        found = sorted((r["rank"], r.text) for r in part.groupBy("rank").agg(F.min("text").alias("text")).toLocalIterator())
+        if not found and not rows.isEmpty():
+            raise ValueError(f"every text labelled toxic = {label} has over {learnt} characters: nothing to learn from")
+        chosen += [(text, label) for _, text in found]
     return Model(chosen)
 
 
@@ -350,7 +360,8 @@ def held_out(doc_id: Column) -> Column:
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)``: learns from the labels of rows that are not
     held out and scores every row. An empty table gives no rows; without both labels, or
-    without a telling word, every text scores the same, below the threshold."""
+    without a telling word, every text scores the same, below the threshold. Texts too long
+    to learn from (see ``fit``) are scored."""
     out = held_out(F.col("doc_id"))
     told = labels.filter(~out).select("doc_id", "toxic").distinct()
     model = fit(docs.filter(~out).select("doc_id", "text").join(told, "doc_id"))

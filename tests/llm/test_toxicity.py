@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from clipwright.llm.common import table
 from clipwright.llm.toxicity import DECAY, SPAN, Projection, dense, detect, fit, plain_word, predict, tokens
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +71,41 @@ def test_query_contract_and_edges(spark):
     none = detect(docs, labels.limit(0)).collect()
     assert len(none) == 63 and not any(r.predicted for r in none)
     assert detect(docs.limit(0), labels).count() == 0
+
+
+def test_a_giant_text_takes_no_other_out_of_the_sample(spark):
+    rows = [(i, f"quiet {chr(97 + i % 26)}ara {chr(97 + i % 7)}olo stones lie by {chr(97 + i % 11)}una", 0) for i in range(60)]
+    rows += [(100 + i, f"{chr(97 + i % 26)}ara {chr(97 + (3 * i) % 26)}ine worthless {chr(97 + (5 * i) % 26)}otu clown", 1) for i in range(60)]
+    giant = [(-1, "stone " * 2_000_000, 1), (-2, "stone " * 2_000_000, 0)]
+    asked = [(1, "a worthless one"), (2, "quiet stones"), (3, "you clown"), (4, "stone " * 2_000_000 + "worthless clown")]
+    docs, schema = spark.createDataFrame(asked, "doc_id long, text string"), "doc_id long, text string, toxic int"
+
+    def told(rows, parts):
+        model = fit(spark.createDataFrame(rows, schema).repartition(parts))
+        return {r.doc_id: (r.score, r.predicted) for r in predict(docs, model).collect()}
+
+    plain, first, last = told(rows, 1), told(giant + rows, 1), told(rows[::-1] + giant, 5)
+    assert [plain[i][1] for i in (1, 2, 3, 4)] == [1, 0, 1, 1]
+    for got in (first, last):
+        assert all(got[i][1] == plain[i][1] and abs(got[i][0] - plain[i][0]) < 1e-6 for i in plain)
+
+
+def test_sample_is_a_prefix_in_hash_order(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr("clipwright.llm.toxicity.Model", lambda chosen: seen.append(chosen))
+    rows = [(i, f"text{i:03d} " + "x" * (i % 5), i % 2) for i in range(80)]
+    docs = spark.createDataFrame(rows + [rows[3]] * 5, "doc_id long, text string, toxic int")
+    order = [r.doc_id for r in docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).collect()]
+    for frame in (docs.coalesce(1), docs.repartition(7, "text")):
+        fit(frame, characters=400, learnt=11)
+        want = []
+        for label in (1, 0):
+            held = 0
+            for i in (i for i in order if i % 2 == label and len(rows[i][1]) <= 11):
+                held += len(rows[i][1])
+                if held > 200:
+                    break
+                want.append((rows[i][1], label))
+        assert seen.pop() == want
+    with pytest.raises(ValueError, match="over 5 characters"):
+        fit(docs, learnt=5)
