@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,19 +29,43 @@ def kinematics(rows: DataFrame, key: str, order: list[str], value: str, conf: Co
     return rows.withColumn("gate", F.when(third, F.min("conf").over(w.rowsBetween(-2, 0))).otherwise(0.0))
 
 
-def periodicity(rows: DataFrame, key: str, order: list[str], value: str, longest: int) -> DataFrame:
-    """``(key, n, periodicity)``: greatest autocorrelation over lags 1..n/2-1 over that of
-    lag 0, for sequences of four or more; lags beyond ``longest`` are the caller's to allow.
+def periodicity(rows: DataFrame, key: str, order: list[str], value: str, block: int = 4096) -> DataFrame:
+    """``(key, n, periodicity)``: greatest autocorrelation over all lags 1..n/2-1 over that
+    of lag 0, for sequences of four or more. Null values take part in no product.
 
-    One pass of windows: each lag is one ``lag`` over the same partitioning and order.
+    Sequences are cut into blocks, every two blocks that lags up to n/2-1 can connect are
+    correlated in one task, and the sums of each lag are added up over them.
     """
     w = Window.partitionBy(key)
-    seq = ordered(rows, key, order).withColumn("d", F.col(value) - F.avg(value).over(w))
-    lags = {f"l{k}": F.col("d") * F.lag("d", k).over(w.orderBy("i")) for k in range(1, longest + 1)}
-    sums = seq.select(key, "n", "d", *[c.alias(a) for a, c in lags.items()]).groupBy(key, "n").agg(F.sum(F.col("d") * F.col("d")).alias("l0"), *[F.sum(a).alias(a) for a in lags])
-    allowed = [F.when(F.lit(k) <= F.floor(F.col("n") / 2) - 1, F.col(f"l{k}")) for k in range(1, longest + 1)]
-    best = F.greatest(*allowed) if len(allowed) > 1 else allowed[0]
-    return sums.filter("n >= 4").select(key, "n", F.coalesce(F.try_divide(best, F.col("l0")), F.lit(0.0)).alias("periodicity"))
+    seq = ordered(rows, key, order).filter("n >= 4").withColumn("d", F.col(value) - F.avg(value).over(w))
+    cut = seq.groupBy(F.col(key).alias("_key"), "n", F.floor(F.col("i") / block).cast("int").alias("b"))
+    blocks = cut.agg(F.array_sort(F.collect_list(F.struct("i", "d"))).getField("d").cast("array<double>").alias("d"))
+    # Lag n/2-1 from the last row of a block reaches this many blocks on.
+    reach = F.floor((F.floor(F.col("n") / 2) + block - 2) / block).cast("int")
+    x = blocks.withColumn("step", F.explode(F.sequence(F.lit(0), reach))).withColumn("to", F.col("b") + F.col("step")).alias("x")
+    y = blocks.alias("y")
+    pairs = x.join(y, F.col("x._key").eqNullSafe(F.col("y._key")) & (F.col("to") == F.col("y.b")))
+    pairs = pairs.select("x._key", "x.n", (F.col("step").cast("long") * block).alias("apart"), F.col("x.d").alias("early"), F.col("y.d").alias("late"))
+    kind = next(f.dataType.simpleString() for f in pairs.schema if f.name == "_key")
+    sums = pairs.mapInArrow(_lag_sums, f"_key {kind}, n long, first long, sums array<double>")
+    lags = sums.select("_key", "n", "first", F.posexplode("sums").alias("j", "s")).withColumn("lag", F.col("first") + F.col("j"))
+    lags = lags.filter("lag between 0 and floor(n / 2) - 1").groupBy("_key", "n", "lag").agg(F.sum("s").alias("s"))
+    found = lags.groupBy("_key", "n").agg(F.max(F.when(F.col("lag") >= 1, F.col("s"))).alias("best"), F.max(F.when(F.col("lag") == 0, F.col("s"))).alias("l0"))
+    return found.select(F.col("_key").alias(key), "n", F.coalesce(F.try_divide("best", "l0"), F.lit(0.0)).alias("periodicity"))
+
+
+def _lag_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of products of two blocks by the distance of their rows; null where no two meet."""
+    for batch in batches:
+        first, sums = [], []
+        for apart, early, late in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+            (a, on_a), (b, on_b) = ((x.values.fill_null(0.0).to_numpy(), x.values.is_valid().to_numpy(zero_copy_only=False)) for x in (early, late))
+            first.append(apart - len(a) + 1)
+            met = None if on_a.all() and on_b.all() else np.correlate(on_b.astype(float), on_a.astype(float), "full") < 0.5
+            sums.append(pa.array(np.correlate(b, a, "full"), mask=met))
+        ends = np.cumsum([0, *map(len, sums)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(sums) if sums else pa.array([], pa.float64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first, pa.int64()), lists], ["_key", "n", "first", "sums"])
 
 
 def peak(rows: DataFrame, key: str, order: str, score: str) -> DataFrame:

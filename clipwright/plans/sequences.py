@@ -34,7 +34,7 @@ def motion_energy_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.periodicity(frames(spark, sf_dir), "clip_id", ORDER, "value", 12).select("clip_id", "n", r6("periodicity"))
+    return S.periodicity(frames(spark, sf_dir), "clip_id", ORDER, "value").select("clip_id", "n", r6("periodicity"))
 
 
 def shoulder_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
