@@ -44,6 +44,16 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key ``_row`` of each row, stored so that every use sees the same keys."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def drop_rows(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """A table of ``keyed`` without the rows of ``others (_row)`` and without the key."""
+    return rows.join(others.select("_row"), "_row", "left_anti").drop("_row")
+
+
 def passes(sizes: list[int], limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose summed sizes stay within ``limit`` (one larger row stands alone)."""
     begin, held = 0, 0

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipwright.llm.common import passes, residue_filter, stored, text_bytes
+from clipwright.llm.common import drop_rows, keyed, passes, residue_filter, stored, text_bytes
 
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 256, 10, 4096
 WINDOW = 16
@@ -159,6 +159,14 @@ def exact_duplicates(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay; columns as they are."""
-    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    """The rows of ``docs`` that stay; columns as they are.
+
+    Of the rows of one text exactly one stays: the one of the largest ``doc_id``. Null is
+    less than any other; of rows that repeat doc_id and text any one stays.
+    """
+    rows = keyed(docs)
+    found = exact_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).filter("group_size > 1")
+    found = stored(found.select(F.col("doc_id").alias("_row"), F.col("keep_id").alias("group")), "exact-groups")
+    found = found.join(rows.select("_row", F.col("doc_id").cast("long").alias("doc_id")), "_row")
+    last = found.groupBy("group").agg(F.max(F.struct("doc_id", "_row")).alias("last")).select("last._row")
+    return drop_rows(rows, found.join(last, "_row", "left_anti"))

@@ -122,13 +122,15 @@ def fit(labelled: DataFrame, texts: int = TEXTS, landmarks: int = LANDMARKS) ->
     return Model(bits, np.array([r[0] for r in rows], object), np.flatnonzero(marks))
 
 
-def predict(docs: DataFrame, model: Model | None, *carry: Column) -> DataFrame:
-    """``(doc_id, *carry, lang_pred, score)``, one row per row. ``score`` is the share of the
+def predict(docs: DataFrame, model: Model | None, *carry: Column, with_text: bool = False) -> DataFrame:
+    """``(doc_id, *carry, lang_pred, score)``, one row per row; ``with_text`` adds ``text``
+    before ``lang_pred``. ``score`` is the share of the
     chosen language in the softmax of the decisions, and 0 for ``und``: a null text, one
     without a letter, or no model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text")
-    names = [c for c in rows.columns if c != "text"] + ["lang_pred", "score"]
+    passed = len(rows.columns) - (not with_text)
+    names = rows.columns[:passed] + ["lang_pred", "score"]
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = shared.value
@@ -141,10 +143,10 @@ def predict(docs: DataFrame, model: Model | None, *carry: Column) -> DataFrame:
                 best, rows_ = decision.argmax(axis=1), slice(first, first + len(bits))
                 langs[rows_] = np.where(known, np.array(learned.languages, object)[best], UNKNOWN)
                 score[rows_] = np.where(known, odds.max(axis=1) / odds.sum(axis=1), 0.0)
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns = [batch.column(i) for i in range(passed)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(score)], names)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:passed]]
     return rows.mapInArrow(each, ", ".join([*fields, "lang_pred string", "score double"]))
 
 
@@ -162,6 +164,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is told; the rejected are null, without a letter,
-    or empty texts. Columns as they are."""
-    told = identify(docs).filter(F.col("lang_pred") != UNKNOWN).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(told, docs["doc_id"] == told["_kept"], "left_semi")
+    or empty texts. Columns as they are. Each row is judged by its own text, so a null or
+    repeated doc_id makes no difference; the model learns as in ``identify``."""
+    model = fit(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row")
+    told = predict(docs, model, others, with_text=True).filter(F.col("lang_pred") != UNKNOWN)
+    return told.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

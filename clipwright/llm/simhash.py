@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipwright.llm.common import connected_components, stored, text_bytes
+from clipwright.llm.common import connected_components, drop_rows, keyed, stored, text_bytes
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -118,6 +118,15 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
 
 
 def keep_one_per_component(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` names their component; columns stay as they are."""
-    kept = near_duplicates(docs, words, max_bits).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    """One row of ``docs`` for each component; columns stay as they are.
+
+    Rows are linked one by one, whatever their ``doc_id``. The row of the least doc_id of a
+    component stays; null comes after any other, of rows that repeat it any one stays.
+    """
+    rows = keyed(docs)
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, max_bits)
+    found = stored(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")), "simhash-groups")
+    found = found.join(rows.select("_row", F.col("doc_id").cast("long").alias("doc_id")), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row"))
+    kept = found.groupBy("group").agg(first.alias("first")).select("first._row")
+    return drop_rows(rows, found.join(kept, "_row", "left_anti"))

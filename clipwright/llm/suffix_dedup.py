@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipwright.llm.common import discard, passes, residue_filter, stored, text_bytes
@@ -49,6 +49,8 @@ BITMAP_BITS = 27
 #: the anchor's offset in the first window and the number of windows.
 POSITION_SHIFT, TEXT_SHIFT, OFFSET_SHIFT = 27, 14, 7
 TEXT_KEYS = 1 << 13
+#: A null doc_id is the largest long, with this bit of `at` to tell it from that very id.
+UNNAMED, LAST_ID = 62, (1 << 63) - 1
 
 _RANDOM = np.random.default_rng(9)
 _BYTES = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -138,16 +140,17 @@ def _text_key(text: bytes) -> int:
 class _Runs:
     """The runs of one pass: columns a, v, doc_id and at, and what their windows need."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes], units: list[tuple[int, int, bytes]]):
+    def __init__(self, ids: np.ndarray, unnamed: np.ndarray, texts: list[bytes], units: list[tuple[int, int, bytes]]):
         ends = np.cumsum([len(u[2]) for u in units])
         begins = ends - [len(u[2]) for u in units]
         data = np.frombuffer(b"".join(u[2] for u in units), np.uint8)
         self.a, self.v, self.low, offset, self.n, self.grams = runs(data, list(zip(begins.tolist(), ends.tolist(), strict=True)))
         unit = np.searchsorted(ends, self.low, "right")
-        self.doc_id = ids[np.array([u[0] for u in units], np.int64)[unit]]
+        row = np.array([u[0] for u in units], np.int64)[unit]
+        self.doc_id = ids[row]
         start = self.low + (np.array([u[1] for u in units], np.int64) - begins)[unit]
         key = np.array([_text_key(texts[u[0]]) for u in units], np.int64)[unit]
-        self.at = (start << POSITION_SHIFT) | (key << TEXT_SHIFT) | (offset << OFFSET_SHIFT) | self.n
+        self.at = (unnamed[row].astype(np.int64) << UNNAMED) | (start << POSITION_SHIFT) | (key << TEXT_SHIFT) | (offset << OFFSET_SHIFT) | self.n
 
     def place(self) -> np.ndarray:
         return place_ids(self.doc_id, self.at)
@@ -158,11 +161,12 @@ def place_ids(doc_id: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _runs_of(batch: pa.RecordBatch) -> Iterator[_Runs]:
-    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    unnamed = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+    ids = batch.column(0).fill_null(LAST_ID).to_numpy(zero_copy_only=False)
     texts = text_bytes(batch.column(1))
     units = list(_units(texts))
     for i, j in passes([len(u[2]) for u in units], PASS):
-        yield _Runs(ids, texts, units[i:j])
+        yield _Runs(ids, unnamed, texts, units[i:j])
 
 
 def _dealt_bits(values: np.ndarray, kind: int, least: int, piece_bits: int) -> Iterator[tuple[int, int, bytes]]:
@@ -353,11 +357,17 @@ def _later(rows: DataFrame) -> DataFrame:
 
 def _with_text(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """Documents of ``ranges (doc_id, at)`` beside the list of their ``at``."""
-    grouped = ranges.withColumn("key", F.shiftright("at", TEXT_SHIFT).bitwiseAND(F.lit(TEXT_KEYS - 1)))
-    grouped = grouped.groupBy("doc_id", "key").agg(F.collect_list("at").alias("at"))
-    keyed = residue_filter(docs, ranges.select("doc_id").distinct(), ["doc_id"])
-    keyed = keyed.withColumn("key", F.xxhash64("text").bitwiseAND(F.lit(TEXT_KEYS - 1)))
-    return keyed.join(grouped, ["doc_id", "key"], "left").select("doc_id", "text", "at")
+    unnamed = F.shiftright("at", UNNAMED) * TEXT_KEYS
+    grouped = ranges.withColumn("key", unnamed + F.shiftright("at", TEXT_SHIFT).bitwiseAND(F.lit(TEXT_KEYS - 1)))
+    grouped = grouped.groupBy(F.col("doc_id").alias("id"), "key").agg(F.collect_list("at").alias("at"))
+    keyed = residue_filter(docs.withColumn("id", _filled()), ranges.select(F.col("doc_id").alias("id")).distinct(), ["id"])
+    unnamed = F.when(F.col("doc_id").isNull(), F.lit(TEXT_KEYS)).otherwise(F.lit(0))
+    keyed = keyed.withColumn("key", unnamed + F.xxhash64("text").bitwiseAND(F.lit(TEXT_KEYS - 1)))
+    return keyed.join(grouped, ["id", "key"], "left").select("doc_id", "text", "at")
+
+
+def _filled() -> Column:
+    return F.coalesce("doc_id", F.lit(LAST_ID))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -384,7 +394,7 @@ def merged_spans(at: np.ndarray) -> list[tuple[int, int]]:
     """Maximal byte ranges that the packed runs cover."""
     if not len(at):
         return []
-    low = at >> POSITION_SHIFT
+    low = (at & ((1 << UNNAMED) - 1)) >> POSITION_SHIFT
     order = np.argsort(low, kind="stable")
     low, high = low[order], (low + (at & 127) + LENGTH - 1)[order]
     reach = np.maximum.accumulate(high)
@@ -398,7 +408,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     A byte goes if some 100-byte string over it also starts earlier: in a smaller doc_id,
     or before in the same document. Strings are judged on the input; matches never cross
     documents; null counts as empty. Rows that repeat a doc_id with the same text count as
-    one document; with another text, as documents of that doc_id in no promised order.
+    one document; with another text, as documents of that doc_id in no promised order. A
+    null doc_id stays null and counts as one doc_id, behind all others.
     ``with_text`` adds ``kept binary``, the bytes that stay. Extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -426,7 +437,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     touched = _with_text(docs, removed).mapInArrow(each, schema)
     hit = removed.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("_residue")).distinct()
-    clean = docs.join(F.broadcast(hit), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) == F.col("_residue"), "left_anti")
+    clean = docs.join(F.broadcast(hit), F.pmod(F.xxhash64(_filled()), F.lit(1 << 20)) == F.col("_residue"), "left_anti")
     size = F.octet_length("text").cast("long")
     clean = clean.select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *([F.col("text").cast("binary").alias("kept")] * with_text))
     return clean.unionByName(touched)

@@ -60,3 +60,21 @@ def test_run_and_empty_tables(spark, sf, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0, name
     assert masked(empty).count() == 0
+
+
+def test_rows_are_judged_by_themselves(spark):
+    from clipwright.llm.exact_dedup import drop_duplicates
+    from clipwright.llm.language_id import keep_identified
+    from clipwright.llm.simhash import keep_one_per_component
+
+    schema = "doc_id long, text string, lang string, n int"
+
+    def kept(stage, rows):
+        out = stage(spark.createDataFrame([(i, t, "en", n) for n, (i, t) in enumerate(rows)], schema))
+        assert out.columns == ["doc_id", "text", "lang", "n"]
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+
+    assert kept(keep_identified, [(1, "some words"), (None, "more words"), (2, None), (2, "words"), (3, "12"), (1, "")]) == [(1, "some words"), (2, "words"), (None, "more words")]
+    assert kept(drop_duplicates, [(5, "A"), (5, "B"), (7, "A"), (7, "A"), (None, "A"), (None, "C"), (None, "C"), (None, "D")]) == [(5, "B"), (7, "A"), (None, "C"), (None, "D")]
+    a, b, c = "alpha beta", "gamma delta", "other words"
+    assert kept(keep_one_per_component, [(5, a), (7, a), (5, b), (3, b), (7, b), (3, b), (None, a), (None, c), (None, c)]) == [(3, b), (5, a), (None, c)]

@@ -49,3 +49,15 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r.doc_id, r.n_removed, r.kept.decode()) for r in remove_repeats(docs, with_text=True).collect())
     assert got == [(4, 0, text), (4, 0, text), (9, 300, "")]
     assert remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_null_ids_and_ids_beyond_double_precision(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    line, other, big = word(150), word(150), (1 << 53) + 1
+    rows = [(None, word(30) + "x" + line), (big, line), (big + 1, word(20) + "y" + line), (None, other + word(9)), ((1 << 63) - 1, word(9) + other), (None, word(400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = [(0, 150), (1, 0), (2, 150), (3, 150), (4, 0), (5, 0)]
+    got = {(r.doc_id, r.kept_sha256): (r.n_bytes, r.n_removed) for r in remove_repeats(docs).collect()}
+    kept = [(rows[i][0], rows[i][1].replace(line if i < 3 else other, "") if gone else rows[i][1], gone) for i, gone in want]
+    assert got == {(i, hashlib.sha256(t.encode()).hexdigest()): (len(t) + gone, gone) for i, t, gone in kept}
