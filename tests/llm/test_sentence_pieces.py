@@ -4,8 +4,9 @@ import random
 
 import pytest
 import sentencepiece
+from clipwright.llm import queries
 from clipwright.llm.common import table
-from clipwright.llm.sentence_pieces import Pieces, decode, default_path, document_digests, encode, marked
+from clipwright.llm.sentence_pieces import CHUNK, SPACE, Pieces, Segments, decode, default_path, document_digests, encode, marked
 
 
 def _varint(data, i):
@@ -41,21 +42,64 @@ def unigram_library():
     return sentencepiece.SentencePieceProcessor(model_proto=bytes(data))
 
 
+def plain(coder, text):
+    """(score, ids) of the best path over the whole text, one position after the other."""
+    best, back = [0] + [None] * len(text), [0] * (len(text) + 1)
+    for j in range(1, len(text) + 1):
+        for i in range(max(0, j - coder.longest), j):
+            known = coder.scores.get(text[i:j])
+            score = known[0] if known else coder.unknown_score if j == i + 1 else None
+            if score is not None and (best[j] is None or best[i] + score > best[j]):
+                best[j], back[j] = best[i] + score, i
+    end, cuts = len(text), []
+    while end:
+        cuts.append(text[back[end] : end])
+        end = back[end]
+    return best[-1], [i for c in cuts[::-1] for i in coder.ids(c)]
+
+
+def test_registered_query_on_all_documents(spark, sf):
+    coder = Pieces(default_path())
+    got = {r.doc_id: r for r in queries.op7_sentence_pieces(spark, sf).collect()}
+    docs = table(spark, sf, "documents")
+    found = {}
+    for r in encode(docs, with_ids=True).collect():
+        found.setdefault(r.doc_id, []).append((r.seq, r.ids))
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        score, ids = plain(coder, marked(r.text))
+        own = [i for _, part in sorted(found[r.doc_id]) for i in part]
+        assert (got[r.doc_id].score, got[r.doc_id].n_ids) == (score, len(own))
+        # At the cuts of a giant document another of several equally good paths may be taken.
+        assert own == ids if len(r.text or "") < CHUNK else coder.text_of(own) == marked(r.text)
+        assert got[r.doc_id].decoded == (SPACE not in (r.text or ""))
+
+
+def test_scores_do_not_depend_on_chunks(spark, sf):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("ab é日\n 😀▁") for _ in range(n))) for i, n in enumerate([0, 1, 40, 900, 5000])] + [(9, "日本語" * 3000), (10, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(table(spark, sf, "documents").select("doc_id", "text").limit(40))
+    apart = [document_digests(docs, chunk=c).select("doc_id", "score", "decoded") for c in (61, 1 << 20)]
+    a, b = (sorted(map(tuple, d.collect()), key=str) for d in apart)
+    assert a == b and not all(r[-1] for r in a)
+
+
 def test_best_scores_are_the_librarys(spark, sf):
     library, coder = unigram_library(), Pieces(default_path())
     texts = ["hello world again", "  two  spaces ", "日本 x", "a", " ", "\t\n", "é́ﬁ①", "x" * 50, "▁a"] + [r.text[:200].replace("\n", " ") for r in table(spark, sf, "documents").limit(40).collect()]
     score = lambda ids: sum(coder.scores[coder.texts[i]][0] for i in ids if coder.texts[i] in coder.scores)
     for text in texts:
         whole = marked(text)
-        got, found = coder.segment(whole, len(whole), 0, 0)
-        ids = [i for _, each in found for i in each]
+        (got, ids, _, _), = Segments(coder).results([(whole, len(whole), 0, 0)], [0])
+        ids = ids.tolist()
         # The best of the lattice; the library's one-best search is not exact for such scores.
         want = library.nbest_encode_as_ids(text, 2)[0]
         # Pieces of -1e9, and unknown characters, exceed the library's single-precision sums.
         rounded = score(want) < -1e8 or any(i in coder.byte_of for i in want)
         assert score(ids) >= score(want) and (rounded or score(ids) == score(want)), text
         assert len([i for i in ids if i in coder.byte_of]) == len([i for i in want if i in coder.byte_of]), text
-        assert coder.text_of(ids) == whole
+        assert coder.text_of(ids) == whole and got == coder.path(whole, 0, len(whole), 0)[0]
 
 
 @pytest.mark.parametrize("chunk", [5, 17, 300])
@@ -77,7 +121,7 @@ def test_chunks_do_not_change_the_result(spark, chunk):
     assert len(ids) == len(rows)
     for row, (doc_id, found) in ids.items():
         whole = marked(by_doc[doc_id])
-        assert scores[row] == coder.segment(whole, len(whole), 0, 0)[0] if whole else scores[row] == 0
+        assert scores[row] == plain(coder, whole)[0]
         assert texts[row] == by_doc[doc_id] and coder.text_of(found) == whole
 
 
