@@ -44,6 +44,20 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks_of(df: DataFrame) -> int:
+    """The session's number of shuffle partitions: a stated number is not coalesced."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, tag: str, key: str) -> DataFrame:
+    """Write ``df`` into the shared folder in buckets of ``key`` and read it back as a table:
+    joins on ``key`` leave it where it is. The session's catalog lists it under ``tag``."""
+    spark, tasks, name = df.sparkSession, tasks_of(df), f"{tag}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(tasks, key).write.bucketBy(tasks, key).format("parquet").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with a key ``_row`` of each row, stored so that every use sees the same keys."""
     return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")

@@ -1,25 +1,27 @@
 """Removal of repeated 100-byte strings by bucket-pointer refinement.
 
-Suffixes are put into buckets by their first 50 bytes, and buckets are refined on the
-bucket identifiers of later offsets: those at p and p + 50 give the identifier of the 100
-bytes at p, and those of a run's first and last 100 bytes, reused, that of the whole run.
+Positions are put into buckets by the Q = 50 bytes from them on, and buckets are refined by
+the bucket identifiers at later offsets: those at p and p + 50 tell apart the 100 bytes at p,
+those of a run's first and last 100 bytes, reused, whole runs of windows.
 
-To keep shuffles small, not every suffix is dealt out. Of each 100-byte window, the
+To keep shuffles small, not every position is dealt out. Of each 100-byte window, the
 leftmost least 50-byte identifier is its anchor; equal windows have equal anchors at equal
 offsets, so a bucket is an anchor's value. Neighbouring windows with one anchor form a
 *run*, about one for 26 bytes.
 
-1. Anchor values and run values that occur once are told from the others: four bytes of
-   each are dealt out, and what comes back is a bitmap of fixed size.
-2. Runs that agree in their value are equal: all but the earliest are removed whole.
-3. Where a bucket keeps several different runs, the refinement is applied in the same way
-   to each of their windows: values that occur once are set aside by a bitmap, and of those
-   that agree, all but the earliest are removed.
-
-A bitmap only ever lets too much through; what it lets through is decided exactly. Rows that
-a task already knows to be later than an equal one do not reach a shuffle, so a passage in
-a third of all documents is one row for each batch of them. Long documents are taken in segments.
-Texts are read three times, and only documents that lose something are shuffled, once.
+1. Of equal texts, the first stands for all: the others lose every byte, if they have 100.
+2. Runs are dealt out by bucket and sorted by refined value. Those alone in their bucket
+   drop out; of those that agree in their value, all but the earliest are removed whole.
+3. Where a bucket keeps several different runs, their bytes are dealt out by bucket and the
+   refinement is repeated for each of their windows. Of those that agree, all but the
+   earliest are removed. A bucket of over MANY such runs, or one seen to be frequent in a
+   sample of texts, is dealt out window by window instead, so that no task gets it whole.
+
+The sample steers where rows go and nothing else. Rows that a task already knows to be
+later than an equal one take no part in a comparison, so a passage in a third of all
+documents is one row for each batch of them. Equality is that of all identifiers that make
+up a value, 128 bits at least. Texts are dealt out once, into a table in buckets of their
+rows' numbers, with which all that follows is joined in place; long ones are taken in segments.
 """
 
 from __future__ import annotations
@@ -29,13 +31,11 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipwright.llm.common import discard, passes, residue_filter, stored, text_bytes
+from clipwright.llm.common import bucketed, discard, passes, stored, tasks_of, text_bytes
 
 LENGTH = 100
 Q = 50
@@ -43,13 +43,13 @@ WINDOW = LENGTH - Q + 1
 SEGMENT = 1 << 19
 #: Bytes that one numpy pass takes; its arrays need some 80 times as much.
 PASS = 1 << 20
-#: Bits of a bitmap (16 MB, at every size).
-BITMAP_BITS = 27
-#: `at` holds position, 13 bits of the text's hash (to tell rows of one doc_id apart),
-#: the anchor's offset in the first window and the number of windows.
-POSITION_SHIFT, TEXT_SHIFT, OFFSET_SHIFT = 27, 14, 7
-TEXT_KEYS = 1 << 13
-#: A null doc_id is the largest long, with this bit of `at` to tell it from that very id.
+#: `at` holds the position of the first window, the anchor's offset in it and the number of windows.
+POSITION_SHIFT, OFFSET_SHIFT = 14, 7
+#: Different runs of one bucket that are compared in one task; beyond, windows are dealt out.
+MANY = 4096
+#: Texts in the sample for frequent buckets, how often such a one stands in it, and their bound.
+SAMPLED, FREQUENT, FREQUENT_BUCKETS = 4000, 8, 50_000
+#: A null doc_id counts as the largest long, and its row's number has this bit set.
 UNNAMED, LAST_ID = 62, (1 << 63) - 1
 
 _RANDOM = np.random.default_rng(9)
@@ -133,268 +133,215 @@ def _units(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
                 yield row, offset, text[offset : offset + SEGMENT + LENGTH - 1]
 
 
-def _text_key(text: bytes) -> int:
-    return xxhash.xxh64_intdigest(text, 42) % TEXT_KEYS
-
-
 class _Runs:
-    """The runs of one pass: columns a, v, doc_id and at, and what their windows need."""
+    """The runs of one pass, and the identifiers of the Q bytes from each position on."""
 
-    def __init__(self, ids: np.ndarray, unnamed: np.ndarray, texts: list[bytes], units: list[tuple[int, int, bytes]]):
+    def __init__(self, units: list[tuple[int, int, bytes]]):
         ends = np.cumsum([len(u[2]) for u in units])
         begins = ends - [len(u[2]) for u in units]
         data = np.frombuffer(b"".join(u[2] for u in units), np.uint8)
-        self.a, self.v, self.low, offset, self.n, self.grams = runs(data, list(zip(begins.tolist(), ends.tolist(), strict=True)))
+        self.g, self.v, self.low, offset, n, self.grams = runs(data, list(zip(begins.tolist(), ends.tolist(), strict=True)))
         unit = np.searchsorted(ends, self.low, "right")
-        row = np.array([u[0] for u in units], np.int64)[unit]
-        self.doc_id = ids[row]
+        self.text = np.array([u[0] for u in units], np.int64)[unit]
         start = self.low + (np.array([u[1] for u in units], np.int64) - begins)[unit]
-        key = np.array([_text_key(texts[u[0]]) for u in units], np.int64)[unit]
-        self.at = (unnamed[row].astype(np.int64) << UNNAMED) | (start << POSITION_SHIFT) | (key << TEXT_SHIFT) | (offset << OFFSET_SHIFT) | self.n
-
-    def place(self) -> np.ndarray:
-        return place_ids(self.doc_id, self.at)
-
-
-def place_ids(doc_id: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return _mixed(doc_id.astype(np.int64).view(np.uint64), at.view(np.uint64))
+        self.at = (start << POSITION_SHIFT) | (offset << OFFSET_SHIFT) | n
 
 
-def _runs_of(batch: pa.RecordBatch) -> Iterator[_Runs]:
-    unnamed = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-    ids = batch.column(0).fill_null(LAST_ID).to_numpy(zero_copy_only=False)
-    texts = text_bytes(batch.column(1))
+def _runs_of(texts: list[bytes]) -> Iterator[_Runs]:
     units = list(_units(texts))
     for i, j in passes([len(u[2]) for u in units], PASS):
-        yield _Runs(ids, unnamed, texts, units[i:j])
-
-
-def _dealt_bits(values: np.ndarray, kind: int, least: int, piece_bits: int) -> Iterator[tuple[int, int, bytes]]:
-    """(kind, piece, the next 32 bits of each value in it): each value ``least`` times at most."""
-    values = np.sort(values)
-    keep = np.ones(len(values), bool)
-    keep[least:] = values[least:] != values[:-least]
-    values = values[keep]
-    piece = (values >> np.uint64(64 - piece_bits)).astype(np.int64)
-    rest = ((values >> np.uint64(32 - piece_bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    cuts = np.flatnonzero(piece[1:] != piece[:-1]) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(piece)], strict=True):
-        if b > a:
-            yield kind, int(piece[a]), rest[a:b].tobytes()
-
-
-_DEALT = "kind int, piece int, bits binary"
-
-
-def _dealt_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    kinds, pieces, bits = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(pieces, pa.int32()), pa.array(bits, pa.binary())], ["kind", "piece", "bits"])
-
-
-def _piece_bits(docs: DataFrame) -> int:
-    """Pieces follow the session's parallelism, so that one stays small at every size."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(7, min(22, (2 * partitions - 1).bit_length()))
-
-
-def _bitmaps(dealt: DataFrame, least: int, kinds: int, piece_bits: int) -> list[bytes]:
-    """For each kind, the bitmap of values dealt out ``least`` times or more. Pieces are
-    made by the executors; the driver gets 2**BITMAP_BITS bits for each kind."""
-    size = 1 << (BITMAP_BITS - piece_bits)
-
-    def piece(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        values = np.sort(np.frombuffer(b"".join(group["bits"]), np.uint32))
-        if least > 1:
-            values = values[least - 1 :][values[least - 1 :] == values[: 1 - least]]
-        bits = np.zeros(size, np.uint8)
-        bits[values >> np.uint32(32 - BITMAP_BITS + piece_bits)] = 1
-        return pd.DataFrame({"kind": [key[0]], "piece": [key[1]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    out = [bytearray(1 << (BITMAP_BITS - 3)) for _ in range(kinds)]
-    for row in dealt.groupBy("kind", "piece").applyInPandas(piece, _DEALT).toLocalIterator():
-        out[row.kind][row.piece * size // 8 : (row.piece + 1) * size // 8] = row.bits
-    return [bytes(x) for x in out]
+        yield _Runs(units[i:j])
 
 
-def _hits(bitmap: bytes, values: np.ndarray) -> np.ndarray:
-    residue = (values >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-    return (np.frombuffer(bitmap, np.uint8)[residue >> 3] >> (residue & 7).astype(np.uint8)) & 1 == 1
-
-
-def _repeated_anchors(docs: DataFrame) -> list[bytes]:
-    """Bitmaps of the anchor values and of the run values that occur more than once."""
-    bits = _piece_bits(docs)
-
-    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(r.a, r.v) for r in _runs_of(batch)]
-            if found:
-                rows = [x for kind, values in enumerate(zip(*found, strict=True)) for x in _dealt_bits(np.concatenate(values), kind, 2, bits)]
-                if rows:
-                    yield _dealt_batch(rows)
-
-    return _bitmaps(docs.mapInArrow(each, _DEALT), 2, 2, bits)
+def _later(ids: list[np.ndarray], place: list[np.ndarray]) -> np.ndarray:
+    """Rows that stand behind another one of equal identifiers."""
+    order = np.lexsort([*place[::-1], *ids[::-1]])
+    same = np.ones(max(0, len(order) - 1), bool)
+    for x in ids:
+        same &= x[order][1:] == x[order][:-1]
+    later = np.zeros(len(order), bool)
+    later[order[1:]] = same
+    return later
 
 
-def _value_bitmap(values: DataFrame, least: int, only: bytes | None = None) -> bytes:
-    """The bitmap of a column of identifiers; of rows ``(a, doc_id, at)`` and ``only``, that
-    of the places of those whose ``a`` hits it."""
-    bits = _piece_bits(values)
-    filtering = values.sparkSession.sparkContext.broadcast(only) if only is not None else None
+def _frequent(texts: DataFrame) -> np.ndarray:
+    """Buckets that are frequent in a sample of the texts, sorted: FREQUENT_BUCKETS at most."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            if filtering is not None:
-                doc_id, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-                found = place_ids(doc_id, at)[_hits(filtering.value, found)]
-            if rows := list(_dealt_bits(found, 0, least, bits)):
-                yield _dealt_batch(rows)
-
-    return _bitmaps(values.mapInArrow(each, _DEALT), least, 1, bits)[0]
-
-
-def _local_later(v: np.ndarray, doc_id: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rows that stand behind an equal one of the same batch."""
-    order = np.lexsort((at, doc_id, v))
-    new = np.ones(len(v), bool)
-    new[1:] = v[order][1:] != v[order][:-1]
-    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    later = np.zeros(len(v), bool)
-    later[order] = (doc_id[order] != doc_id[first]) | (at[order] != at[first])
-    return later
-
+            for r in _runs_of(text_bytes(batch.column(0))):
+                yield pa.RecordBatch.from_arrays([pa.array(r.g.view(np.int64))], ["g"])
 
-_FOUND = "kind int, a long, v long, doc_id long, at long"
-#: Kinds of rows: one of its value (but not of its bucket), one of several equal, one that
-#: is known to be later.
-ALONE, SEVERAL, LATER = range(3)
+    step = max(1, texts.count() // SAMPLED)
+    found = texts.filter(F.pmod(F.xxhash64("row"), F.lit(step)) == 0).select("text").mapInArrow(each, "g long")
+    counted = found.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "g").limit(FREQUENT_BUCKETS)
+    return np.sort(np.array([r.g for r in counted.collect()], np.int64))
 
 
-def _found_batch(kind: np.ndarray, a: np.ndarray, v: np.ndarray, doc_id: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    known = kind == LATER
-    a, v = (np.where(known, np.uint64(0), x).view(np.int64) for x in (a, v))
-    columns = [pa.array(kind.astype(np.int32)), *(pa.array(x, pa.int64()) for x in (a, v, doc_id, at))]
-    return pa.RecordBatch.from_arrays(columns, ["kind", "a", "v", "doc_id", "at"])
+_FOUND = "g long, v long, frequent boolean, k long, row long, at long, known boolean"
 
 
-def _repeated_runs(docs: DataFrame, bitmaps: list[bytes]) -> DataFrame:
-    """The runs whose bucket has others."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmaps)
+def _runs_found(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """All runs of ``texts (k, row, text)``; ``known`` are those that stand behind an equal
+    one of their batch."""
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    names = [f.split()[0] for f in _FOUND.split(", ")]
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_bucket, in_value = shared.value
         for batch in batches:
-            held = []
-            for r in _runs_of(batch):
-                keep = _hits(in_bucket, r.a)
-                held.append([x[keep] for x in (r.a, r.v, r.doc_id, r.at)])
-            if held:
-                a, v, doc_id, at = (np.concatenate(x) for x in zip(*held, strict=True))
-                kind = np.where(_hits(in_value, v), SEVERAL, ALONE)
-                kind[_local_later(v, doc_id, at)] = LATER
-                yield _found_batch(kind, a, v, doc_id, at)
+            k, row = (batch.column(i).to_numpy() for i in range(2))
+            held = [(r.g, r.v, r.text, r.at) for r in _runs_of(text_bytes(batch.column(2)))]
+            if not held:
+                continue
+            g, v, text, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            k, row = k[text], row[text]
+            known = _later([g, v], [k, row, at])
+            # Known ones are spread by their place; they are not compared with anything.
+            g = np.where(known, _mixed(row.view(np.uint64), at.view(np.uint64)), g).view(np.int64)
+            columns = [g, np.where(known, 0, v.view(np.int64)), np.isin(g, shared.value) & ~known, k, row, at, known]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    return texts.select("k", "row", "text").mapInArrow(each, _FOUND)
+
+
+def _judged(found: DataFrame) -> DataFrame:
+    """``(g, row, k, at, later, apart)``: runs to be removed (later), and those whose bucket
+    keeps others; ``apart`` tells that they are to be compared window by window.
+
+    Rows go by bucket, those of frequent ones by bucket and value. A value in a third of all
+    documents has a row for each batch of them.
+    """
+    place = F.struct("k", "row", "at")
+    dealt = found.withColumn("salt", F.when(F.col("frequent"), F.col("v")).otherwise(F.lit(0))).repartition(tasks_of(found), "g", "frequent", "salt")
+    bucket = Window.partitionBy("g", "frequent", "salt")
+    value = Window.partitionBy("g", "frequent", "salt", "v")
+    ranked = dealt.withColumn("first", F.min(place).over(value)).withColumn("several", F.min("v").over(bucket) < F.max("v").over(bucket)).withColumn("n", F.count("*").over(bucket))
+    later = F.col("known") | (place > F.col("first"))
+    kept = ranked.select("g", "row", "k", "at", later.alias("later"), (F.col("frequent") | (F.col("n") > MANY)).alias("apart"), "several")
+    return kept.filter(F.col("later") | F.col("several") | F.col("apart")).drop("several")
+
 
-    return docs.mapInArrow(each, _FOUND)
+_WINDOWS = "a long, b long, k long, row long, at long, bytes binary, known boolean"
 
 
-def _contested_windows(docs: DataFrame, places: bytes) -> DataFrame:
-    """``(a, doc_id, at, h array<long>)``: the windows of the runs at the given places."""
-    shared = docs.sparkSession.sparkContext.broadcast(places)
+def _contested(texts: DataFrame, judged: DataFrame) -> DataFrame:
+    """What is compared anew: runs of a bucket with their bytes (a: the bucket, b: 0), and
+    single windows (a, b: their identifiers). ``known`` windows stand behind one of their batch."""
+    names = [f.split()[0] for f in _WINDOWS.split(", ")]
+    mine = F.collect_list(F.struct("at", "g", "apart"))
+    lists = judged.filter("not later").groupBy("row").agg(mine.alias("runs"))
+
+    def batch_of(a: np.ndarray, b: np.ndarray, k: np.ndarray, row: np.ndarray, at: np.ndarray, data: pa.Array, known: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (a, b, k, row, at)), data, pa.array(known)], names)
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in _runs_of(batch):
-                keep = np.flatnonzero(_hits(shared.value, r.place()))
-                if not len(keep):
-                    continue
-                n = r.n[keep]
-                first = np.cumsum(n) - n
-                windows = np.repeat(r.low[keep] - first, n) + np.arange(n.sum())
-                h = pa.array(window_ids(r.grams, windows).view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, n.sum()), pa.int32()), h)
-                columns = [pa.array(r.a[keep].view(np.int64)), pa.array(r.doc_id[keep], pa.int64()), pa.array(r.at[keep]), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "doc_id", "at", "h"])
-
-    return docs.mapInArrow(each, "a long, doc_id long, at long, h array<long>")
-
-
-def _repeated_windows(listed: DataFrame, bitmap: bytes) -> DataFrame:
-    """Single windows, as runs of one, that may have an equal."""
-    shared = listed.sparkSession.sparkContext.broadcast(bitmap)
-    carried = np.int64(((1 << POSITION_SHIFT) - 1) ^ ((1 << TEXT_SHIFT) - 1))
+            k, row = (batch.column(i).to_numpy() for i in range(2))
+            texts, lists = text_bytes(batch.column(2)), batch.column(3)
+            for i, j in passes([len(t) for t in texts], 8 * PASS):
+                data = np.frombuffer(b"".join(texts[i:j]), np.uint8)
+                own = lists.slice(i, j - i)
+                values = own.flatten()
+                at, g, apart = (values.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+                text = i + np.repeat(np.arange(j - i), np.diff(own.offsets.to_numpy()))
+                sizes = np.array([len(t) for t in texts[i:j]], np.int64)
+                start = (at >> POSITION_SHIFT) + (np.cumsum(sizes) - sizes)[text - i]
+                size = (at & 127) + LENGTH - 1
+                for chosen in (~apart, apart):
+                    pick = np.flatnonzero(chosen)
+                    for x in range(0, len(pick), 20_000):
+                        part = pick[x : x + 20_000]
+                        ends = np.cumsum(size[part])
+                        taken = data[np.repeat(start[part] - (ends - size[part]), size[part]) + np.arange(ends[-1])]
+                        owner_k, owner = k[text[part]], row[text[part]]
+                        if chosen is not apart:
+                            held = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(taken)])
+                            yield batch_of(g[part], np.zeros(len(part), np.int64), owner_k, owner, at[part], held, np.zeros(len(part), bool))
+                            continue
+                        a, b, which, single = _windows(taken, ends - size[part], at[part])
+                        which_k, which = owner_k[which], owner[which]
+                        known = _later([a, b], [which_k, which, single])
+                        a = np.where(known, _mixed(which.view(np.uint64), single.view(np.uint64)), a).view(np.int64)
+                        yield batch_of(a, np.where(known, 0, b.view(np.int64)), which_k, which, single, pa.nulls(len(a), pa.binary()), known)
+
+    taken = texts.join(lists.hint("shuffle_hash"), "row").select("k", "row", "text", "runs")
+    return taken.mapInArrow(each, _WINDOWS)
+
+
+def _windows(data: np.ndarray, begins: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both identifiers of each window of runs, whose bytes begin at ``begins`` in ``data``,
+    the number of its run, and its own ``at``."""
+    grams, n = gram_ids(data), at & 127
+    which = np.repeat(np.arange(len(at)), n)
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    p = begins[which] + step
+    single = (((at[which] >> POSITION_SHIFT) + step) << POSITION_SHIFT) | 1
+    return grams[p], grams[p + Q], which, single
+
+
+def _resolved(contested: DataFrame) -> DataFrame:
+    """``(row, at)``: the windows that stand behind an equal one, neighbours as one run.
+
+    Rows of one key come together in a task, in the order of their places. A key is a bucket
+    of MANY runs at most, or a single window, of which there is a row for each batch."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
         for batch in batches:
-            a, doc_id, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            n = at & 127
-            h = batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            step = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            keep = _hits(shared.value, h)
-            row = np.repeat(np.arange(len(at)), n)[keep]
-            where = (((at[row] >> POSITION_SHIFT) + step[keep]) << POSITION_SHIFT) | (at[row] & carried) | 1
-            h, owner = h[keep], doc_id[row]
-            if len(h):
-                kind = np.where(_local_later(h, owner, where), LATER, SEVERAL)
-                yield _found_batch(kind, a[row].view(np.uint64), h, owner, where)
-
-    return listed.mapInArrow(each, _FOUND)
-
-
-def _later(rows: DataFrame) -> DataFrame:
-    """``(a, doc_id, at, later)`` of rows of kind SEVERAL: later tells that an equal one
-    stands before.
-
-    A task that made the rows has passed on one of each value for each batch, so a value in
-    a third of all documents has a row for some ten thousand of them, and the window over
-    equal values is small.
-    """
-    order = F.struct("doc_id", "at")
-    first = F.min(order).over(Window.partitionBy("a", "v"))
-    judged = rows.filter(F.col("kind") == SEVERAL).withColumn("later", order > first)
-    return judged.select(F.when(~F.col("later"), F.col("a")).alias("a"), "doc_id", "at", "later")
-
-
-def _with_text(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Documents of ``ranges (doc_id, at)`` beside the list of their ``at``."""
-    unnamed = F.shiftright("at", UNNAMED) * TEXT_KEYS
-    grouped = ranges.withColumn("key", unnamed + F.shiftright("at", TEXT_SHIFT).bitwiseAND(F.lit(TEXT_KEYS - 1)))
-    grouped = grouped.groupBy(F.col("doc_id").alias("id"), "key").agg(F.collect_list("at").alias("at"))
-    keyed = residue_filter(docs.withColumn("id", _filled()), ranges.select(F.col("doc_id").alias("id")).distinct(), ["id"])
-    unnamed = F.when(F.col("doc_id").isNull(), F.lit(TEXT_KEYS)).otherwise(F.lit(0))
-    keyed = keyed.withColumn("key", unnamed + F.xxhash64("text").bitwiseAND(F.lit(TEXT_KEYS - 1)))
-    return keyed.join(grouped, ["id", "key"], "left").select("doc_id", "text", "at")
-
-
-def _filled() -> Column:
-    return F.coalesce("doc_id", F.lit(LAST_ID))
-
-
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """``(doc_id, at)``: packed runs of windows that start earlier too, to be removed."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = stored(_repeated_runs(docs, _repeated_anchors(docs)), "suffix-runs")
-    judged = stored(_later(found), "suffix-judged")
-    leaders = found.filter(F.col("kind") == ALONE).select("a", "doc_id", "at").unionByName(judged.filter("not later").select("a", "doc_id", "at"))
-    contested = _value_bitmap(leaders, 1, _value_bitmap(leaders.select("a"), 2))
-    known = found.filter(F.col("kind") == LATER).select("doc_id", "at")
-    whole = stored(known.unionByName(judged.filter("later").select("doc_id", "at")), "suffix-removed-runs")
-    discard(found, judged)
-    listed = stored(_contested_windows(docs, contested), "suffix-windows")
-    repeated = _value_bitmap(listed.select(F.explode("h").alias("h")), 2)
-    windows = stored(_repeated_windows(listed, repeated), "suffix-repeated")
-    discard(listed)
-    known = windows.filter(F.col("kind") == LATER).select("doc_id", "at")
-    single = stored(known.unionByName(_later(windows).filter("later").select("doc_id", "at")), "suffix-removed-windows")
-    discard(windows)
-    return whole.unionByName(single)
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            a, b = (held.column(c).to_numpy() for c in ("a", "b"))
+            cuts = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+            if len(cuts):
+                yield from judge(held.slice(0, int(cuts[-1])))
+                held = held.slice(int(cuts[-1]))
+        if held is not None:
+            yield from judge(held)
+
+    def judge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        a, b, row, at, known = (rows.column(c).to_numpy() for c in ("a", "b", "row", "at", "known"))
+        bare = rows.column("bytes").is_null().to_numpy()
+        again = np.zeros(len(a), bool)
+        again[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        found = bare & (known | again)
+        yield out(row[found], at[found])
+        runs_at = np.flatnonzero(~bare)
+        if not len(runs_at):
+            return
+        chunk = rows.filter(pa.array(~bare)).column("bytes").to_pylist()
+        for i, j in _whole_keys(a[runs_at], 20_000):
+            part = chunk[i:j]
+            sizes = np.array([len(x) for x in part], np.int64)
+            mine = runs_at[i:j]
+            x, y, which, single = _windows(np.frombuffer(b"".join(part), np.uint8), np.cumsum(sizes) - sizes, at[mine])
+            later = np.flatnonzero(_later([x, y], [np.arange(len(x))]))
+            if len(later):
+                new = np.flatnonzero((later[1:] != later[:-1] + 1) | (which[later[1:]] != which[later[:-1]])) + 1
+                first = later[np.append(0, new)]
+                count = np.diff(np.append(np.append(0, new), len(later)))
+                yield out(row[mine][which[first]], single[first] - 1 + count)
+
+    def out(row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(at)], ["row", "at"])
+
+    dealt = contested.repartition(tasks_of(contested), "a", "b").sortWithinPartitions("a", "b", "k", "row", "at")
+    return dealt.mapInArrow(each, "row long, at long")
+
+
+def _whole_keys(key: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``size`` rows that end where a key ends."""
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    begin = 0
+    while begin < len(key):
+        end = int(ends[min(len(ends) - 1, np.searchsorted(ends, begin + size))])
+        yield begin, end
+        begin = end
 
 
 def merged_spans(at: np.ndarray) -> list[tuple[int, int]]:
     """Maximal byte ranges that the packed runs cover."""
     if not len(at):
         return []
-    low = (at & ((1 << UNNAMED) - 1)) >> POSITION_SHIFT
+    low = at >> POSITION_SHIFT
     order = np.argsort(low, kind="stable")
     low, high = low[order], (low + (at & 127) + LENGTH - 1)[order]
     reach = np.maximum.accumulate(high)
@@ -402,6 +349,19 @@ def merged_spans(at: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(low[np.concatenate(([0], cut))].tolist(), reach[np.concatenate((cut - 1, [len(low) - 1]))].tolist(), strict=True))
 
 
+def _with_leaders(texts: DataFrame) -> DataFrame:
+    """``(row, lead)``: the row that stands for a text of one document, null for a copy of a
+    text that stands in an earlier document."""
+    known = stored(texts.select("row", "k", F.sha2("text", 256).alias("digest")), "suffix-digests")
+    first = known.groupBy("digest").agg(F.min(F.struct("k", "row")).alias("first"))
+    same = (F.col("first.k") == F.col("k")) & (_unnamed("first.row") == _unnamed("row"))
+    return stored(known.join(first, "digest").select("row", F.when(same, F.col("first.row")).alias("lead")), "suffix-leaders")
+
+
+def _unnamed(row: str) -> Column:
+    return F.col(row) >= (1 << UNNAMED)
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, one row per input row.
 
@@ -412,32 +372,40 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     null doc_id stays null and counts as one doc_id, behind all others.
     ``with_text`` adds ``kept binary``, the bytes that stay. Extra columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    removed = repeated_runs(docs)
+    doc_id = F.col("doc_id").cast("long")
+    number = F.monotonically_increasing_id() + F.when(doc_id.isNull(), F.lit(1 << UNNAMED)).otherwise(F.lit(0))
+    texts = docs.select(F.coalesce(doc_id, F.lit(LAST_ID)).alias("k"), number.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = bucketed(texts, "suffix_texts", "row")
+    leaders = _with_leaders(texts)
+    leading = texts.join(leaders.filter("row = lead").select("row").hint("shuffle_hash"), "row")
+    judged = stored(_judged(_runs_found(leading, _frequent(texts))), "suffix-judged")
+    removed = stored(_resolved(_contested(texts, judged)).unionByName(judged.filter("later").select("row", "at")), "suffix-removed")
+    discard(judged)
+    spans = removed.groupBy("row").agg(F.collect_list("at").alias("at"))
+    fate = leaders.join(spans.withColumnRenamed("row", "lead"), "lead", "left").select("row", F.col("lead").isNull().alias("copy"), "at")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            texts, lists = text_bytes(batch.column(1)), batch.column(2)
-            for row, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
-                at = lists[row].values
-                spans = merged_spans(at.to_numpy(zero_copy_only=False)) if at is not None else []
+            k, row, copy = (batch.column(c).to_pylist() for c in ("k", "row", "copy"))
+            lists = batch.column(4)
+            for i, text in enumerate(text_bytes(batch.column(2))):
+                at = lists[i].values
+                if copy[i]:
+                    spans = [(0, len(text))] if len(text) >= LENGTH else []
+                else:
+                    spans = merged_spans(at.to_numpy(zero_copy_only=False)) if at is not None else []
                 kept, last = [], 0
                 for a, b in spans:
                     kept.append(text[last:a])
                     last = b
                 kept = b"".join([*kept, text[last:]])
-                values = (doc_id, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept)
+                values = (None if row[i] >> UNNAMED else k[i], len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept)
                 for column, value in zip(out, values, strict=False):
                     column.append(value)
             kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    touched = _with_text(docs, removed).mapInArrow(each, schema)
-    hit = removed.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("_residue")).distinct()
-    clean = docs.join(F.broadcast(hit), F.pmod(F.xxhash64(_filled()), F.lit(1 << 20)) == F.col("_residue"), "left_anti")
-    size = F.octet_length("text").cast("long")
-    clean = clean.select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *([F.col("text").cast("binary").alias("kept")] * with_text))
-    return clean.unionByName(touched)
+    return texts.join(fate.hint("shuffle_hash"), "row").select("k", "row", "text", "copy", "at").mapInArrow(each, schema)

@@ -61,3 +61,38 @@ def test_null_ids_and_ids_beyond_double_precision(spark):
     got = {(r.doc_id, r.kept_sha256): (r.n_bytes, r.n_removed) for r in remove_repeats(docs).collect()}
     kept = [(rows[i][0], rows[i][1].replace(line if i < 3 else other, "") if gone else rows[i][1], gone) for i, gone in want]
     assert got == {(i, hashlib.sha256(t.encode()).hexdigest()): (len(t) + gone, gone) for i, t, gone in kept}
+
+
+@pytest.mark.parametrize(("many", "frequent"), [(1, 1_000_000), (4096, 1), (3, 4)])
+def test_frequent_and_large_buckets(spark, monkeypatch, many, frequent):
+    """Buckets dealt out window by window, some of them and all."""
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    passage, line = word(240), word(118)
+    rows = [(i, word(rng.randint(0, 90)) + passage[rng.randint(0, 90) : rng.randint(150, 240)] + word(rng.randint(0, 80)) + line) for i in range(60)]
+    rows += [(100, passage), (101, "a" * 700), (102, line + line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, remove_repeats(docs).collect())) == plain(rows)
+
+
+def test_very_long_texts(spark):
+    """Texts of several segments, with repeats across and within them."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    passage = word(3000)
+    long = word(700_000) + passage + word(600_000) + passage[1000:2000] + word(90)
+    rows = [(1, passage[500:900]), (2, long), (3, "x" + long[520_000:530_000] + "y"), (4, long[-70_000:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, remove_repeats(docs).collect())) == plain(rows)
+
+
+def test_texts_of_one_doc_id_stay_apart(spark):
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    line = word(150)
+    rows = [(7, "b" + line), (7, word(300)), (8, line + "c"), (None, ""), (None, line + "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in remove_repeats(docs).collect())
+    assert got == [(False, 7, 151, 0), (False, 7, 300, 0), (False, 8, 151, 150), (True, 0, 0, 0), (True, 0, 151, 150)]
