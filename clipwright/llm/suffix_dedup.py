@@ -382,7 +382,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     removed = stored(_resolved(_contested(texts, judged)).unionByName(judged.filter("later").select("row", "at")), "suffix-removed")
     discard(judged)
     spans = removed.groupBy("row").agg(F.collect_list("at").alias("at"))
-    fate = leaders.join(spans.withColumnRenamed("row", "lead"), "lead", "left").select("row", F.col("lead").isNull().alias("copy"), "at")
+    # Copies, which may be most rows, are no part of the join.
+    led = leaders.filter("lead is not null").join(spans.withColumnRenamed("row", "lead"), "lead", "left").select("row", F.lit(False).alias("copy"), "at")
+    fate = led.unionByName(leaders.filter("lead is null").select("row", F.lit(True).alias("copy")), allowMissingColumns=True)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
