@@ -13,8 +13,9 @@ def area() -> Column:
 
 
 def edge_distance() -> Column:
-    """Distance to the nearest edge of the frame; below zero where the box leaves it."""
-    return F.least("xmin", "ymin", 1 - F.col("xmin") - F.col("width"), 1 - F.col("ymin") - F.col("height"))
+    """Distance of the box's centre to the nearest edge of the frame."""
+    x, y = F.col("xmin") + F.col("width") / 2, F.col("ymin") + F.col("height") / 2
+    return F.least(x, y, 1 - x, 1 - y)
 
 
 def corner() -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipwright.operators.running import running
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0 (the usual zero_division=0)."""
@@ -74,17 +76,12 @@ def kappa(pairs: DataFrame, a: str, b: str, *by: str) -> DataFrame:
 def score_steps(scored: DataFrame, *by: str) -> DataFrame:
     """Positives and negatives at each distinct score, and sums over all higher scores.
 
-    ``scored``: ``(*by, score, positive boolean)``. Ties are one step, so the windows run
+    ``scored``: ``(*by, score, positive boolean)``. Ties are one step, so the sums run
     over distinct scores and not over rows.
     """
     steps = scored.groupBy(*by, "score").agg(F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
-    above = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    return steps.select(
-        *by, "score", "pos", "neg",
-        F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("tp_above"), F.coalesce(F.sum("neg").over(above), F.lit(0)).alias("fp_above"),
-        F.sum("pos").over(whole).alias("all_pos"), F.sum("neg").over(whole).alias("all_neg"),
-    )
+    summed = running(steps, list(by), [F.desc("score")], {"p": F.col("pos"), "f": F.col("neg")})
+    return summed.select(*by, "score", "pos", "neg", F.col("p_before").alias("tp_above"), F.col("f_before").alias("fp_above"), F.col("p_all").alias("all_pos"), F.col("f_all").alias("all_neg"))
 
 
 def roc_auc(scored: DataFrame, *by: str) -> DataFrame:
@@ -103,8 +100,9 @@ def class_weights(labels: DataFrame, n_classes: int, method: str) -> DataFrame:
     """``(class, n, weight)`` with weights of mean one; absent classes count as one row."""
     counts = labels.groupBy(F.col("label").cast("int").alias("class")).agg(F.count("*").alias("n"))
     dim = classes(labels, n_classes).join(counts, "class", "left").fillna(0, ["n"])
+    # The window is over n_classes rows.
     n, everything = F.greatest(F.col("n"), F.lit(1)).cast("double"), Window.partitionBy()
-    total = F.sum(F.greatest(F.col("n"), F.lit(1))).over(everything)
+    total = F.sum("n").over(everything)
     if method == "inverse_freq":
         raw = 1.0 / n
     elif method == "effective_number":
@@ -116,7 +114,9 @@ def class_weights(labels: DataFrame, n_classes: int, method: str) -> DataFrame:
 
 
 def average_rank(rows: DataFrame, column: str, *by: str) -> DataFrame:
-    """Adds ``<column>_rank``: ranks with ties averaged."""
-    order = Window.partitionBy(*by).orderBy(column)
-    ties = Window.partitionBy(*by, column)
-    return rows.withColumn(f"{column}_rank", F.rank().over(order) + (F.count("*").over(ties) - 1) / 2.0)
+    """Adds ``<column>_rank``: ranks with ties averaged. Distinct values are ranked, by
+    prefix sums of how often they occur; the ranks are joined on."""
+    counts = rows.groupBy(*by, column).agg(F.count("*").alias("_ties"))
+    ranked = running(counts, list(by), [F.asc(column)], {"_n": F.col("_ties")})
+    rank = F.col("_n_before") + (F.col("_ties") + 1) / 2.0
+    return rows.join(ranked.select(*by, column, rank.alias(f"{column}_rank")), [*by, column])

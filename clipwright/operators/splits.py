@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipwright.operators.running import running
+
 
 def seeded(key: str, seed: int) -> Column:
     """A pseudo-random order that any engine can repeat."""
@@ -12,11 +14,10 @@ def seeded(key: str, seed: int) -> Column:
 
 
 def proportional(rows: DataFrame, order: list[Column], names: list[str], shares: list[float], *by: str) -> DataFrame:
-    """Adds ``split``: boundaries prev + int(n * share) in the given order, the last takes
-    the rest. Without ``by`` the order is global and one task ranks the keys: pass only
-    keys, or stratify."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    """Adds ``split``: boundaries prev + int(n * share) in the given (total) order, the last
+    takes the rest. Places come from prefix sums over ranges, so a stratum, or all rows
+    where there is no ``by``, may be of any size."""
+    ranked = running(rows, list(by), order, {"place": F.lit(1)}).withColumnsRenamed({"place_before": "_i", "place_all": "_n"})
     split, edge = F.lit(names[-1]), F.lit(0)
     edges = []
     for share in shares[:-1]:

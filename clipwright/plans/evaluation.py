@@ -10,6 +10,9 @@ from clipwright.operators import metrics as M
 from clipwright.sources.tables import table
 
 N = 10
+HEDGED = 0.6
+DIMENSIONS = 64
+LANGS = ["en", "fr", "de", "es"]
 
 
 def r6(c: Column | str, name: str | None = None) -> Column:
@@ -18,10 +21,10 @@ def r6(c: Column | str, name: str | None = None) -> Column:
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
-    """``(class, centroid)``: element-wise means, combined on the map side."""
-    cells = vectors.select(F.col("label").alias("class"), F.posexplode(A.doubles(F.col("embedding"))).alias("d", "x"))
-    means = cells.groupBy("class", "d").agg(F.avg("x").alias("m"))
-    return means.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("d", "m"))).getField("m").alias("centroid"))
+    """``(class, centroid)``: element-wise means of DIMENSIONS values, one aggregate, combined
+    on the map side."""
+    at = [F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(DIMENSIONS)]
+    return vectors.groupBy(F.col("label").alias("class")).agg(F.array(*at).alias("centroid"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,9 +33,10 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     The centroids are one row for each class: a fixed bound, broadcast as one array.
     """
     vectors = table(spark, sf_dir, "embeddings")
-    dim = centroids(vectors).agg(F.array_sort(F.collect_list(F.struct("class", "centroid"))).alias("dim"))
-    rows = vectors.withColumn("v", A.doubles(F.col("embedding"))).crossJoin(F.broadcast(dim))
-    scores = F.transform("dim", lambda c: F.round(A.cosine(F.col("v"), c["centroid"]), 9))
+    normed = centroids(vectors).withColumn("norm", A.norm(F.col("centroid")))
+    dim = normed.agg(F.array_sort(F.collect_list(F.struct("class", "centroid", "norm"))).alias("dim"))
+    rows = vectors.withColumn("v", A.doubles(F.col("embedding"))).withColumn("own", A.norm(F.col("v"))).crossJoin(F.broadcast(dim))
+    scores = F.transform("dim", lambda c: F.round(F.try_divide(A.dot(F.col("v"), c["centroid"]), F.col("own") * c["norm"]), 9))
     rows = rows.withColumn("scores", scores)
     best = A.argmax(F.col("scores"))
     return rows.select("vec_id", F.col("label").alias("y_true"), F.element_at("dim", best + 1)["class"].alias("y_pred"), F.array_max("scores").alias("confidence"), "scores")
@@ -92,8 +96,9 @@ def per_class_present_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def misclassified_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = predictions(spark, sf_dir).filter("y_true <> y_pred")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 100).alias("excerpt"), F.coalesce("lang", F.lit("vi")).alias("lang"))
-    return wrong.select("vec_id", "y_true", "y_pred").join(docs, "vec_id", "left")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 100).alias("excerpt"), "lang")
+    both = wrong.select("vec_id", "y_true", "y_pred").join(docs, "vec_id", "left")
+    return both.withColumns({"excerpt": F.coalesce("excerpt", F.lit("")), "lang": F.coalesce("lang", F.lit("vi"))})
 
 
 def class_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,9 +135,9 @@ def metrics_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rare_class_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    each = M.per_class(_binary(spark, sf_dir).join(docs, "doc_id"), 2, "lang").filter("class = 0")
-    wide = each.groupBy("class").pivot("lang", ["en", "fr"]).agg(F.first("f1"))
-    return wide.select("class", *[r6(F.coalesce(c, F.lit(0.0)), f"f1_{c}") for c in ("en", "fr")])
+    each = M.per_class(_binary(spark, sf_dir).join(docs, "doc_id"), 2, "lang")
+    wide = each.groupBy("class").pivot("lang", LANGS).agg(F.first("f1"))
+    return wide.select("class", *[r6(F.coalesce(c, F.lit(0.0)), f"f1_{c}") for c in LANGS])
 
 
 def ood_vs_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,12 +184,16 @@ def low_confidence_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hedge_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = predictions(spark, sf_dir).select((F.col("y_true") == F.col("y_pred")).cast("double").alias("correct"), "confidence")
-    ranked = M.average_rank(M.average_rank(rows, "correct"), "confidence")
-    spread = F.stddev_pop("confidence")
+    """A model's confidence against a stand-in for its explainer's, and the share of the wrong
+    rows for which the explainer's is below HEDGED."""
+    told = F.col("vec_id") * 37 % 101 / 101.0
+    rows = predictions(spark, sf_dir).select((F.col("y_true") != F.col("y_pred")).alias("wrong"), "confidence", told.alias("told"))
+    ranked = M.average_rank(M.average_rank(rows, "told"), "confidence")
+    spread, n_wrong, hedged = F.stddev_pop("confidence"), F.count_if("wrong"), F.count_if(F.col("wrong") & (F.col("told") < HEDGED))
     return ranked.agg(
-        r6(F.corr("confidence", "correct"), "pearson"), r6(F.corr("confidence_rank", "correct_rank"), "spearman"),
-        r6(F.avg("confidence"), "mean_confidence"), r6(spread, "std_confidence"), (spread >= 0.05).alias("reliable"), r6(F.avg((F.col("confidence") < 0.5).cast("double")), "hedge_rate"),
+        r6(F.corr("confidence", "told"), "pearson"), r6(F.corr("confidence_rank", "told_rank"), "spearman"), F.count("*").alias("n_samples"),
+        r6(F.avg("confidence"), "mean_confidence"), r6(spread, "std_confidence"), (spread >= 0.05).alias("reliable"),
+        n_wrong.alias("n_wrong"), hedged.alias("n_hedged"), r6(hedged / F.greatest(n_wrong, F.lit(1)), "hedge_rate"),
     )
 
 
@@ -230,21 +239,21 @@ QUERIES = {
     "top_confusions": (top_confusions, PRED + "SELECT y_true, y_pred, count(*) AS n, round(count(*) / (SELECT count(*) FROM pred AS q WHERE q.y_true = p.y_true), 6) AS rate FROM pred AS p WHERE y_true <> y_pred GROUP BY y_true, y_pred ORDER BY n DESC, y_true, y_pred LIMIT 5"),
     "top3_confusions_per_class": (top3_confusions_per_class, PRED + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY n DESC, y_pred) AS rank FROM (SELECT y_true, y_pred, count(*) AS n FROM pred WHERE y_true <> y_pred GROUP BY y_true, y_pred) AS x) AS y WHERE rank <= 3"),
     "per_class_present_labels": (per_class_present_labels, PRED.replace("FROM sims) AS z WHERE rn = 1)", "FROM sims) AS z WHERE rn = 1 AND y_true < 4)") + SUMMARY.format(w="") + " WHERE n_true + n_pred > 0"),
-    "misclassified_detail": (misclassified_detail, PRED + "SELECT p.vec_id, y_true, y_pred, d.text[1:100] AS excerpt, CASE WHEN d.doc_id IS NULL THEN NULL ELSE coalesce(d.lang, 'vi') END AS lang FROM pred AS p LEFT JOIN documents AS d ON d.doc_id = p.vec_id WHERE y_true <> y_pred"),
+    "misclassified_detail": (misclassified_detail, PRED + "SELECT p.vec_id, y_true, y_pred, coalesce(d.text[1:100], '') AS excerpt, coalesce(d.lang, 'vi') AS lang FROM pred AS p LEFT JOIN documents AS d ON d.doc_id = p.vec_id WHERE y_true <> y_pred"),
     "roc_auc_ovr": (roc_auc_ovr, STEPS + "SELECT class, round(sum(neg * (tpa + 0.5 * pos)) / (max(ap)::DOUBLE * max(an)), 6) AS roc_auc FROM cum GROUP BY class"),
     "pr_auc_ovr": (pr_auc_ovr, STEPS + "SELECT class, round(sum(pos * (tpa + pos)::DOUBLE / (tpa + pos + fpa + neg)) / max(ap)::DOUBLE, 6) AS average_precision FROM cum GROUP BY class"),
     "confusion_matrix_binary": (confusion_matrix_binary, f"WITH p AS ({BINARY}), c AS (SELECT * FROM (VALUES (0), (1)) AS v(k)) SELECT a.k AS y_true, b.k AS y_pred, (SELECT count(*) FROM p WHERE y_true = a.k AND y_pred = b.k) AS n FROM c AS a, c AS b"),
     "kappa_agreement": (kappa_agreement, f"WITH p AS ({BINARY}), s AS (SELECT count(*) AS n, avg((y_true = y_pred)::INTEGER) AS po, avg(y_true) * avg(y_pred) + (1 - avg(y_true)) * (1 - avg(y_pred)) AS pe FROM p) SELECT n, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa FROM s"),
     "metrics_by_group": (metrics_by_group, GROUPED.format(rows=BY_LANG, by="lang") + "SELECT lang, n_samples, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1, round(uar, 6) AS uar FROM m"),
-    "rare_class_by_language": (rare_class_by_language, GROUPED.format(rows=BY_LANG, by="lang") + "SELECT class, round(coalesce(max(f1) FILTER (lang = 'en'), 0), 6) AS f1_en, round(coalesce(max(f1) FILTER (lang = 'fr'), 0), 6) AS f1_fr FROM f WHERE class = 0 GROUP BY class"),
+    "rare_class_by_language": (rare_class_by_language, GROUPED.format(rows=BY_LANG, by="lang") + "SELECT class, round(coalesce(max(f1) FILTER (lang = 'en'), 0), 6) AS f1_en, round(coalesce(max(f1) FILTER (lang = 'fr'), 0), 6) AS f1_fr, round(coalesce(max(f1) FILTER (lang = 'de'), 0), 6) AS f1_de, round(coalesce(max(f1) FILTER (lang = 'es'), 0), 6) AS f1_es FROM f GROUP BY class"),
     "ood_vs_id": (ood_vs_id, GROUPED.format(rows=BY_SCOPE, by="scope") + ", t AS (UNPIVOT (SELECT scope, accuracy, macro_f1, weighted_f1, uar FROM m) ON accuracy, macro_f1, weighted_f1, uar INTO NAME metric VALUE value), z AS (SELECT metric, coalesce(max(value) FILTER (scope = 'id'), 0) AS i, coalesce(max(value) FILTER (scope = 'ood'), 0) AS o FROM t GROUP BY metric) SELECT metric, round(i, 6) AS id_value, round(o, 6) AS ood_value, round(o - i, 6) AS delta, round(100 * (o - i) / greatest(i, 1e-8), 6) AS delta_pct FROM z"),
     "class_weights_inverse": (_weights("inverse_freq"), WEIGHTS.format(raw="1.0::DOUBLE / greatest(n, 1)")),
-    "class_weights_effective": (_weights("effective_number"), WEIGHTS.format(raw="(1 - (sum(greatest(n, 1)) OVER () - 1)::DOUBLE / sum(greatest(n, 1)) OVER ()) / greatest(1 - power((sum(greatest(n, 1)) OVER () - 1)::DOUBLE / sum(greatest(n, 1)) OVER (), greatest(n, 1)), 1e-8)")),
+    "class_weights_effective": (_weights("effective_number"), WEIGHTS.format(raw="(1 - (sum(n) OVER () - 1)::DOUBLE / sum(n) OVER ()) / greatest(1 - power((sum(n) OVER () - 1)::DOUBLE / sum(n) OVER (), greatest(n, 1)), 1e-8)")),
     "sample_weights": (sample_weights, "WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, n, round(1.0::DOUBLE / n, 6) AS weight, round((SELECT max(n) FROM c)::DOUBLE / (SELECT greatest(min(n), 1) FROM c), 6) AS imbalance FROM c"),
     "label_distribution_gap": (label_distribution_gap, "WITH t AS (SELECT * FROM (VALUES ('en', 0.5::DOUBLE), ('fr', 0.2), ('de', 0.2), ('es', 0.1)) AS v(lang, target)), s AS (SELECT lang, count(*)::DOUBLE / (SELECT count(*) FROM documents) AS share FROM documents GROUP BY lang) SELECT t.lang, target, round(coalesce(share, 0), 6) AS share, round(coalesce(share, 0) - target, 6) AS gap, abs(coalesce(share, 0) - target) > 0.05 AS flagged FROM t LEFT JOIN s USING (lang)"),
     "confidence_histogram": (confidence_histogram, PRED + "SELECT t.i::INTEGER AS bin, count(p.vec_id) AS n FROM range(5) AS t(i) LEFT JOIN (SELECT vec_id, CASE WHEN confidence < 0.2 THEN 0 WHEN confidence < 0.4 THEN 1 WHEN confidence < 0.6 THEN 2 WHEN confidence < 0.8 THEN 3 WHEN confidence < 1.01 THEN 4 END AS bin FROM pred) AS p ON p.bin = t.i GROUP BY t.i"),
     "low_confidence_review": (low_confidence_review, PRED + "SELECT vec_id, y_pred, round(confidence, 6) AS confidence FROM pred WHERE confidence < 0.4 ORDER BY round(confidence, 6), vec_id LIMIT 20"),
-    "hedge_correlations": (hedge_correlations, PRED + ", r AS (SELECT confidence, (y_true = y_pred)::INTEGER::DOUBLE AS correct FROM pred), k AS (SELECT *, rank() OVER (ORDER BY confidence) + (count(*) OVER (PARTITION BY confidence) - 1) / 2.0 AS a, rank() OVER (ORDER BY correct) + (count(*) OVER (PARTITION BY correct) - 1) / 2.0 AS b FROM r) SELECT round(corr(confidence, correct), 6) AS pearson, round(corr(a, b), 6) AS spearman, round(avg(confidence), 6) AS mean_confidence, round(stddev_pop(confidence), 6) AS std_confidence, stddev_pop(confidence) >= 0.05 AS reliable, round(avg((confidence < 0.5)::INTEGER), 6) AS hedge_rate FROM k"),
+    "hedge_correlations": (hedge_correlations, PRED + ", r AS (SELECT confidence, y_true <> y_pred AS wrong, vec_id * 37 % 101 / 101.0::DOUBLE AS told FROM pred), k AS (SELECT *, rank() OVER (ORDER BY confidence) + (count(*) OVER (PARTITION BY confidence) - 1) / 2.0 AS a, rank() OVER (ORDER BY told) + (count(*) OVER (PARTITION BY told) - 1) / 2.0 AS b FROM r) SELECT round(corr(confidence, told), 6) AS pearson, round(corr(a, b), 6) AS spearman, count(*) AS n_samples, round(avg(confidence), 6) AS mean_confidence, round(stddev_pop(confidence), 6) AS std_confidence, stddev_pop(confidence) >= 0.05 AS reliable, count(*) FILTER (wrong) AS n_wrong, count(*) FILTER (wrong AND told < 0.6) AS n_hedged, round(count(*) FILTER (wrong AND told < 0.6) / greatest(count(*) FILTER (wrong), 1)::DOUBLE, 6) AS hedge_rate FROM k"),
     "paired_t_statistic": (paired_t_statistic, "WITH d AS (SELECT ts::DATE AS day, avg(value) FILTER (event_type = 'click') - avg(value) FILTER (event_type = 'view') AS d FROM events GROUP BY 1) SELECT count(d) AS n, round(avg(d), 6) AS mean_diff, round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 6) AS t FROM d WHERE d IS NOT NULL"),
     "coverage_counts": (coverage_counts, "SELECT count(*) AS rows, count(*) FILTER (length(text) > 0) AS has_text, count(*) FILTER (length(lang) > 0) AS has_lang, count(*) FILTER (length(source) > 0) AS has_source, min(n_chars) AS shortest, max(n_chars) AS longest, round(avg(n_chars), 6) AS mean_chars FROM documents"),
     "split_lang_pivot": (split_lang_pivot, "WITH d AS (SELECT *, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'val' ELSE 'test' END AS split FROM documents) SELECT split, source, count(*) AS total, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'es') AS es FROM d GROUP BY ROLLUP (split, source)"),

@@ -49,9 +49,9 @@ def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of an embedding as logits of a student and a teacher."""
+    """Halves of an embedding as logits of a student and a teacher."""
     v = A.doubles(F.col("embedding"))
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", A.block(v, 0, 10).alias("a"), A.block(v, 1, 10).alias("b"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", A.block(v, 0, 32).alias("a"), A.block(v, 1, 32).alias("b"))
     a, b = F.col("a"), F.col("b")
     return rows.select(
         "vec_id", r6(A.cross_entropy(a, F.col("label")), "ce"), r6(A.focal(a, F.col("label"), 2.0), "focal"),
@@ -62,7 +62,7 @@ def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def late_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of the softmax of four blocks, and its first greatest class."""
     v = A.doubles(F.col("embedding"))
-    parts = [A.softmax(F.slice(v, 16 * b + 1, 10)) for b in range(4)]
+    parts = [A.softmax(A.block(v, b, 16)) for b in range(4)]
     fused = reduce(lambda x, y: F.zip_with(x, y, lambda p, q: p + q), parts)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(fused, lambda x: F.round(x / 4, 9)).alias("p"))
     return rows.select("vec_id", A.argmax(F.col("p")).alias("y_pred"), r6(F.array_max("p"), "confidence"))
@@ -131,14 +131,14 @@ def priority_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RANKED = "SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY md5(doc_id::VARCHAR || ':7'), doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang, source) AS n FROM documents"
 BOXES = "WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey % 80 / 100.0::DOUBLE AS xmin, l_suppkey % 70 / 100.0::DOUBLE AS ymin, l_linenumber / 20.0::DOUBLE AS width, (trunc(l_quantity)::BIGINT % 30 + 1) / 100.0::DOUBLE AS height FROM lineitem)"
-LOSS = """WITH v AS (SELECT vec_id, label, embedding[1:10]::DOUBLE[] AS a, embedding[11:20]::DOUBLE[] AS b FROM embeddings),
+LOSS = """WITH v AS (SELECT vec_id, label, embedding[1:32]::DOUBLE[] AS a, embedding[33:64]::DOUBLE[] AS b FROM embeddings),
 e AS (SELECT *, ln(list_sum(list_transform(a, lambda x: exp(x)))) AS la, ln(list_sum(list_transform(a, lambda x: exp(x / 2)))) AS ha, ln(list_sum(list_transform(b, lambda x: exp(x / 2)))) AS hb FROM v),
 c AS (SELECT *, la - a[label + 1] AS ce FROM e)
 SELECT vec_id, round(ce, 6) AS ce, round(power(1 - exp(-ce), 2) * ce, 6) AS focal,
- round(4 * list_sum(list_transform(range(1, 11), lambda i: exp(a[i] / 2 - ha) * (a[i] / 2 - ha - b[i] / 2 + hb))), 6) AS kl,
- round(list_avg(list_transform(range(1, 11), lambda i: CASE WHEN abs(a[i] - b[i]) < 1 THEN 0.5 * power(a[i] - b[i], 2) ELSE abs(a[i] - b[i]) - 0.5 END)), 6) AS smooth_l1,
+ round(4 * list_sum(list_transform(range(1, 33), lambda i: exp(a[i] / 2 - ha) * (a[i] / 2 - ha - b[i] / 2 + hb))), 6) AS kl,
+ round(list_avg(list_transform(range(1, 33), lambda i: CASE WHEN abs(a[i] - b[i]) < 1 THEN 0.5 * power(a[i] - b[i], 2) ELSE abs(a[i] - b[i]) - 0.5 END)), 6) AS smooth_l1,
  round(0.3::DOUBLE * list_sum(a) + 0.7::DOUBLE * list_sum(b), 6) AS mixed FROM c"""
-FUSED = """WITH c AS (SELECT vec_id, b.b, k.k, exp(embedding[b.b * 16 + k.k + 1]::DOUBLE) AS e FROM embeddings, range(4) AS b(b), range(10) AS k(k)),
+FUSED = """WITH c AS (SELECT vec_id, b.b, k.k, exp(embedding[b.b * 16 + k.k + 1]::DOUBLE) AS e FROM embeddings, range(4) AS b(b), range(16) AS k(k)),
 p AS (SELECT vec_id, k, e / sum(e) OVER (PARTITION BY vec_id, b) AS p FROM c),
 f AS (SELECT vec_id, k, round(avg(p), 9) AS p FROM p GROUP BY vec_id, k)
 SELECT vec_id, k::INTEGER AS y_pred, round(p, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, k) AS r FROM f) AS x WHERE r = 1"""
@@ -155,7 +155,7 @@ QUERIES = {
     "late_fusion": (late_fusion, FUSED),
     "nearest_topk": (nearest_topk, PRED + "SELECT vec_id, r::INTEGER AS rank, class, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, class) AS r FROM sims) AS x WHERE r <= 3"),
     "margins": (margins, PRED + ", m AS (SELECT vec_id, y_true, max(s) FILTER (class = y_true) AS own, max(s) FILTER (class <> y_true) AS other FROM sims GROUP BY ALL) SELECT y_true, count(*) AS n, round(avg(greatest(0, 0.2 - (own - other))), 6) AS hinge, round(avg(coalesce((own - other) / nullif(greatest(1 - own, 1 - other), 0), 0)), 6) AS silhouette FROM m GROUP BY y_true"),
-    "bbox_geometry": (bbox_geometry, BOXES + "SELECT l_orderkey, l_linenumber, round(width * height, 6) AS area, round(least(xmin, ymin, 1 - xmin - width, 1 - ymin - height), 6) AS edge, CASE WHEN round(ymin + height / 2, 9) < 0.5 THEN 'top' ELSE 'bottom' END || '_' || CASE WHEN round(xmin + width / 2, 9) < 0.5 THEN 'left' ELSE 'right' END AS corner, xmin BETWEEN 0 AND 1 AND ymin BETWEEN 0 AND 1 AND width > 0 AND height > 0 AND round(xmin + width, 9) <= 1 AND round(ymin + height, 9) <= 1 AS valid FROM b"),
+    "bbox_geometry": (bbox_geometry, BOXES + "SELECT l_orderkey, l_linenumber, round(width * height, 6) AS area, round(least(xmin + width / 2, ymin + height / 2, 1 - xmin - width / 2, 1 - ymin - height / 2), 6) AS edge, CASE WHEN round(ymin + height / 2, 9) < 0.5 THEN 'top' ELSE 'bottom' END || '_' || CASE WHEN round(xmin + width / 2, 9) < 0.5 THEN 'left' ELSE 'right' END AS corner, xmin BETWEEN 0 AND 1 AND ymin BETWEEN 0 AND 1 AND width > 0 AND height > 0 AND round(xmin + width, 9) <= 1 AND round(ymin + height, 9) <= 1 AS valid FROM b"),
     "median_box": (median_box, BOXES + "SELECT l_orderkey, count(*) AS n, round(median(xmin), 6) AS xmin, round(median(ymin), 6) AS ymin, round(median(width), 6) AS width, round(median(height), 6) AS height FROM b GROUP BY l_orderkey"),
     "box_overlap": (box_overlap, BOXES + ", p AS (SELECT *, lead(xmin) OVER w AS x, lead(ymin) OVER w AS y, lead(width) OVER w AS ww, lead(height) OVER w AS hh FROM b WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, xmin, ymin, height)), i AS (SELECT *, greatest(0, least(xmin + width, x + ww) - greatest(xmin, x)) * greatest(0, least(ymin + height, y + hh) - greatest(ymin, y)) AS shared FROM p WHERE x IS NOT NULL) SELECT l_orderkey, l_linenumber, round(shared / (width * height + ww * hh - shared), 6) AS iou FROM i"),
     "pricing_summary": (pricing_summary, "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 6) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2"),

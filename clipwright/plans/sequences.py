@@ -11,6 +11,8 @@ from clipwright.plans.evaluation import r6
 from clipwright.sources.tables import table
 
 ORDER = ["ts", "event_id"]
+#: Least confidence over three frames for an acceleration to count as an impact.
+GATE = 0.3
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,12 +31,16 @@ def velocity_accel_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def motion_energy_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impact counts a frame fully or not at all, as the least confidence of three reaches GATE."""
     k = S.kinematics(frames(spark, sf_dir), "clip_id", ORDER, "value", confidence())
-    return k.groupBy("clip_id").agg(r6(F.avg(F.pow("velocity", F.lit(2))), "motion_energy"), r6(F.max(F.abs(F.col("acceleration") * F.col("gate"))), "impact"))
+    return k.groupBy("clip_id").agg(r6(F.avg(F.pow("velocity", F.lit(2))), "motion_energy"), r6(F.max(F.abs(F.col("acceleration") * (F.col("gate") >= GATE).cast("double"))), "impact"))
 
 
 def periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.periodicity(frames(spark, sf_dir), "clip_id", ORDER, "value").select("clip_id", "n", r6("periodicity"))
+    """Of the energy of each frame, the square of its velocity."""
+    k = S.kinematics(frames(spark, sf_dir), "clip_id", ORDER, "value", confidence())
+    energy = k.withColumn("energy", F.pow("velocity", F.lit(2)))
+    return S.periodicity(energy, "clip_id", ORDER, "energy").select("clip_id", "n", r6("periodicity"))
 
 
 def shoulder_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +73,7 @@ def peak_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_aus(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = frames(spark, sf_dir).groupBy("clip_id", "event_type").agg(F.max("value").alias("top"))
     rank = F.row_number().over(Window.partitionBy("clip_id").orderBy(F.desc("top"), "event_type"))
-    kept = best.withColumn("rank", rank).filter("rank <= 3")
+    kept = best.withColumn("rank", rank).filter("rank <= 5")
     return kept.groupBy("clip_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "event_type"))), lambda x: x["event_type"]), ",").alias("types"))
 
 
@@ -137,14 +143,14 @@ RESAMPLE = "WITH p AS (SELECT vec_id, embedding, t.i, {place} AS place FROM embe
 
 QUERIES = {
     "velocity_accel_gate": (velocity_accel_gate, KIN + "SELECT event_id, clip_id, round(velocity, 6) AS velocity, round(acceleration, 6) AS acceleration, round(gate, 6) AS gate FROM k"),
-    "motion_energy_impact": (motion_energy_impact, KIN + "SELECT clip_id, round(avg(velocity ** 2), 6) AS motion_energy, round(max(abs(acceleration * gate)), 6) AS impact FROM k GROUP BY clip_id"),
-    "periodicity": (periodicity, SEQ + ", d AS (SELECT clip_id, i, n, value - avg(value) OVER (PARTITION BY clip_id) AS d FROM f WHERE n >= 4), l AS (SELECT a.clip_id, b.i - a.i AS lag, sum(a.d * b.d) AS s FROM d AS a JOIN d AS b ON a.clip_id = b.clip_id AND b.i - a.i BETWEEN 0 AND 12 GROUP BY 1, 2), m AS (SELECT clip_id, any_value(n) AS n FROM d GROUP BY clip_id) SELECT m.clip_id, m.n, round(coalesce(max(l.s) FILTER (l.lag >= 1 AND l.lag <= m.n // 2 - 1) / nullif(max(l.s) FILTER (l.lag = 0), 0), 0), 6) AS periodicity FROM m JOIN l USING (clip_id) GROUP BY m.clip_id, m.n"),
+    "motion_energy_impact": (motion_energy_impact, KIN + "SELECT clip_id, round(avg(velocity ** 2), 6) AS motion_energy, round(max(abs(acceleration * (gate >= 0.3)::INTEGER)), 6) AS impact FROM k GROUP BY clip_id"),
+    "periodicity": (periodicity, KIN + ", d AS (SELECT clip_id, i, n, velocity ** 2 - avg(velocity ** 2) OVER (PARTITION BY clip_id) AS d FROM k WHERE n >= 4), l AS (SELECT a.clip_id, b.i - a.i AS lag, sum(a.d * b.d) AS s FROM d AS a JOIN d AS b ON a.clip_id = b.clip_id AND b.i >= a.i GROUP BY 1, 2), m AS (SELECT clip_id, any_value(n) AS n FROM d GROUP BY clip_id) SELECT m.clip_id, m.n, round(coalesce(max(l.s) FILTER (l.lag >= 1 AND l.lag <= m.n // 2 - 1) / nullif(max(l.s) FILTER (l.lag = 0), 0), 0), 6) AS periodicity FROM m JOIN l USING (clip_id) GROUP BY m.clip_id, m.n"),
     "shoulder_norm": (shoulder_norm, SEQ + ", g AS (SELECT clip_id, median(value) AS width, count(*) AS n FROM f WHERE conf > 0.3 GROUP BY clip_id) SELECT event_id, round(value / coalesce(CASE WHEN g.n >= 3 AND width > 0 THEN width END, 1), 6) AS scaled FROM f LEFT JOIN g USING (clip_id)"),
     "au_frame_sum": (au_frame_sum, "SELECT user_id AS clip_id, date_trunc('hour', ts) AS frame, round(sum(value), 6) AS score FROM events GROUP BY 1, 2"),
     "peak_frame": (peak_frame, "SELECT clip_id, event_id, round(value, 6) AS value FROM (SELECT user_id AS clip_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) AS x WHERE r = 1"),
     "middle_frame": (middle_frame, SEQ + "SELECT clip_id, event_id, i FROM f WHERE i = n // 2"),
     "peak_zscore": (peak_zscore, SEQ + ", z AS (SELECT clip_id, event_id, round(CASE WHEN stddev_pop(value) OVER w > 1e-8 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END + CASE WHEN stddev_pop(conf) OVER w > 1e-8 THEN (conf - avg(conf) OVER w) / stddev_pop(conf) OVER w ELSE 0 END, 9) AS z FROM f WINDOW w AS (PARTITION BY clip_id)) SELECT clip_id, event_id, round(z, 6) AS z FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY z DESC, event_id) AS r FROM z) AS x WHERE r = 1"),
-    "top_aus": (top_aus, "WITH b AS (SELECT user_id AS clip_id, event_type, max(value) AS top FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY top DESC, event_type) AS rank FROM b) SELECT clip_id, string_agg(event_type, ',' ORDER BY rank) AS types FROM r WHERE rank <= 3 GROUP BY clip_id"),
+    "top_aus": (top_aus, "WITH b AS (SELECT user_id AS clip_id, event_type, max(value) AS top FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY top DESC, event_type) AS rank FROM b) SELECT clip_id, string_agg(event_type, ',' ORDER BY rank) AS types FROM r WHERE rank <= 5 GROUP BY clip_id"),
     "uniform_sample": (uniform_sample, SEQ + ", s AS (SELECT DISTINCT clip_id, n, t.slot FROM f, range(16) AS t(slot)) SELECT s.clip_id, s.slot::INTEGER AS slot, f.event_id FROM s JOIN f ON f.clip_id = s.clip_id AND f.i = CASE WHEN s.n < 16 THEN least(s.slot, s.n - 1) ELSE (s.slot * (s.n - 1)) // 15 END"),
     "every_third_frame": (every_third_frame, SEQ + "SELECT clip_id, event_id, (i // 3)::INTEGER AS frame FROM f WHERE i % 3 = 0"),
     "segmentation": (segmentation, "WITH d AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT % 3000 / 100.0::DOUBLE AS duration FROM orders), f AS (SELECT *, floor(duration / 5)::INTEGER AS k FROM d) SELECT o_orderkey, (t.i * 5)::DOUBLE AS start, 5.0::DOUBLE AS size FROM f, range(6) AS t(i) WHERE t.i < k UNION ALL SELECT o_orderkey, (k * 5)::DOUBLE, round(duration - k * 5, 6) FROM f WHERE duration - k * 5 BETWEEN 4.5 AND 5.5"),

@@ -1,10 +1,10 @@
-"""Periodicity over every lag the reference allows, against plain numpy."""
+"""Periodicity over every lag, against plain numpy."""
 
 import numpy as np
 import pytest
 
 from clipwright.operators import series
-from clipwright.plans.sequences import frames, periodicity
+from clipwright.plans.sequences import ORDER, confidence, frames, periodicity
 
 
 def plain(values):
@@ -17,8 +17,9 @@ def plain(values):
 
 def test_given_events(spark, sf):
     clips = {}
-    for r in frames(spark, sf).orderBy("ts", "event_id").collect():
-        clips.setdefault(r.clip_id, []).append(r.value)
+    moving = series.kinematics(frames(spark, sf), "clip_id", ORDER, "value", confidence())
+    for r in moving.orderBy("ts", "event_id").collect():
+        clips.setdefault(r.clip_id, []).append(r.velocity**2)
     got = {r.clip_id: (r.n, r.periodicity) for r in periodicity(spark, sf).collect()}
     assert set(got) == set(clips)
     assert all(got[c][0] == len(v) and abs(got[c][1] - plain(v)) < 2e-6 for c, v in clips.items())
