@@ -8,6 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 GENRES = ["moba", "fps", "horror", "casual", "rpg", "mobile"]
+#: Marks of the two output formats; letter case counts.
+CUES, EMOTION = r"(?s)Cues:\s*(.*?)(?:\.\s*Emotion:)", r"Emotion:\s*([\p{L}\p{N}_]+)"
+THINK, ANSWER = r"(?s)<think>(.*?)</think>", r"(?s)<answer>(.*?)</answer>"
 LABELS = ["amused", "disgusted", "fear", "hype", "neutral", "sad", "shocked", "tilted"]
 
 
@@ -27,12 +30,23 @@ def binned(value: Column, bins: list[tuple[float, str]], last: str) -> Column:
     return reduce(lambda rest, b: F.when(value < b[0], b[1]).otherwise(rest), bins[::-1], F.lit(last))
 
 
-def half_repeated(text: Column) -> Column:
-    """Six words or more whose first half equals the next half."""
-    w, h = words(text), (F.size(words(text)) / 2).cast("int")
+def half_repeated(w: Column) -> Column:
+    """Six words or more whose first half equals the next half; ``w`` is an array of words,
+    best a column of its own, so that the text is split once."""
+    h = (F.size(w) / 2).cast("int")
     return (F.size(w) >= 6) & (F.slice(w, 1, h) == F.slice(w, h + 1, h))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def any_pattern(text: Column, patterns: list[str]) -> Column:
+    """Whether one of the patterns is found, in any letter case; one scan for all."""
+    return text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
+
+
 def contained_patterns(text: Column, patterns: list[str]) -> Column:
     return F.filter(F.array(*[F.lit(p) for p in patterns]), lambda p: F.instr(F.lower(text), p) > 0)
 
@@ -42,29 +56,57 @@ def tag(text: Column, name: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, rf"(?s)<{name}>(.*?)</{name}>", 1)), F.lit(""))
 
 
-def text_cue(text: Column, negative: list[str], games: list[str]) -> Column:
-    """Shares in [0, 1] of exclamation runs, negative words, game terms and words."""
-    w = F.transform(words(F.lower(text)), lambda x: F.regexp_replace(x, "[^a-z0-9]", ""))
+def text_counts(text: Column, w: Column, negative: list[str], games: list[str]) -> list[Column]:
+    """Runs of exclamation or question marks, negative words, game terms, and words. ``w``:
+    the raw words of the lower-cased text, a column of its own."""
     hits = lambda names: F.size(F.filter(w, lambda x: x.isin(*names)))
-    counts = [(F.regexp_count(text, F.lit("[!?]+")), 5), (hits(negative), 5), (hits(games), 5), (F.size(w), 30)]
-    return F.array(*[F.least(c, F.lit(top)) / F.lit(float(top)) for c, top in counts])
+    return [F.regexp_count(text, F.lit("[!?]+")), hits(negative), hits(games), F.size(w)]
+
+
+def text_cue(exclaims: Column, negative: Column, games: Column, n_words: Column) -> tuple[Column, Column]:
+    """(the cue's text, its four values in [0, 1]) of ``text_counts``; a text without a word
+    says ``no_speech`` and has four zeros."""
+    told = F.concat_ws(
+        ", ", F.when(exclaims > 0, "exclamation"), F.when(negative > 0, "negative_lexicon"), F.when(games > 0, "game_term"),
+        F.concat(n_words.cast("string"), F.lit("_words")),
+    )
+    silent, tops = n_words == 0, ((exclaims, 5), (negative, 5), (games, 5), (n_words, 30))
+    values = F.array(*[F.when(silent, 0.0).otherwise(F.least(c, F.lit(top)) / F.lit(float(top))) for c, top in tops])
+    return F.when(silent, "no_speech").otherwise(told), values
 
 
 def output_parts(raw: Column, fallback: Column) -> Column:
-    """``struct<reasoning, answer, valid>`` of tagged model output: cues and emotion, else the
-    last <think> and the first <answer>, else the raw text and the fallback."""
-    cues = F.regexp_extract(raw, r"(?is)cues:\s*(.*?)\.?\s*emotion:", 1)
-    emotion = F.lower(F.regexp_extract(raw, r"(?is)emotion:\s*([a-z]+)", 1))
-    thoughts = F.regexp_extract_all(raw, F.lit(r"(?s)<think>(.*?)</think>"), 1)
-    answer = F.lower(F.trim(F.regexp_extract(raw, r"(?s)<answer>(.*?)</answer>", 1)))
-    cued = (emotion != "") & (F.trim(cues) != "")
-    tagged = (F.size(thoughts) > 0) & (answer != "")
+    """``struct<reasoning, answer, valid>`` of tagged model output: cues and emotion where
+    both are there; else the last <think>, or the raw text without one, and the first
+    <answer>, or the fallback without one. Valid: both of a kind are there."""
+    thoughts = F.regexp_extract_all(raw, F.lit(THINK), 1)
+    cued, thought, answered = raw.rlike(CUES) & raw.rlike(EMOTION), F.size(thoughts) > 0, raw.rlike(ANSWER)
     return F.struct(
-        F.when(cued, F.trim(cues)).when(tagged, F.trim(F.try_element_at(thoughts, F.lit(-1)))).otherwise(F.trim(raw)).alias("reasoning"),
-        F.when(cued, emotion).when(tagged, answer).otherwise(fallback).alias("answer"),
-        (cued | tagged).alias("valid"),
+        F.when(cued, strip(F.regexp_extract(raw, CUES, 1))).when(thought, strip(F.try_element_at(thoughts, F.lit(-1)))).otherwise(strip(raw)).alias("reasoning"),
+        F.when(cued, F.lower(F.regexp_extract(raw, EMOTION, 1))).when(answered, strip(F.regexp_extract(raw, ANSWER, 1))).otherwise(fallback).alias("answer"),
+        (cued | (thought & answered)).alias("valid"),
     )
 
 
+def told_score(raw: Column, name: str, otherwise: Column) -> Column:
+    """The number in <name>…</name>, within [0, 10], or ``otherwise``."""
+    pattern = rf"<{name}>\s*([0-9]+(?:\.[0-9]+)?)\s*</{name}>"
+    return clamp(F.when(raw.rlike(pattern), F.regexp_extract(raw, pattern, 1).try_cast("double")).otherwise(otherwise), 0.0, 10.0)
+
+
+def normalised_label(label: Column, confidence: Column, alternatives: Column) -> Column:
+    """``struct<label, confidence, alternatives, placeholder, valid>`` of a manual label. No
+    label is a placeholder: neutral at 0. ``valid``: the label and all alternatives are known."""
+    none, conf = label.isNull(), clamp(confidence, 0.0, 1.0)
+    some = F.when(none, F.create_map().cast("map<string,double>")).otherwise(alternatives)
+    total = F.aggregate(F.map_values(some), conf, lambda a, x: a + x)
+    scale = F.when((F.size(some) > 0) & (total > 0), total).otherwise(1.0)
+    known = F.coalesce(label, F.lit("neutral")).isin(*LABELS) & F.forall(F.map_keys(some), lambda k: k.isin(*LABELS))
+    return F.struct(
+        F.coalesce(label, F.lit("neutral")).alias("label"), F.when(none, 0.0).otherwise(conf / scale).alias("confidence"),
+        F.transform_values(some, lambda k, v: v / scale).alias("alternatives"), none.alias("placeholder"), known.alias("valid"),
+    )
+
+
 def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))

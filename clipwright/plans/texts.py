@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clipwright.functions import lexicons as L
 from clipwright.functions import text as T
 from clipwright.plans.evaluation import r6
 from clipwright.sources.tables import table
 
-NEGATIVE, GAMES = ["not", "with", "den"], ["that", "of", "les"]
+#: The lexicons, and words of the given tables that stand in for them.
+NEGATIVE, GAMES = [*L.NEGATIVE, "not", "with", "den"], [*L.GAME_TERMS, "that", "of", "les"]
 PATTERNS = ["subscribe", "license", "the and", "www"]
+GIVEN = "CASE WHEN doc_id % 11 = 10 THEN NULL ELSE split('" + ",".join(L.EMOTIONS) + ",nope', ',')[CAST(doc_id % 9 AS INT)] END"
 RAW = [
     (1, "Cues: face: eyes=wide; voice: pitch=high. Emotion: hype.", "neutral"),
     (2, "<think>a</think><think>AU12 high</think><answer> Amused </answer>", "neutral"),
@@ -19,17 +22,27 @@ RAW = [
     (5, "Clue: 7.5 Label: 12", "fear"),
     (6, "", "hype"),
 ]
-_RAW = "(VALUES " + ", ".join(f"({i}, '{r}', '{f}')" for i, r, f in RAW) + ") AS v(id, raw, fallback)"
+#: Output in each form around every text of the table; both engines read it alike.
+FORMS = """CASE doc_id % 6 WHEN 0 THEN 'Cues: ' || t || ' . Emotion: Hype.' WHEN 1 THEN '<think>' || t || '</think><think> AU12 high </think> <answer> amused </answer>'
+ WHEN 2 THEN t WHEN 3 THEN '<think>' || t || '</think>' WHEN 4 THEN '<clue_score> ' || (n_chars % 14) || '.5 </clue_score><label_score>' || (doc_id % 13) || '</label_score>' || t
+ ELSE '<answer>sad</answer>' || t END"""
+_RAW = "(SELECT * FROM (VALUES " + ", ".join(f"({-i}::BIGINT, '{r}', '{f}')" for i, r, f in RAW) + f") AS v(id, raw, fallback) UNION ALL SELECT doc_id, {FORMS}, 'neutral' FROM (SELECT doc_id, n_chars, coalesce(text, '') AS t FROM documents) AS d) AS r"
 
 
-def _raw(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RAW, "id int, raw string, fallback string")
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, raw, fallback)``: a few outputs by hand, and one around every document's text."""
+    few = spark.createDataFrame([(-i, r, f) for i, r, f in RAW], "id long, raw string, fallback string")
+    docs = table(spark, sf_dir, "documents").withColumn("t", F.coalesce("text", F.lit("")))
+    return few.unionByName(docs.select(F.col("doc_id").alias("id"), F.expr(FORMS).alias("raw"), F.lit("neutral").alias("fallback")))
 
 
 def text_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cue = T.text_cue(F.col("text"), NEGATIVE, GAMES)
-    docs = table(spark, sf_dir, "documents").select("doc_id", cue.alias("cue"))
-    return docs.select("doc_id", *[r6(F.col("cue")[i], n) for i, n in enumerate(["exclaims", "negatives", "games", "length"])])
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    split = docs.select("doc_id", "text", T.words(F.lower("text")).alias("w"))
+    names = ["exclaims", "negatives", "games", "length"]
+    counted = split.select("doc_id", *[c.alias(n) for c, n in zip(T.text_counts(F.col("text"), F.col("w"), NEGATIVE, GAMES), names, strict=True)])
+    told, values = T.text_cue(*[F.col(n) for n in names])
+    return counted.select("doc_id", told.alias("cue"), *[r6(values[i], n) for i, n in enumerate(names)])
 
 
 def cue_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,16 +50,26 @@ def cue_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.binned(F.length("text"), bins, "huge").alias("bin"))
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as transcribed segments, with stand-ins of a transcriber's two measures; ``spoken``:
+    not silence, none of the patterns, no repeated half, and likely enough."""
+    c = table(spark, sf_dir, "conversations").withColumns({"said": T.strip(F.coalesce("text", F.lit(""))), "silence": (F.col("conv_id") * 3 + F.col("turn")) % 10 / 10.0, "logprob": -((F.col("conv_id") + F.col("turn") * 7) % 11) / 10.0})
+    w = c.withColumn("w", T.words(F.col("said")))
+    made_up = (F.col("said") != "") & (T.any_pattern(F.col("said"), L.HALLUCINATIONS) | T.half_repeated(F.col("w")) | (F.col("logprob") < -0.7))
+    return w.withColumn("spoken", (F.col("silence") <= 0.6) & ~made_up).drop("w")
+
+
 def hallucination_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    dropped = F.col("text").rlike("(?i)^(thanks for watching|der|the)") | T.half_repeated(F.col("text"))
-    return c.filter(~dropped).select("conv_id", "turn")
+    """Segments that are speech and not made up."""
+    return _segments(spark, sf_dir).filter("spoken").select("conv_id", "turn")
 
 
 def segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of a conversation in turn order, joined by spaces."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id")
-    return c.agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.trim(x["text"])), " ")).alias("transcript_md5"), F.count("*").alias("segments"))
+    """Spoken texts of a conversation in turn order, joined by spaces."""
+    kept = F.when(F.col("spoken"), F.struct("turn", "role", "said"))
+    c = _segments(spark, sf_dir).groupBy("conv_id")
+    joined = T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["said"]), " "))
+    return c.agg(F.md5(joined).alias("transcript_md5"), F.count(kept).alias("segments"))
 
 
 def suspect_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,26 +82,27 @@ def tag_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def output_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _raw(spark).select("id", T.output_parts(F.col("raw"), F.col("fallback")).alias("x")).select("id", "x.*")
+    return _raw(spark, sf_dir).select("id", T.output_parts(F.col("raw"), F.col("fallback")).alias("x")).select("id", "x.*")
 
 
 def format_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine = F.col("raw").rlike(r"(?s)<think>.*?</think>\s*<answer>.*?</answer>")
-    return _raw(spark).agg(r6(F.coalesce(F.avg(fine.cast("double")), F.lit(0.0)), "compliance"))
+    return _raw(spark, sf_dir).agg(r6(F.coalesce(F.avg(fine.cast("double")), F.lit(0.0)), "compliance"))
 
 
 def reward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answer = F.lower(F.trim(F.regexp_extract("raw", r"(?s)<answer>(.*?)</answer>", 1)))
+    """Rewards of outputs, and each against the mean of its group of ten prompts."""
+    answer = F.lower(T.strip(F.regexp_extract("raw", T.ANSWER, 1)))
     right = (answer == "amused").cast("double")
     form = F.col("raw").rlike(r"(?s)<think>.*?</think>\s*<answer>.*?</answer>").cast("double")
-    rows = _raw(spark).select("id", right.alias("accuracy"), form.alias("format"), (0.8 * right + 0.2 * form).alias("total"))
-    return rows.select("id", "accuracy", "format", r6("total"), r6(F.col("total") - F.avg("total").over(Window.partitionBy()), "advantage"))
+    rows = _raw(spark, sf_dir).select("id", right.alias("accuracy"), form.alias("format"), (0.8 * right + 0.2 * form).alias("total"))
+    return rows.select("id", "accuracy", "format", r6("total"), r6(F.col("total") - F.avg("total").over(Window.partitionBy(F.floor(F.col("id") / 10))), "advantage"))
 
 
 def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clue = F.nullif(F.regexp_extract("raw", r"Clue:\s*([0-9.]+)", 1), F.lit("")).try_cast("double")
-    label = F.nullif(F.regexp_extract("raw", r"Label:\s*([0-9.]+)", 1), F.lit("")).try_cast("double")
-    return _raw(spark).select("id", T.clamp(F.coalesce(clue, F.lit(5.0)), 0.0, 10.0).alias("clue"), T.clamp(F.coalesce(label, F.lit(0.0)), 0.0, 10.0).alias("label"))
+    """A judge's two scores; without a label score, 10 where the labels match, else 0."""
+    match = F.when(F.col("id") % 2 == 0, 10.0).otherwise(0.0)
+    return _raw(spark, sf_dir).select("id", T.told_score(F.col("raw"), "clue_score", F.lit(5.0)).alias("clue"), T.told_score(F.col("raw"), "label_score", match).alias("label"))
 
 
 def substring_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,16 +127,21 @@ def codeswitch_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alternatives of a label scaled to sum to one."""
-    rows = spark.createDataFrame([(1, 1.4, {"sad": 0.5, "fear": 0.5}), (2, -0.2, {}), (3, 0.5, {"hype": 0.25, "nope": 3.0})], "id int, confidence double, alternatives map<string,double>")
-    valid = F.map_filter("alternatives", lambda k, v: k.isin(*T.LABELS))
-    total = F.aggregate(F.map_values(valid), T.clamp(F.col("confidence"), 0.0, 1.0), lambda a, x: a + x)
-    return rows.select("id", r6(F.coalesce(F.try_divide(T.clamp(F.col("confidence"), 0.0, 1.0), total), F.lit(0.0)), "confidence"), F.size(valid).alias("alternatives"))
+    """Manual labels: confidence within [0, 1], and scaled with the alternatives to a sum of one
+    where there are any; none given is neutral at 0; unknown labels are told as not valid."""
+    docs = table(spark, sf_dir, "documents").withColumns({"given": F.expr(GIVEN), "conf": F.expr("(doc_id % 15 - 2) / 10.0D"), "alternatives": F.expr("CASE WHEN doc_id % 3 = 0 THEN map() ELSE map('sad', (doc_id % 4) / 4.0D, 'fear', 0.5D) END")})
+    return docs.select("doc_id", T.normalised_label(F.col("given"), F.col("conf"), F.col("alternatives")).alias("x")).select("doc_id", "x.label", r6("x.confidence", "confidence"), r6(F.coalesce("x.alternatives.sad", F.lit(0.0)), "sad"), r6(F.coalesce("x.alternatives.fear", F.lit(0.0)), "fear"), "x.placeholder", "x.valid")
 
 
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    prompt = F.concat(F.lit("Language: "), F.coalesce("lang", F.lit("N/A")), F.lit("\nTranscript: "), F.coalesce(F.nullif(F.substring("text", 1, 200), F.lit("")), F.lit("N/A")))
+    """The evidence of a document and its label as a prompt over the whole text, with
+    defaults for what is absent."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    told = lambda c, otherwise="N/A": F.coalesce(F.col(c).cast("string"), F.lit(otherwise))
+    prompt = F.concat(
+        F.lit("Evidence:\n- Face: "), told("quality"), F.lit("\n- Scene: "), told("source"), F.lit("\n- Voice: "), told("toxic"),
+        F.lit("\n- Speech ("), told("lang", "vi"), F.lit('): "'), told("text", ""), F.lit('"\n\nLabels: ' + ", ".join(L.EMOTIONS) + "\n<think></think>\n<answer></answer>"),
+    )
     return docs.select("doc_id", F.md5(prompt).alias("prompt_md5"), F.length(prompt).alias("n_chars"))
 
 
@@ -145,27 +174,32 @@ def lang_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 W = "list_filter(regexp_split_to_array({t}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
-CLEAN = "list_transform(" + W.format(t="lower(text)") + ", lambda x: regexp_replace(x, '[^a-z0-9]', '', 'g'))"
+STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+SCORE = "<{n}>\\s*([0-9]+(?:\\.[0-9]+)?)\\s*</{n}>"
+_in = lambda names: ", ".join(f"'{n}'" for n in names)
+SPOKEN = f"""WITH c AS (SELECT *, {STRIP.format(x="coalesce(text, '')")} AS said FROM conversations), w AS (SELECT *, {W.format(t="said")} AS w FROM c),
+s AS (SELECT *, (conv_id * 3 + turn) % 10 / 10.0::DOUBLE <= 0.6 AND NOT (said <> '' AND (regexp_matches(said, '(?i){"|".join(f"(?:{p})" for p in L.HALLUCINATIONS)}') OR (len(w) >= 6 AND w[1:len(w) // 2] = w[len(w) // 2 + 1:2 * (len(w) // 2)]) OR -((conv_id + turn * 7) % 11) / 10.0::DOUBLE < -0.7)) AS spoken FROM w)
+"""
 FIRST = lambda text, names, other: "CASE " + " ".join(f"WHEN contains(lower({text}), '{n}') THEN '{n}'" for n in names) + f" ELSE '{other}' END"
 OK = "regexp_matches(raw, '(?s)<think>.*?</think>\\s*<answer>.*?</answer>')"
 
 QUERIES = {
-    "text_cues": (text_cues, f"WITH w AS (SELECT doc_id, text, {CLEAN} AS w FROM documents) SELECT doc_id, round(least(len(regexp_extract_all(text, '[!?]+')), 5) / 5.0, 6) AS exclaims, round(least(len(list_filter(w, lambda x: x IN ('not', 'with', 'den'))), 5) / 5.0, 6) AS negatives, round(least(len(list_filter(w, lambda x: x IN ('that', 'of', 'les'))), 5) / 5.0, 6) AS games, round(least(len(w), 30) / 30.0::DOUBLE, 6) AS length FROM w"),
+    "text_cues": (text_cues, f"WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {W.format(t="lower(coalesce(text, ''))")} AS w FROM documents), c AS (SELECT doc_id, len(regexp_extract_all(text, '[!?]+')) AS e, len(list_filter(w, lambda x: x IN ({_in(NEGATIVE)}))) AS n, len(list_filter(w, lambda x: x IN ({_in(GAMES)}))) AS g, len(w) AS k FROM w) SELECT doc_id, CASE WHEN k = 0 THEN 'no_speech' ELSE concat_ws(', ', CASE WHEN e > 0 THEN 'exclamation' END, CASE WHEN n > 0 THEN 'negative_lexicon' END, CASE WHEN g > 0 THEN 'game_term' END, k || '_words') END AS cue, CASE WHEN k = 0 THEN 0 ELSE round(least(e, 5) / 5.0::DOUBLE, 6) END AS exclaims, round(least(n, 5) / 5.0::DOUBLE, 6) AS negatives, round(least(g, 5) / 5.0::DOUBLE, 6) AS games, round(least(k, 30) / 30.0::DOUBLE, 6) AS length FROM c"),
     "cue_bins": (cue_bins, "SELECT doc_id, CASE WHEN length(text) < 100 THEN 'short' WHEN length(text) < 1000 THEN 'middle' WHEN length(text) < 5000 THEN 'long' ELSE 'huge' END AS bin FROM documents"),
-    "hallucination_filter": (hallucination_filter, f"WITH w AS (SELECT conv_id, turn, text, {W.format(t='text')} AS w FROM conversations) SELECT conv_id, turn FROM w WHERE NOT (regexp_matches(text, '(?i)^(thanks for watching|der|the)') OR (len(w) >= 6 AND w[1:len(w) // 2] = w[len(w) // 2 + 1:2 * (len(w) // 2)]))"),
-    "segment_join": (segment_join, "SELECT conv_id, md5(string_agg(trim(text), ' ' ORDER BY turn, role, text)) AS transcript_md5, count(*) AS segments FROM conversations GROUP BY conv_id"),
+    "hallucination_filter": (hallucination_filter, SPOKEN + "SELECT conv_id, turn FROM s WHERE spoken"),
+    "segment_join": (segment_join, SPOKEN + f"SELECT conv_id, md5({STRIP.format(x="coalesce(string_agg(said, ' ' ORDER BY turn, role, said) FILTER (spoken), '')")}) AS transcript_md5, count(*) FILTER (spoken) AS segments FROM s GROUP BY conv_id"),
     "suspect_audit": (suspect_audit, "SELECT doc_id, p AS patterns FROM (SELECT doc_id, array_to_string(list_filter(['subscribe', 'license', 'the and', 'www'], lambda p: contains(lower(text), p)), ',') AS p FROM documents) AS x WHERE p <> ''"),
     "tag_parse": (tag_parse, "SELECT page_id, nullif(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '') AS title FROM pages"),
-    "output_parse": (output_parse, f"WITH p AS (SELECT *, trim(regexp_extract(raw, '(?is)cues:\\s*(.*?)\\.?\\s*emotion:', 1)) AS c, lower(regexp_extract(raw, '(?is)emotion:\\s*([a-z]+)', 1)) AS e, regexp_extract_all(raw, '(?s)<think>(.*?)</think>', 1) AS t, lower(trim(regexp_extract(raw, '(?s)<answer>(.*?)</answer>', 1))) AS a FROM {_RAW}) SELECT id, CASE WHEN e <> '' AND c <> '' THEN c WHEN len(t) > 0 AND a <> '' THEN trim(t[-1]) ELSE trim(raw) END AS reasoning, CASE WHEN e <> '' AND c <> '' THEN e WHEN len(t) > 0 AND a <> '' THEN a ELSE fallback END AS answer, (e <> '' AND c <> '') OR (len(t) > 0 AND a <> '') AS valid FROM p"),
+    "output_parse": (output_parse, f"WITH p AS (SELECT *, regexp_matches(raw, '{T.CUES}') AND regexp_matches(raw, '{T.EMOTION}') AS c, regexp_extract_all(raw, '{T.THINK}', 1) AS t, regexp_matches(raw, '{T.ANSWER}') AS a FROM {_RAW}) SELECT id, CASE WHEN c THEN {STRIP.format(x=f"regexp_extract(raw, '{T.CUES}', 1)")} WHEN len(t) > 0 THEN {STRIP.format(x='t[-1]')} ELSE {STRIP.format(x='raw')} END AS reasoning, CASE WHEN c THEN lower(regexp_extract(raw, '{T.EMOTION}', 1)) WHEN a THEN {STRIP.format(x=f"regexp_extract(raw, '{T.ANSWER}', 1)")} ELSE fallback END AS answer, c OR (len(t) > 0 AND a) AS valid FROM p"),
     "format_compliance": (format_compliance, f"SELECT round(avg({OK}::INTEGER), 6) AS compliance FROM {_RAW}"),
-    "reward_scores": (reward_scores, f"WITH s AS (SELECT id, (lower(trim(regexp_extract(raw, '(?s)<answer>(.*?)</answer>', 1))) = 'amused')::INTEGER::DOUBLE AS accuracy, {OK}::INTEGER::DOUBLE AS format FROM {_RAW}) SELECT id, accuracy, format, round(0.8 * accuracy + 0.2 * format, 6) AS total, round(0.8 * accuracy + 0.2 * format - avg(0.8 * accuracy + 0.2 * format) OVER (), 6) AS advantage FROM s"),
-    "judge_scores": (judge_scores, f"SELECT id, greatest(0, least(10, coalesce(try_cast(nullif(regexp_extract(raw, 'Clue:\\s*([0-9.]+)', 1), '') AS DOUBLE), 5.0)))::DOUBLE AS clue, greatest(0, least(10, coalesce(try_cast(nullif(regexp_extract(raw, 'Label:\\s*([0-9.]+)', 1), '') AS DOUBLE), 0.0)))::DOUBLE AS label FROM {_RAW}"),
+    "reward_scores": (reward_scores, f"WITH s AS (SELECT id, (lower({STRIP.format(x=f"regexp_extract(raw, '{T.ANSWER}', 1)")}) = 'amused')::INTEGER::DOUBLE AS accuracy, {OK}::INTEGER::DOUBLE AS format FROM {_RAW}) SELECT id, accuracy, format, round(0.8 * accuracy + 0.2 * format, 6) AS total, round(0.8 * accuracy + 0.2 * format - avg(0.8 * accuracy + 0.2 * format) OVER (PARTITION BY floor(id / 10.0)), 6) AS advantage FROM s"),
+    "judge_scores": (judge_scores, f"SELECT id, greatest(0, least(10, coalesce(try_cast(nullif(regexp_extract(raw, '{SCORE.format(n='clue_score')}', 1), '') AS DOUBLE), 5)))::DOUBLE AS clue, greatest(0, least(10, coalesce(try_cast(nullif(regexp_extract(raw, '{SCORE.format(n='label_score')}', 1), '') AS DOUBLE), CASE WHEN id % 2 = 0 THEN 10 ELSE 0 END)))::DOUBLE AS label FROM {_RAW}"),
     "substring_label": (substring_label, f"SELECT doc_id, {FIRST('text', ['sad', 'fear', 'hype', 'the'], 'neutral')} AS label FROM documents"),
     "genre_infer": (genre_infer, "WITH g AS (SELECT doc_id, source || '_' || (['moba', 'fps', 'horror', 'casual', 'rpg', 'mobile'])[(doc_id % 6 + 1)::INTEGER] || '_clip' AS stem FROM documents) SELECT doc_id, " + FIRST("stem", T.GENRES, "moba") + " AS genre FROM g"),
     "label_merge": (label_merge, "SELECT CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 0 END AS label, count(*) AS n FROM documents GROUP BY 1"),
     "codeswitch_bucket": (codeswitch_bucket, f"WITH w AS (SELECT doc_id, {W.format(t='text')} AS w FROM documents), s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: regexp_matches(x, '[^\\x00-\\x7F]'))) / len(w)::DOUBLE END AS share FROM w) SELECT doc_id, round(share, 6) AS share, CASE WHEN share < 0.1 THEN 'none' WHEN share < 0.3 THEN 'low' ELSE 'high' END AS bucket FROM s"),
-    "label_normalise": (label_normalise, "SELECT * FROM (VALUES (1, 0.5::DOUBLE, 2), (2, 0.0, 0), (3, round(0.5 / 0.75, 6), 1)) AS v(id, confidence, alternatives)"),
-    "prompt_build": (prompt_build, "WITH p AS (SELECT doc_id, 'Language: ' || coalesce(lang, 'N/A') || chr(10) || 'Transcript: ' || coalesce(nullif(text[1:200], ''), 'N/A') AS p FROM documents) SELECT doc_id, md5(p) AS prompt_md5, length(p)::INTEGER AS n_chars FROM p"),
+    "label_normalise": (label_normalise, f"WITH g AS (SELECT doc_id, CASE WHEN doc_id % 11 = 10 THEN NULL ELSE (string_split('{','.join(L.EMOTIONS)},nope', ','))[(doc_id % 9 + 1)::INTEGER] END AS given, greatest(0, least(1, (doc_id % 15 - 2) / 10.0::DOUBLE)) AS conf, doc_id % 3 <> 0 AND doc_id % 11 <> 10 AS alt, (doc_id % 4) / 4.0::DOUBLE AS sad FROM documents), t AS (SELECT *, CASE WHEN alt THEN conf + sad + 0.5 ELSE 1 END AS total FROM g) SELECT doc_id, coalesce(given, 'neutral') AS label, CASE WHEN given IS NULL THEN 0 ELSE round(conf / total, 6) END AS confidence, CASE WHEN alt THEN round(sad / total, 6) ELSE 0 END AS sad, CASE WHEN alt THEN round(0.5 / total, 6) ELSE 0 END AS fear, given IS NULL AS placeholder, coalesce(given, 'neutral') <> 'nope' AS valid FROM t"),
+    "prompt_build": (prompt_build, f"WITH p AS (SELECT doc_id, 'Evidence:' || chr(10) || '- Face: ' || coalesce(quality::VARCHAR, 'N/A') || chr(10) || '- Scene: ' || coalesce(source, 'N/A') || chr(10) || '- Voice: ' || coalesce(toxic::VARCHAR, 'N/A') || chr(10) || '- Speech (' || coalesce(lang, 'vi') || '): \"' || coalesce(text, '') || '\"' || chr(10) || chr(10) || 'Labels: {', '.join(L.EMOTIONS)}' || chr(10) || '<think></think>' || chr(10) || '<answer></answer>' AS p FROM documents LEFT JOIN labels USING (doc_id)) SELECT doc_id, md5(p) AS prompt_md5, length(p)::INTEGER AS n_chars FROM p"),
     "hash_keys": (hash_keys, "SELECT page_id, md5(url)[1:12] AS url_hash, sha256(html) AS html_sha256 FROM pages"),
     "source_list_dedup": (source_list_dedup, "SELECT md5(url)[1:12] AS url_hash, min(page_id) AS page_id, count(*) AS seen FROM pages GROUP BY 1"),
     "json_map_scan": (json_map_scan, "SELECT event_id, 'k' AS key, (props::JSON->>'k')::INTEGER AS item FROM events"),
