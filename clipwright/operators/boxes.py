@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,3 +44,146 @@ def overlap_with_next(boxes: DataFrame, key: str, *order: str) -> DataFrame:
     shared = lambda at, size: F.greatest(F.lit(0.0), F.least(F.col(at) + F.col(size), F.col(f"next_{at}") + F.col(f"next_{size}")) - F.greatest(at, f"next_{at}"))
     both = shared("xmin", "width") * shared("ymin", "height")
     return rows.withColumn("iou", F.coalesce(F.try_divide(both, area() + F.col("next_width") * F.col("next_height") - both), F.lit(0.0))).drop(*[f"next_{c}" for c in SIDES])
+
+
+def in_range(*columns: str) -> Column:
+    """All given fields within [0, 1]; a null one is not."""
+    fine = F.lit(True)
+    for c in columns:
+        fine = fine & F.coalesce(F.col(c).between(0, 1), F.lit(False))
+    return fine
+
+
+def expanded(grow_x: float = 1.0, grow_y: float = 1.5) -> list[Column]:
+    """SIDES of a box grown about a face towards the whole overlay, cut off at the frame."""
+    x = F.greatest(F.lit(0.0), F.col("xmin") - F.col("width") * grow_x * 0.5)
+    y = F.greatest(F.lit(0.0), F.col("ymin") - F.col("height") * grow_y * 0.3)
+    return [x.alias("xmin"), y.alias("ymin"), F.least(1.0 - x, F.col("width") * (1.0 + grow_x)).alias("width"), F.least(1.0 - y, F.col("height") * (1.0 + grow_y)).alias("height")]
+
+
+def crop(frame_w: int, frame_h: int, margin: float) -> Column:
+    """``struct<x1, y1, x2, y2, valid>`` in pixels of the box with a margin: cut towards
+    zero, then to the frame; not valid where nothing is left, or without a box."""
+    low = lambda at, size, n: F.greatest(F.lit(0), ((F.col(at) - margin * F.col(size)) * n).cast("int"))
+    high = lambda at, size, n: F.least(F.lit(n), ((F.col(at) + F.col(size) * (1 + margin)) * n).cast("int"))
+    x1, y1, x2, y2 = low("xmin", "width", frame_w), low("ymin", "height", frame_h), high("xmin", "width", frame_w), high("ymin", "height", frame_h)
+    fine = F.coalesce((x2 > x1) & (y2 > y1), F.lit(False)) & F.col("xmin").isNotNull()
+    return F.struct(*[F.when(fine, v).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), (x1, y1, x2, y2), strict=True)], fine.alias("valid"))
+
+
+def best_of(stable: str, *tie: str) -> Column:
+    """Aggregate: of a frame's boxes the one nearest to the clip's stable box (a struct
+    column, null where there is none), else the largest. ``tie`` orders equal ones."""
+    box = F.struct(*SIDES)
+    middle = lambda at, size, of="": F.col(f"{of}{at}") + F.col(f"{of}{size}") / 2
+    dx = middle("xmin", "width") - middle("xmin", "width", f"{stable}.")
+    dy = middle("ymin", "height") - middle("ymin", "height", f"{stable}.")
+    rank = F.when(F.col(stable).isNull(), -area()).otherwise(dx * dx + dy * dy)
+    return F.min_by(F.when(F.col("xmin").isNotNull(), box), F.when(F.col("xmin").isNotNull(), F.struct(rank, *tie)))
+
+
+def small_or_all(detections: DataFrame, key: str, limit: float = 0.25) -> DataFrame:
+    """Boxes smaller than ``limit`` of the frame; all of a clip where none is."""
+    small = area() < limit
+    return detections.withColumn("_any", F.max(small).over(Window.partitionBy(key))).filter(small | ~F.col("_any")).drop("_any")
+
+
+def remapped(frame_w: int, frame_h: int, share: float = 0.35) -> Column:
+    """``array<struct<corner, xmin, ymin, width, height>>``: a box found in a crop of each of
+    the four corners, in coordinates of the frame."""
+    cw, ch = int(frame_w * share), int(frame_h * share)
+    corners = [(0, 0), (frame_w - cw, 0), (0, frame_h - ch), (frame_w - cw, frame_h - ch)]
+    return F.array(*[
+        F.struct(
+            F.lit(k).alias("corner"), ((x0 + F.col("xmin") * cw) / frame_w).alias("xmin"), ((y0 + F.col("ymin") * ch) / frame_h).alias("ymin"),
+            (F.col("width") * cw / frame_w).alias("width"), (F.col("height") * ch / frame_h).alias("height"),
+        )
+        for k, (x0, y0) in enumerate(corners)
+    ])
+
+
+def keypoint_box(points: DataFrame, key: str, frame_w: int, frame_h: int, pad: float = 0.6, least: float = 0.3) -> DataFrame:
+    """``(key, *SIDES)``: the padded square about the sure ones of ``points (key, x, y, conf)``
+    in pixels, where two or more are."""
+    sure = points.filter(F.col("conf") > least).groupBy(key)
+    ends = sure.agg(F.count("*").alias("n"), *[f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in ((1, F.min), (2, F.max))]).filter("n >= 2")
+    half = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(1.0)) * (1.0 + pad) / 2
+
+    def side(c: str, n: int) -> tuple[Column, Column]:
+        middle = (F.col(f"{c}1") + F.col(f"{c}2")) / 2
+        low, high = F.greatest(F.lit(0.0), middle - half) / n, F.least(F.lit(float(n)), middle + half) / n
+        return low, high - low
+
+    (x, w), (y, h) = side("x", frame_w), side("y", frame_h)
+    return ends.select(key, x.alias("xmin"), y.alias("ymin"), w.alias("width"), h.alias("height"))
+
+
+def density_labels(x: np.ndarray, y: np.ndarray, eps: float, least: int) -> np.ndarray:
+    """Density clusters of points, -1 for noise: a core has ``least`` points within ``eps``,
+    itself included; clusters are numbered by their first core, and a point at the border
+    goes to the first cluster that reaches it."""
+    near = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= eps * eps
+    core = near.sum(axis=1) >= least
+    labels, number = np.full(len(x), -1), 0
+    for first in np.flatnonzero(core):
+        if labels[first] >= 0:
+            continue
+        found, front = np.zeros(len(x), bool), np.zeros(len(x), bool)
+        found[first] = front[first] = True
+        while front.any():
+            front = near[front].any(axis=0) & ~found
+            found |= front
+            front &= core
+        labels[found & (labels < 0)] = number
+        number += 1
+    return labels
+
+
+REGION = "n_sampled long, n_in long, xmin double, ymin double, width double, height double"
+
+
+def stable_region(detections: DataFrame, key: str, order: str, eps: float = 0.08, least: int = 3, stability: float = 0.3, edge_bias: float = 0.3, middle: str = "median", fallback: bool = True) -> DataFrame:
+    """``(key, n_sampled, n_in, *SIDES)``: the box of the densest and outermost cluster of a
+    clip's detections, before it is expanded; clips without one have no row.
+
+    ``detections (key, order, *SIDES, n_sampled)``: those of the frames sampled from a clip, a
+    bounded number, so a clip is one task's group. A cluster's score is its share of the
+    sampled frames less the distance of its mean centre to the edge. With ``fallback``, two
+    detections or more that are too few to cluster count if the largest lies near the edge.
+    """
+    average = np.median if middle == "median" else np.mean
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, kind="stable")
+        cx, cy = (group["xmin"] + group["width"] / 2).to_numpy(), (group["ymin"] + group["height"] / 2).to_numpy()
+        edge = lambda a, b: min(a, b, 1.0 - a, 1.0 - b)
+        n, best, chosen = int(group["n_sampled"].iloc[0]), -1.0, None
+        if len(group) < least:
+            largest = int((group["width"] * group["height"]).to_numpy().argmax())
+            if fallback and len(group) >= 2 and edge(cx[largest], cy[largest]) < edge_bias:
+                chosen = np.ones(len(group), bool)
+        else:
+            labels = density_labels(cx, cy, eps, least)
+            for label in range(labels.max() + 1):
+                mine = labels == label
+                score = mine.sum() / n - edge(cx[mine].mean(), cy[mine].mean())
+                if mine.sum() / n >= stability and score > best:
+                    best, chosen = score, mine
+        if chosen is None:
+            return pd.DataFrame({c: [] for c in [key, "n_sampled", "n_in", *SIDES]})
+        return pd.DataFrame({key: [group[key].iloc[0]], "n_sampled": [n], "n_in": [int(chosen.sum())], **{c: [float(average(group[c].to_numpy()[chosen]))] for c in SIDES}})
+
+    kind = next(f.dataType.simpleString() for f in detections.schema if f.name == key)
+    return detections.groupBy(key).applyInPandas(one, f"{key} {kind}, {REGION}")
+
+
+def core_counts(detections: DataFrame, key: str, order: str, eps: float) -> DataFrame:
+    """``(key, order, n_near)``: detections of the clip whose centres lie within ``eps``, by a
+    self-join on cells of that width, so that only neighbouring cells meet."""
+    x, y = F.col("xmin") + F.col("width") / 2, F.col("ymin") + F.col("height") / 2
+    placed = detections.select(key, order, x.alias("x"), y.alias("y")).withColumns({"i": F.floor(F.col("x") / eps), "j": F.floor(F.col("y") / eps)})
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    spread = placed.withColumn("c", F.explode(around)).select(F.col(key).alias("_key"), (F.col("i") + F.col("c.a")).alias("i"), (F.col("j") + F.col("c.b")).alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    pairs = placed.join(spread, (F.col(key) == F.col("_key")) & (placed["i"] == spread["i"]) & (placed["j"] == spread["j"]))
+    close = F.pow(F.col("x") - F.col("x2"), F.lit(2)) + F.pow(F.col("y") - F.col("y2"), F.lit(2)) <= eps * eps
+    return pairs.filter(close).groupBy(key, order).agg(F.count("*").alias("n_near"))

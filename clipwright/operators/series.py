@@ -140,3 +140,17 @@ def warmup_cosine(step: Column, warmup: int, total: int) -> Column:
     """Learning-rate factor: linear warm-up, then half a cosine."""
     progress = (step - warmup) / F.lit(max(1, total - warmup))
     return F.when(step < warmup, step / F.lit(max(1, warmup))).otherwise(F.greatest(F.lit(0.0), 0.5 * (1 + F.cos(F.pi() * progress))))
+
+
+def even_sample(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+    """min(n, length) evenly spaced rows of each sequence, ends included; adds ``slot``."""
+    seq = ordered(rows, key, order)
+    slots = seq.select(key, "n").distinct().withColumn("k", F.least(F.lit(n), F.col("n"))).withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int"))))
+    place = F.when(F.col("k") > 1, F.floor(F.col("slot") * (F.col("n") - 1) / F.greatest(F.col("k") - 1, F.lit(1)))).otherwise(0)
+    return slots.withColumn("i", place.cast("int")).drop("n", "k").join(seq, [key, "i"])
+
+
+def valid_or_all(rows: DataFrame, key: str, valid: str, masked: str) -> DataFrame:
+    """Rows that are valid; all rows of a sequence without a mask or without a valid row."""
+    some = F.max(F.col(valid)).over(Window.partitionBy(key))
+    return rows.withColumn("_some", some).filter(~F.col(masked) | F.col(valid) | ~F.col("_some")).drop("_some")
