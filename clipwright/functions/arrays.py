@@ -79,3 +79,7 @@ def mix(a: Column, b: Column, share: float) -> Column:
 
 def all_zero(v: Column) -> Column:
     return F.forall(v, lambda x: x == 0)
+
+
+def zero_if(gone: Column, v: Column) -> Column:
+    return F.when(gone, F.transform(v, lambda x: x * 0)).otherwise(v)

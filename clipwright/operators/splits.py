@@ -48,3 +48,21 @@ def positional_zip(left: DataFrame, right: DataFrame, order_left: str, order_rig
     """Rows of equal rank within ``key``; raises nothing, unmatched rows stay with nulls."""
     number = lambda df, order: df.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(order)))
     return number(left, order_left).join(number(right, order_right), [key, "position"], "full")
+
+
+def combined_folds(rows: DataFrame, key: str, labels: list[str], names: list[str], shares: list[float], seed: int) -> DataFrame:
+    """Adds ``split``, balanced over several labels at once.
+
+    Rows are dealt in turn, in the order of their label combination and then of their seeded
+    hash, to k = round(1 / (1 - shares[0])) folds (two at least). So every combination, and
+    every label, is spread evenly over the folds, but for one row each. The last fold is the
+    rest, which is divided in proportion, in a seeded order; all others are ``names[0]``.
+    Places come from prefix sums over ranges of rows. Null labels are a label.
+    """
+    order = [*[F.asc_nulls_first(c) for c in labels], seeded(key, seed), F.col(key)]
+    folds = max(2, round(1 / (1 - shares[0])))
+    placed = running(rows, [], order, {"place": F.lit(1)}).withColumn("_fold", F.col("place_before") % folds).drop("place_before", "place_all")
+    rest = placed.filter(F.col("_fold") == folds - 1).drop("_fold")
+    total = sum(shares[1:])
+    divided = proportional(rest, [seeded(key, seed + 1), F.col(key)], names[1:], [s / total for s in shares[1:]])
+    return placed.filter(F.col("_fold") < folds - 1).drop("_fold").withColumn("split", F.lit(names[0])).unionByName(divided)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clipwright.plans import boxes, cues, evaluation, relations, sequences, texts
+from clipwright.plans import boxes, cues, dataset, evaluation, relations, sequences, texts
 from clipwright.streaming import windows
 
-QUERIES = evaluation.QUERIES | texts.QUERIES | cues.QUERIES | sequences.QUERIES | relations.QUERIES | boxes.QUERIES | windows.QUERIES
+QUERIES = evaluation.QUERIES | texts.QUERIES | cues.QUERIES | sequences.QUERIES | relations.QUERIES | boxes.QUERIES | dataset.QUERIES | windows.QUERIES
