@@ -83,3 +83,67 @@ def all_zero(v: Column) -> Column:
 
 def zero_if(gone: Column, v: Column) -> Column:
     return F.when(gone, F.transform(v, lambda x: x * 0)).otherwise(v)
+
+
+def weighted_focal(logits: Column, target: Column, gamma: float, weights: list[float]) -> Column:
+    """Focal loss times the target's class weight; gamma 0 is weighted cross-entropy."""
+    alpha = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), target + 1)
+    return alpha * (focal(logits, target, gamma) if gamma else cross_entropy(logits, target))
+
+
+def log_softmax(v: Column) -> Column:
+    top = F.array_max(v)
+    return F.transform(v, lambda x: x - top - F.log(total(F.transform(v, lambda y: F.exp(y - top)))))
+
+
+def hierarchical(group: Column, easy: Column, hard: Column, easy_classes: list[int], hard_classes: list[int]) -> Column:
+    """Log-probabilities of all classes from those of two groups and of the classes in each."""
+    g, e, h = log_softmax(group), log_softmax(easy), log_softmax(hard)
+    at = {c: F.get(g, F.lit(0)) + F.get(e, F.lit(i)) for i, c in enumerate(easy_classes)} | {c: F.get(g, F.lit(1)) + F.get(h, F.lit(i)) for i, c in enumerate(hard_classes)}
+    return F.array(*[at[c] for c in sorted(at)])
+
+
+def rows_of(v: Column, steps: int, width: int) -> Column:
+    """A flat array as ``steps`` rows of ``width``."""
+    return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda t: F.slice(v, t * width + 1, width))
+
+
+def squeezed(batch: Column) -> Column:
+    """The one element of an outer array of size one."""
+    return F.when(F.size(batch) == 1, F.get(batch, F.lit(0)))
+
+
+def padded(tokens: Column, steps: Column, width: int) -> Column:
+    """Rows of zeros behind ``tokens`` up to ``steps`` rows."""
+    empty = F.array_repeat(F.array_repeat(F.lit(0.0), width), F.greatest(steps - F.size(tokens), F.lit(0)).cast("int"))
+    return F.concat(tokens, empty)
+
+
+def pooled(tokens: Column, how: str, scores: Column | None = None) -> Column:
+    """One row of several: mean, max, cls (the first), or attention by ``scores`` of the rows."""
+    first = F.get(tokens, F.lit(0))
+    if how == "cls":
+        return first
+    places = F.sequence(F.lit(0), F.size(first) - 1)
+    if how == "max":
+        return F.transform(places, lambda d: F.array_max(F.transform(tokens, lambda r: F.get(r, d))))
+    if how == "mean":
+        return F.transform(places, lambda d: mean(F.transform(tokens, lambda r: F.get(r, d))))
+    if how == "attention":
+        weights = softmax(scores)
+        return F.transform(places, lambda d: total(F.zip_with(weights, tokens, lambda w, r: w * F.get(r, d))))
+    raise ValueError(f"unknown pooling {how!r}")
+
+
+def grid_pool(v: Column, grid: int, high: int, wide: int) -> Column:
+    """Means of a square grid's cells in ``high`` x ``wide`` buckets, row by row; a bucket spans
+    floor(i * grid / n) to ceil((i + 1) * grid / n)."""
+    span = lambda i, n: range(i * grid // n, -(-(i + 1) * grid // n))
+    cells = lambda i, j: [r * grid + c for r in span(i, high) for c in span(j, wide)]
+    at = lambda picked: sum((F.get(v, F.lit(k)) for k in picked[1:]), F.get(v, F.lit(picked[0]))) / len(picked)
+    return F.array(*[at(cells(i, j)) for i in range(high) for j in range(wide)])
+
+
+def time_masked(tokens: Column, start: Column, length: Column) -> Column:
+    """Rows from ``start`` on, ``length`` of them, set to zero."""
+    return F.transform(tokens, lambda r, t: F.when((t >= start) & (t < start + length), F.transform(r, lambda x: x * 0)).otherwise(r))

@@ -66,3 +66,8 @@ def combined_folds(rows: DataFrame, key: str, labels: list[str], names: list[str
     total = sum(shares[1:])
     divided = proportional(rest, [seeded(key, seed + 1), F.col(key)], names[1:], [s / total for s in shares[1:]])
     return placed.filter(F.col("_fold") < folds - 1).drop("_fold").withColumn("split", F.lit(names[0])).unionByName(divided)
+
+
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """Adds ``place``, 0 and up in the order of ``key``, by prefix sums over ranges."""
+    return running(rows, [], [F.col(key)], {"place": F.lit(1)}).withColumnRenamed("place_before", "place").drop("place_all")

@@ -4,7 +4,7 @@ from clipwright.plans.catalog import QUERIES
 from tests.oracle import compare
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if sql])
 def test_query_equals_its_sql(spark, sf, name):
     build, sql = QUERIES[name]
     compare(spark, sf, build, sql)
