@@ -108,5 +108,22 @@ def normalised_label(label: Column, confidence: Column, alternatives: Column) ->
     )
 
 
+def consolidated(raw: Column, manual: Column) -> Column:
+    """``struct<reasoning, label, confidence, distribution>`` of a consolidator's output: the
+    last thought, a known answer or the manual label, a confidence within [0, 1] (a half
+    without one), and the known labels of a distribution, scaled to a sum of one."""
+    thoughts = F.regexp_extract_all(raw, F.lit(THINK), 1)
+    answer = F.lower(F.regexp_extract(raw, r"(?i)<answer>\s*([\p{L}\p{N}_]+)\s*</answer>", 1))
+    told = F.regexp_extract(raw, r"(?i)<confidence>\s*([0-9.]+)\s*</confidence>", 1).try_cast("double")
+    parsed = F.from_json(F.nullif(F.regexp_extract(raw, r"(?is)<distribution>\s*(\{.*?\})\s*</distribution>", 1), F.lit("")), "map<string,double>")
+    known = F.map_filter(parsed, lambda k, v: k.isin(*LABELS) & v.isNotNull())
+    total = F.aggregate(F.map_values(known), F.lit(0.0), lambda a, x: a + x)
+    spread = F.coalesce(F.when(total > 0, F.transform_values(known, lambda k, v: v / total)).otherwise(known), F.create_map().cast("map<string,double>"))
+    return F.struct(
+        F.coalesce(strip(F.try_element_at(thoughts, F.lit(-1))), F.lit("")).alias("reasoning"), F.when(answer.isin(*LABELS), answer).otherwise(manual).alias("label"),
+        clamp(F.coalesce(told, F.lit(0.5)), 0.0, 1.0).alias("confidence"), spread.alias("distribution"),
+    )
+
+
 def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))

@@ -91,8 +91,16 @@ def uniform_sample(rows: DataFrame, key: str, order: list[str], n: int) -> DataF
     return wanted.join(seq, [key, "i"])
 
 
-def segments(duration: Column, length: float, low: float, high: float) -> Column:
-    """``array<struct<start, size>>``: full segments, and the rest if its size is in [low, high]."""
+def segments(total: Column, length: float, low: float, high: float, head: float = 0.0, tail_cut: float = 0.0, most: int = 0) -> Column:
+    """``array<struct<start, size>>``: full segments of what is left between ``head`` and
+    ``tail_cut``, and the rest if its size is in [low, high]; the first ``most`` if it is not 0.
+    Too short a recording has none."""
+    made = _segments(F.greatest(F.lit(head), total - tail_cut) - head, length, low, high)
+    moved = F.transform(made, lambda x: F.struct((x["start"] + head).alias("start"), x["size"].alias("size")))
+    return F.slice(moved, 1, most) if most else moved
+
+
+def _segments(duration: Column, length: float, low: float, high: float) -> Column:
     full = F.floor(duration / length).cast("int")
     rest = duration - full * length
     whole = F.when(full > 0, F.transform(F.sequence(F.lit(0), F.greatest(full, F.lit(1)) - 1), lambda i: F.struct((i * length).alias("start"), F.lit(length).alias("size")))).otherwise(F.array().cast("array<struct<start: double, size: double>>"))
@@ -126,6 +134,14 @@ def linear_resample(v: Column, n: int, align_corners: bool) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
 
 
+def thinned(rows: DataFrame, key: str, order: list[str], rate: Column, wanted: float) -> DataFrame:
+    """Every max(1, round(rate / wanted))-th row of each sequence, numbered anew as ``frame``;
+    rounding is half to even."""
+    step = F.greatest(F.bround(rate / wanted, 0), F.lit(1.0)).cast("int")
+    seq = ordered(rows, key, order).withColumn("_step", step)
+    return seq.filter(F.col("i") % F.col("_step") == 0).withColumn("frame", (F.col("i") / F.col("_step")).cast("int")).drop("_step")
+
+
 def early_stopping(epochs: DataFrame, run: str, epoch: str, metric: str, patience: int) -> DataFrame:
     """Adds ``improved`` (strictly better than all before), ``waited`` (epochs since) and
     ``stopped`` (the patience has run out)."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clipwright.functions import arrays as A
 from clipwright.operators import metrics as M
 from clipwright.plans.evaluation import BY_LANG, GROUPED, LANGS, N, PRED, STEPS, SUMMARY, _binary, class_share, predictions, r6
-from clipwright.sources.tables import table
+from clipwright.sources.tables import stored, table
 
 
 def macro_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +168,29 @@ def label_metrics_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("fold", "n", r6(F.col("hits") / F.col("n"), "accuracy"), r6((F.sum("hits").over(whole) - F.col("hits")) / (F.sum("n").over(whole) - F.col("n")), "others"), r6(F.avg(F.col("hits") / F.col("n")).over(whole), "mean"))
 
 
+def language_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of telling English from the rest by embeddings, over five folds by hash; no other
+    engine trains alike, so it has no twin."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    docs = table(spark, sf_dir, "documents").filter("lang is not null").select(F.col("doc_id").alias("vec_id"), (F.col("lang") == "en").cast("double").alias("label"))
+    rows = table(spark, sf_dir, "embeddings").drop("label").join(docs, "vec_id").select(array_to_vector(A.doubles(F.col("embedding"))).alias("features"), "label", F.pmod(F.xxhash64("vec_id"), F.lit(5)).cast("int").alias("fold"))
+    rows, parts = stored(rows, "language-rows"), []
+    for fold in range(5):
+        training = rows.filter(F.col("fold") != fold)
+        if training.select("label").distinct().count() < 2:
+            parts.append(rows.filter(F.col("fold") == fold).select("fold", F.lit(0.5).alias("hit")))
+            continue
+        model = LogisticRegression(maxIter=50, regParam=0.01).fit(training)
+        told = model.transform(rows.filter(F.col("fold") == fold))
+        parts.append(told.select("fold", (F.col("prediction") == F.col("label")).cast("double").alias("hit")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("fold").agg(F.count("*").alias("n"), r6(F.avg("hit"), "accuracy"))
+
+
 RARE = [1, 4, 7]
 _RARE = "(1, 4, 7)"
 TOLD = "t AS (SELECT doc_id, doc_id % 8 AS gold, CASE WHEN doc_id % 3 = 0 THEN doc_id % 8 ELSE doc_id % 5 END AS model, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 5 END AS before, CASE WHEN doc_id % 4 = 0 THEN doc_id % 8 ELSE doc_id % 5 END AS after, doc_id % 6 AS cb, doc_id % 9 AS ca FROM documents)"
@@ -193,6 +216,7 @@ SELECT * FROM r UNION ALL SELECT 0, 'none', '' WHERE NOT EXISTS (SELECT 1 FROM r
     "counterfactual_flip": (counterfactual_flip, _FLIP),
     "setup_accuracy": (setup_accuracy, f"WITH {TOLD} SELECT 'llm' || (doc_id % 4 + 1) AS setup, count(*) AS n, count(before) AS n_parsed, {_share('before = gold', 'accuracy', 'count(before)')}, round(count(before) / count(*)::DOUBLE, 6) AS compliance FROM t GROUP BY 1"),
     "parsed_metrics": (parsed_metrics, f"WITH {TOLD}, pred AS (SELECT gold AS y_true, before AS y_pred FROM t WHERE doc_id % 11 <> 0 AND before IS NOT NULL), k AS (SELECT class, (SELECT count(*) FROM pred WHERE y_true = class AND y_pred = class) AS tp, (SELECT count(*) FROM pred WHERE y_true = class) AS n_true, (SELECT count(*) FROM pred WHERE y_pred = class) AS n_pred FROM range(8) AS c(class)), per AS (SELECT *, CASE WHEN n_true = 0 THEN 0.0 ELSE tp::DOUBLE / n_true END AS recall, 2.0::DOUBLE * tp / (n_true + n_pred) AS f1 FROM k WHERE n_true + n_pred > 0) " + SUMMARY.format(w="")),
+    "language_classifier": (language_classifier, None),
     "manual_agreement": (manual_agreement, f"WITH {TOLD} SELECT count(*) FILTER (doc_id % 6 <> 0) AS n, round(coalesce(count(*) FILTER (doc_id % 6 <> 0 AND gold = model) / nullif(count(*) FILTER (doc_id % 6 <> 0), 0)::DOUBLE, 0), 6) AS agreement, round(avg(doc_id % 10 / 10.0::DOUBLE), 6) AS mean_confidence FROM t"),
     "duration_stats": (duration_stats, "WITH d AS (SELECT floor(o_totalprice)::BIGINT % 3000 / 100.0::DOUBLE - 2 AS d FROM orders) SELECT count(*) FILTER (d > 0) AS n, count(*) FILTER (d <= 0) AS rejected, round(min(d) FILTER (d > 0), 6) AS shortest, round(max(d) FILTER (d > 0), 6) AS longest, round(avg(d) FILTER (d > 0), 6) AS mean FROM d"),
     "source_split_ids": (source_split_ids, "SELECT doc_id, CASE WHEN source IN ('src0', 'src1') THEN 'test_ood' WHEN source IN ('src1', 'src2') THEN 'test_id' ELSE 'train' END AS split FROM documents"),

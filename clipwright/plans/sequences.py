@@ -86,6 +86,19 @@ def every_third_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.filter("i % 3 = 0").select("clip_id", "event_id", (F.col("i") / 3).cast("int").alias("frame"))
 
 
+def frame_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of clips of several rates at four a second."""
+    rate = F.col("clip_id") % 7 * 3 + 2.0
+    return S.thinned(frames(spark, sf_dir), "clip_id", ORDER, rate, 4.0).select("clip_id", "event_id", "frame")
+
+
+def trimmed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with a head and a tail cut off, four at most, by name, with their metadata."""
+    d = table(spark, sf_dir, "orders").select("o_orderkey", (F.floor("o_totalprice") % 3000 / 100).alias("duration"))
+    parts = d.select("o_orderkey", F.posexplode(S.segments(F.col("duration"), 5.0, 4.5, 5.5, 1.5, 0.5, 4)).alias("k", "x"))
+    return parts.select(F.format_string("%d_seg_%03d", "o_orderkey", F.col("k") + 1).alias("clip_id"), F.round("x.start", 3).alias("start_sec"), F.round("x.size", 3).alias("duration_sec"))
+
+
 def segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "orders").select("o_orderkey", (F.floor("o_totalprice") % 3000 / 100).alias("duration"))
     parts = d.select("o_orderkey", F.explode(S.segments(F.col("duration"), 5.0, 4.5, 5.5)).alias("x"))
@@ -154,6 +167,8 @@ QUERIES = {
     "uniform_sample": (uniform_sample, SEQ + ", s AS (SELECT DISTINCT clip_id, n, t.slot FROM f, range(16) AS t(slot)) SELECT s.clip_id, s.slot::INTEGER AS slot, f.event_id FROM s JOIN f ON f.clip_id = s.clip_id AND f.i = CASE WHEN s.n < 16 THEN least(s.slot, s.n - 1) ELSE (s.slot * (s.n - 1)) // 15 END"),
     "every_third_frame": (every_third_frame, SEQ + "SELECT clip_id, event_id, (i // 3)::INTEGER AS frame FROM f WHERE i % 3 = 0"),
     "segmentation": (segmentation, "WITH d AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT % 3000 / 100.0::DOUBLE AS duration FROM orders), f AS (SELECT *, floor(duration / 5)::INTEGER AS k FROM d) SELECT o_orderkey, (t.i * 5)::DOUBLE AS start, 5.0::DOUBLE AS size FROM f, range(6) AS t(i) WHERE t.i < k UNION ALL SELECT o_orderkey, (k * 5)::DOUBLE, round(duration - k * 5, 6) FROM f WHERE duration - k * 5 BETWEEN 4.5 AND 5.5"),
+    "frame_sampling": (frame_sampling, SEQ + ", k AS (SELECT *, greatest(1, CASE WHEN abs((clip_id % 7 * 3 + 2) % 4) = 2 THEN 2 * round((clip_id % 7 * 3 + 2) / 8.0) ELSE round((clip_id % 7 * 3 + 2) / 4.0) END)::INTEGER AS step FROM f) SELECT clip_id, event_id, (i // step)::INTEGER AS frame FROM k WHERE i % step = 0"),
+    "trimmed_segments": (trimmed_segments, "WITH d AS (SELECT o_orderkey, greatest(floor(o_totalprice)::BIGINT % 3000 / 100.0::DOUBLE - 0.5, 1.5) - 1.5 AS d FROM orders), f AS (SELECT *, floor(d / 5)::INTEGER AS k FROM d), s AS (SELECT o_orderkey, t.i AS i, 5.0::DOUBLE AS size FROM f, range(4) AS t(i) WHERE t.i < k UNION ALL SELECT o_orderkey, k, d - k * 5 FROM f WHERE d - k * 5 BETWEEN 4.5 AND 5.5 AND k < 4) SELECT printf('%d_seg_%03d', o_orderkey, i + 1) AS clip_id, round(1.5 + i * 5, 3)::DOUBLE AS start_sec, round(size, 3) AS duration_sec FROM s"),
     "adaptive_pool": (adaptive_pool, "SELECT vec_id, t.i::INTEGER AS bucket, round(list_avg(embedding[floor(t.i * 64 / 10.0)::INTEGER + 1 : ceil((t.i + 1) * 64 / 10.0)::INTEGER]::DOUBLE[]), 6) AS x FROM embeddings, range(10) AS t(i)"),
     "linear_resample": (_resample(96, False), RESAMPLE.format(n=96, place="greatest((t.i + 0.5::DOUBLE) * 64 / 96 - 0.5::DOUBLE, 0)")),
     "interp_envelope": (_resample(20, True), RESAMPLE.format(n=20, place="t.i * 63 / 19::DOUBLE")),

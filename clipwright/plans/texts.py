@@ -105,6 +105,16 @@ def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir).select("id", T.told_score(F.col("raw"), "clue_score", F.lit(5.0)).alias("clue"), T.told_score(F.col("raw"), "label_score", match).alias("label"))
 
 
+#: A consolidator's output on every document, in five forms.
+CONSOLIDATED = """CASE doc_id % 5 WHEN 0 THEN '<think>a</think><think> ' || doc_id || ' </think><answer> Hype </answer><confidence>0.' || doc_id % 7 || '</confidence><distribution>{"hype": 0.5, "sad": ' || doc_id % 4 || ', "odd": 9}</distribution>'
+ WHEN 1 THEN '<answer>odd</answer><confidence>7.5</confidence>' WHEN 2 THEN '<confidence>1.2.3</confidence><distribution>{broken}</distribution>' WHEN 3 THEN '' ELSE '<ANSWER>fear</ANSWER><distribution>{"fear": 0}</distribution>' END"""
+
+
+def consolidator_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.consolidated(F.expr(CONSOLIDATED), F.lit("neutral")).alias("x"))
+    return rows.select("doc_id", "x.reasoning", "x.label", r6("x.confidence", "confidence"), F.size("x.distribution").alias("known"), r6(F.try_element_at("x.distribution", F.lit("sad")), "sad"))
+
+
 def substring_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.first_contained(F.col("text"), ["sad", "fear", "hype", "the"], "neutral").alias("label"))
 
@@ -194,6 +204,7 @@ QUERIES = {
     "format_compliance": (format_compliance, f"SELECT round(avg({OK}::INTEGER), 6) AS compliance FROM {_RAW}"),
     "reward_scores": (reward_scores, f"WITH s AS (SELECT id, (lower({STRIP.format(x=f"regexp_extract(raw, '{T.ANSWER}', 1)")}) = 'amused')::INTEGER::DOUBLE AS accuracy, {OK}::INTEGER::DOUBLE AS format FROM {_RAW}) SELECT id, accuracy, format, round(0.8 * accuracy + 0.2 * format, 6) AS total, round(0.8 * accuracy + 0.2 * format - avg(0.8 * accuracy + 0.2 * format) OVER (PARTITION BY floor(id / 10.0)), 6) AS advantage FROM s"),
     "judge_scores": (judge_scores, f"SELECT id, greatest(0, least(10, coalesce(try_cast(nullif(regexp_extract(raw, '{SCORE.format(n='clue_score')}', 1), '') AS DOUBLE), 5)))::DOUBLE AS clue, greatest(0, least(10, coalesce(try_cast(nullif(regexp_extract(raw, '{SCORE.format(n='label_score')}', 1), '') AS DOUBLE), CASE WHEN id % 2 = 0 THEN 10 ELSE 0 END)))::DOUBLE AS label FROM {_RAW}"),
+    "consolidator_parse": (consolidator_parse, "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN doc_id::VARCHAR ELSE '' END AS reasoning, CASE doc_id % 5 WHEN 0 THEN 'hype' WHEN 4 THEN 'fear' ELSE 'neutral' END AS label, CASE doc_id % 5 WHEN 0 THEN round(doc_id % 7 / 10.0::DOUBLE, 6) WHEN 1 THEN 1.0 ELSE 0.5 END AS confidence, CASE doc_id % 5 WHEN 0 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS known, CASE WHEN doc_id % 5 = 0 THEN round(doc_id % 4 / (0.5::DOUBLE + doc_id % 4), 6) END AS sad FROM documents"),
     "substring_label": (substring_label, f"SELECT doc_id, {FIRST('text', ['sad', 'fear', 'hype', 'the'], 'neutral')} AS label FROM documents"),
     "genre_infer": (genre_infer, "WITH g AS (SELECT doc_id, source || '_' || (['moba', 'fps', 'horror', 'casual', 'rpg', 'mobile'])[(doc_id % 6 + 1)::INTEGER] || '_clip' AS stem FROM documents) SELECT doc_id, " + FIRST("stem", T.GENRES, "moba") + " AS genre FROM g"),
     "label_merge": (label_merge, "SELECT CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 0 END AS label, count(*) AS n FROM documents GROUP BY 1"),

@@ -29,3 +29,41 @@ def test_open_windows_wait(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     path = _folder(spark, tmp_path, [])
     assert W.drained(W.sessions(W.event_stream(spark, path, "*.parquet"), "1 hour", "0 minutes", "user_id"), "none").count() == 0
+
+
+def test_slow_windows_clear_the_buffer(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, at + dt.timedelta(seconds=i), 1, 1.0) for i in range(20)]
+    frames = W.event_stream(spark, _folder(spark, tmp_path, rows), "*.parquet")
+    frames = frames.select(F.col("user_id").alias("clip_id"), "ts", "event_id", F.when(F.col("event_id") == 6, 900.0).otherwise(5.0).alias("latency"))
+    got = sorted(tuple(r)[1:4] for r in W.drained(W.frame_windows(frames, 5, 2, 600.0), "slow").collect())
+    # The window that ends at 6 is dropped with the buffer; the next one ends five frames later.
+    assert got == [(0, 0, 4), (1, 7, 11), (2, 9, 13), (3, 11, 15), (4, 13, 17), (5, 15, 19)]
+
+
+def test_a_failing_listener_does_not_stop_the_stream(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    stream = W.event_stream(spark, _folder(spark, tmp_path, [(i, at, 1, 1.0) for i in range(4)]), "*.parquet")
+    seen = []
+
+    def emit(batch, number):
+        seen.append(batch.count())
+        raise ValueError("no")
+
+    query = W.emitting(stream, emit, str(tmp_path / "state"))
+    query.awaitTermination()
+    assert seen == [4] and query.exception() is None
+
+
+def test_polled_results_and_look_up(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    stream = W.event_stream(spark, _folder(spark, tmp_path, [(i, at, 1, 1.0) for i in range(4)]), "*.parquet")
+    query = W.polled(stream, "polled")
+    query.processAllAvailable()
+    query.stop()
+    assert W.window_by_id(spark.table("polled"), event_id=2)["user_id"] == 1
+    try:
+        W.window_by_id(spark.table("polled"), event_id=9)
+    except KeyError:
+        return
+    raise AssertionError("a window that is not there was found")
