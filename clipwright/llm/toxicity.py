@@ -1,17 +1,19 @@
 """Toxicity with a subsequence string kernel and a Nyström support vector machine.
 
-The unit is the word as a reader sees it: letters only, in lower case, with signs between
-them dropped ("id-iot", "m*o*r*o*n") and runs of single letters joined ("s c u m"). Two
+The unit is the word as a reader sees it, in lower case: runs of letters, and beside them
+what they make with the signs between them dropped ("id-iot", "m*o*r*o*n") or, single
+letters, with the spaces dropped ("s c u m"). A run longer than a word, such as a sentence
+without spaces, is read through windows of a few letters at every place. Two
 words are compared by the gap-weighted subsequence kernel of order three: every choice of
 three letters in order counts, weighted by DECAY for each letter it spans, so an inserted
 or lost letter costs a little and not everything. Landmark words span a Nyström
 approximation in which a squared-hinge support vector machine is trained.
 
-Labels are of whole texts, so sentences of toxic texts are labelled by what tells them
-from clean ones: a word is a positive example if it stands in sentences of several toxic
-texts and in (almost) no clean one, a negative if it stands in clean texts. Positives are
-also shown with a letter inserted; a second round adds the clean words that the first took
-for toxic. A text's score is a logistic function, fitted on the training texts, of its two
+Labels are of whole texts, so training is of multiple instances: a toxic text is a bag of
+words of which one at least is to be decided toxic, a clean text one of which none is. The
+first round starts from words that tell toxic bags from clean ones, shown with a letter
+inserted too. Each later round adds, for every toxic bag, its witness, the word that the
+round before decided sharpest, and the words of clean bags that it took for toxic. A text's score is a logistic function, fitted on the training texts, of its two
 sharpest words and of how many words it has, as a long text meets more by chance.
 """
 
@@ -46,16 +48,34 @@ LEARNT = 1 << 20
 NATS, APART = 9.0, 3
 CACHED = 400_000
 FEW = 20
+#: Tokens that are learnt, and letters of a long run that are read, at a time.
+FRESH, STRIP = 50_000, 4096
 THRESHOLD = 0.7
-LONGEST = 48
+#: Letters of a word; a longer run is read through windows of WINDOWS letters.
+LONGEST, WINDOWS = 24, (5, 7, 9)
+#: Signs are dropped between parts of so many letters at most, where the whole is no word.
+SHORT = 1
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?:(?<!\S)[^\W\d_](?:\s+|$)){3,}")
 
 
-def plain_word(token: str) -> str:
-    """Letters of a token in lower case; longer than LONGEST, its first and last halves."""
-    word = "".join(_LETTERS.findall(token)).lower()
-    return word if len(word) <= LONGEST else word[: LONGEST // 2] + word[-LONGEST // 2 :]
+def plain_words(token: str) -> list[str]:
+    """What a token says: its runs of letters, and what they make without the signs between,
+    all of them if that is a word, else neighbouring runs of SHORT letters."""
+    runs = _LETTERS.findall(token.lower())
+    if len(runs) < 2:
+        return runs
+    if sum(map(len, runs)) <= LONGEST:
+        return [*runs, "".join(runs)]
+    joined, held = [], []
+    for run in [*runs, " " * (SHORT + 1)]:
+        if len(run) <= SHORT:
+            held.append(run)
+        else:
+            if len(held) > 1:
+                joined.append("".join(held))
+            held = []
+    return runs + joined
 
 
 def tokens(text: str) -> set[str]:
@@ -175,7 +195,7 @@ class Model:
     def __init__(self, texts: list[tuple[str, int]], seed: int = 6):
         self.direction: Projection | None = None
         self.bias, self.weights = -1.0, np.array([1.0, 0.0, 0.0, -1.0])
-        sets = [({plain_word(t) for t in tokens(text)} - {""}, label) for text, label in texts]
+        sets = [({w for t in tokens(text) for w in plain_words(t) if len(w) <= LONGEST}, label) for text, label in texts]
         seen = [Counter(), Counter()]
         for words, label in sets:
             seen[label].update(w for w in words if len(w) >= 3)
@@ -196,6 +216,7 @@ class Model:
         told = np.array([seen[1][w] for w in positive], np.float64)
         clean = [w for w in common if w not in known and seen[1][w] <= seen[0][w]]
         negative = clean[: WORDS // 2] + [clean[i] for i in rng.integers(0, len(clean), WORDS // 4)]
+        bags = [sorted(w for w in words if len(w) >= 3 and w not in known and not seen[0][w]) for words, label in sets if label and not words & known]
         for turn in range(4):
             pool = positive[: LANDMARKS * 2] + negative[-LANDMARKS * 2 :] + negative[:LANDMARKS]
             used, rows = dense(pool)
@@ -209,10 +230,16 @@ class Model:
             w = train_svm(Projection(used, whiten)(words), y, np.r_[asked, asked, np.ones(len(negative))], np.r_[told, told, np.ones(len(negative))])
             self.direction, self.bias = Projection(used, (whiten @ w[:-1])[:, None]), float(w[-1])
             if turn < 3:
+                for bag in bags:
+                    if bag and (d := self.decide(bag)).max() > 0 and (w := bag[int(d.argmax())]) not in known:
+                        known.add(w)
+                        positive.append(w)
+                        asked, told = np.append(asked, 1.0), np.append(told, 1.0)
+                        inserted.append(w)
                 decisions = self.decide(clean)
                 hard = np.argsort(-decisions)[: WORDS // 8]
                 negative += [clean[i] for i in hard if decisions[i] > -0.7]
-        self._calibrate(sets)
+        self._calibrate(texts)
 
     def _telling(self, sets: list[tuple[set[str], int]], seen: list[Counter], share: float) -> dict[str, float]:
         """Words whose texts are toxic more often than chance allows, by their evidence."""
@@ -242,10 +269,13 @@ class Model:
         chosen = sorted((w for w in evidence if apart(texts[w])), key=lambda w: (-evidence[w], w))
         return {w: evidence[w] for w in chosen[: WORDS // 4]}
 
-    def _calibrate(self, sets: list[tuple[set[str], int]]) -> None:
+    def _calibrate(self, texts: list[tuple[str, int]]) -> None:
         """Logistic weights of the texts' evidence, by Newton steps; toxic texts count five times."""
-        x = self.design(np.array([evidence(self.decide(list(words))) for words, _ in sets]))
-        y = np.array([label for _, label in sets], np.float64)
+        scorer, found = _Scorer(self), []
+        for i, j in passes([len(t) for t, _ in texts], 2 << 20):
+            found += scorer.evidence([t for t, _ in texts[i:j]])
+        x = self.design(np.array(found))
+        y = np.array([label for _, label in texts], np.float64)
         weight, w, ridge = 1 + 4 * y, np.zeros(x.shape[1]), np.diag([0.1, 0.1, 0.1, 1e-6])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -274,12 +304,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.design(found) @ self.weights, -30, 30)))
 
 
-def evidence(decisions: np.ndarray) -> tuple[float, float, float]:
-    """(sharpest decision, second sharpest, number of words)."""
-    if len(decisions) < 2:
-        return (float(decisions.max(initial=-1.0)), -1.0, float(len(decisions)))
-    second, first = np.partition(decisions, -2)[-2:]
-    return float(first), float(second), float(len(decisions))
+def evidence(found: list[tuple[float, float, int]]) -> tuple[float, float, float]:
+    """(sharpest decision, second sharpest, number of words) of a text's tokens, of each the
+    same three."""
+    if not found:
+        return -1.0, -1.0, 0.0
+    first, second, words = (np.array(x, np.float64) for x in zip(*found, strict=True))
+    best = int(first.argmax())
+    rest = max(float(np.delete(first, best).max(initial=-1.0)), float(second[best]))
+    return float(first[best]), rest, float(words.sum())
 
 
 class _Scorer:
@@ -296,16 +329,37 @@ class _Scorer:
                 known[t] = d
             else:
                 fresh.append(t)
-        if fresh:
-            words = [plain_word(t) for t in fresh]
-            distinct = list(set(words))
-            decided = dict(zip(distinct, self.model.decide(distinct).tolist(), strict=True))
-            known.update(zip(fresh, map(decided.__getitem__, words), strict=True))
-        out = [evidence(np.fromiter(map(known.__getitem__, s), np.float64, len(s))) for s in sets]
+        for i in range(0, len(fresh), FRESH):
+            self._learn(fresh[i : i + FRESH])
+        out = [evidence([known[t] for t in s]) for s in sets]
         if len(known) > CACHED:
             self.older, self.recent = known, {}
         return out
 
+    def _learn(self, fresh: list[str]) -> None:
+        """The two sharpest of each token's words, and their number. A word's windows overlap, so
+        only the sharpest of them counts; a token is one of its runs or all of them joined."""
+        spoken = [(t, runs := _LETTERS.findall(t.lower()), plain_words(t)[len(runs) :]) for t in fresh]
+        distinct = list({w for _, runs, joined in spoken for w in (*runs, *joined) if len(w) <= LONGEST})
+        decided = dict(zip(distinct, self.model.decide(distinct).tolist(), strict=True))
+        for t, runs, joined in spoken:
+            found = sorted((self._word(w, decided) for w in runs), reverse=True)
+            first = max([d for d, _ in found[:1]] + [self._word(w, decided)[0] for w in joined], default=-1.0)
+            self.recent[t] = (first, found[1][0] if len(found) > 1 else -1.0, sum(n for _, n in found))
+
+    def _word(self, word: str, decided: dict[str, float]) -> tuple[float, int]:
+        """(decision, how many distinct words it counts for)."""
+        if len(word) <= LONGEST:
+            return decided[word], 1
+        best, seen = -1.0, set()
+        for i in range(0, len(word), STRIP):
+            strip = word[i : i + STRIP + max(WINDOWS) - 1]
+            windows = {strip[j : j + n] for n in WINDOWS for j in range(len(strip) - n + 1)} - seen
+            if windows:
+                best = max(best, float(self.model.decide(list(windows)).max()))
+                seen |= windows
+        return best, max(1, sum(len(w) == WINDOWS[0] for w in seen) // WINDOWS[0])
+
 
 def fit(labelled: DataFrame, characters: int = CHARACTERS, learnt: int = LEARNT) -> Model:
     """Fits on rows ``(doc_id, text, toxic)``: of each label the texts of up to ``learnt``

@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 from clipwright.llm.common import table
-from clipwright.llm.toxicity import DECAY, SPAN, Projection, dense, detect, fit, plain_word, predict, tokens
+from clipwright.llm.toxicity import DECAY, SPAN, Projection, dense, detect, fit, plain_words, predict, tokens
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,29 @@ def test_planted_spellings(spark, model):
     assert [got[i] for i in range(100, 105)] == [0] * 5
 
 
+def test_insults_in_texts_without_spaces(spark, model):
+    clean = "the weather is calm today and the report says {} about the plan for the week ahead"
+    bad, good = clean.format("you idiot"), clean.format("nothing")
+    forms = [lambda t: t, lambda t: t.replace(" ", ""), lambda t: t.replace(" ", "-"), lambda t: t.replace(" ", ","), lambda t: f"https://x.org/{t.replace(' ', '/')}?q=1", lambda t: t.replace(" ", "") * 300]
+    rows = [(i, f(bad)) for i, f in enumerate(forms)] + [(100 + i, f(good)) for i, f in enumerate(forms)] + [(50, clean.format("calm/idiot")), (51, good.replace(" ", "") * 300 + "idiot")]
+    got = {r.doc_id: r.predicted for r in predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all(p == (i < 100) for i, p in got.items()), got
+
+
+def test_score_by_a_direct_computation(spark, model):
+    """Decisions by the kernel's features and score by the logistic function, word by word."""
+    text = "you pathetic id-iot said the man, calm as ever"
+    words = ["you", "pathetic", "id", "iot", "idiot", "said", "the", "man", "calm", "as", "ever"]
+    d = dict(zip(words, model.decide(words), strict=True))
+    tokens_ = [(d["you"],), (d["pathetic"],), (max(d["id"], d["iot"], d["idiot"]), min(d["id"], d["iot"])), (d["said"],), (d["the"],), (d["man"],), (d["calm"],), (d["as"],), (d["ever"],)]
+    first = max(t[0] for t in tokens_)
+    rest = sorted((x for t in tokens_ for x in t), reverse=True)
+    second = rest[1]
+    x = np.array([np.clip(first, -1, 3), np.clip(second, -1, 2), np.log1p(20) / 4, 1.0])
+    (got,) = predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    assert abs(got.score - 1 / (1 + np.exp(-x @ model.weights))) < 1e-9
+
+
 def test_kernel_by_enumeration():
     words = ["aba", "abab", "idiot", "idxiot", "élan", "bbb"]
 
@@ -57,7 +80,9 @@ def test_kernel_by_enumeration():
 
 
 def test_words():
-    assert plain_word("M*o-r.o_N1!") == "moron" and plain_word("123") == "" and len(plain_word("x" * 900)) == 48
+    assert plain_words("M*o-r.o_N1!")[-1] == "moron" and plain_words("123") == [] and plain_words("x" * 900) == ["x" * 900]
+    assert plain_words("calm/idiot") == ["calm", "idiot", "calmidiot"]
+    assert plain_words("a-very-very-long-way-i-d-i-o-t-to-say-so")[-1] == "idiot"
     assert "scum" in tokens("you s c u m here") and tokens("") == set()
 
 
