@@ -2,46 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy pass takes at a time inside a Python task.
-PASS_BYTES = 4 << 20
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables, read lazily."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from clipwright.sources.tables import discard, fresh_path, stored, table
 
+__all__ = [
+    "bucketed", "connected_components", "discard", "drop_rows", "in_blocks", "keyed", "merged_roots", "pairs", "passes", "residue_filter", "stored", "table", "tasks_of",
+    "text_bytes", "whole_groups",
+]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (a local test) is a folder of our own made and set.
-    """
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="clipwright-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage with files that outlive any executor, and computes ``df`` once
-    however often the result is used.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that one numpy pass takes at a time inside a Python task.
+PASS_BYTES = 4 << 20
 
 
 def tasks_of(df: DataFrame) -> int:
@@ -52,8 +28,9 @@ def tasks_of(df: DataFrame) -> int:
 def bucketed(df: DataFrame, tag: str, key: str) -> DataFrame:
     """Write ``df`` into the shared folder in buckets of ``key`` and read it back as a table:
     joins on ``key`` leave it where it is. The session's catalog lists it under ``tag``."""
-    spark, tasks, name = df.sparkSession, tasks_of(df), f"{tag}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
+    spark, tasks = df.sparkSession, tasks_of(df)
+    path = fresh_path(spark, tag)
+    name = path.rpartition("/")[2].replace("-", "_")
     df.repartition(tasks, key).write.bucketBy(tasks, key).format("parquet").option("path", path).saveAsTable(name)
     return spark.table(name)
 
@@ -146,10 +123,73 @@ def residue_filter(rows: DataFrame, needed: DataFrame, keys: list[str], residues
     return rows.join(F.broadcast(wanted), residue == F.col("_residue"), "left_semi")
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables made by ``stored`` that nothing still to be computed reads."""
-    for df in tables:
-        folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-        for folder in folders:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+#: Pairs compared at once.
+PAIRS = 100_000
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches regrouped so that no group is cut: (rows, place of each row's group)."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        if len(held) == 0:
+            continue
+        group = _group_numbers(held, n_keys)
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield held.slice(0, cut), group[:cut]
+            held = held.slice(cut).combine_chunks()
+    if held is not None and len(held):
+        yield held, _group_numbers(held, n_keys)
+
+
+def _group_numbers(rows: pa.Table, n_keys: int) -> np.ndarray:
+    new = np.zeros(len(rows), bool)
+    for i in range(n_keys):
+        key = rows.column(i).to_numpy()
+        new[1:] |= key[1:] != key[:-1]
+    return np.cumsum(new)
+
+
+def pairs(group: np.ndarray, side: np.ndarray, cross: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows in one group; of a group of two blocks, pairs across them."""
+    ends = np.searchsorted(group, group, "right")
+    left = np.arange(len(group))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, step = 0, 1
+    while True:
+        left = left[left + step < ends[left]]
+        if not len(left):
+            break
+        fits = ~cross[left] | (side[left] != side[left + step])
+        held.append((left[fits], left[fits] + step))
+        size += int(fits.sum())
+        step += 1
+        if size >= PAIRS:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def merged_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots after joining rows i to rows j: the least row reachable."""
+    while True:
+        before = root.copy()
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def in_blocks(rows: DataFrame, bucket: list[str], key: str, block: int) -> DataFrame:
+    """``rows`` with ``bi``, ``bj`` and ``own``: each bucket of over ``block`` rows is dealt
+    out in blocks of about that size, each against each, so that no task gets it whole."""
+    sizes = rows.groupBy(*bucket).count().filter(F.col("count") > block)
+    blocks = F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
+    dealt = rows.join(sizes, bucket, "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(*rows.columns, F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own")

@@ -26,17 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipwright.llm.common import connected_components, stored
+from clipwright.llm.common import connected_components, merged_roots, pairs, stored, whole_groups
 
 THRESHOLD = 0.93
 RECALL = 0.97
 #: Bounds of the sample that the rotations are learned on: vectors and bytes.
 SAMPLE, SAMPLE_BYTES = 8192, 64 << 20
 BLOCK = 256
-#: Tables at most; the measured recall tells if they do not suffice.
+#: Tables that are aimed at; substrings are shortened until so many reach the recall.
 MOST_TABLES = 64
-#: Pairs compared at once.
-PAIRS = 100_000
+#: Bits of a substring: one int of the row.
+MOST_BITS = 30
 KEYS = ["label", "dim", "t", "chunk", "bi", "bj"]
 
 
@@ -98,10 +98,17 @@ class _Projection:
     signs = Codes.signs
 
 
-def tables_needed(differing: np.ndarray, bits: int, recall: float) -> int:
-    """Tables that find the measured pairs at the threshold with probability ``recall``."""
-    alike = (1 - differing) ** bits
-    return next((t for t in range(1, MOST_TABLES) if (1 - (1 - alike) ** t).mean() >= recall), MOST_TABLES)
+def tables_needed(differing: np.ndarray, bits: int, recall: float) -> tuple[int, int]:
+    """(bits, tables) that find the measured pairs at the threshold with probability
+    ``recall``: substrings of ``bits`` or fewer, so that MOST_TABLES suffice. Shorter ones
+    make buckets larger, which blocks bound; substrings of one bit need no more than the
+    pairs' own bits to agree once, so some length always does, or there is none to find."""
+    for b in range(bits, 0, -1):
+        alike = (1 - differing) ** b
+        for t in range(1, MOST_TABLES + 1):
+            if (1 - (1 - alike) ** t).mean() >= recall:
+                return b, t
+    raise ValueError("no number of tables reaches the recall: codes of these vectors tell nothing")
 
 
 def _usable(vector: Column) -> Column:
@@ -137,52 +144,6 @@ def _codes(classes: DataFrame, models: dict[int, Codes], bits: int, tables: int)
     return rows.mapInArrow(each, "rep long, label long, dim int, mult long, code binary, chunks array<int>")
 
 
-def _whole_groups(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Sorted batches regrouped so that no group is cut: (rows, place of each row's group)."""
-    held: pa.Table | None = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        held = rows if held is None else pa.concat_tables([held, rows])
-        if len(held) == 0:
-            continue
-        group = _group_numbers(held, n_keys)
-        cut = int(np.searchsorted(group, group[-1]))
-        if cut:
-            yield held.slice(0, cut), group[:cut]
-            held = held.slice(cut).combine_chunks()
-    if held is not None and len(held):
-        yield held, _group_numbers(held, n_keys)
-
-
-def _group_numbers(rows: pa.Table, n_keys: int) -> np.ndarray:
-    new = np.zeros(len(rows), bool)
-    for i in range(n_keys):
-        key = rows.column(i).to_numpy()
-        new[1:] |= key[1:] != key[:-1]
-    return np.cumsum(new)
-
-
-def _pairs(group: np.ndarray, side: np.ndarray, cross: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows in one group; of a group of two blocks, pairs across them."""
-    ends = np.searchsorted(group, group, "right")
-    left = np.arange(len(group))
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size, step = 0, 1
-    while True:
-        left = left[left + step < ends[left]]
-        if not len(left):
-            break
-        fits = ~cross[left] | (side[left] != side[left + step])
-        held.append((left[fits], left[fits] + step))
-        size += int(fits.sum())
-        step += 1
-        if size >= PAIRS:
-            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-            held, size = [], 0
-    if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-
-
 def _code_matrix(column: pa.ChunkedArray) -> np.ndarray:
     codes = column.to_pylist()
     return np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
@@ -204,11 +165,11 @@ def _active(codes: DataFrame, most: int) -> DataFrame:
     shared = shared.select(*bucket, F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "mult", "block", "code")
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, group in _whole_groups(batches, len(KEYS)):
+        for rows, group in whole_groups(batches, len(KEYS)):
             code, side = _code_matrix(rows.column("code")), rows.column("block").to_numpy()
             cross = rows.column("bi").to_numpy() != rows.column("bj").to_numpy()
             keep = np.zeros(len(rows), bool)
-            for i, j in _pairs(group, side, cross):
+            for i, j in pairs(group, side, cross):
                 near = np.bitwise_count(code[i] ^ code[j]).sum(axis=1) <= most
                 keep[i[near]] = True
                 keep[j[near]] = True
@@ -222,7 +183,7 @@ def _judged(active: DataFrame, threshold: float, bits: int) -> DataFrame:
     schema = "rep long, root long, links long"
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, group in _whole_groups(batches, len(KEYS)):
+        for rows, group in whole_groups(batches, len(KEYS)):
             rep, mult, side, t = (rows.column(c).to_numpy() for c in ("rep", "mult", "block", "t"))
             cross = rows.column("bi").to_numpy() != rows.column("bj").to_numpy()
             dims = rows.column("dim").to_numpy()
@@ -233,7 +194,7 @@ def _judged(active: DataFrame, threshold: float, bits: int) -> DataFrame:
                 here = np.flatnonzero(dims == dim)
                 vectors[here, :dim] = unit(_matrix(lists.take(pa.array(here))))
             links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
-            for i, j in _pairs(group, side, cross):
+            for i, j in pairs(group, side, cross):
                 linked = np.einsum("ij,ij->i", vectors[i], vectors[j]) >= threshold
                 i, j = i[linked], j[linked]
                 if not len(i):
@@ -245,14 +206,7 @@ def _judged(active: DataFrame, threshold: float, bits: int) -> DataFrame:
                 i, j = i[~earlier], j[~earlier]
                 np.add.at(links, i, mult[j])
                 np.add.at(links, j, mult[i])
-                while True:
-                    before = root.copy()
-                    low = np.minimum(root[i], root[j])
-                    np.minimum.at(root, i, low)
-                    np.minimum.at(root, j, low)
-                    root = root[root]
-                    if (root == before).all():
-                        break
+                root = merged_roots(root, i, j)
             out = np.flatnonzero(links)
             if len(out):
                 yield pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(rep[root[out]]), pa.array(links[out])], ["rep", "root", "links"])
@@ -279,9 +233,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
         some = classes.filter(F.col("dim") == r.dim).orderBy(F.xxhash64("rep"), "rep").limit(max(64, min(SAMPLE, SAMPLE_BYTES // (8 * r.dim))))
         sample = unit(np.array([x.embedding for x in some.select("embedding").toLocalIterator()], np.float64))
         models[r.dim] = Codes(thinned(sample, threshold), threshold)
-    bits = max(8, min(20, round(log2(max([2, *(r.largest for r in sizes)])))))
+    bits = max(8, min(MOST_BITS, round(log2(max([2, *(r.largest for r in sizes)])))))
     differing = np.concatenate([np.zeros(1), *(m.differing for m in models.values())])
-    tables = tables_needed(differing, bits, recall)
+    bits, tables = tables_needed(differing, bits, recall)
     for m in models.values():
         m.widen(bits * tables)
     mean, spread = differing.mean(), differing.std()

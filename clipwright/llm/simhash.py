@@ -3,33 +3,36 @@
 A fingerprint has eight bytes. Two fingerprints at most four bits apart differ in at most
 four of them, so they share at least four (byte position, byte value) entries: the
 guaranteed minimum. An inverted list of a single entry holds 1/256 of a corpus, which makes
-the plain tally quadratic, so the lists here are kept for *groups* of four positions: a
-pair meets in a list exactly when it shares those four entries at once. The tally of shared
-positional bytes is taken where a pair meets, the pair is kept if the tally reaches the
-minimum, in the first list of those it meets in only, and the Hamming distance verifies it.
-List lengths then follow N / 2**32 and the index has 70 rows per distinct fingerprint at
-every size.
+a plain tally quadratic, so a list here is that of three positions at once. Of any four
+positions, three are those of one of twenty lists (``families``), so a pair that shares four
+entries meets in one list at least. Where pairs meet, their shared positional bytes are
+tallied; those that reach the minimum are kept, and the Hamming distance verifies them.
+Lists hold N / 2**24 rows, and the index has 20 rows per distinct fingerprint at every size.
+
+Lists of over BLOCK rows are dealt out in blocks against each other, and what comes back are
+the edges of a forest for each, not the pairs: a family of near copies costs a row each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipwright.llm.common import connected_components, drop_rows, keyed, stored, text_bytes
+from clipwright.llm.common import connected_components, drop_rows, in_blocks, keyed, merged_roots, pairs, stored, tasks_of, text_bytes, whole_groups
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
 #: Shingles whose 64 bits are counted at once.
 COUNT_BLOCK = 1 << 16
+#: Rows of a list that one task compares with each other.
+BLOCK = 1024
 
 
 def fingerprint(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -67,38 +70,51 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, fp long")
 
 
-def _byte(fp: Column, position: int) -> Column:
-    return F.shiftrightunsigned(fp, 8 * position).bitwiseAND(F.lit(255))
+def families(least: int) -> list[tuple[int, ...]]:
+    """Sets of ``least - 1`` byte positions such that any ``least`` positions hold one of them.
 
+    For four: the positions are put into three classes; three of a class, and two of a class
+    with one of the next, are the lists. Else all sets from the first seven positions."""
+    if least < 2:
+        return [()]
+    if least != 4:
+        return list(combinations(range(7), least - 1))
+    place = [0, 0, 0, 1, 1, 1, 2, 2]
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs ``(a, b)`` of ``nodes (rep long, fp long)`` at most ``max_bits`` (0..7) bits apart.
+    def listed(three: tuple[int, ...]) -> bool:
+        counts = [sum(place[p] == c for p in three) for c in range(3)]
+        return max(counts) == 3 or any(counts[c] == 2 and counts[(c + 1) % 3] == 1 for c in range(3))
 
-    ``fp`` must be distinct. No pair of different fingerprints within the distance is lost.
-    """
+    return [g for g in combinations(range(8), 3) if listed(g)]
+
+
+def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Edges ``(a, b)`` that join the ``nodes (rep long, fp long)`` at most ``max_bits`` (0..7)
+    bits apart into the components that all such pairs make. ``fp`` must be distinct."""
     least = 8 - max_bits
-    groups = list(combinations(range(8), least))
-    assert len(groups) == comb(8, least)
-    masks = [sum(255 << (8 * p) for p in g) for g in groups]
+    masks = [sum(255 << (8 * p) for p in g) for g in families(least)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     lists = nodes.select("rep", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("g", "entry"))
-    x, y = lists.alias("x"), lists.alias("y")
-    differing = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
-    same = [_byte(differing, p) == 0 for p in range(8)]
-    tally = sum((s.cast("int") for s in same[1:]), same[0].cast("int"))
-    # Meeting in list g: the pair's first `least` shared positions are those of g, i.e. the
-    # number of shared positions up to the last one of g is `least` already.
-    last = F.element_at(F.array(*[F.lit(g[-1]) for g in groups]), F.col("x.g") + 1)
-    upto = sum((F.when(s & (F.lit(p) <= last), 1).otherwise(0) for p, s in enumerate(same[1:], 1)), same[0].cast("int"))
-    met = (
-        (F.col("x.g") == F.col("y.g"))
-        & (F.col("x.entry") == F.col("y.entry"))
-        & (F.col("x.fp") < F.col("y.fp"))
-        & (F.bit_count(differing) <= max_bits)
-        & (tally >= least)
-        & (upto == least)
-    )
-    return x.join(y, met).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    keys = ["g", "entry", "bi", "bj"]
+    dealt = in_blocks(lists, ["g", "entry"], "rep", BLOCK).select(*keys, "own", "rep", "fp")
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, group in whole_groups(batches, len(keys)):
+            rep, fp, side = (rows.column(c).to_numpy() for c in ("rep", "fp", "own"))
+            cross = rows.column("bi").to_numpy() != rows.column("bj").to_numpy()
+            values = np.ascontiguousarray(fp).view(np.uint64)
+            held, root = values.view(np.uint8).reshape(-1, 8), np.arange(len(rows))
+            for i, j in pairs(group, side, cross):
+                tally = (held[i] == held[j]).sum(axis=1) >= least
+                i, j = i[tally], j[tally]
+                near = np.bitwise_count(values[i] ^ values[j]) <= max_bits
+                if near.any():
+                    root = merged_roots(root, i[near], j[near])
+            out = np.flatnonzero(root != np.arange(len(rows)))
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(rep[root[out]])], ["a", "b"])
+
+    return dealt.repartition(tasks_of(dealt), *keys).sortWithinPartitions(*keys).mapInArrow(each, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:

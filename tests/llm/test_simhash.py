@@ -1,10 +1,12 @@
 """SimHash against all pairs on a fixture, and the defined edge cases."""
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 import xxhash
 from clipwright.llm.common import connected_components, table
-from clipwright.llm.simhash import fingerprint, keep_one_per_component, links, near_duplicates
+from clipwright.llm.simhash import families, fingerprint, keep_one_per_component, links, near_duplicates
 
 
 def plain_fingerprint(text):
@@ -52,7 +54,7 @@ def test_fingerprint_edges(text):
     assert fingerprint((text or "").encode()) == plain_fingerprint(text)
 
 
-def test_links_lose_no_pair(spark):
+def test_links_lose_no_pair(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = [int(x) for x in rng.integers(0, 2**63, 12)]
     fps = {0, (1 << 64) - 1}
@@ -62,10 +64,18 @@ def test_links_lose_no_pair(spark):
             fps.add(b ^ sum(1 << int(i) for i in flips))
     fps = sorted(fps)
     rows = [(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)]
-    found = links(spark.createDataFrame(rows, "rep long, fp long")).collect()
-    pairs = [tuple(sorted((r.a, r.b))) for r in found]
-    want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 4}
-    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    for block in (1024, 3):
+        monkeypatch.setattr("clipwright.llm.simhash.BLOCK", block)
+        found = links(spark.createDataFrame(rows, "rep long, fp long"))
+        named = {r.node: r.component for r in connected_components(found).collect()}
+        assert [named.get(i, i) for i in range(len(fps))] == plain_components(list(range(len(fps))), fps)
+
+
+@pytest.mark.parametrize("least", range(1, 9))
+def test_any_shared_positions_hold_a_list(least):
+    for shared in combinations(range(8), least):
+        assert any(set(g) <= set(shared) for g in families(least))
+    assert len(families(4)) == 20
 
 
 def test_edges_of_the_operator(spark):
