@@ -2,10 +2,15 @@
 
 Turns are set in a template of control strings; in texts every opening character of one is
 followed by a backslash (and a backslash is doubled), so no control string survives in a
-text and the text can be restored. Prefix sums of turn tokens choose windows of whole
-turns: a window holds the conversation's first system turn, a limited history of turns
+text and the text can be restored. A turn ends with a line feed, at which the tokenizer always cuts, so
+a window has as many tokens as its turns together, as they are written. Prefix sums of
+these choose windows of whole turns: a window holds the conversation's first system turn, a limited history of turns
 that were shown before, and new turns up to the budget. Only new assistant turns are under
 the loss mask, so each is learned once.
+
+A conversation is dealt out in segments of SEGMENT turn numbers, in each of which windows
+begin anew; what a segment needs of those before it, the system turn and the last turns, is
+brought to it. So a conversation that is a third of the table is many tasks.
 """
 
 from __future__ import annotations
@@ -19,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipwright.llm.common import tasks_of
 from clipwright.llm.token_ids import default_path, encoder
 
 BUDGET = 1024
 #: Turns of history repeated in a window, and the share of the budget they may take.
 HISTORY, HISTORY_SHARE = 2, 4
+#: Turn numbers of a segment, and the part of a window's number that counts inside one.
+SEGMENT, NUMBER_BITS = 4096, 32
 BEGIN = "<s>"
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("[ANS]", "</s>")}
 OTHER, OTHER_TEXT, OTHER_END = "[ROLE]", "[/ROLE]", "[/TURN]"
@@ -43,13 +51,13 @@ def unescape(text: str) -> str:
 
 
 def render(role: str, text: str) -> tuple[str, int, int]:
-    """(a turn in the template, begin and end of its escaped text)."""
+    """(a turn in the template, with the line feed behind; begin and end of its escaped text)."""
     body = escape(text)
     if role in MARKS:
         before, after = MARKS[role]
     else:
         before, after = f"{OTHER}{escape(role)}{OTHER_TEXT}", OTHER_END
-    return before + body + after, len(before), len(before) + len(body)
+    return f"{before}{body}{after}\n", len(before), len(before) + len(body)
 
 
 def parse(window: str) -> Iterator[tuple[str, str, int]]:
@@ -75,6 +83,7 @@ class _Conversation:
     conv_id: int | None
     budget: int
     history: int
+    begin_tokens: int = 0
     number: int = 0
     system: _Turn | None = None
     shown: list[_Turn] = field(default_factory=list)
@@ -99,12 +108,19 @@ class _Conversation:
         return [self.system, *kept] if self.system else kept
 
     def _base(self) -> int:
-        return sum(t.tokens for t in self._repeated())
+        return self.begin_tokens + sum(t.tokens for t in self._repeated())
+
+    def recall(self, turn: _Turn, is_system: bool) -> None:
+        """Takes a turn that an earlier segment has shown."""
+        if is_system:
+            self.system = turn
+        elif self.history:
+            self.shown = [*self.shown, turn][-self.history :]
 
     def flush(self) -> tuple:
         """The window as a row: (conv_id, window, text, repeated turns, turns, loss spans)."""
         repeated = self._repeated()
-        if len(self.fresh) == 1 and sum(t.tokens for t in repeated) + self.fresh[0].tokens > self.budget:
+        if len(self.fresh) == 1 and self._base() + self.fresh[0].tokens > self.budget:
             repeated = [self.system] if self.system else []
         parts, loss, at = [BEGIN], [], len(BEGIN)
         for i, turn in enumerate([*repeated, *self.fresh]):
@@ -130,51 +146,87 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
 
 
-def with_tokens(turns: DataFrame, path: str | None = None) -> DataFrame:
-    """``(conv_id, turn, role, text, tokens)``; null role and text count as empty."""
+def with_tokens(turns: DataFrame, path: str | None = None, *keep: str) -> DataFrame:
+    """``(conv_id, turn, role, text, tokens)``, tokens of the turn as it is written, and the
+    columns ``keep``; null role and text count as empty."""
     path = path or default_path()
-    names = ["conv_id", "turn", "role", "text", "tokens"]
+    names = ["conv_id", "turn", "role", "text", *keep, "tokens"]
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = encoder(path).encode(batch.column(3).to_pylist())
+            ids = encoder(path).encode([render(r, t)[0] for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(i) // 4 for i in ids], pa.int64())], names)
 
-    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(each, "conv_id long, turn long, role string, text string, tokens long")
+    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), *keep)
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema[4:])
+    return rows.mapInArrow(each, f"conv_id long, turn long, role string, text string{kinds}, tokens long")
 
 
-def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, path: str | None = None) -> DataFrame:
-    """The formatted windows, ``WINDOWS``.
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, path: str | None = None, segment: int = SEGMENT) -> DataFrame:
+    """The formatted windows, ``WINDOWS``; a conversation's are in the order of ``window``.
 
     Turns are taken in the order of turn, then role and text (ties, repeated rows and null
-    turns first are kept as they come in it). A turn larger than the budget has a window of
-    its own beside the system turn. Conversations pass in order through a task that holds
-    one window and the history at a time, however long they are.
+    turns first are kept as they come in it). No window has more tokens than ``budget`` but
+    one with a single new turn, which may be larger alone or beside the system turn. A task
+    holds one window and the history at a time, however many turns a segment has.
     """
-    order = ["conv_id", "turn", "role", "text"]
-    running = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    summed = with_tokens(turns, path).withColumn("prefix", F.sum("tokens").over(running))
-    summed = summed.sortWithinPartitions(*order, "prefix").select("conv_id", "role", "text", "tokens", "prefix")
+    path = path or default_path()
+    begin_tokens = len(encoder(path).encode([BEGIN])[0]) // 4
+    rows = with_tokens(turns, path).withColumn("segment", F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(1 << 31))))
+    dealt = rows.withColumn("kind", F.lit(2)).unionByName(_carried(turns, path, segment, history))
+    order = ["conv_id", "segment", "kind", "turn", "role", "text"]
+    running = Window.partitionBy("conv_id", "segment").orderBy("kind", "turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.repartition(tasks_of(dealt), "conv_id", "segment").withColumn("prefix", F.sum(F.when(F.col("kind") == 2, F.col("tokens")).otherwise(0)).over(running))
+    summed = summed.sortWithinPartitions(*order, "prefix").select("conv_id", "segment", "kind", "role", "text", "tokens", "prefix")
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Conversation | None = None
+        at = None
         for batch in batches:
-            rows: list[tuple] = []
-            for conv_id, role, text, tokens, prefix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now is None or now.conv_id != conv_id:
+            made: list[tuple] = []
+            for conv_id, number, kind, role, text, tokens, prefix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now is None or at != (conv_id, number):
                     if now is not None:
-                        rows.append(now.flush())
-                    now = _Conversation(conv_id, budget, history)
-                rows.extend(now.add(_Turn(role, text, tokens), prefix))
-            if rows:
-                yield _batch(rows)
+                        made.append(now.flush())
+                    at, now = (conv_id, number), _Conversation(conv_id, budget, history, begin_tokens, number << NUMBER_BITS)
+                if kind < 2:
+                    now.recall(_Turn(role, text, tokens), kind == 0)
+                else:
+                    made.extend(now.add(_Turn(role, text, tokens), prefix))
+            if made:
+                yield _batch(made)
         if now is not None:
             yield _batch([now.flush()])
 
     return summed.mapInArrow(each, WINDOWS)
 
 
+def _carried(turns: DataFrame, path: str, segment: int, history: int) -> DataFrame:
+    """What segments need of earlier ones: the conversation's first system turn (kind 0) and
+    the last ``history`` other turns (kind 1), as rows of the segment they are brought to.
+    Only conversations of several segments have any, and only turn numbers tell which."""
+    number = F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(1 << 31)))
+    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("segment", number)
+    segments = rows.groupBy("conv_id", "segment").agg(F.max("turn").alias("last"))
+    conversation = Window.partitionBy("conv_id").orderBy("segment")
+    # A row for each segment, not for each turn.
+    after = segments.withColumn("next", F.lead("segment").over(conversation)).filter("next is not null").select(F.col("conv_id").alias("id"), F.col("segment").alias("of"), "next")
+    same = F.col("conv_id").eqNullSafe(F.col("id"))
+    split = after.select("id").distinct()
+    mine = rows.join(split, same, "left_semi")
+    first = F.min(F.when(F.col("role") == "system", F.struct("turn", "role", "text", "segment")))
+    system = mine.groupBy("conv_id").agg(first.alias("s")).filter("s is not null")
+    told = system.select(F.col("conv_id"), "s").join(after, same).filter(F.col("next") > F.col("s.segment"))
+    told = told.select("conv_id", F.col("s.turn").alias("turn"), F.col("s.role").alias("role"), F.col("s.text").alias("text"), F.col("next").alias("segment"), F.lit(0).alias("kind"))
+    named = system.select(F.col("conv_id").alias("sid"), F.col("s.turn").alias("st"), F.col("s.text").alias("sx"))
+    others = mine.join(named, F.col("conv_id").eqNullSafe(F.col("sid")), "left")
+    is_it = (F.col("role") == "system") & F.col("turn").eqNullSafe(F.col("st")) & (F.col("text") == F.col("sx"))
+    back = F.row_number().over(Window.partitionBy("conv_id", "segment").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")))
+    tail = others.filter(~F.coalesce(is_it, F.lit(False))).withColumn("back", back).filter(F.col("back") <= history)
+    tail = tail.join(after, same & (F.col("segment") == F.col("of"))).select("conv_id", "turn", "role", "text", F.col("next").alias("segment"), F.lit(1).alias("kind"))
+    return with_tokens(told.unionByName(tail), path, "segment", "kind")
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """``(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)`` from
     the windows alone. Digests are updated turn by turn; nothing of a conversation is kept."""

@@ -4,8 +4,10 @@ import hashlib
 import random
 
 import pytest
-from clipwright.llm.chat_format import BEGIN, escape, parse, read_back, render, unescape, windows, with_probe, with_tokens
+from clipwright.llm.chat_format import BEGIN, BUDGET, escape, parse, read_back, render, unescape, windows, with_probe, with_tokens
 from clipwright.llm.common import table
+from clipwright.llm.token_ids import default_path
+from tokenizers import Tokenizer
 
 
 def plain(rows):
@@ -39,6 +41,34 @@ def test_given_conversations_and_the_probe(spark, sf):
     compare(spark, rows)
 
 
+def within_budget(made, budget):
+    """By the tokenizer itself, on whole windows: only a single new turn may exceed the budget."""
+    tokenizer = Tokenizer.from_file(default_path())
+    for r, encoded in zip(made, tokenizer.encode_batch([r.text for r in made], add_special_tokens=False), strict=True):
+        assert len(encoded.ids) <= budget or r.turns - r.repeated == 1, (len(encoded.ids), r.turns, r.repeated)
+
+
+def test_budget_counts_what_is_written(spark, sf):
+    rows = [tuple(r) for r in with_probe(table(spark, sf, "conversations")).collect()]
+    rows += [(77, i, ("user", "assistant")[i % 2], "ok") for i in range(3000)] + [(78, i, ("user", "assistant")[i % 2], "<\\[a]" * (i % 40)) for i in range(300)]
+    within_budget(compare(spark, rows), BUDGET)
+    within_budget(compare(spark, rows, budget=40), 40)
+
+
+def test_a_giant_conversation_is_many_segments(spark):
+    """One conversation of 20,000 turns in segments of 500: budget, system turn and history hold
+    across them, and nothing is lost or learned twice."""
+    rows = [(1, 3, "system", "be kind")] + [(1, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(20_000) if i % 5000 > 1000 or i < 400]
+    rows += [(2, i * 100_000, "user", str(i)) for i in range(5)] + [(None, i * 4000, "assistant", str(i)) for i in range(4)]
+    made = compare(spark, rows, segment=500, budget=200)
+    within_budget(made, 200)
+    own = sorted((r for r in made if r.conv_id == 1), key=lambda r: r.window)
+    for before, r in zip(own, own[1:], strict=False):
+        turns = [(role, text) for role, text, _ in parse(r.text)]
+        last = [(role, text) for role, text, _ in parse(before.text) if role != "system"]
+        assert turns[0] == ("system", "be kind") and turns[1 : r.repeated] == last[-2:][: r.repeated - 1 or None]
+
+
 def test_windows_keep_the_rules(spark):
     rng = random.Random(2)
     rows = [(1, 0, "system", "be brief and kind")] + [(1, i, ("user", "assistant")[i % 2 == 0], " ".join(rng.choices(["alpha", "beta", "gamma"], k=rng.randint(1, 12)))) for i in range(1, 400)]
