@@ -4,8 +4,10 @@ Every text is cut where a rolling hash of its last 16 bytes hits a pattern, so e
 have equal cuts. A chunk is named by (hash, length); names that occur more than once are
 verified: their bytes are shuffled, distinct per task first, and different bytes under one
 name are told apart by a rank. A text then *is* its recipe, the ordered list of verified
-names, and only recipes are grouped and joined: documents themselves never move, and a
-chunk moves once from each task that holds it.
+names, and only recipes are grouped and joined. To verify names, a chunk moves once from
+each task that holds it, if its name may occur elsewhere: a filter of bounded size tells,
+which lets most through from some millions of repeated names on (then every chunk moves once
+from each task; the result is the same).
 """
 
 from __future__ import annotations

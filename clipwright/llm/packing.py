@@ -25,8 +25,9 @@ from clipwright.llm.token_ids import default_path, encoder
 CAPACITY = 2048
 END_ID = 1
 SMALL = 64
-#: Pieces in a share of a class, that is, in one task's window.
-SHARE = 20_000
+#: Pieces in a share of a class, that is, in one window (ten bins' worth at least), and
+#: leftover pieces that are packed together.
+SHARE, BINS, TAIL = 1_000, 10, 10_000
 
 
 @cache
@@ -107,7 +108,7 @@ def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     parts = parts.withColumn("k", F.floor(F.lit(capacity) / F.col("length")).cast("int"))
     # At most `capacity` classes, so this broadcast has a fixed bound.
-    shares = parts.groupBy("k").agg(F.ceil(F.count("*") / F.greatest(F.lit(SHARE), F.col("k") * 100)).alias("shares"))
+    shares = parts.groupBy("k").agg(F.ceil(F.count("*") / F.greatest(F.lit(SHARE), F.col("k") * BINS)).alias("shares"))
     salted = parts.join(F.broadcast(shares), "k").withColumn("share", F.pmod(F.xxhash64("doc_id", "start"), F.col("shares")))
     share = Window.partitionBy("k", "share")
     ordered = share.orderBy("doc_id", "start", "ids_crc32")
@@ -122,7 +123,7 @@ def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     full = full.select(*columns, number.alias("sequence_id"), "offset")
 
     rest = placed.filter((F.col("bin") + 1) * F.col("k") > F.col("n")).select(*columns)
-    groups = max(1, -(-rest.count() // SHARE))
+    groups = max(1, -(-rest.count() // TAIL))
     rest = rest.withColumn("share", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
     schema = f"{PIECE}, share long, bin long, offset long"
     tail = rest.select(*PIECE_COLUMNS, "share").groupBy("share").applyInPandas(lambda group: _best_fit(group, capacity), schema)
