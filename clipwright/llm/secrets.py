@@ -25,6 +25,8 @@ LONG_ACCESS, LONG_HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 TOKEN = r"[A-Za-z0-9+/=_-]{20,}"
 THRESHOLD = 15.0
+#: Matches of one text whose spans are gathered at a time.
+PART = 512
 #: Samples generated for each label; the bound of the training set.
 SAMPLES = 4000
 
@@ -90,15 +92,18 @@ def ratio_table(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
 def _positions(kind: int, text: str, pattern: str, matches: str) -> Column:
     """Spans of ``matches`` (all matches of ``pattern`` in ``text``, in order)."""
     quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
+    zipped = f"arrays_zip(slice(split({text}, '{quoted}', -1), 1, size({matches})), {matches})"
+    one = f"""(acc, x) -> named_struct(
+      'at', acc.at + length(x.`0`) + length(x.`{matches}`),
+      'out', concat(acc.out, array(named_struct('s', acc.at + length(x.`0`), 'k', {kind}, 'e', acc.at + length(x.`0`) + length(x.`{matches}`)))))"""
+    # Spans are gathered PART at a time, so that a text's many matches do not copy one long array for each.
     return F.expr(f"""
       CASE WHEN size({matches}) = 0 THEN CAST(array() AS {_SPAN}) ELSE
         aggregate(
-          arrays_zip(slice(split({text}, '{quoted}', -1), 1, size({matches})), {matches}),
-          named_struct('at', 0, 'out', CAST(array() AS {_SPAN})),
-          (acc, x) -> named_struct(
-            'at', acc.at + length(x.`0`) + length(x.`{matches}`),
-            'out', concat(acc.out, array(named_struct('s', acc.at + length(x.`0`), 'k', {kind}, 'e', acc.at + length(x.`0`) + length(x.`{matches}`))))),
-          acc -> acc.out)
+          transform(array({zipped}), z -> transform(sequence(0, (size({matches}) - 1) DIV {PART}), c -> slice(z, c * {PART} + 1, {PART})))[0],
+          named_struct('at', 0, 'out', CAST(array() AS array<{_SPAN}>)),
+          (all, part) -> transform(array(aggregate(part, named_struct('at', all.at, 'out', CAST(array() AS {_SPAN})), {one})), r -> named_struct('at', r.at, 'out', concat(all.out, array(r.out))))[0],
+          all -> flatten(all.out))
       END""")
 
 
@@ -155,7 +160,8 @@ def secret_spans(docs: DataFrame, samples: DataFrame | None = None, threshold: f
     """``(doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans)``, one row per row.
 
     Null and empty texts have no span; an empty table gives no rows; extra columns are
-    ignored; repeated rows give repeated results.
+    ignored; repeated rows give repeated results. A very long text is one row of one task,
+    like any other; its matches cost time in proportion to their number.
     """
     table = ratio_table(labelled_samples(docs.sparkSession) if samples is None else samples)
     found = scan(docs, table, threshold)

@@ -56,6 +56,11 @@ def test_awkward_texts(spark):
     assert secret_spans(docs.limit(0)).count() == 0
 
 
+def test_very_many_matches_in_one_text(spark):
+    rows = [(1, " ".join(f"token={i:06d}" for i in range(60_000))), (2, "x" * 1_000_000 + " secret=abcdefg")]
+    check(rows, secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 @pytest.fixture(scope="module")
 def planted():
     rng = random.Random(11)
