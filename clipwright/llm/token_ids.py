@@ -61,15 +61,20 @@ class UnitEncoder:
     def _learn(self, fresh: list[str], into: dict[str, bytes]) -> None:
         """Units of Latin-1 letters, with one point or comma at most, are one word and a mark:
         they share the lower-case word's ids. All others are encoded as they stand."""
-        simple: list[tuple[str, str, str]] = []
+        simple: dict[str, str] = {}
+        marked: dict[str, list[str]] = {".": [], ",": []}
         odd: list[str] = []
         for u in fresh:
-            if m := WORD(u):
-                simple.append((u, m[1].lower(), m[2]))
+            if u.isalpha() and u.isascii():
+                simple[u] = u.lower()
+            elif m := WORD(u):
+                simple[u] = m[1].lower()
+                if m[2]:
+                    marked[m[2]].append(u)
             else:
                 odd.append(u)
         words = self.words
-        missing = list({low for _, low, _ in simple}.difference(words))
+        missing = list(set(simple.values()).difference(words))
         for i in range(0, len(missing), 20_000):
             block = missing[i : i + 20_000]
             ids = np.array(self._ids(" ".join(block)), "<u4")
@@ -80,9 +85,11 @@ class UnitEncoder:
             for low, stop in zip(block, (4 * stops).tolist(), strict=True):
                 words[low] = flat[begin:stop]
                 begin = stop
-        marks = {m: self._whole(m) for m in ("", ".", ",")}
-        for u, low, mark in simple:
-            into[u] = words[low] + marks[mark]
+        into.update(zip(simple, map(words.__getitem__, simple.values()), strict=True))
+        for mark, units in marked.items():
+            ids = self._whole(mark)
+            for u in units:
+                into[u] += ids
         if len(words) > CACHED_UNITS:
             words.clear()
         self._learn_odd(odd, into)
