@@ -55,6 +55,7 @@ THRESHOLD = 0.7
 LONGEST, WINDOWS = 24, (5, 7, 9)
 #: Signs are dropped between parts of so many letters at most, where the whole is no word.
 SHORT = 1
+SIGNS = ".,;:!?\"'()[]{}"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?:(?<!\S)[^\W\d_](?:\s+|$)){3,}")
 
@@ -304,22 +305,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.design(found) @ self.weights, -30, 30)))
 
 
-def evidence(found: list[tuple[float, float, int]]) -> tuple[float, float, float]:
-    """(sharpest decision, second sharpest, number of words) of a text's tokens, of each the
-    same three."""
-    if not found:
-        return -1.0, -1.0, 0.0
-    first, second, words = (np.array(x, np.float64) for x in zip(*found, strict=True))
-    best = int(first.argmax())
-    rest = max(float(np.delete(first, best).max(initial=-1.0)), float(second[best]))
-    return float(first[best]), rest, float(words.sum())
+def evidence(first: np.ndarray, second: float, words: int) -> tuple[float, float, float]:
+    """(sharpest decision, second sharpest, number of words) of a text's tokens: the sharpest
+    of each, the sharpest of what else is in one of them, and their words."""
+    if len(first) < 2:
+        return float(first.max(initial=-1.0)), second, float(words)
+    rest, best = np.partition(first, -2)[-2:]
+    return float(best), max(float(rest), second), float(words)
 
 
 class _Scorer:
-    """A task's scorer: decisions of tokens met before are kept, in two bounded generations."""
+    """A task's scorer: decisions of tokens met before are kept, in two bounded generations.
+    ``odd`` has (second sharpest, number of words) of those that are not one word."""
 
     def __init__(self, model: Model):
         self.model, self.recent, self.older = model, {}, {}
+        self.odd: dict[str, tuple[float, int]] = {}
 
     def evidence(self, texts: list[str]) -> list[tuple[float, float, float]]:
         sets = [tokens(t) for t in texts]
@@ -331,21 +332,39 @@ class _Scorer:
                 fresh.append(t)
         for i in range(0, len(fresh), FRESH):
             self._learn(fresh[i : i + FRESH])
-        out = [evidence([known[t] for t in s]) for s in sets]
+        out = []
+        for s in sets:
+            first = np.fromiter(map(known.__getitem__, s), np.float64, len(s))
+            second, words = -1.0, len(s)
+            for t in s & self.odd.keys():
+                other, n = self.odd[t]
+                second, words = max(second, other), words + n - 1
+            out.append(evidence(first, second, words))
         if len(known) > CACHED:
             self.older, self.recent = known, {}
+            self.odd = {t: x for t, x in self.odd.items() if t in known}
         return out
 
     def _learn(self, fresh: list[str]) -> None:
-        """The two sharpest of each token's words, and their number. A word's windows overlap, so
-        only the sharpest of them counts; a token is one of its runs or all of them joined."""
-        spoken = [(t, runs := _LETTERS.findall(t.lower()), plain_words(t)[len(runs) :]) for t in fresh]
-        distinct = list({w for _, runs, joined in spoken for w in (*runs, *joined) if len(w) <= LONGEST})
+        """The two sharpest of each token's words, and their number. A long run's windows overlap,
+        so only the sharpest of them counts; a token is one of its runs or all of them joined."""
+        plain: dict[str, str] = {}
+        odd: list[tuple[str, list[str], list[str]]] = []
+        for t in fresh:
+            word = t.strip(SIGNS)
+            if word.isalpha() and len(word) <= LONGEST:
+                plain[t] = word.lower()
+            else:
+                runs = _LETTERS.findall(t.lower())
+                odd.append((t, runs, plain_words(t)[len(runs) :]))
+        distinct = list(set(plain.values()).union(w for _, runs, joined in odd for w in (*runs, *joined) if len(w) <= LONGEST))
         decided = dict(zip(distinct, self.model.decide(distinct).tolist(), strict=True))
-        for t, runs, joined in spoken:
+        self.recent.update(zip(plain, map(decided.__getitem__, plain.values()), strict=True))
+        for t, runs, joined in odd:
             found = sorted((self._word(w, decided) for w in runs), reverse=True)
-            first = max([d for d, _ in found[:1]] + [self._word(w, decided)[0] for w in joined], default=-1.0)
-            self.recent[t] = (first, found[1][0] if len(found) > 1 else -1.0, sum(n for _, n in found))
+            self.recent[t] = max([d for d, _ in found[:1]] + [self._word(w, decided)[0] for w in joined], default=-1.0)
+            if len(found) > 1 or (found and found[0][1] > 1):
+                self.odd[t] = (found[1][0] if len(found) > 1 else -1.0, sum(n for _, n in found))
 
     def _word(self, word: str, decided: dict[str, float]) -> tuple[float, int]:
         """(decision, how many distinct words it counts for)."""
@@ -361,25 +380,27 @@ class _Scorer:
         return best, max(1, sum(len(w) == WINDOWS[0] for w in seen) // WINDOWS[0])
 
 
-def fit(labelled: DataFrame, characters: int = CHARACTERS, learnt: int = LEARNT) -> Model:
-    """Fits on rows ``(doc_id, text, toxic)``: of each label the texts of up to ``learnt``
-    characters in the order of the hash of doc_id, TEXTS of them at most and as long as they
-    have half of ``characters`` together. Rows of one doc_id, text and label count once; the
-    order of rows and files does not matter. Null texts and labels are left out; a label all
-    of whose texts are too long is an error."""
-    usable = labelled.filter("toxic is not null and text is not null")
-    usable = usable.select("doc_id", "text", "toxic", F.xxhash64("text").alias("mark"), F.length("text").alias("n"))
+def fit(labelled: DataFrame, told: DataFrame | None = None, characters: int = CHARACTERS, learnt: int = LEARNT) -> Model:
+    """Fits on rows ``(doc_id, text, toxic)``, or ``(doc_id, text)`` and their labels ``told
+    (doc_id, toxic)``: of each label the texts of up to ``learnt`` characters in the order of
+    the hash of doc_id, TEXTS of them at most and as long as they have half of ``characters``
+    together. Rows of one doc_id, text and label count once; the order of rows and files does
+    not matter. Null texts and labels are left out; a label all of whose texts are too long is
+    an error. Ranking needs no text, so only the texts of the sample leave their tasks."""
+    marked = labelled.filter("text is not null").withColumns({"mark": F.xxhash64("text"), "n": F.length("text")})
+    light = marked.drop("text")
+    if told is not None:
+        light = light.join(told.select("doc_id", "toxic"), "doc_id")
     chosen: list[tuple[str, int]] = []
     for label in (1, 0):
-        rows = usable.filter(F.col("toxic") == label)
-        short = rows.filter(F.col("n") <= learnt)
+        rows = light.filter(F.col("toxic") == label)
         by_hash = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("mark")]
-        first = short.select("doc_id", "mark", "n").distinct().orderBy(*by_hash).limit(TEXTS)
+        first = rows.filter(F.col("n") <= learnt).select("doc_id", "mark", "n").distinct().orderBy(*by_hash).limit(TEXTS)
         # TEXTS rows at most, in one window and broadcast: a fixed bound.
         order = Window.orderBy(*by_hash)
         ranked = first.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.row_number().over(order).alias("rank"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
         ranked = ranked.filter(F.col("upto") <= max(learnt, characters // 2))
-        part = short.join(F.broadcast(ranked), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+        part = marked.select("doc_id", "text", "mark").join(F.broadcast(ranked), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
         found = sorted((r["rank"], r.text) for r in part.groupBy("rank").agg(F.min("text").alias("text")).toLocalIterator())
         if not found and not rows.isEmpty():
             raise ValueError(f"every text labelled toxic = {label} has over {learnt} characters: nothing to learn from")
@@ -418,5 +439,5 @@ def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
     to learn from (see ``fit``) are scored."""
     out = held_out(F.col("doc_id"))
     told = labels.filter(~out).select("doc_id", "toxic").distinct()
-    model = fit(docs.filter(~out).select("doc_id", "text").join(told, "doc_id"))
+    model = fit(docs.filter(~out).select("doc_id", "text"), told)
     return predict(docs, model, out.alias("held_out"))
