@@ -16,6 +16,7 @@ from functools import cache
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,15 +62,17 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in passes([len(t) for t in texts], 2 << 20):
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            for a, b in passes(sizes):
                 held: list[list] = [[] for _ in names]
-                for doc_id, ids in zip(doc_ids[a:b], encoder(path).encode(texts[a:b]), strict=True):
-                    ids += end
-                    start, n = 0, len(ids) // 4
+                ids, ends = encoder(path).encode_column(texts.slice(a, b - a))
+                flat, begin = ids.tobytes(), 0
+                for doc_id, stop in zip(doc_ids[a:b], ends.tolist(), strict=True):
+                    own = flat[4 * begin : 4 * stop] + end
+                    start, n, begin = 0, stop - begin + 1, stop
                     for length in document_pieces(n, capacity):
-                        part = ids[4 * start : 4 * (start + length)]
+                        part = own[4 * start : 4 * (start + length)]
                         row = [doc_id, start, length, zlib.crc32(part), n]
                         if with_ids:
                             row.append(memoryview(part).cast("I").tolist())

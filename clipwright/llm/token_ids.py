@@ -1,21 +1,31 @@
 """Token ids of whole texts, word by word, with a bounded cache in each Python worker.
 
 The tokenizer drops white space and never joins what stands on its two sides, so a text's
-ids are those of its space-separated units in order. Units recur, so most are read from
-the cache; the rest are encoded together.
+ids are those of its space-separated units in order. Arrow splits a column of texts and
+names its distinct units; units recur, so most are read from the cache, the rest are
+encoded together, and numpy lays the ids out for every place a unit stands at.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from functools import cache
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
+from tokenizers.normalizers import Sequence as Normalizers
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+# A task has one core; threads of the tokenizer's own would only take it from other tasks.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units kept in each of the two generations of the cache, and the longest unit kept.
-CACHED_UNITS, CACHED_LENGTH = 250_000, 64
+CACHED_UNITS, CACHED_LENGTH = 400_000, 64
+#: Words encoded as one text, of which several make a batch; ids laid out at once.
+WORDS, BATCH, LAID = 50, 20_000, 1 << 22
 WORD = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 
 
@@ -30,6 +40,10 @@ class UnitEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        # For lower-case words of letters, which normalising and the pattern leave as they are.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = Normalizers([])
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -41,22 +55,38 @@ class UnitEncoder:
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        units = [t.replace("\n", " ").split(" ") for t in texts]
+        """The ids of every text of a list."""
+        ids, ends = self.encode_column(pa.array(texts, pa.large_string()))
+        flat, starts = ids.tobytes(), [0, *ends.tolist()]
+        return [flat[4 * a : 4 * b] for a, b in zip(starts, starts[1:], strict=False)]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, ends)``: the ids of all texts, one after the other, and where each text's
+        ids end. A null text counts as empty."""
+        spaced = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        split = pc.split_pattern(spaced, " ")
+        named = split.flatten().dictionary_encode()
+        units, places = named.dictionary.to_numpy(zero_copy_only=False).tolist(), named.indices.to_numpy()
         known = self.recent
         fresh = []
-        for u in set(chain.from_iterable(units)).difference(known):
-            if (ids := self.older.get(u)) is not None:
-                known[u] = ids
-            else:
-                fresh.append(u)
+        for u in units:
+            if u not in known:
+                if (ids := self.older.get(u)) is not None:
+                    known[u] = ids
+                else:
+                    fresh.append(u)
         self._learn(fresh, known)
-        out = [b"".join(map(known.__getitem__, each)) for each in units]
+        parts = list(map(known.__getitem__, units))
         for u in fresh:
             if len(u) > CACHED_LENGTH:
                 del known[u]
         if len(known) > CACHED_UNITS:
             self.older, self.recent = known, {}
-        return out
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        pool = np.frombuffer(b"".join(parts), "<u4")
+        sums = np.concatenate(([0], np.cumsum(sizes[places])))
+        bounds = pc.list_value_length(split).to_numpy().astype(np.int64).cumsum()
+        return _laid_out(pool, np.cumsum(sizes) - sizes, sizes, places, sums), sums[bounds]
 
     def _learn(self, fresh: list[str], into: dict[str, bytes]) -> None:
         """Units of Latin-1 letters, with one point or comma at most, are one word and a mark:
@@ -75,9 +105,11 @@ class UnitEncoder:
                 odd.append(u)
         words = self.words
         missing = list(set(simple.values()).difference(words))
-        for i in range(0, len(missing), 20_000):
-            block = missing[i : i + 20_000]
-            ids = np.array(self._ids(" ".join(block)), "<u4")
+        for i in range(0, len(missing), BATCH):
+            block = missing[i : i + BATCH]
+            texts = [" ".join(block[j : j + WORDS]) for j in range(0, len(block), WORDS)]
+            found = self.plain.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.array([x for each in found for x in each.ids], "<u4")
             stops = np.flatnonzero(self.ends_word[ids]) + 1
             if len(stops) != len(block):
                 raise ValueError("the vocabulary does not end every word")
@@ -101,8 +133,8 @@ class UnitEncoder:
         for u in apart:
             into[u] = self._whole(u)
         together = list(set(odd).difference(apart))
-        for i in range(0, len(together), 20_000):
-            block = together[i : i + 20_000]
+        for i in range(0, len(together), BATCH):
+            block = together[i : i + BATCH]
             ids = np.array(self._ids(self.separator.join(block)), "<u4")
             cuts = [-1, *np.flatnonzero(ids == self.separator_id).tolist(), len(ids)]
             if len(cuts) != len(block) + 1:
@@ -120,6 +152,20 @@ class UnitEncoder:
         return np.array(self._ids(unit), "<u4").tobytes()
 
 
+def _laid_out(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """``pool[starts[p] : starts[p] + sizes[p]]`` for each p of ``places``, one after the other;
+    ``sums`` are the running numbers of ids. LAID ids or so are laid out at a time."""
+    out = np.empty(sums[-1], "<u4")
+    begin = 0
+    while begin < len(places):
+        end = max(begin + 1, int(np.searchsorted(sums, sums[begin] + LAID, "right")) - 1)
+        at, low, high = places[begin:end], sums[begin], sums[end]
+        shift = starts[at] - (sums[begin:end] - low)
+        out[low:high] = pool[np.repeat(shift, sizes[at]) + np.arange(high - low)]
+        begin = end
+    return out
+
+
 @cache
 def encoder(path: str) -> UnitEncoder:
     """The worker's encoder for one vocabulary file."""
