@@ -6,13 +6,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipwright.sources.tables import discard, fresh_path, stored, table
 
 __all__ = [
-    "bucketed", "connected_components", "discard", "drop_rows", "in_blocks", "keyed", "merged_roots", "pairs", "passes", "residue_filter", "stored", "table", "tasks_of",
+    "bucketed", "connected_components", "discard", "drop_rows", "flat_bytes", "in_blocks", "keyed", "merged_roots", "pairs", "passes", "residue_filter", "stored", "table", "tasks_of",
     "text_bytes", "whole_groups",
 ]
 
@@ -62,6 +63,16 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(data, offsets)``: the UTF-8 bytes of all texts of a column, one after the other, and
+    where each begins (one offset more than texts). Null counts as empty."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    _, places, data = column.buffers()
+    offsets = np.frombuffer(places, np.int64)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges (a long, b long)``.
 

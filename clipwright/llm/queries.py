@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipwright.llm import chat_format, embedding_dedup, exact_dedup, language_id, packing, secrets, sentence_pieces, simhash, suffix_dedup, toxicity
+from clipwright.llm import byte_pairs, chat_format, embedding_dedup, exact_dedup, fill_in_middle, language_id, packing, secrets, sentence_pieces, simhash, suffix_dedup, toxicity
 from clipwright.llm.common import table
 
 
@@ -50,6 +50,14 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.document_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,12 +65,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_secrets, op4_packing, op5_exact_dedup, op6_toxicity, op7_sentence_pieces, op8_chat_format, op9_suffix_dedup, op10_embedding_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_simhash, op2_language_id, op3_secrets, op4_packing, op5_exact_dedup, op6_toxicity, op7_sentence_pieces, op8_chat_format, op9_suffix_dedup, op10_embedding_dedup, op11_byte_pairs, op13_fill_in_middle, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB twins of the queries that SQL can express."""
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op13_fill_in_middle": OP13_SQL}
 
 
 OP5_SQL = """
@@ -72,3 +80,27 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM (
          sha256(coalesce(text, '')) AS text_sha256
   FROM documents) AS d
 """
+
+OP13_SQL = """
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents),
+drawn AS (
+  SELECT doc_id, t, units, len(units) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+         ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM cut),
+placed AS (
+  SELECT doc_id, t, n, array_to_string(units[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS p,
+         array_to_string(units[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS m,
+         array_to_string(units[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS s,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256
+FROM placed
+"""
