@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,16 +29,23 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often, and in whatever lambda, it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(v: Column) -> Column:
-    shifted = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(shifted, lambda x: x / total(shifted))
+    return bound(F.array_max(v), lambda top: bound(F.transform(v, lambda x: F.exp(x - top)), _shares))
+
+
+def _shares(parts: Column) -> Column:
+    return bound(total(parts), lambda whole: F.transform(parts, lambda x: x / whole))
 
 
 def masked_softmax(v: Column, present: Column) -> Column:
     """Missing entries get 0; if all are missing, none is masked."""
-    none = ~F.exists(present, lambda x: x)
-    shifted = F.zip_with(v, present, lambda x, p: F.when(p | none, F.exp(x - F.array_max(v))).otherwise(0.0))
-    return F.transform(shifted, lambda x: x / total(shifted))
+    kept = lambda top, none: F.zip_with(v, present, lambda x, p: F.when(p | none, F.exp(x - top)).otherwise(0.0))
+    return bound(F.array_max(v), lambda top: bound(~F.exists(present, lambda x: x), lambda none: bound(kept(top, none), _shares)))
 
 
 def argmax(v: Column) -> Column:
@@ -53,8 +62,7 @@ def block(v: Column, index: int, width: int) -> Column:
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:
-    top = F.array_max(logits)
-    return F.log(total(F.transform(logits, lambda x: F.exp(x - top)))) + top - F.element_at(logits, target + 1)
+    return bound(F.array_max(logits), lambda top: F.log(total(F.transform(logits, lambda x: F.exp(x - top)))) + top) - F.element_at(logits, target + 1)
 
 
 def focal(logits: Column, target: Column, gamma: float) -> Column:
@@ -65,7 +73,8 @@ def focal(logits: Column, target: Column, gamma: float) -> Column:
 def kl_divergence(teacher: Column, student: Column, temperature: float) -> Column:
     """KL of softened distributions, times the squared temperature."""
     p, q = (softmax(F.transform(x, lambda y: y / temperature)) for x in (teacher, student))
-    return temperature**2 * total(F.zip_with(p, q, lambda x, y: x * (F.log(x) - F.log(y))))
+    apart = lambda a, b: total(F.zip_with(a, b, lambda x, y: x * (F.log(x) - F.log(y))))
+    return temperature**2 * bound(p, lambda a: bound(q, lambda b: apart(a, b)))
 
 
 def smooth_l1(a: Column, b: Column) -> Column:
@@ -92,8 +101,8 @@ def weighted_focal(logits: Column, target: Column, gamma: float, weights: list[f
 
 
 def log_softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    return F.transform(v, lambda x: x - top - F.log(total(F.transform(v, lambda y: F.exp(y - top)))))
+    scale = lambda top: F.log(total(F.transform(v, lambda y: F.exp(y - top)))) + top
+    return bound(bound(F.array_max(v), scale), lambda whole: F.transform(v, lambda x: x - whole))
 
 
 def hierarchical(group: Column, easy: Column, hard: Column, easy_classes: list[int], hard_classes: list[int]) -> Column:
@@ -130,8 +139,7 @@ def pooled(tokens: Column, how: str, scores: Column | None = None) -> Column:
     if how == "mean":
         return F.transform(places, lambda d: mean(F.transform(tokens, lambda r: F.get(r, d))))
     if how == "attention":
-        weights = softmax(scores)
-        return F.transform(places, lambda d: total(F.zip_with(weights, tokens, lambda w, r: w * F.get(r, d))))
+        return bound(softmax(scores), lambda weights: F.transform(places, lambda d: total(F.zip_with(weights, tokens, lambda w, r: w * F.get(r, d)))))
     raise ValueError(f"unknown pooling {how!r}")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipwright.operators.clusters import density_clusters
+
 SIDES = ["xmin", "ymin", "width", "height"]
 
 
@@ -118,63 +118,30 @@ def keypoint_box(points: DataFrame, key: str, frame_w: int, frame_h: int, pad: f
     return ends.select(key, x.alias("xmin"), y.alias("ymin"), w.alias("width"), h.alias("height"))
 
 
-def density_labels(x: np.ndarray, y: np.ndarray, eps: float, least: int) -> np.ndarray:
-    """Density clusters of points, -1 for noise: a core has ``least`` points within ``eps``,
-    itself included; clusters are numbered by their first core, and a point at the border
-    goes to the first cluster that reaches it."""
-    near = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= eps * eps
-    core = near.sum(axis=1) >= least
-    labels, number = np.full(len(x), -1), 0
-    for first in np.flatnonzero(core):
-        if labels[first] >= 0:
-            continue
-        found, front = np.zeros(len(x), bool), np.zeros(len(x), bool)
-        found[first] = front[first] = True
-        while front.any():
-            front = near[front].any(axis=0) & ~found
-            found |= front
-            front &= core
-        labels[found & (labels < 0)] = number
-        number += 1
-    return labels
-
-
-REGION = "n_sampled long, n_in long, xmin double, ymin double, width double, height double"
-
-
 def stable_region(detections: DataFrame, key: str, order: str, eps: float = 0.08, least: int = 3, stability: float = 0.3, edge_bias: float = 0.3, middle: str = "median", fallback: bool = True) -> DataFrame:
     """``(key, n_sampled, n_in, *SIDES)``: the box of the densest and outermost cluster of a
     clip's detections, before it is expanded; clips without one have no row.
 
-    ``detections (key, order, *SIDES, n_sampled)``: those of the frames sampled from a clip, a
-    bounded number, so a clip is one task's group. A cluster's score is its share of the
-    sampled frames less the distance of its mean centre to the edge. With ``fallback``, two
+    ``detections (key, order, *SIDES, n_sampled)``, any number of them; ``order`` is an id that
+    no other row has. A cluster's score is its share of the sampled frames less the distance
+    of its mean centre to the edge; of equal ones the first counts. With ``fallback``, two
     detections or more that are too few to cluster count if the largest lies near the edge.
     """
-    average = np.median if middle == "median" else np.mean
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        cx, cy = (group["xmin"] + group["width"] / 2).to_numpy(), (group["ymin"] + group["height"] / 2).to_numpy()
-        edge = lambda a, b: min(a, b, 1.0 - a, 1.0 - b)
-        n, best, chosen = int(group["n_sampled"].iloc[0]), -1.0, None
-        if len(group) < least:
-            largest = int((group["width"] * group["height"]).to_numpy().argmax())
-            if fallback and len(group) >= 2 and edge(cx[largest], cy[largest]) < edge_bias:
-                chosen = np.ones(len(group), bool)
-        else:
-            labels = density_labels(cx, cy, eps, least)
-            for label in range(labels.max() + 1):
-                mine = labels == label
-                score = mine.sum() / n - edge(cx[mine].mean(), cy[mine].mean())
-                if mine.sum() / n >= stability and score > best:
-                    best, chosen = score, mine
-        if chosen is None:
-            return pd.DataFrame({c: [] for c in [key, "n_sampled", "n_in", *SIDES]})
-        return pd.DataFrame({key: [group[key].iloc[0]], "n_sampled": [n], "n_in": [int(chosen.sum())], **{c: [float(average(group[c].to_numpy()[chosen]))] for c in SIDES}})
-
-    kind = next(f.dataType.simpleString() for f in detections.schema if f.name == key)
-    return detections.groupBy(key).applyInPandas(one, f"{key} {kind}, {REGION}")
+    average = F.median if middle == "median" else F.avg
+    sides = [average(c).alias(c) for c in SIDES]
+    cx, cy = F.col("xmin") + F.col("width") / 2, F.col("ymin") + F.col("height") / 2
+    edge = lambda x, y: F.least(x, y, 1 - x, 1 - y)
+    points = detections.select(F.col(key).alias("key"), F.col(order).alias("id"), cx.alias("x"), cy.alias("y"))
+    labels = density_clusters(points, eps, least).filter("cluster IS NOT NULL").select(F.col("id").alias(order), "cluster")
+    clusters = detections.join(labels, order).groupBy(key, "cluster").agg(F.first("n_sampled").alias("n_sampled"), F.count("*").alias("n_in"), F.avg(cx).alias("_x"), F.avg(cy).alias("_y"), *sides)
+    share = F.col("n_in") / F.col("n_sampled")
+    columns = ["n_sampled", "n_in", *SIDES]
+    fit = clusters.filter(share >= stability).withColumn("_score", share - edge(F.col("_x"), F.col("_y"))).filter("_score > -1")
+    best = fit.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("_score", -F.col("cluster"))).alias("b")).select(key, "b.*")
+    if not fallback:
+        return best
+    few = detections.groupBy(key).agg(F.first("n_sampled").alias("n_sampled"), F.count("*").alias("n_in"), F.max_by(edge(cx, cy), F.struct(area(), -F.col(order))).alias("_edge"), *sides)
+    return best.unionByName(few.filter((F.col("n_in") >= 2) & (F.col("n_in") < least) & (F.col("_edge") < edge_bias)).select(*best.columns))
 
 
 def core_counts(detections: DataFrame, key: str, order: str, eps: float) -> DataFrame:

@@ -37,14 +37,18 @@ def confusion_matrix(predictions: DataFrame, n_classes: int, *by: str) -> DataFr
 def per_class(predictions: DataFrame, n_classes: int, *by: str, present_only: bool = False) -> DataFrame:
     """``(*by, class, tp, n_true, n_pred, precision, recall, f1)`` for all classes, or only
     for those that occur as truth or prediction."""
-    pairs = predictions.groupBy(*by, "y_true", "y_pred").agg(F.count("*").alias("n"))
+    return per_class_of(predictions.groupBy(*by, "y_true", "y_pred").agg(F.count("*").alias("n")), n_classes, *by, present_only=present_only)
+
+
+def per_class_of(pairs: DataFrame, n_classes: int, *by: str, present_only: bool = False) -> DataFrame:
+    """The same from counts ``(*by, y_true, y_pred, n)``."""
     sides = pairs.select(*by, F.explode(F.array(
         F.struct(F.col("y_true").alias("class"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p"), F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0).alias("c")),
         F.struct(F.col("y_pred").alias("class"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p"), F.lit(0).cast("long").alias("c")),
     )).alias("x")).select(*by, "x.*")
     sums = sides.groupBy(*by, "class").agg(F.sum("c").alias("tp"), F.sum("t").alias("n_true"), F.sum("p").alias("n_pred"))
     if not present_only:
-        sums = classes(predictions, n_classes, *by).join(sums, [*by, "class"], "left").fillna(0, ["tp", "n_true", "n_pred"])
+        sums = classes(pairs, n_classes, *by).join(sums, [*by, "class"], "left").fillna(0, ["tp", "n_true", "n_pred"])
     sums = sums.withColumns({"precision": ratio(F.col("tp"), F.col("n_pred")), "recall": ratio(F.col("tp"), F.col("n_true"))})
     return sums.withColumn("f1", ratio(2 * F.col("tp"), F.col("n_true") + F.col("n_pred")))
 

@@ -44,10 +44,16 @@ def pick_variant(variants: DataFrame, base: str, variant: str, seed: int) -> Dat
     return variants.groupBy(base).agg(F.min_by(F.col(variant), F.struct(seeded(variant, seed), F.col(variant))).alias(variant))
 
 
-def positional_zip(left: DataFrame, right: DataFrame, order_left: str, order_right: str, key: str) -> DataFrame:
-    """Rows of equal rank within ``key``; raises nothing, unmatched rows stay with nulls."""
+def positional_zip(left: DataFrame, right: DataFrame, order_left: str, order_right: str, key: str, strict: bool = False) -> DataFrame:
+    """Rows of equal rank within ``key``; unmatched rows stay with nulls. ``strict`` raises where
+    the lists of a key differ in length."""
     number = lambda df, order: df.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    return number(left, order_left).join(number(right, order_right), [key, "position"], "full")
+    a, b = number(left, order_left).withColumn("_a", F.lit(1)), number(right, order_right).withColumn("_b", F.lit(1))
+    both = a.join(b, [key, "position"], "full")
+    if strict:
+        told = F.concat(F.lit("lists of different length for "), F.col(key).cast("string"))
+        both = both.withColumn("position", F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(told).cast("int")).otherwise(F.col("position")))
+    return both.drop("_a", "_b")
 
 
 def combined_folds(rows: DataFrame, key: str, labels: list[str], names: list[str], shares: list[float], seed: int) -> DataFrame:

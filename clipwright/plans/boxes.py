@@ -13,12 +13,17 @@ from clipwright.plans.sequences import ORDER, SEQ, frames
 from clipwright.sources.tables import table
 
 WIDE, HIGH = 1920, 1080
-#: Detections on events; a few clips have two of them.
-FOUND = """SELECT CASE WHEN event_id % 50 = 0 THEN 1000000 + CAST(floor(event_id / 100.0) AS BIGINT) ELSE user_id END AS clip_id, event_id,
- CAST(event_id % 4 AS DOUBLE) / 5 + CAST(event_id * 7 % 10 AS DOUBLE) / 200 AS xmin, CAST(event_id % 3 AS DOUBLE) / 4 + CAST(event_id * 11 % 10 AS DOUBLE) / 200 AS ymin,
- CAST(event_id % 6 + 1 AS DOUBLE) / 20 AS width, CAST(event_id % 8 + 1 AS DOUBLE) / 8 AS height FROM events"""
-#: Not quite 0.08 and 0.05, so that no distance between these detections ties with it.
-EPS, EPS_MEAN = 0.0803, 0.0503
+#: Detections on events; a few clips have two of them. A third of the users has one place for
+#: all, a third for half of them. Places are multiples of 0.0047, so that no distance between
+#: two of them comes near 0.08 or 0.05.
+_FIXED = "(user_id % 3 = 0 OR user_id % 3 = 1 AND event_id % 2 = 0)"
+_part = lambda n: f"CASE WHEN {_FIXED} THEN user_id % {n} ELSE event_id % {n} END"
+FOUND = f"""SELECT CASE WHEN event_id % 50 = 0 THEN 1000000 + CAST(floor(event_id / 100.0) AS BIGINT) ELSE user_id END AS clip_id, event_id,
+ CAST(40 * ({_part(4)}) + event_id * 7 % 10 AS DOUBLE) * 0.0047D AS xmin, CAST(50 * ({_part(3)}) + event_id * 11 % 10 AS DOUBLE) * 0.0047D AS ymin,
+ CAST({_part(6)} + 1 AS DOUBLE) * 0.047D AS width, CAST({_part(8)} + 1 AS DOUBLE) * 0.094D AS height FROM events"""
+EPS, EPS_MEAN = 0.08, 0.05
+#: The same for DuckDB, where a literal with a point is a decimal.
+FOUND_SQL = FOUND.replace("0.0047D", "0.0047::DOUBLE").replace("0.047D", "0.047::DOUBLE").replace("0.094D", "0.094::DOUBLE")
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +53,7 @@ def webcam_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def webcam_region_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The other setting: all detections, five for a core, mean instead of median, not expanded."""
-    found = B.stable_region(detections(spark, sf_dir), "clip_id", "event_id", eps=EPS_MEAN, least=5, stability=0.05, middle="mean", fallback=False)
+    found = B.stable_region(detections(spark, sf_dir), "clip_id", "event_id", eps=EPS_MEAN, least=5, stability=0.4, middle="mean", fallback=False)
     return _told(found)
 
 
@@ -125,7 +130,7 @@ def detection_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.even_sample(frames(spark, sf_dir), "clip_id", ORDER, 30).select("clip_id", "slot", "event_id")
 
 
-_region = lambda cand, eps, least, share, agg: f"""WITH RECURSIVE d AS ({FOUND}), n AS (SELECT *, xmin + width / 2 AS cx, ymin + height / 2 AS cy, count(*) OVER (PARTITION BY clip_id) AS n FROM d),
+_region = lambda cand, eps, least, share, agg: f"""WITH RECURSIVE d AS ({FOUND_SQL}), n AS (SELECT *, xmin + width / 2 AS cx, ymin + height / 2 AS cy, count(*) OVER (PARTITION BY clip_id) AS n FROM d),
 c AS ({cand}), near AS (SELECT a.clip_id, a.event_id AS a, b.event_id AS b FROM c AS a JOIN c AS b ON a.clip_id = b.clip_id AND (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 <= {eps} * {eps}),
 core AS (SELECT clip_id, a AS id FROM near GROUP BY ALL HAVING count(*) >= {least}), r(clip_id, id, root) AS (SELECT clip_id, id, id FROM core UNION SELECT r.clip_id, near.b, r.root FROM r JOIN near ON near.clip_id = r.clip_id AND near.a = r.id JOIN core ON core.clip_id = near.clip_id AND core.id = near.b),
 comp AS (SELECT clip_id, id, min(root) AS k FROM r GROUP BY ALL), m AS (SELECT near.clip_id, near.a AS id, min(comp.k) AS k FROM near JOIN comp ON comp.clip_id = near.clip_id AND comp.id = near.b GROUP BY ALL),
@@ -137,12 +142,12 @@ _grow = "greatest(0, xmin - width * 0.5::DOUBLE) AS xmin, greatest(0, ymin - hei
 _small = "SELECT * FROM n QUALIFY width * height < {0} OR max((width * height < {0})::INTEGER) OVER (PARTITION BY clip_id) = 0"
 _MED = ", s AS (SELECT l_orderkey, median(xmin) AS xmin, median(ymin) AS ymin, median(width) AS width, median(height) AS height FROM b GROUP BY l_orderkey HAVING count(*) >= 3), f AS (SELECT DISTINCT l_orderkey, l_linenumber FROM b)"
 QUERIES = {
-    "webcam_region": (webcam_region, _region(_small.format("0.25::DOUBLE"), f"{EPS}::DOUBLE", 3, "0.3::DOUBLE", "median") + f""", few AS (SELECT clip_id, any_value(n) AS n, count(*) AS n_in, arg_max(least(cx, cy, 1 - cx, 1 - cy), width * height) AS edge, median(xmin) AS xmin, median(ymin) AS ymin, median(width) AS width, median(height) AS height FROM c GROUP BY clip_id HAVING count(*) = 2),
+    "webcam_region": (webcam_region, _region(_small.format("0.25::DOUBLE"), f"{EPS}::DOUBLE", 3, "0.3::DOUBLE", "median") + f""", few AS (SELECT clip_id, any_value(n) AS n, count(*) AS n_in, arg_max(least(cx, cy, 1 - cx, 1 - cy), struct_pack(a := width * height, b := -event_id)) AS edge, median(xmin) AS xmin, median(ymin) AS ymin, median(width) AS width, median(height) AS height FROM c GROUP BY clip_id HAVING count(*) = 2),
 u AS (SELECT clip_id, n, n_in, xmin, ymin, width, height FROM best UNION ALL SELECT clip_id, n, n_in, xmin, ymin, width, height FROM few WHERE edge < 0.3::DOUBLE), w AS (SELECT clip_id, n, n_in, {_grow} FROM u) {_out} w"""),
-    "webcam_region_mean": (webcam_region_mean, _region("SELECT * FROM n", f"{EPS_MEAN}::DOUBLE", 5, "0.05::DOUBLE", "avg") + f" {_out} best"),
-    "core_points": (core_points, f"WITH d AS ({FOUND}), n AS (SELECT *, xmin + width / 2 AS cx, ymin + height / 2 AS cy FROM d) SELECT a.clip_id, a.event_id, count(*) AS n_near FROM n AS a JOIN n AS b ON a.clip_id = b.clip_id AND (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 <= {EPS}::DOUBLE * {EPS}::DOUBLE GROUP BY ALL"),
-    "small_detections": (small_detections, f"WITH n AS ({FOUND}) SELECT clip_id, event_id FROM ({_small.format('0.02::DOUBLE')}) AS x"),
-    "bbox_constraint": (bbox_constraint, f"WITH n AS ({FOUND}) SELECT xmin BETWEEN 0 AND 1 AND ymin BETWEEN 0 AND 1 AND width BETWEEN 0 AND 1 AND height BETWEEN 0 AND 1 AND event_id % 25 / 20.0 BETWEEN 0 AND 1 AS valid, count(*) AS n FROM n GROUP BY 1"),
+    "webcam_region_mean": (webcam_region_mean, _region("SELECT * FROM n", f"{EPS_MEAN}::DOUBLE", 5, "0.4::DOUBLE", "avg") + f" {_out} best"),
+    "core_points": (core_points, f"WITH d AS ({FOUND_SQL}), n AS (SELECT *, xmin + width / 2 AS cx, ymin + height / 2 AS cy FROM d) SELECT a.clip_id, a.event_id, count(*) AS n_near FROM n AS a JOIN n AS b ON a.clip_id = b.clip_id AND (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 <= {EPS}::DOUBLE * {EPS}::DOUBLE GROUP BY ALL"),
+    "small_detections": (small_detections, f"WITH n AS ({FOUND_SQL}) SELECT clip_id, event_id FROM ({_small.format('0.02::DOUBLE')}) AS x"),
+    "bbox_constraint": (bbox_constraint, f"WITH n AS ({FOUND_SQL}) SELECT xmin BETWEEN 0 AND 1 AND ymin BETWEEN 0 AND 1 AND width BETWEEN 0 AND 1 AND height BETWEEN 0 AND 1 AND event_id % 25 / 20.0 BETWEEN 0 AND 1 AS valid, count(*) AS n FROM n GROUP BY 1"),
     "box_expansion": (box_expansion, BOXES + f", g AS (SELECT l_orderkey, l_linenumber, {_grow} FROM b) SELECT l_orderkey, l_linenumber, round(xmin, 6) AS xmin, round(ymin, 6) AS ymin, round(width, 6) AS width, round(height, 6) AS height FROM g"),
     "face_crops": (_crops(0.2), BOXES + _crop(0.2, "b")),
     "region_crops": (_crops(0.1), BOXES + _crop(0.1, "b")),

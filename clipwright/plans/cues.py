@@ -59,8 +59,12 @@ def composite_cue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cue texts with and without motion, and the attributes' number and sum."""
     p = _parts()
     (long, all15), (short, all12) = C.composite(p["face"], p["voice"], p["text"], p["motion"]), C.composite(p["face"], p["voice"], p["text"])
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-    return measured(spark, sf_dir).select("doc_id", long.alias("cue15"), short.alias("cue12"), F.size(all15).alias("n15"), F.size(all12).alias("n12"), r6(total(all15), "sum15"), r6(total(all12), "sum12"))
+    # Added up part by part, so that the order of addition is stated.
+    face, voice, motion, text = (F.aggregate(p[k][1], F.lit(0.0), lambda a, x: a + x) for k in ("face", "voice", "motion", "text"))
+    # Many sums end in a 5 at the seventh digit: rounding is that of binary fractions, not of decimals.
+    rounded = lambda x: F.floor(x * 1e6 + 0.5) / 1e6
+    sum15, sum12 = rounded(face + voice + motion + text), rounded(face + voice + text)
+    return measured(spark, sf_dir).select("doc_id", long.alias("cue15"), short.alias("cue12"), F.size(all15).alias("n15"), F.size(all12).alias("n12"), sum15.alias("sum15"), sum12.alias("sum12"))
 
 
 def attribute_vector(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clipwright.functions import arrays as A
 from clipwright.functions import labels as L
 from clipwright.operators import splits as S
+from clipwright.operators.stratify import multilabel_split
 from clipwright.plans.evaluation import r6
 from clipwright.sources.tables import table
 
@@ -146,6 +147,12 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.combined_folds(rows, "clip_id", ["emotion", "language", "genre"], ["train", "val", "test", "ood"], [0.7, 0.15, 0.1, 0.05], 42)
 
 
+def multilabel_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training and rest balanced over class, language and genre at once, rarest label first."""
+    rows = annotations(spark, sf_dir).select("clip_id", "emotion", "language", "genre")
+    return multilabel_split(rows, "clip_id", ["emotion", "language", "genre"], ["train", "val", "test", "ood"], [0.7, 0.15, 0.1, 0.05], 42)
+
+
 def audio_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language identification restricted to two candidates: their more likely one, and
     whether transcription has to be done again with it; the language by each routing."""
@@ -187,6 +194,7 @@ QUERIES = {
     "limited_items": (limited_items, f"WITH {_ANN} SELECT lpad(clip_id::VARCHAR, 8, '0') AS name, emotion FROM ann ORDER BY name LIMIT 20"),
     "stratified_folds": (stratified_folds, f"""WITH {_ANN}, o AS (SELECT clip_id, emotion, language, genre, md5(clip_id || ':42') AS h FROM ann), r AS (SELECT *, row_number() OVER (ORDER BY emotion NULLS FIRST, language NULLS FIRST, genre NULLS FIRST, h, clip_id) - 1 AS i FROM o),
 rest AS (SELECT *, row_number() OVER (ORDER BY md5(clip_id || ':43'), clip_id) - 1 AS j, count(*) OVER () AS m FROM r WHERE i % 3 = 2) SELECT clip_id, emotion, language, genre, 'train' AS split FROM r WHERE i % 3 <> 2 UNION ALL SELECT clip_id, emotion, language, genre, CASE WHEN j < floor(m * (0.15::DOUBLE / (0.15::DOUBLE + 0.1::DOUBLE + 0.05::DOUBLE))) THEN 'val' WHEN j < floor(m * (0.15::DOUBLE / (0.15::DOUBLE + 0.1::DOUBLE + 0.05::DOUBLE))) + floor(m * (0.1::DOUBLE / (0.15::DOUBLE + 0.1::DOUBLE + 0.05::DOUBLE))) THEN 'test' ELSE 'ood' END FROM rest"""),
+    "multilabel_folds": (multilabel_folds, None),
     "audio_language": (audio_language, """WITH p AS (SELECT doc_id, lang, CAST(doc_id % 7 AS DOUBLE) / 10 AS vi, CAST(doc_id % 5 AS DOUBLE) / 8 AS en, CAST(doc_id % 3 AS DOUBLE) / 4 AS ko FROM documents), q AS (SELECT *, greatest(vi, en, ko) AS p, CASE WHEN vi = greatest(vi, en, ko) THEN 'vi' WHEN en = greatest(vi, en, ko) THEN 'en' ELSE 'ko' END AS top, CASE WHEN vi >= en THEN 'vi' ELSE 'en' END AS language FROM p)
 SELECT doc_id, top, language, language <> top OR p < 0.6 AS redo, CASE WHEN coalesce(lang, 'vi') IN ('vi', 'en') THEN coalesce(lang, 'vi') ELSE 'vi' END AS by_metadata, 'vi' AS by_force, coalesce(lang <> language, false) OR (doc_id % 2 = 0 AND coalesce(lang <> 'en', false)) AS mismatch FROM q"""),
     "length_guard": (length_guard, "WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[^a-m]', '', 'g') AS c FROM documents), k AS (SELECT doc_id, CASE WHEN length(c) < length(t) * 0.5 THEN t ELSE c END AS k FROM d) SELECT doc_id, md5(k) AS kept_md5, length(k)::INTEGER AS n_chars FROM k"),

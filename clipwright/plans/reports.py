@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipwright.functions import arrays as A
+from clipwright.functions import text as T
 from clipwright.operators import metrics as M
+from clipwright.operators.analysis import counted, report
+from clipwright.operators.blocks import silhouettes
+from clipwright.operators.classify import fold_accuracy
+from clipwright.operators.sampling import first_fitting
 from clipwright.plans.evaluation import BY_LANG, GROUPED, LANGS, N, PRED, STEPS, SUMMARY, _binary, class_share, predictions, r6
 from clipwright.sources.tables import stored, table
 
@@ -34,9 +39,9 @@ def error_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics_per_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of stated languages; one without rows has zeros."""
+    """Metrics of stated languages over the classes that occur in each; one without rows has zeros."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    found = M.summary(_binary(spark, sf_dir).join(docs, "doc_id"), 2, "lang")
+    found = M.summary(_binary(spark, sf_dir).join(docs, "doc_id"), 2, "lang", present_only=True)
     dim = spark.createDataFrame([(x,) for x in [*LANGS, "vi"]], "lang string")
     return dim.join(found, "lang", "left").select("lang", F.coalesce("n_samples", F.lit(0)).alias("n"), *[r6(F.coalesce(c, F.lit(0.0)), c) for c in ("macro_f1", "uar")])
 
@@ -168,30 +173,39 @@ def label_metrics_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("fold", "n", r6(F.col("hits") / F.col("n"), "accuracy"), r6((F.sum("hits").over(whole) - F.col("hits")) / (F.sum("n").over(whole) - F.col("n")), "others"), r6(F.avg(F.col("hits") / F.col("n")).over(whole), "mean"))
 
 
+def _by_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").filter("lang is not null").select(F.col("doc_id").alias("vec_id"), (F.col("lang") == "en").cast("double").alias("label"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", A.doubles(F.col("embedding")).alias("v")).join(docs, "vec_id")
+
+
 def language_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy of telling English from the rest by embeddings, over five folds by hash; no other
-    engine trains alike, so it has no twin."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    """Accuracy of telling English from the rest by embeddings, over stratified folds; no other
+    engine trains alike, so it has no twin: the models are tested against numpy."""
+    told = fold_accuracy(_by_english(spark, sf_dir), "vec_id")
+    return told.select("fold", "n", r6(F.col("hits") / F.col("n"), "accuracy"))
 
-    docs = table(spark, sf_dir, "documents").filter("lang is not null").select(F.col("doc_id").alias("vec_id"), (F.col("lang") == "en").cast("double").alias("label"))
-    rows = table(spark, sf_dir, "embeddings").drop("label").join(docs, "vec_id").select(array_to_vector(A.doubles(F.col("embedding"))).alias("features"), "label", F.pmod(F.xxhash64("vec_id"), F.lit(5)).cast("int").alias("fold"))
-    rows, parts = stored(rows, "language-rows"), []
-    for fold in range(5):
-        training = rows.filter(F.col("fold") != fold)
-        if training.select("label").distinct().count() < 2:
-            parts.append(rows.filter(F.col("fold") == fold).select("fold", F.lit(0.5).alias("hit")))
-            continue
-        model = LogisticRegression(maxIter=50, regParam=0.01).fit(training)
-        told = model.transform(rows.filter(F.col("fold") == fold))
-        parts.append(told.select("fold", (F.col("prediction") == F.col("label")).cast("double").alias("hit")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("fold").agg(F.count("*").alias("n"), r6(F.avg("hit"), "accuracy"))
+
+def analysis_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sections of an evaluation report, with the eight rules of its advice, from one count
+    of the predictions by class pair and language."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "lang")
+    rows = predictions(spark, sf_dir).select("vec_id", "y_true", "y_pred").join(docs, "vec_id", "left").withColumn("lang", F.coalesce("lang", F.lit("vi")))
+    sides = _by_english(spark, sf_dir).select(F.when(F.col("label") == 1, "en").otherwise("other").alias("by"), F.col("vec_id").alias("id"), "v")
+    parted = silhouettes(sides).agg(F.avg("silhouette").alias("silhouette"), F.lit(None).cast("double").alias("accuracy"))
+    told = report(counted(rows, "lang"), N, RARE, ("en", "fr"), parted)
+    return told.select("section", "position", "name", "measure", r6("value"))
+
+
+def first_agreeing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifty clips, in order, in whose text a label can be read, with that label:
+    reading ends when they are found."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    told = lambda part: part.withColumn("said", T.first_contained(F.col("text"), SAID, "")).filter("said <> ''")
+    return first_fitting(docs, "doc_id", told, 50).select("doc_id", "said", F.length("text").cast("long").alias("n_chars"))
 
 
 RARE = [1, 4, 7]
+SAID = ["sad", "fear", "rest"]
 _RARE = "(1, 4, 7)"
 TOLD = "t AS (SELECT doc_id, doc_id % 8 AS gold, CASE WHEN doc_id % 3 = 0 THEN doc_id % 8 ELSE doc_id % 5 END AS model, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 5 END AS before, CASE WHEN doc_id % 4 = 0 THEN doc_id % 8 ELSE doc_id % 5 END AS after, doc_id % 6 AS cb, doc_id % 9 AS ca FROM documents)"
 _share = lambda held, name, of="count(*)": f"round(count(*) FILTER ({held}) / greatest({of}, 1)::DOUBLE, 6) AS {name}"
@@ -199,17 +213,40 @@ _FLIP = """WITH e AS (SELECT vec_id, b.b, k.k, embedding[16 * b.b + k.k + 1]::DO
 l AS (SELECT vec_id, r, k FROM g QUALIFY row_number() OVER (PARTITION BY vec_id, r ORDER BY s DESC, k) = 1), o AS (SELECT a.vec_id, a.k AS own, min(b.r) AS first FROM l AS a LEFT JOIN l AS b ON b.vec_id = a.vec_id AND b.r >= 0 AND b.k <> a.k WHERE a.r = -1 GROUP BY 1, 2),
 n AS (SELECT o.*, l.k AS new, CASE WHEN o.vec_id % 3 = 0 THEN own ELSE l.k END AS told FROM o LEFT JOIN l ON l.vec_id = o.vec_id AND l.r = o.first)
 SELECT count(*) AS n_samples, count(first) AS n_changed, count(*) FILTER (first = 0) AS by_audio, count(*) FILTER (first = 1) AS by_face, count(*) FILTER (first = 2) AS by_context, count(*) FILTER (first = 3) AS by_text, round(count(*) FILTER (told = new) / greatest(count(first), 1)::DOUBLE, 6) AS consistency FROM n"""
+_each = lambda section, pos, name, measures, src: " UNION ALL ".join(f"SELECT '{section}' AS section, {pos}::INTEGER AS position, {name} AS name, '{m}' AS measure, {v}::DOUBLE AS value FROM {src}" for m, v in measures.items())
+_ANALYSIS = f""", c AS (SELECT *, row_number() OVER (ORDER BY f1, class) AS pos FROM per),
+x AS (SELECT y_true, y_pred, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM pred AS q WHERE q.y_true = p.y_true) AS rate FROM pred AS p WHERE y_true <> y_pred GROUP BY 1, 2),
+y AS (SELECT *, row_number() OVER (ORDER BY n DESC, y_true, y_pred) AS pos, row_number() OVER (PARTITION BY y_true ORDER BY n DESC, y_pred) AS k FROM x),
+e AS (SELECT count(*) AS n, count(*) FILTER (y_true <> y_pred) AS wrong FROM pred),
+l AS (SELECT y_true, y_pred, coalesce(lang, 'vi') AS lang FROM pred LEFT JOIN documents ON doc_id = vec_id),
+o AS (SELECT lang, y_true AS class FROM l UNION SELECT lang, y_pred FROM l),
+f AS (SELECT o.lang, o.class, count(*) FILTER (y_true = class AND y_pred = class) AS tp, count(*) FILTER (y_true = class) AS nt, count(*) FILTER (y_pred = class) AS np FROM o JOIN l USING (lang) GROUP BY ALL),
+g AS (SELECT lang, sum(nt) AS n, avg(2.0::DOUBLE * tp / (nt + np)) AS macro_f1, avg(CASE WHEN nt = 0 THEN 0 ELSE tp::DOUBLE / nt END) AS uar, row_number() OVER (ORDER BY lang) AS pos FROM f GROUP BY lang),
+v AS (SELECT vec_id, embedding::DOUBLE[] AS v, CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS side FROM embeddings JOIN documents ON doc_id = vec_id WHERE lang IS NOT NULL),
+d AS (SELECT a.vec_id, a.side, b.side AS other, sum(list_distance(a.v, b.v)) AS s, count(*) AS n FROM v AS a JOIN v AS b ON true GROUP BY ALL),
+h AS (SELECT vec_id, max(CASE WHEN other = side THEN n END) AS n, max(CASE WHEN other = side THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN other <> side THEN s / n END) AS b FROM d GROUP BY 1),
+sil AS (SELECT avg(CASE WHEN n > 1 AND b IS NOT NULL THEN coalesce((b - a) / nullif(greatest(a, b), 0), 0) ELSE 0 END) AS silhouette FROM h),
+m AS (SELECT avg(f1) AS f, coalesce(string_agg(class::VARCHAR, ',' ORDER BY class) FILTER (n_true > 0 AND f1 < 0.2), '') AS weak, coalesce(string_agg(class::VARCHAR, ',' ORDER BY class) FILTER (n_true > 0 AND recall = 0), '') AS never, max(n_true)::DOUBLE / min(n_true) FILTER (n_true > 0) AS i, (SELECT macro_f1 FROM g WHERE lang = 'en') - (SELECT macro_f1 FROM g WHERE lang = 'fr') AS gap FROM per),
+r AS (SELECT 1 AS position, 'macro_f1_critical' AS name, '' AS measure, f AS value FROM m WHERE f < 0.3 UNION ALL SELECT 1, 'macro_f1_low', '', f FROM m WHERE f >= 0.3 AND f < 0.5 UNION ALL SELECT 2, 'weak_classes', weak, NULL FROM m WHERE weak <> '' UNION ALL SELECT 3, 'never_predicted', never, NULL FROM m WHERE never <> ''
+ UNION ALL SELECT 4, 'rare_class', class::VARCHAR, f1 FROM per WHERE class IN {_RARE} AND n_true > 0 AND f1 < 0.15 UNION ALL SELECT 5, 'confusion', y_true || '>' || y_pred, rate FROM y WHERE pos = 1 AND rate > 0.3 UNION ALL SELECT 6, 'language_gap', 'en', -gap FROM m WHERE gap < -0.05 UNION ALL SELECT 6, 'language_gap', 'fr', gap FROM m WHERE gap > 0.1
+ UNION ALL SELECT 7, 'fragmentation', '', silhouette FROM sil WHERE silhouette > 0.2 UNION ALL SELECT 8, 'imbalance', '', round(i) FROM m WHERE i > 10),
+t AS ({_each('class', 'pos', 'class::VARCHAR', {'precision': 'precision', 'recall': 'recall', 'f1': 'f1', 'support': 'n_true'}, 'c')} UNION ALL {_each('confusion', 'pos', "y_true || '>' || y_pred", {'count': 'n', 'rate': 'rate'}, 'y WHERE pos <= 5')} UNION ALL {_each('errors', '1', "'all'", {'n': 'n', 'errors': 'wrong', 'rate': 'coalesce(wrong::DOUBLE / nullif(n, 0), 0)'}, 'e')} UNION ALL {_each('language', 'pos', 'lang', {'n': 'n', 'macro_f1': 'macro_f1', 'uar': 'uar'}, 'g')}
+ UNION ALL SELECT 'rare', 0, y_true::VARCHAR, 'in ' || lang, count(*) FROM l WHERE y_true IN {_RARE} GROUP BY y_true, lang UNION ALL SELECT 'rare', k, y_true::VARCHAR, 'as ' || y_pred, n FROM y WHERE k <= 3 AND y_true IN {_RARE}
+ UNION ALL SELECT 'advice', position, name, measure, value FROM r UNION ALL SELECT 'advice', 0, 'none', '', NULL WHERE NOT EXISTS (SELECT 1 FROM r))
+SELECT section, position::INTEGER AS position, name, measure, round(value, 6) AS value FROM t"""
 QUERIES = {
     "macro_auc": (macro_auc, STEPS + ", a AS (SELECT class, sum(neg * (tpa + 0.5 * pos)) / (max(ap)::DOUBLE * max(an)) AS r, sum(pos * (tpa + pos)::DOUBLE / (tpa + pos + fpa + neg)) / max(ap)::DOUBLE AS p FROM cum GROUP BY class HAVING max(ap) > 0) SELECT count(*) AS classes, CASE WHEN count(*) >= 2 THEN round(avg(r), 6) END AS macro_roc_auc, CASE WHEN count(*) >= 2 THEN round(avg(p), 6) END AS macro_pr_auc FROM a"),
     "class_breakdown": (class_breakdown, PRED + "SELECT class, round(f1, 6) AS f1, round(precision, 6) AS precision, round(recall, 6) AS recall, n_true AS support FROM per ORDER BY f1, class"),
     "error_pairs": (error_pairs, PRED + "SELECT y_true, y_pred, count(*) AS n, (SELECT count(*) FROM pred WHERE y_true <> y_pred) AS errors, round((SELECT count(*) FROM pred WHERE y_true <> y_pred) / (SELECT greatest(count(*), 1) FROM pred)::DOUBLE, 6) AS error_rate FROM pred WHERE y_true <> y_pred GROUP BY 1, 2"),
-    "metrics_per_language": (metrics_per_language, GROUPED.format(rows=BY_LANG, by="lang") + ", l AS (SELECT unnest(['en', 'fr', 'de', 'es', 'vi']) AS lang) SELECT lang, coalesce(n_samples, 0) AS n, round(coalesce(macro_f1, 0), 6) AS macro_f1, round(coalesce(uar, 0), 6) AS uar FROM l LEFT JOIN m USING (lang)"),
+    "metrics_per_language": (metrics_per_language, GROUPED.format(rows=BY_LANG, by="lang") + ", l AS (SELECT unnest(['en', 'fr', 'de', 'es', 'vi']) AS lang), q AS (SELECT lang, sum(f.nt)::BIGINT AS n_samples, avg(f1) AS macro_f1, avg(recall) AS uar FROM f JOIN s USING (lang, class) WHERE s.nt + s.np > 0 GROUP BY lang) SELECT lang, coalesce(n_samples, 0) AS n, round(coalesce(macro_f1, 0), 6) AS macro_f1, round(coalesce(uar, 0), 6) AS uar FROM l LEFT JOIN q USING (lang)"),
     "language_distribution": (language_distribution, "SELECT coalesce(lang, 'vi') AS lang, count(*) AS n FROM documents GROUP BY 1 QUALIFY count(*) OVER () >= 2"),
     "rare_class_detail": (rare_class_detail, PRED + f", g AS (SELECT y_true AS class, " + ", ".join(f"count(*) FILTER (coalesce(lang, 'vi') = '{x}') AS {x}" for x in [*LANGS, "vi"]) + f" FROM pred LEFT JOIN documents ON doc_id = vec_id WHERE y_true IN {_RARE} GROUP BY 1), t AS (SELECT y_true AS class, y_pred, count(*) AS n FROM pred WHERE y_true <> y_pred AND y_true IN {_RARE} GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY y_true ORDER BY count(*) DESC, y_pred) <= 3), c AS (SELECT class, string_agg(y_pred || ':' || n, ',' ORDER BY n DESC, y_pred) AS confusions FROM t GROUP BY class) SELECT class, round(f1, 6) AS f1, round(recall, 6) AS recall, n_true AS support, " + ", ".join(f"coalesce({x}, 0) AS {x}" for x in [*LANGS, "vi"]) + f", coalesce(confusions, '') AS confusions FROM per LEFT JOIN g USING (class) LEFT JOIN c USING (class) WHERE class IN {_RARE}"),
     "recommendations": (recommendations, PRED + f""", m AS (SELECT avg(f1) AS f, coalesce(string_agg(class::VARCHAR, ',' ORDER BY class) FILTER (n_true > 0 AND f1 < 0.2), '') AS weak, coalesce(string_agg(class::VARCHAR, ',' ORDER BY class) FILTER (n_true > 0 AND recall = 0), '') AS never, coalesce(string_agg(class::VARCHAR, ',' ORDER BY class) FILTER (n_true > 0 AND class IN {_RARE} AND f1 < 0.15), '') AS rare, max(n_true)::DOUBLE / min(n_true) FILTER (n_true > 0) AS i FROM per),
 x AS (SELECT y_true, y_pred, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM pred AS q WHERE q.y_true = p.y_true) AS rate FROM pred AS p WHERE y_true <> y_pred GROUP BY 1, 2 ORDER BY n DESC, y_true, y_pred LIMIT 1),
 r AS (SELECT 1 AS rule, 'macro_f1_critical' AS name, '' AS detail FROM m WHERE f < 0.3 UNION ALL SELECT 2, 'macro_f1_low', '' FROM m WHERE f >= 0.3 AND f < 0.5 UNION ALL SELECT 3, 'weak_classes', weak FROM m WHERE weak <> '' UNION ALL SELECT 4, 'never_classes', never FROM m WHERE never <> '' UNION ALL SELECT 5, 'rare_classes', rare FROM m WHERE rare <> '' UNION ALL SELECT 6, 'confusion', y_true || '>' || y_pred FROM x WHERE rate > 0.3 UNION ALL SELECT 7, 'imbalance', round(i)::BIGINT::VARCHAR FROM m WHERE i > 10)
 SELECT * FROM r UNION ALL SELECT 0, 'none', '' WHERE NOT EXISTS (SELECT 1 FROM r)"""),
+    "analysis_report": (analysis_report, PRED + _ANALYSIS),
+    "first_agreeing": (first_agreeing, "SELECT doc_id, CASE WHEN contains(lower(text), 'sad') THEN 'sad' WHEN contains(lower(text), 'fear') THEN 'fear' ELSE 'rest' END AS said, length(text) AS n_chars FROM documents WHERE contains(lower(text), 'sad') OR contains(lower(text), 'fear') OR contains(lower(text), 'rest') ORDER BY doc_id LIMIT 50"),
     "attention_by_group": (attention_by_group, "SELECT label, count(*) AS clips, " + ", ".join(f"round(avg(list_avg(list_transform(range(16), lambda t: embedding[4 * t + {m} + 1]::DOUBLE))), 6) AS m{m}" for m in range(4)) + " FROM embeddings GROUP BY label"),
     "agreement_rates": (agreement_rates, f"WITH {TOLD} SELECT count(*) AS n_samples, {_share('before = model', 'agreement')}, {_share('before IS NOT NULL', 'format_rate')}, {_share('model = gold', 'model_accuracy')}, {_share('before = gold', 'told_accuracy')} FROM t"),
     "ablation_stability": (ablation_stability, f"WITH {TOLD} SELECT count(*) AS n, {_share('before IS NOT DISTINCT FROM after', 'stability')}, {_share('cb <> ca', 'degradation')} FROM t"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipwright.functions import arrays as A
+from clipwright.operators import blocks as K
 from clipwright.operators import splits as S
 from clipwright.plans.evaluation import r6
 from clipwright.sources.tables import table
@@ -123,40 +124,28 @@ def mixup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of what the cosines of two classes' vectors exceed a margin by, over stated pairs of
     classes. Each vector of one class meets every one of the other: that is the measure."""
-    unit = _e(spark, sf_dir).withColumn("u", F.transform("v", lambda x: x / A.norm(F.col("v")))).select("label", "u")
-    pairs = spark.createDataFrame([(0, 1), (2, 5), (3, 99)], "a int, b int")
-    left = pairs.join(unit.select(F.col("label").alias("a"), F.col("u").alias("x")), "a")
-    both = left.join(unit.select(F.col("label").alias("b"), F.col("u").alias("y")), "b")
-    return both.groupBy("a", "b").agg(F.count("*").alias("n"), r6(F.avg(F.greatest(A.dot(F.col("x"), F.col("y")) - 0.05, F.lit(0.0))), "loss"))
+    pairs = spark.createDataFrame([(0, 1), (2, 5), (3, 99)], "left long, right long")
+    rows = _e(spark, sf_dir).select(F.col("label").alias("by"), F.col("vec_id").alias("id"), "v")
+    return K.margin_excess(rows, pairs, 0.05).select(F.col("left").cast("int").alias("a"), F.col("right").cast("int").alias("b"), "n", r6("loss"))
 
 
 def soft_token_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest of a vocabulary of 40 embeddings to the ten tokens of each of the first
-    five clips: the vocabulary has a stated size and is broadcast."""
+    """The three nearest of the vocabulary, all embeddings' first blocks, to all eight tokens of
+    each clip."""
     e = _e(spark, sf_dir)
-    half = lambda c: A.block(c, 0, 8)
-    words = e.filter("vec_id < 40").select(F.col("vec_id").alias("word"), half(F.col("v")).alias("w"))
-    tokens = e.filter("vec_id < 5").select("vec_id", F.posexplode(A.rows_of(F.col("v"), 8, 8)).alias("token", "t"))
-    near = tokens.crossJoin(F.broadcast(words)).withColumn("s", F.round(A.cosine(F.col("t"), F.col("w")), 9))
-    rank = F.row_number().over(Window.partitionBy("vec_id", "token").orderBy(F.desc("s"), "word"))
-    return near.withColumn("rank", rank).filter("rank <= 3").select("vec_id", "token", "rank", "word", r6("s"))
+    words = e.select(F.col("vec_id").alias("id"), A.block(F.col("v"), 0, 8).alias("v"))
+    tokens = e.select("vec_id", F.posexplode(A.rows_of(F.col("v"), 8, 8)).alias("token", "v"))
+    near = K.nearest(tokens.select((F.col("vec_id") * 8 + F.col("token")).alias("id"), "v"), words, 3)
+    token = F.pmod("id", F.lit(8)).cast("int")
+    return near.select(F.expr("id div 8").alias("vec_id"), token.alias("token"), "rank", "word", r6("s"))
 
 
 def silhouette_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean silhouette of embeddings by language, of squared distances: the mean distance to a
-    cluster follows from its mean and its mean squared norm, so no pair is formed. A cluster
-    of one has 0; the clusters are one row for each language."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "lang").filter("lang is not null")
-    rows = _e(spark, sf_dir).join(docs, "vec_id").withColumn("sq", A.dot(F.col("v"), F.col("v")))
-    means = F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(64)])
-    dim = rows.groupBy("lang").agg(F.count("*").alias("n"), means.alias("c"), F.avg("sq").alias("q")).agg(F.collect_list(F.struct("lang", "n", "c", "q")).alias("dim"))
-    far = F.transform("dim", lambda k: F.struct(k["lang"].alias("lang"), k["n"].alias("n"), (F.col("sq") + k["q"] - 2 * A.dot(F.col("v"), k["c"])).alias("d")))
-    told = rows.crossJoin(F.broadcast(dim)).withColumn("far", far)
-    own = F.get(F.filter("far", lambda k: k["lang"] == F.col("lang")), F.lit(0))
-    inner = own["d"] * own["n"] / F.greatest(own["n"] - 1, F.lit(1))
-    other = F.array_min(F.transform(F.filter("far", lambda k: k["lang"] != F.col("lang")), lambda k: k["d"]))
-    value = F.when((own["n"] > 1) & other.isNotNull(), F.coalesce(F.try_divide(other - inner, F.greatest(other, inner)), F.lit(0.0))).otherwise(0.0)
-    return told.groupBy("lang").agg(F.count("*").alias("n"), r6(F.avg(value), "silhouette"))
+    """Mean silhouette of embeddings, English against all other languages, and of each side."""
+    docs = table(spark, sf_dir, "documents").filter("lang is not null").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", "en").otherwise("other").alias("by"))
+    rows = _e(spark, sf_dir).select(F.col("vec_id").alias("id"), "v").join(docs, "id")
+    told = K.silhouettes(rows)
+    return told.rollup("by").agg(F.count("*").alias("n"), r6(F.avg("silhouette"), "silhouette")).select(F.coalesce("by", F.lit("all")).alias("side"), "n", "silhouette")
 
 
 def mean_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +175,7 @@ QUERIES = {
     "modality_drop": (modality_drop, f"WITH {_B}, d AS (SELECT *, CASE WHEN {_h(5, 10)} < 3 THEN {_h(6, 4)} ELSE -1 END AS d FROM b) SELECT vec_id, d AS dropped, vec_id % 2 = 0 AND d <> 1 AS has_face, " + ", ".join(f"CASE WHEN d = {i} THEN 0 ELSE round(list_sum(v[{16 * i + 1}:{16 * i + 16}]), 6) END AS {m}" for i, m in enumerate(("audio", "face", "context", "text"))) + " FROM d"),
     "mixup": (mixup, f"WITH {_B}, p AS (SELECT vec_id AS partner, label AS label_b, v AS w, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM b WHERE label IN (1, 4, 7)), r AS (SELECT *, {_h(7, 1_000_003)} % (SELECT count(*) FROM p) AS place, greatest({_h(8, 1000)} / 1000.0::DOUBLE, 1 - {_h(8, 1000)} / 1000.0::DOUBLE) AS share FROM b) SELECT vec_id, partner, label AS label_a, label_b, round(share, 6) AS share, round(share * list_sum(v) + (1 - share) * list_sum(w), 6) AS total FROM r JOIN p USING (place)"),
     "pair_margin": (pair_margin, f"WITH {_B}, k AS (SELECT * FROM (VALUES (0, 1), (2, 5), (3, 99)) AS t(a, b)) SELECT k.a, k.b, count(*) AS n, round(avg(greatest(list_cosine_similarity(x.v, y.v) - 0.05, 0)), 6) AS loss FROM k JOIN b AS x ON x.label = k.a JOIN b AS y ON y.label = k.b GROUP BY 1, 2"),
-    "soft_token_top3": (soft_token_top3, f"WITH {_B}, s AS (SELECT t.vec_id, k.i::INTEGER AS token, w.vec_id AS word, round(list_cosine_similarity(t.v[8 * k.i + 1:8 * k.i + 8], w.v[1:8]), 9) AS s FROM b AS t, range(8) AS k(i), b AS w WHERE t.vec_id < 5 AND w.vec_id < 40) SELECT vec_id, token, row_number() OVER (PARTITION BY vec_id, token ORDER BY s DESC, word)::INTEGER AS rank, word, round(s, 6) AS s FROM s QUALIFY row_number() OVER (PARTITION BY vec_id, token ORDER BY s DESC, word) <= 3"),
-    "silhouette_by_language": (silhouette_by_language, f"WITH {_B}, r AS (SELECT vec_id, v, lang FROM b JOIN documents ON doc_id = vec_id WHERE lang IS NOT NULL), d AS (SELECT x.vec_id, x.lang, y.lang AS other, sum(list_distance(x.v, y.v) ** 2) AS s, count(*) AS n FROM r AS x JOIN r AS y ON true GROUP BY ALL), k AS (SELECT vec_id, lang, max(CASE WHEN other = lang THEN n END) AS n, max(CASE WHEN other = lang THEN s / greatest(n - 1, 1) END) AS a, min(CASE WHEN other <> lang THEN s / n END) AS b FROM d GROUP BY 1, 2) SELECT lang, count(*) AS n, round(avg(CASE WHEN n > 1 AND b IS NOT NULL THEN coalesce((b - a) / nullif(greatest(a, b), 0), 0) ELSE 0 END), 6) AS silhouette FROM k GROUP BY lang"),
+    "soft_token_top3": (soft_token_top3, f"WITH {_B}, s AS (SELECT t.vec_id, k.i::INTEGER AS token, w.vec_id AS word, round(list_cosine_similarity(t.v[8 * k.i + 1:8 * k.i + 8], w.v[1:8]), 9) AS s FROM b AS t, range(8) AS k(i), b AS w) SELECT vec_id, token, row_number() OVER (PARTITION BY vec_id, token ORDER BY s DESC, word)::INTEGER AS rank, word, round(s, 6) AS s FROM s QUALIFY row_number() OVER (PARTITION BY vec_id, token ORDER BY s DESC, word) <= 3"),
+    "silhouette_by_language": (silhouette_by_language, f"WITH {_B}, r AS (SELECT vec_id, v, CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS side FROM b JOIN documents ON doc_id = vec_id WHERE lang IS NOT NULL), d AS (SELECT x.vec_id, x.side, y.side AS other, sum(list_distance(x.v, y.v)) AS s, count(*) AS n FROM r AS x JOIN r AS y ON true GROUP BY ALL), k AS (SELECT vec_id, side, max(CASE WHEN other = side THEN n END) AS n, max(CASE WHEN other = side THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN other <> side THEN s / n END) AS b FROM d GROUP BY 1, 2) SELECT coalesce(side, 'all') AS side, count(*) AS n, round(avg(CASE WHEN n > 1 AND b IS NOT NULL THEN coalesce((b - a) / nullif(greatest(a, b), 0), 0) ELSE 0 END), 6) AS silhouette FROM k GROUP BY ROLLUP (side)"),
     "mean_embedding": (mean_embedding, f"WITH {_B} SELECT vec_id, d.d::INTEGER AS i, round(list_avg(list_transform(range(0, 16), lambda t: v[4 * t + d.d + 1])), 6) AS x FROM b, range(4) AS d(d)"),
 }

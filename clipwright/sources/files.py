@@ -61,9 +61,31 @@ def read_map(spark: SparkSession, path: str, value: str = "string", whole: bool
     return text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
 
 
+#: File names that one read is filtered by.
+NAMES = 10_000
+
+
+def read_split(spark: SparkSession, path: str, manifest: DataFrame, split: str, schema: str, suffix: str = ".json", mode: str = "FAILFAST") -> DataFrame:
+    """The JSON documents whose stem ``manifest (clip_id, split)`` gives to ``split``, with ``clip_id``.
+
+    The names are a filter on the files' metadata, which the planner applies to its list of
+    files: one of another split is never opened, so it may be broken. Names are as many as
+    the split's files, which the planner lists in any case; each read takes ``NAMES`` of them.
+    """
+    stems = sorted(r[0] for r in manifest.filter(F.col("split") == split).select(F.col("clip_id").cast("string")).distinct().toLocalIterator())
+    documents = spark.read.schema(schema).option("mode", mode).option("multiLine", True).json(path)
+    name = F.col("_metadata.file_name")
+    stem = F.regexp_replace(name, r"\.[^.]*$", "").alias("clip_id")
+    out = documents.filter(F.lit(False)).select(F.lit("").alias("clip_id"), *[c for c in documents.columns if c != "clip_id"])
+    for i in range(0, len(stems), NAMES):
+        part = documents.filter(name.isin([f"{s}{suffix}" for s in stems[i : i + NAMES]]))
+        out = out.unionByName(part.select(stem, *[c for c in documents.columns if c != "clip_id"]))
+    return out
+
+
 def read_label_array(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, video, choice, confidence)`` of a file with one JSON array; anything else in it is
-    an error. Label files are small; rows are what Spark deals out."""
+    """``(id, video, choice, confidence)`` of files with one JSON array each; anything else in one
+    is an error. A label file is small, and there may be any number of them."""
     item = "struct<id: string, video: string, choice: string, confidence: double>"
     text = spark.read.text(path, wholetext=True)
     array = F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", f"array<{item}>"))
@@ -90,7 +112,8 @@ def read_labels_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_source_list(spark: SparkSession, path: str) -> DataFrame:
     """``(line, fields map<string,string>)`` of a list of urls: plain, or with tabs and a header
-    that names a url. Comments and blank lines go. A list is one small file."""
+    that names a url. Comments and blank lines go. A list is a small file, of which there may
+    be any number."""
     lines = F.filter(F.transform(F.split("value", "\r?\n"), lambda x: F.struct(F.trim(x).alias("t"), x.startswith("#").alias("c"))), lambda x: (x["t"] != "") & ~x["c"])
     kept = spark.read.text(path, wholetext=True).select(F.transform(lines, lambda x: x["t"]).alias("lines"))
     head = F.try_element_at("lines", F.lit(1))

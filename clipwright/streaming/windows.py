@@ -7,15 +7,14 @@ from __future__ import annotations
 
 import logging
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from clipwright.sources.tables import shared_dir
+from clipwright.streaming.frames import frame_windows, timed_state
 
 log = logging.getLogger(__name__)
 
@@ -52,36 +51,6 @@ def joined(left: DataFrame, right: DataFrame, key: str, within: str, late: str)
     return a.join(b, near).select(key, "left_id", "right_id", "right_ts")
 
 
-WINDOW = "clip_id long, window_id long, first_id long, last_id long, latency double"
-
-
-def frame_windows(frames: DataFrame, size: int, step: int, most: float) -> DataFrame:
-    """Windows of ``size`` frames every ``step``, per clip, in the order of arrival.
-
-    ``frames (clip_id, ts, event_id, latency)``; a window's latency is that of its last frame.
-    One slower than ``most`` is dropped, the whole buffer is cleared and its number is given
-    to the next. Held of a clip: the frames of one window at most and the next number."""
-
-    def each(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, number = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        out = []
-        frames = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for event_id, latency in zip(frames["event_id"].tolist(), frames["latency"].tolist(), strict=True):
-            ids.append(event_id)
-            if len(ids) < size:
-                continue
-            first, ids = ids[0], ids[step:]
-            if latency > most:
-                ids = []
-                continue
-            out.append((key[0], number, first, event_id, latency))
-            number += 1
-        state.update((ids, number))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in WINDOW.split(", ")])
-
-    return frames.groupBy("clip_id").applyInPandasWithState(each, WINDOW, "ids array<long>, number long", "append", GroupStateTimeout.NoTimeout)
-
-
 def emitting(stream: DataFrame, emit: Callable[[DataFrame, int], None], state: str) -> StreamingQuery:
     """Hands every micro-batch to ``emit``; what it raises is logged and the stream goes on."""
 
@@ -120,7 +89,8 @@ def drained(stream: DataFrame, tag: str) -> DataFrame:
     """Runs a stream over all that is there and reads what its file sink holds."""
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+    with timed_state(spark):
+        query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
@@ -135,15 +105,20 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closed.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-def _latency_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _latency_stream(spark: SparkSession, sf_dir: str, late: str = "0 seconds") -> DataFrame:
     e = event_stream(spark, sf_dir).select(F.col("user_id").alias("clip_id"), "ts", "event_id", (F.col("event_id") % 11 * 80.0).alias("latency"))
-    return frame_windows(e, 8, 3, 600.0)
+    return frame_windows(e, 8, 3, 600.0, late)
 
 
 def stream_frame_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(_latency_stream(spark, sf_dir), "frame-windows")
 
 
+def stream_late_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows when frames may be a day late: those that the watermark has passed."""
+    return drained(_latency_stream(spark, sf_dir, "1 day"), "late-frames")
+
+
 def window_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last ten windows of the kept ones."""
     kept = drained(_latency_stream(spark, sf_dir), "window-history")
@@ -162,13 +137,14 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LAST = "(SELECT max(ts) - INTERVAL '10 minutes' FROM events)"
-_FRAMES = """WITH RECURSIVE f AS (SELECT user_id AS clip_id, event_id, event_id % 11 * 80.0::DOUBLE AS latency, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+_FRAMES = """WITH RECURSIVE f AS (SELECT user_id AS clip_id, event_id, event_id % 11 * 80.0::DOUBLE AS latency, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events{where}),
 w(clip_id, e, number) AS (SELECT DISTINCT clip_id, 8::BIGINT, 0::BIGINT FROM f UNION ALL SELECT w.clip_id, w.e + CASE WHEN f.latency > 600 THEN 8 ELSE 3 END, w.number + CASE WHEN f.latency > 600 THEN 0 ELSE 1 END FROM w JOIN f ON f.clip_id = w.clip_id AND f.i = w.e),
 k AS (SELECT w.clip_id, w.number AS window_id, a.event_id AS first_id, b.event_id AS last_id, b.latency FROM w JOIN f AS b ON b.clip_id = w.clip_id AND b.i = w.e JOIN f AS a ON a.clip_id = w.clip_id AND a.i = w.e - 7 WHERE b.latency <= 600)
 """
 QUERIES = {
-    "stream_frame_windows": (stream_frame_windows, _FRAMES + "SELECT * FROM k"),
-    "window_history": (window_history, _FRAMES + "SELECT window_id, clip_id, last_id FROM k ORDER BY window_id DESC, clip_id DESC LIMIT 10"),
+    "stream_frame_windows": (stream_frame_windows, _FRAMES.format(where="") + "SELECT * FROM k"),
+    "stream_late_frames": (stream_late_frames, _FRAMES.format(where=" WHERE ts <= (SELECT max(ts) - INTERVAL '1 day' FROM events)") + "SELECT * FROM k"),
+    "window_history": (window_history, _FRAMES.format(where="") + "SELECT window_id, clip_id, last_id FROM k ORDER BY window_id DESC, clip_id DESC LIMIT 10"),
     "stream_join": (stream_join, "SELECT a.user_id, a.event_id AS left_id, b.event_id AS right_id FROM events AS a JOIN events AS b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL '6 hours'"),
     "stream_dedup": (stream_dedup, "SELECT DISTINCT user_id, event_type FROM events"),
     "stream_hopping_windows": (stream_hopping_windows, f"SELECT * FROM (SELECT time_bucket(INTERVAL '30 minutes', ts) - t.k * INTERVAL '30 minutes' AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events, range(2) AS t(k) GROUP BY 1, 2) AS x WHERE start + INTERVAL '1 hour' <= {LAST}"),

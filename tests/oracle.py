@@ -9,7 +9,7 @@ import duckdb
 
 def _plain(x):
     if isinstance(x, float):
-        return None if math.isnan(x) else round(x, 5) + 0.0
+        return None if math.isnan(x) else round(x, 9) + 0.0
     if isinstance(x, datetime.datetime):
         return x.replace(tzinfo=None).isoformat()
     if isinstance(x, (datetime.date, bool)) or x is None:
@@ -32,6 +32,6 @@ def compare(spark, sf, build, sql):
         theirs = rows_of([c[0] for c in got.description], got.fetchall())
     assert ours[0] == theirs[0]
     assert len(ours[1]) == len(theirs[1])
-    near = lambda a, b: a == b or (isinstance(a, (int, float)) and isinstance(b, (int, float)) and math.isclose(a, b, rel_tol=1e-9, abs_tol=2e-5))
+    near = lambda a, b: a == b or (isinstance(a, (int, float)) and isinstance(b, (int, float)) and math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9))
     wrong = [(a, b) for a, b in zip(ours[1], theirs[1], strict=True) if not all(map(near, a, b))]
     assert not wrong, wrong[:3]

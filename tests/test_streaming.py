@@ -67,3 +67,48 @@ def test_polled_results_and_look_up(spark, tmp_path):
     except KeyError:
         return
     raise AssertionError("a window that is not there was found")
+
+
+def _frames(spark, path, files, late, idle="30 days", **start):
+    """One micro-batch for each list of (second, event_id) in ``files``."""
+    at = dt.datetime(2024, 1, 1)
+    for rows in files:
+        data = [(i, at + dt.timedelta(seconds=s), c, 5.0) for s, i, c in rows]
+        spark.createDataFrame(data, "event_id long, ts timestamp_ntz, clip_id long, latency double").coalesce(1).write.mode("append").parquet(path)
+    stream = W.event_stream(spark, path, "*.parquet", per_trigger=1)
+    return W.frame_windows(stream, 3, 2, 600.0, late, idle)
+
+
+def test_frames_out_of_order_over_micro_batches(spark, tmp_path):
+    order = [5, 1, 9, 3, 0, 7, 12, 4, 2, 14, 8, 6, 10, 13, 11]
+    files = [[(s, s, 1) for s in order[k : k + 5]] for k in (0, 5, 10)] + [[(1000, 1000, 2)]]
+    got = W.drained(_frames(spark, str(tmp_path / "in"), files, "20 seconds"), "order").filter("clip_id = 1")
+    want = [(1, k, 2 * k, 2 * k + 2, 5.0) for k in range(7)]
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_state_of_idle_clips_goes(spark, tmp_path):
+    path = str(tmp_path / "in")
+    files = [[(s, s, 1) for s in range(5)], [(60, 60, 2)], [(120, 120, 3)], [(180, 180, 1), (181, 181, 1), (182, 182, 1)], [(400, 400, 4)], [(900, 900, 9)]]
+    stream = _frames(spark, path, files, "1 second", "20 seconds")
+    with W.timed_state(spark):
+        query = stream.writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = sorted((r.clip_id, r.window_id, r.first_id, r.last_id) for r in spark.table("idle").collect())
+    # A clip that comes back after the idle time starts anew, with number 0.
+    assert rows == [(1, 0, 0, 2), (1, 0, 180, 182), (1, 1, 2, 4)]
+    kept = spark.read.format("statestore").option("stateVarName", "clip").load(str(tmp_path / "state")).count()
+    held = spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "state")).count()
+    # Only the last clip's one frame is held; no other clip has a row left.
+    assert kept == 1 and held == 1
+
+
+def test_one_micro_batch_or_many_give_the_same(spark, tmp_path):
+    rows = [(s * 7 % 100 + (200 if s % 3 == 0 else 0), s, s % 2) for s in range(100)]
+    rows.sort(key=lambda r: r[0] + (r[1] * 13 % 9))
+    end = [(10_000, 10_000, 5)]
+    results = []
+    for name, parts in (("one", [rows]), ("many", [rows[:40], rows[40:60], rows[60:]])):
+        got = W.drained(_frames(spark, str(tmp_path / name), [*parts, end], "30 seconds", "60 seconds"), name)
+        results.append(sorted(tuple(r) for r in got.collect()))
+    assert results[0] == results[1] and {r[1] for r in results[0]} > {0, 1}
