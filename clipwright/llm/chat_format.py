@@ -8,8 +8,8 @@ these choose windows of whole turns: a window holds the conversation's first sys
 that were shown before, and new turns up to the budget. Only new assistant turns are under
 the loss mask, so each is learned once.
 
-A conversation is dealt out in segments of SEGMENT turn numbers, in each of which windows
-begin anew; what a segment needs of those before it, the system turn and the last turns, is
+A conversation is dealt out in segments of SEGMENT turns, whatever their numbers are, in each
+of which windows begin anew; what a segment needs of those before it, the system turn and the last turns, is
 brought to it. So a conversation that is a third of the table is many tasks.
 """
 
@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipwright.llm.common import tasks_of
+from clipwright.llm.common import stored, tasks_of
 from clipwright.llm.token_ids import default_path, encoder
+from clipwright.operators.running import running
 
 BUDGET = 1024
 #: Turns of history repeated in a window, and the share of the budget they may take.
 HISTORY, HISTORY_SHARE = 2, 4
-#: Turn numbers of a segment, and the part of a window's number that counts inside one.
+#: Turns of a segment, and the part of a window's number that counts inside one.
 SEGMENT, NUMBER_BITS = 4096, 32
 BEGIN = "<s>"
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("[ANS]", "</s>")}
@@ -172,12 +173,12 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, path
     """
     path = path or default_path()
     begin_tokens = len(encoder(path).encode([BEGIN])[0]) // 4
-    rows = with_tokens(turns, path).withColumn("segment", F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(1 << 31))))
-    dealt = rows.withColumn("kind", F.lit(2)).unionByName(_carried(turns, path, segment, history))
-    order = ["conv_id", "segment", "kind", "turn", "role", "text"]
-    running = Window.partitionBy("conv_id", "segment").orderBy("kind", "turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    summed = dealt.repartition(tasks_of(dealt), "conv_id", "segment").withColumn("prefix", F.sum(F.when(F.col("kind") == 2, F.col("tokens")).otherwise(0)).over(running))
-    summed = summed.sortWithinPartitions(*order, "prefix").select("conv_id", "segment", "kind", "role", "text", "tokens", "prefix")
+    placed = numbered(turns, path, segment)
+    dealt = placed.select(*DEALT, F.lit(2).alias("kind")).unionByName(_carried(placed, segment, history))
+    order = ["conv_id", "segment", "kind", "place"]
+    upto = Window.partitionBy("conv_id", "segment").orderBy("kind", "place").rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.repartition(tasks_of(dealt), "conv_id", "segment").withColumn("prefix", F.sum(F.when(F.col("kind") == 2, F.col("tokens")).otherwise(0)).over(upto))
+    summed = summed.sortWithinPartitions(*order).select("conv_id", "segment", "kind", "role", "text", "tokens", "prefix")
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Conversation | None = None
@@ -201,30 +202,35 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, path
     return summed.mapInArrow(each, WINDOWS)
 
 
-def _carried(turns: DataFrame, path: str, segment: int, history: int) -> DataFrame:
+#: Columns of turns on their way to a segment's task.
+DEALT = ["conv_id", "segment", "place", "role", "text", "tokens"]
+
+
+def numbered(turns: DataFrame, path: str, segment: int) -> DataFrame:
+    """Turns with their tokens, their ``place`` in the conversation (0 and up, whatever the turn
+    numbers are), the conversation's number of turns ``n`` and their ``segment`` of places.
+    Places come from prefix sums over ranges, so no task gets a long conversation whole."""
+    ranked = running(with_tokens(turns, path), ["conv_id"], [F.col(c) for c in ("turn", "role", "text")], {"place": F.lit(1)})
+    ranked = ranked.withColumnsRenamed({"place_before": "place", "place_all": "n"})
+    return stored(ranked.withColumn("segment", F.expr(f"place div {segment}")), "turns")
+
+
+def _carried(placed: DataFrame, segment: int, history: int) -> DataFrame:
     """What segments need of earlier ones: the conversation's first system turn (kind 0) and
     the last ``history`` other turns (kind 1), as rows of the segment they are brought to.
-    Only conversations of several segments have any, and only turn numbers tell which."""
-    number = F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(1 << 31)))
-    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("segment", number)
-    segments = rows.groupBy("conv_id", "segment").agg(F.max("turn").alias("last"))
-    conversation = Window.partitionBy("conv_id").orderBy("segment")
-    # A row for each segment, not for each turn.
-    after = segments.withColumn("next", F.lead("segment").over(conversation)).filter("next is not null").select(F.col("conv_id").alias("id"), F.col("segment").alias("of"), "next")
-    same = F.col("conv_id").eqNullSafe(F.col("id"))
-    split = after.select("id").distinct()
-    mine = rows.join(split, same, "left_semi")
-    first = F.min(F.when(F.col("role") == "system", F.struct("turn", "role", "text", "segment")))
-    system = mine.groupBy("conv_id").agg(first.alias("s")).filter("s is not null")
-    told = system.select(F.col("conv_id"), "s").join(after, same).filter(F.col("next") > F.col("s.segment"))
-    told = told.select("conv_id", F.col("s.turn").alias("turn"), F.col("s.role").alias("role"), F.col("s.text").alias("text"), F.col("next").alias("segment"), F.lit(0).alias("kind"))
-    named = system.select(F.col("conv_id").alias("sid"), F.col("s.turn").alias("st"), F.col("s.text").alias("sx"))
-    others = mine.join(named, F.col("conv_id").eqNullSafe(F.col("sid")), "left")
-    is_it = (F.col("role") == "system") & F.col("turn").eqNullSafe(F.col("st")) & (F.col("text") == F.col("sx"))
-    back = F.row_number().over(Window.partitionBy("conv_id", "segment").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")))
-    tail = others.filter(~F.coalesce(is_it, F.lit(False))).withColumn("back", back).filter(F.col("back") <= history)
-    tail = tail.join(after, same & (F.col("segment") == F.col("of"))).select("conv_id", "turn", "role", "text", F.col("next").alias("segment"), F.lit(1).alias("kind"))
-    return with_tokens(told.unionByName(tail), path, "segment", "kind")
+    Only conversations of several segments have any."""
+    mine = placed.filter(F.col("n") > segment)
+    system = mine.filter("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("place", "role", "text", "tokens", "n")).alias("s"))
+    later = F.sequence(F.expr(f"s.place div {segment}") + 1, F.expr(f"(s.n - 1) div {segment}"))
+    told = system.filter(F.expr(f"s.place div {segment} < (s.n - 1) div {segment}")).select("conv_id", F.explode(later).alias("segment"), "s.place", "s.role", "s.text", "s.tokens", F.lit(0).alias("kind"))
+    # The last turns of a segment; the one more makes up for the system turn.
+    ends = mine.filter((F.col("place") % segment >= segment - history - 1) & F.expr(f"segment < (n - 1) div {segment}"))
+    first = system.select(F.col("conv_id").alias("id"), F.col("s.place").alias("is_system"))
+    others = ends.join(first, F.col("conv_id").eqNullSafe(F.col("id")), "left").filter("NOT coalesce(place = is_system, false)")
+    back = F.row_number().over(Window.partitionBy("conv_id", "segment").orderBy(F.desc("place")))
+    tail = others.withColumn("back", back).filter(F.col("back") <= history)
+    tail = tail.select("conv_id", (F.col("segment") + 1).alias("segment"), "place", "role", "text", "tokens", F.lit(1).alias("kind"))
+    return told.select(*DEALT, "kind").unionByName(tail.select(*DEALT, "kind"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

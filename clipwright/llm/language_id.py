@@ -97,11 +97,12 @@ class Model:
 
 def fit(labelled: DataFrame, texts: int = TEXTS, landmarks: int = LANDMARKS) -> Model | None:
     """Fits on at most ``texts`` rows ``(doc_id, text, lang)`` of each language, the least by
-    the hash of doc_id. Null texts and languages are left out; None if nothing is left."""
+    the hash of doc_id; of rows that share doc_id and language the one of the least text.
+    Null ids, texts and languages are left out; None if nothing is left."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     usable = labelled.filter("lang is not null and text is not null")
     # Only (doc_id, lang) are ranked, with a limit in each task before the shuffle.
-    ranked = usable.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= texts)
+    ranked = usable.select("doc_id", "lang").withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= texts).distinct()
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +112,8 @@ def fit(labelled: DataFrame, texts: int = TEXTS, landmarks: int = LANDMARKS) ->
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), packed], ["lang", "rank", "bits"])
 
     # At most `texts` rows of each language: a fixed bound.
-    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(ranked), ["doc_id", "lang"]).select("text", "lang", "rank")
+    joined = usable.select("doc_id", "lang", "text").join(F.broadcast(ranked), ["doc_id", "lang"])
+    sample = joined.groupBy("lang", "rank").agg(F.min("text").alias("text")).select("text", "lang", "rank")
     rows = sorted(((r.lang, r["rank"], r.bits) for r in sample.mapInArrow(each, "lang string, rank int, bits binary").toLocalIterator()))
     if not rows:
         return None

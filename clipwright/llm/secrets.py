@@ -25,8 +25,9 @@ LONG_ACCESS, LONG_HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 TOKEN = r"[A-Za-z0-9+/=_-]{20,}"
 THRESHOLD = 15.0
-#: Matches of one text whose spans are gathered at a time.
-PART = 512
+#: Matches of one text whose spans are gathered at a time, spans of which a running maximum is
+#: taken together, and characters of a text's pieces in masking.
+PART, RUN, CUT = 512, 256, 4096
 #: Samples generated for each label; the bound of the training set.
 SAMPLES = 4000
 
@@ -107,6 +108,33 @@ def _positions(kind: int, text: str, pattern: str, matches: str) -> Column:
       END""")
 
 
+def _running_ends(spans: str) -> str:
+    """SQL: the greatest end of ``spans`` up to each of them. Maxima are taken inside parts of
+    RUN spans and over the parts before."""
+    return f"""
+      transform(array(transform({spans}, x -> x.e)), ends -> CASE WHEN size(ends) = 0 THEN ends ELSE
+        transform(array(transform(sequence(0, (size(ends) - 1) DIV {RUN}), c -> slice(ends, c * {RUN} + 1, {RUN}))), parts ->
+          transform(array(transform(parts, part -> array_max(part))), tops ->
+            flatten(transform(parts, (part, c) ->
+              transform(array(coalesce(array_max(slice(tops, 1, c)), 0)), before ->
+                transform(part, (e, i) -> greatest(before, array_max(slice(part, 1, i + 1)))))[0])))[0])[0] END)[0]"""
+
+
+def _apart(spans: str, base: str) -> Column:
+    """Those of ``spans`` that overlap none of ``base``, both sorted by start. In the merged order
+    a span knows how many base spans start before it or with it: the greatest end of those
+    and the start of the next one decide."""
+    merged = f"array_sort(concat(transform({base}, x -> named_struct('s', x.s, 'own', 0, 'k', x.k, 'e', x.e)), transform({spans}, x -> named_struct('s', x.s, 'own', 1, 'k', x.k, 'e', x.e))))"
+    placed = f"filter(transform({merged}, (x, i) -> named_struct('x', x, 'i', i)), y -> y.x.own = 1)"
+    return F.expr(f"""
+      CASE WHEN size({base}) = 0 OR size({spans}) = 0 THEN {spans} ELSE
+        transform(array(named_struct('starts', transform({base}, x -> x.s), 'ends', {_running_ends(base)})), b ->
+          transform(
+            filter(transform({placed}, (y, n) -> named_struct('x', y.x, 'j', y.i - n)), y ->
+              (y.j = 0 OR get(b.ends, y.j - 1) <= y.x.s) AND (y.j >= size(b.starts) OR get(b.starts, y.j) >= y.x.e)),
+            y -> named_struct('s', y.x.s, 'k', y.x.k, 'e', y.x.e)))[0] END""")
+
+
 def _joined(spans: str) -> Column:
     names = ", ".join(f"'{k}'" for k in KINDS)
     return F.expr(f"array_join(transform({spans}, x -> concat(element_at(array({names}), x.k + 1), ':', x.s, ':', x.e)), ',')")
@@ -153,7 +181,7 @@ def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD, keep
         "r3",
     )
     rows = rows.select("doc_id", "text", *kept, F.expr("array_sort(concat(filter(p0, (x, i) -> length(v0[i]) >= 6), p1, p2))").alias("base"), F.filter("p3", lambda x, i: F.get("r3", i) >= threshold).alias("p3"))
-    return rows.select("doc_id", "text", *kept, "base", F.expr("filter(p3, x -> NOT exists(base, y -> y.s < x.e AND x.s < y.e))").alias("added"))
+    return rows.select("doc_id", "text", *kept, "base", _apart("p3", "base").alias("added"))
 
 
 def secret_spans(docs: DataFrame, samples: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -161,7 +189,8 @@ def secret_spans(docs: DataFrame, samples: DataFrame | None = None, threshold: f
 
     Null and empty texts have no span; an empty table gives no rows; extra columns are
     ignored; repeated rows give repeated results. A very long text is one row of one task,
-    like any other; its matches cost time in proportion to their number.
+    like any other; n matches in it cost time in proportion to n to the power 1.5 at most,
+    a small part of what finding them costs.
     """
     table = ratio_table(labelled_samples(docs.sparkSession) if samples is None else samples)
     found = scan(docs, table, threshold)
@@ -183,14 +212,24 @@ def masked(docs: DataFrame, samples: DataFrame | None = None, threshold: float =
     """
     table = ratio_table(labelled_samples(docs.sparkSession) if samples is None else samples)
     found = scan(docs, table, threshold, keep=F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    # A mask begins where no span before reaches; what stands between two of them is read from
+    # pieces of CUT characters, since a character's place in a text is found by counting.
+    spans = "array_sort(concat(base, added))"
+    between = f"""concat(
+      substring(get(t.pieces, a DIV {CUT}), a % {CUT} + 1, z - a),
+      array_join(slice(t.pieces, a DIV {CUT} + 2, greatest(z DIV {CUT} - a DIV {CUT} - 1, 0)), ''),
+      CASE WHEN z DIV {CUT} > a DIV {CUT} THEN substring(coalesce(get(t.pieces, z DIV {CUT}), ''), 1, z % {CUT}) ELSE '' END)"""
+    between = between.replace("a DIV", "g.a DIV").replace("a %", "g.a %").replace("z DIV", "g.z DIV").replace("z %", "g.z %").replace("z - a", "g.z - g.a")
     cut = F.expr(f"""
-      aggregate(
-        array_sort(concat(base, added)),
-        named_struct('at', 0, 'out', ''),
-        (acc, x) -> named_struct(
-          'at', greatest(acc.at, x.e),
-          'out', CASE WHEN x.s < acc.at OR x.s = acc.at AND acc.at > 0 THEN acc.out
-                      ELSE concat(acc.out, substring(text, acc.at + 1, x.s - acc.at), '{mask}') END),
-        acc -> concat(acc.out, substring(text, acc.at + 1)))""")
+      transform(array({spans}), spans ->
+        transform(array({_running_ends("spans")}), ends ->
+          transform(array(named_struct(
+            'pieces', regexp_extract_all(text, '(?s).{{1,{CUT}}}', 0),
+            'gaps', concat(
+              transform(
+                filter(transform(spans, (x, i) -> named_struct('a', CASE WHEN i = 0 THEN 0 ELSE get(ends, i - 1) END, 'z', x.s, 'first', i = 0)), g -> g.first OR g.a < g.z),
+                g -> named_struct('a', g.a, 'z', g.z)),
+              array(named_struct('a', element_at(ends, -1), 'z', length(text)))))), t ->
+            array_join(transform(t.gaps, g -> {between}), '{mask}'))[0])[0])[0]""")
     clean = F.when(F.size("base") + F.size("added") == 0, F.col("kept.text")).otherwise(cut)
     return found.select(*[clean.alias(c) if c == "text" else F.col(f"kept.`{c}`").alias(c) for c in docs.columns])

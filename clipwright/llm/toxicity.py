@@ -385,8 +385,8 @@ def fit(labelled: DataFrame, told: DataFrame | None = None, characters: int = CH
     (doc_id, toxic)``: of each label the texts of up to ``learnt`` characters in the order of
     the hash of doc_id, TEXTS of them at most and as long as they have half of ``characters``
     together. Rows of one doc_id, text and label count once; the order of rows and files does
-    not matter. Null texts and labels are left out; a label all of whose texts are too long is
-    an error. Ranking needs no text, so only the texts of the sample leave their tasks."""
+    not matter. Null texts and labels are left out; a label all of whose texts are too long has
+    none to learn from, as one without a row. Ranking needs no text, so only the texts of the sample leave their tasks."""
     marked = labelled.filter("text is not null").withColumns({"mark": F.xxhash64("text"), "n": F.length("text")})
     light = marked.drop("text")
     if told is not None:
@@ -402,8 +402,6 @@ def fit(labelled: DataFrame, told: DataFrame | None = None, characters: int = CH
         ranked = ranked.filter(F.col("upto") <= max(learnt, characters // 2))
         part = marked.select("doc_id", "text", "mark").join(F.broadcast(ranked), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
         found = sorted((r["rank"], r.text) for r in part.groupBy("rank").agg(F.min("text").alias("text")).toLocalIterator())
-        if not found and not rows.isEmpty():
-            raise ValueError(f"every text labelled toxic = {label} has over {learnt} characters: nothing to learn from")
         chosen += [(text, label) for _, text in found]
     return Model(chosen)
 

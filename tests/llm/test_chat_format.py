@@ -4,9 +4,10 @@ import hashlib
 import random
 
 import pytest
-from clipwright.llm.chat_format import BEGIN, BUDGET, escape, parse, read_back, render, unescape, windows, with_probe, with_tokens
+from clipwright.llm.chat_format import BEGIN, BUDGET, escape, numbered, parse, read_back, render, unescape, windows, with_probe, with_tokens
 from clipwright.llm.common import table
 from clipwright.llm.token_ids import default_path
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 
@@ -97,3 +98,22 @@ def test_edges(spark):
     compare(spark, rows, budget=8)
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string, window int, loss int")
     assert read_back(windows(empty)).count() == 0
+
+
+def test_segments_follow_turns_not_their_numbers(spark):
+    """Numbers by ones, by five thousands, all equal or all null: the same windows, in as many segments."""
+    made = {}
+    for name, number in (("ones", lambda i: i), ("sparse", lambda i: 5000 * i), ("equal", lambda i: 7), ("null", lambda i: None)):
+        rows = [(1, number(i), "user", f"turn {i:05d}") for i in range(900)]
+        made[name] = [(r.window, r.text, r.repeated) for r in sorted(compare(spark, rows, segment=250, budget=300), key=lambda r: r.window)]
+        assert len({w >> 32 for w, _, _ in made[name]}) == 4
+    assert made["ones"] == made["sparse"] == made["equal"] == made["null"]
+
+
+def test_a_long_conversation_without_numbers_is_many_tasks(spark):
+    turns = spark.range(60_000).selectExpr("1L AS conv_id", "CAST(NULL AS LONG) AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('said ', id) AS text")
+    placed = numbered(turns, default_path(), 4096)
+    assert placed.agg(F.countDistinct("place")).first()[0] == 60_000
+    made = windows(turns)
+    assert made.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 4
+    assert made.selectExpr("sum(turns - repeated)").first()[0] == 60_000

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 from clipwright.llm.common import table
-from clipwright.llm.language_id import Model, fit, gram_bits, identify, keep_identified, predict
+from clipwright.llm.language_id import RIDGE, Model, fit, gram_bits, identify, keep_identified, predict
 
 
 def test_held_out_accuracy(spark):
@@ -45,3 +45,27 @@ def test_edges(spark):
     assert kept.columns == docs.columns and kept.filter("doc_id >= 200").count() == 3
     assert identify(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in predict(docs, fit(docs.filter("lang is null"))).collect()} == {"und"}
+
+
+def test_rows_of_one_id_do_not_fill_the_sample(spark):
+    """A thousand rows of one doc_id count once; its least text is the one that is learnt from."""
+    rows = [(7, f"the cat and the dog number {i:04d}", "en") for i in range(1000)] + [(100 + i, f"the cow and the horse {i}", "en") for i in range(30)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), texts=20)
+    assert 10 < model.marks.shape[1] <= 20
+
+
+def test_decisions_are_those_of_kernel_ridge_regression():
+    """With every row a landmark, the Nystrom form is ridge regression on the kernel itself; the
+    bias is one more feature of ones."""
+    texts = [f"the cat {i} and {'dog' if i % 2 else 'cow'} went home" for i in range(25)] + [f"der hund {i} und {'katze' if i % 3 else 'maus'} gehen" for i in range(25)]
+    labels = np.array(["en"] * 25 + ["de"] * 25, object)
+    (_, bits, _), *_ = gram_bits(texts)
+    model = Model(bits, labels, np.arange(50))
+    full = bits.astype(float)
+    length = np.sqrt(full.sum(axis=1))
+    kernel = full @ full.T / np.outer(length, length)
+    rank = np.linalg.matrix_rank(kernel, tol=1e-6 * np.linalg.eigvalsh(kernel).max())
+    ridge = RIDGE * 50 / (rank + 1)
+    target = np.where(labels[:, None] == np.array(["de", "en"], object), 1.0, -1.0)
+    want = (kernel + 1) @ np.linalg.solve(kernel + 1 + ridge * np.eye(50), target)
+    assert np.allclose(model.scores(bits), want, atol=2e-3)

@@ -4,10 +4,11 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import pytest
 from clipwright.llm.common import table
-from clipwright.llm.secrets import masked, secret_spans
+from clipwright.llm.secrets import ALPHABET, CUT, THRESHOLD, TOKEN, labelled_samples, masked, ratio_table, secret_spans
 
 ASSIGN = re.compile(r"""(?a)([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -85,3 +86,64 @@ def test_masking(spark):
     got = sorted(map(tuple, masked(docs).collect()), key=lambda r: r[2])
     assert got == [(1, None, 5), (2, "no secret here", 6), (3, "é [secret] x [secret] y", 7), (3, "[secret]", 8)]
     assert masked(docs).columns == docs.columns
+
+
+def all_spans(text, table):
+    """Base spans and, by plain sums over character pairs, the tokens of the models."""
+    base, width = plain(text), len(ALPHABET)
+    added = []
+    for m in re.finditer(TOKEN, text or ""):
+        codes = [ALPHABET.index(c) for c in m[0]]
+        ratio = sum(table[a * width + b] for a, b in zip(codes, codes[1:], strict=False))
+        if ratio >= THRESHOLD and not any(s < m.end() and m.start() < e for s, _, e in base):
+            added.append((m.start(), 3, m.end()))
+    return sorted(base + added)
+
+
+def plainly_masked(text, spans, mask="[secret]"):
+    if not spans:
+        return text
+    out, at = "", 0
+    for s, _, e in spans:
+        if s > at or not out and s == 0 and at == 0:
+            out += text[at:s] + mask
+        at = max(at, e)
+    return out + text[at:]
+
+
+@pytest.fixture(scope="module")
+def mixed(planted):
+    rng = random.Random(5)
+    secrets, words = planted
+    bits = [*secrets[:40], *words, "token=abcdef01", "secret: " + secrets[3], "AKIA" + "Q7" * 10, "a1" * 14, "a1" * 14 + secrets[5], "passwd='x'", "é😀", "\n", "plain", "password=" + "0f" * 13]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", "", "é ", "\n", "=", " " * rng.choice([1, 3000])]) for _ in range(rng.randrange(40))) for _ in range(150)]
+    return texts + ["x" * (CUT - 4) + " " + secrets[0] + " " + "y" * (3 * CUT) + " token=abcdef01" + "z" * CUT, "token=abcdef01", "é" * (2 * CUT) + secrets[1]]
+
+
+def test_all_spans_and_masks_equal_plain_python(spark, mixed):
+    table = ratio_table(labelled_samples(spark))
+    docs = spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secret_spans(docs).collect()}
+    hidden = {r.doc_id: r.text for r in masked(docs).collect()}
+    found = 0
+    for i, text in enumerate(mixed):
+        want = all_spans(text, table)
+        found += sum(k == 3 for _, k, _ in want)
+        assert spans[i] == ",".join(f"{('assign', 'access', 'hex', 'markov')[k]}:{s}:{e}" for s, k, e in want), text
+        assert hidden[i] == plainly_masked(text, want), text
+    assert found > 100
+
+
+def test_cost_of_very_many_spans(spark, planted):
+    """Base and Markov matches in turn: ten times as many take no hundred times as long."""
+    took = {}
+    for n in (1_000, 30_000):
+        text = "".join(f"token={i:06d} {planted[0][i % 100]} " for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        got = secret_spans(docs).first()
+        hidden = masked(docs).first().text
+        took[n] = time.perf_counter() - began
+        assert got.n_assign == n and got.n_markov >= 0.9 * n
+        assert hidden.count("[secret]") == got.n_assign + got.n_markov and "token=" not in hidden
+    assert took[30_000] < 60, took

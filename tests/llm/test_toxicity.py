@@ -132,5 +132,11 @@ def test_sample_is_a_prefix_in_hash_order(spark, monkeypatch):
                     break
                 want.append((rows[i][1], label))
         assert seen.pop() == want
-    with pytest.raises(ValueError, match="over 5 characters"):
-        fit(docs, learnt=5)
+
+
+def test_texts_too_long_to_learn_from_leave_scores(spark):
+    """A label all of whose texts are too long teaches nothing; every row is scored all the same."""
+    rows = [(i, ("you idiot " if i % 2 else "kind words ") + "and more " * (50 if i % 2 else 1), i % 2) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = predict(docs, fit(docs, learnt=60)).collect()
+    assert len(got) == 12 and {r.predicted for r in got} == {0} and all(0 <= r.score <= 1 for r in got)
