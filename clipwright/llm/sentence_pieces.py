@@ -8,7 +8,13 @@ combine by the (associative) max-plus product, and once the overhangs at all cut
 every chunk finds its own pieces. Products are taken in two levels, of GROUP chunks and of
 groups, so no task holds more of a giant document than that.
 
-Scores are whole numbers, so products are exact in any order. No piece of the vocabulary
+Scores are whole numbers, so products are exact in any order. Of equally good paths the one
+whose last piece starts first is taken, then the one whose piece before that does, and so
+on. A matrix carries a second term for this: for each exit, the order in which entries are
+preferred. A later chunk's choice goes before an earlier one's, so orders combine as well,
+and no result depends on where a document is cut.
+
+No piece of the vocabulary
 has the space mark behind another character; between a character and a space mark every
 path has a boundary. A chunk with such a sure boundary has a matrix of rank one, kept as
 the two vectors it is the sum of; what all its paths share between its first and its last
@@ -271,14 +277,17 @@ class Pieces:
 
     def transfers(self, texts: list[str], stops: list[int]) -> list[bytes]:
         """The chunks' matrices: [overhang at entry, overhang at exit] -> best score, up to
-        what all paths share. ``texts`` read ``longest - 1`` characters past the chunks' ends
-        ``stops``. A matrix of rank one is its two vectors, of entry and of exit."""
+        what all paths share, and the order of entries for each exit. ``texts`` read
+        ``longest - 1`` characters past the chunks' ends ``stops``. A matrix of rank one is its
+        two vectors, of entry and of exit, and one order of entries."""
         n, out, whole = self.longest, [b""] * len(texts), {}
         for k, (text, stop) in enumerate(zip(texts, stops, strict=True)):
             a, b = self.sure(text, stop)
             if a:
-                vectors = np.full((2, n), NEVER, np.int64)
-                vectors[0, : a + 1] = [int(self.forward(text[:a], i, a)[0][a]) for i in range(min(n, a + 1))]
+                vectors = np.full((3, n), NEVER, np.int64)
+                heads = [self.forward(text[:a], i, a) for i in range(min(n, a + 1))]
+                vectors[0, : a + 1] = [int(best[a]) for best, _ in heads]
+                vectors[2] = preferred(vectors[0], [self.starts(back, i, a) if best[a] > NEVER else [] for i, (best, back) in enumerate(heads)])
                 tail = self.forward(text[b:], 0, stop - b)[0][stop - b :][:n]
                 vectors[1, : len(tail)] = tail
                 out[k] = vectors.tobytes()
@@ -288,14 +297,40 @@ class Pieces:
             step = max(1, CELLS // length)
             for i in range(0, len(alike), step):
                 part = alike[i : i + step]
-                best, _ = self.sweep(self.lattice(_Sums(_codes([texts[k] for k in part])), stop), list(range(n)))
-                for k, scores in zip(part, best, strict=True):
-                    matrix = np.full((n, n), NEVER, np.int64)
+                best, back = self.sweep(self.lattice(_Sums(_codes([texts[k] for k in part])), stop), list(range(n)))
+                for k, scores, order in zip(part, best, self.orders(best, back), strict=True):
+                    matrix = np.full((2 * n, n), NEVER, np.int64)
                     reached = scores[:, stop : stop + n]
-                    matrix[:, : reached.shape[1]] = reached
+                    matrix[:n, : reached.shape[1]] = reached
+                    matrix[n:] = 0
+                    matrix[n:, : reached.shape[1]] = order[:, stop : stop + n]
                     out[k] = matrix.tobytes()
         return out
 
+    @staticmethod
+    def starts(back: list[int], entry: int, end: int) -> list[int]:
+        """Where the pieces of a path from ``entry`` start, from ``end`` backwards."""
+        out = []
+        while end > entry:
+            end = back[end]
+            out.append(end)
+        return out
+
+    def orders(self, best: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """[text, entry, position]: the place of each entry among those that reach a position, by
+        the starts of their paths' pieces. The piece that ends at an entry starts before all."""
+        m, count, size = best.shape
+        order = np.zeros((size, m, count), np.int16)
+        text, entry = np.arange(m)[:, None], np.arange(count)[None, :]
+        for j in range(size):
+            start = j - self.longest + back[:, :, j].astype(np.int64)
+            key = start * count + order[np.maximum(start, 0), text, entry]
+            if j < count:
+                key[:, j] = -1
+            key[best[:, :, j] == NEVER] = 1 << 60
+            order[j] = _ranks(key, 1)
+        return order.transpose(1, 2, 0)
+
 
 class Segments:
     """The segmentations that a worker has met: for each its score, length, ids and places."""
@@ -405,15 +440,32 @@ def marked(text: str | None) -> str:
     return (SPACE + text).replace(" ", SPACE) if text else ""
 
 
+def _ranks(keys: np.ndarray, axis: int) -> np.ndarray:
+    return keys.argsort(axis=axis, kind="stable").argsort(axis=axis, kind="stable")
+
+
+def preferred(scores: np.ndarray, starts: list[list[int]]) -> np.ndarray:
+    """The place of each entry by the starts of its path's pieces; those without a path come last."""
+    listed = sorted(range(len(scores)), key=lambda i: (0, [*starts[i], -1]) if i < len(starts) and scores[i] > NEVER else (1, [i]))
+    order = np.empty(len(scores), np.int64)
+    order[listed] = np.arange(len(scores))
+    return order
+
+
 class Transfer:
-    """A max-plus matrix: a full one, or the two vectors of one of rank one."""
+    """A max-plus matrix: a full one, or the two vectors of one of rank one. ``order`` tells, for
+    each exit or for all, which entries are preferred among equally good ones."""
 
-    def __init__(self, values: np.ndarray):
-        self.values, self.single = values, len(values) == 2
+    def __init__(self, values: np.ndarray, order: np.ndarray):
+        self.values, self.order, self.single = values, order, order.ndim == 1
 
     @classmethod
     def of(cls, data: bytes, n: int) -> Transfer:
-        return cls(np.frombuffer(data, np.int64).reshape(-1, n))
+        rows = np.frombuffer(data, np.int64).reshape(-1, n)
+        return cls(rows[:2], rows[2]) if len(rows) == 3 else cls(rows[:n], rows[n:])
+
+    def tobytes(self) -> bytes:
+        return self.values.tobytes() + self.order.astype(np.int64).tobytes()
 
     def leave(self, reached: np.ndarray) -> np.ndarray:
         """Best scores behind the matrix, from those before it."""
@@ -422,15 +474,24 @@ class Transfer:
         return np.maximum((reached[:, None] + self.values).max(axis=0), NEVER)
 
     def enter(self, reached: np.ndarray, leave: int) -> int:
-        """The overhang before the matrix, on a best path to ``leave`` behind it."""
-        return int((reached + (self.values[0] if self.single else self.values[:, leave])).argmax())
+        """The overhang before the matrix, on the path that is taken to ``leave`` behind it."""
+        total = reached + (self.values[0] if self.single else self.values[:, leave])
+        order = self.order if self.single else self.order[:, leave]
+        return int(np.where(total == total.max(), order, len(order)).argmin())
 
     def __matmul__(self, other: Transfer) -> Transfer:
         if self.single:
-            return Transfer(np.stack([self.values[0], other.leave(self.values[1])]))
-        if other.single:
-            return Transfer(np.stack([np.maximum((self.values + other.values[0]).max(axis=1), NEVER), other.values[1]]))
-        return Transfer(np.maximum((self.values[:, :, None] + other.values[None, :, :]).max(axis=1), NEVER))
+            # All entries go on alike behind the sure boundary.
+            return Transfer(np.stack([self.values[0], other.leave(self.values[1])]), self.order)
+        n = len(self.values)
+        then, later = (other.values[:1].T, other.order[:, None]) if other.single else (other.values, other.order)
+        total = self.values[:, :, None] + then[None, :, :]
+        best = total.max(axis=1)
+        # Of equally good overhangs between the two the one that the later matrix prefers.
+        between = np.where(total == best[:, None, :], later[None, :, :], n).argmin(axis=1)
+        key = later[between, np.arange(later.shape[1])] * n + self.order[np.arange(n)[:, None], between]
+        order, best = _ranks(key, 0), np.maximum(best, NEVER)
+        return Transfer(np.stack([best[:, 0], other.values[1]]), order[:, 0]) if other.single else Transfer(best, order)
 
 
 def _entries(matrices: list[Transfer], n: int, entry: int, leave: int) -> list[int]:
@@ -513,7 +574,7 @@ def _with_overhangs(parts: DataFrame, path: str) -> DataFrame:
         total = Transfer.of(rows[0][1], n)
         for _, m in rows[1:]:
             total = total @ Transfer.of(m, n)
-        return [(*key, total.values.tobytes())]
+        return [(*key, total.tobytes())]
 
     def top_scan(key: tuple, rows: list[tuple]) -> list[tuple]:
         at = _entries([Transfer.of(m, n) for _, m in rows], n, 0, 0)
@@ -542,8 +603,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, with_id
     demand, ``ids array<int>``; a document's ids are those of its chunks in order of seq.
 
     ``ids_hash`` adds up 31 bits mixed of each id and the place of its character. Of equally
-    good paths the one with the longest last pieces is taken; at the cuts of a document of
-    several chunks, the one with the least overhang, so ``chunk`` may move such a choice.
+    good paths the one with the longest last pieces is taken, whatever ``chunk`` is.
     ``decoded`` tells that decoding the ids gives back the text (it does not where a text
     holds the space mark itself, which decodes to a space). Null and empty texts have one
     chunk without ids. ``row`` numbers input rows, so repeated doc_ids stay apart. Other

@@ -31,6 +31,21 @@ def test_recall_on_given_vectors(spark, sf):
     assert all(r.kept == (r.component_id == i) and r.component_id <= i for i, r in got.items())
 
 
+def test_recall_on_pairs_planted_among_given_vectors(spark, sf):
+    """Partners of the given vectors at cosines of 0.931 to 0.95, where links are hardest to find."""
+    given = [(r.vec_id, np.array(r.embedding, np.float64), r.label) for r in table(spark, sf, "embeddings").collect()]
+    rng, rows = np.random.default_rng(9), []
+    for vec_id, v, label in given:
+        v = v / np.linalg.norm(v)
+        aside = rng.standard_normal(len(v))
+        aside -= (aside @ v) * v
+        c = rng.uniform(0.931, 0.95)
+        other = c * v + np.sqrt(1 - c * c) * aside / np.linalg.norm(aside)
+        rows += [(vec_id, v.tolist(), label), (100_000 + vec_id, other.tolist(), label)]
+    got = {r.vec_id: r.n_links for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert sum(got[100_000 + i] > 0 for i, _, _ in given) >= 0.97 * len(given)
+
+
 def test_recall_near_the_threshold_and_a_hot_group(spark):
     rng = np.random.default_rng(3)
     rows = []

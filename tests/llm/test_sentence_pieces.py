@@ -6,7 +6,7 @@ import pytest
 import sentencepiece
 from clipwright.llm import queries
 from clipwright.llm.common import table
-from clipwright.llm.sentence_pieces import CHUNK, SPACE, Pieces, Segments, decode, default_path, document_digests, encode, marked
+from clipwright.llm.sentence_pieces import CHUNK, decode, default_path, document_digests, encode, _entries, marked, Pieces, Segments, SPACE, Transfer
 
 
 def _varint(data, i):
@@ -80,9 +80,35 @@ def test_scores_do_not_depend_on_chunks(spark, sf):
     rng = random.Random(3)
     rows = [(i, "".join(rng.choice("ab é日\n 😀▁") for _ in range(n))) for i, n in enumerate([0, 1, 40, 900, 5000])] + [(9, "日本語" * 3000), (10, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(table(spark, sf, "documents").select("doc_id", "text").limit(40))
-    apart = [document_digests(docs, chunk=c).select("doc_id", "score", "decoded") for c in (61, 1 << 20)]
-    a, b = (sorted(map(tuple, d.collect()), key=str) for d in apart)
-    assert a == b and not all(r[-1] for r in a)
+    apart = [document_digests(docs, chunk=c) for c in (17, 61, 1 << 20)]
+    a, b, c = (sorted(map(tuple, d.collect()), key=str) for d in apart)
+    decoded = apart[0].columns.index("decoded")
+    assert a == b == c and not all(r[decoded] for r in a)
+
+
+@pytest.mark.parametrize("alphabet", ["a", "ab", "aab▁", "▁", "e▁日", "in▁g", "=-"])
+def test_ties_at_cuts_are_those_of_the_whole(alphabet):
+    """Texts full of equally good paths, cut anywhere, with matrices combined one by one or in groups."""
+    rng, coder = random.Random(len(alphabet)), Pieces(default_path())
+    n = coder.longest
+    for _ in range(60):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 140)))
+        size = rng.choice([3, 7, 16, 31])
+        cuts = list(range(0, len(text), size))
+        heads = [text[a : a + size + n - 1] for a in cuts]
+        stops = [min(size, len(text) - a) for a in cuts]
+        made = [Transfer.of(m, n) for m in coder.transfers(heads, stops)]
+        at = _entries(made, n, 0, 0)
+        if len(made) > 2:
+            k = rng.randrange(1, len(made))
+            first, rest = made[0], made[k]
+            for m in made[1:k]:
+                first = first @ m
+            for m in made[k + 1 :]:
+                rest = rest @ m
+            assert _entries([Transfer.of(first.tobytes(), n), rest], n, 0, 0) == [0, at[k], 0], text
+        ids = [i for h, stop, a, b in zip(heads, stops, at, at[1:], strict=False) for i in coder.path(h, a, stop, b)[1]]
+        assert ids == coder.path(text, 0, len(text), 0)[1], (text, size)
 
 
 def test_best_scores_are_the_librarys(spark, sf):
@@ -121,6 +147,7 @@ def test_chunks_do_not_change_the_result(spark, chunk):
     assert len(ids) == len(rows)
     for row, (doc_id, found) in ids.items():
         whole = marked(by_doc[doc_id])
+        assert found == coder.path(whole, 0, len(whole), 0)[1]
         assert scores[row] == plain(coder, whole)[0]
         assert texts[row] == by_doc[doc_id] and coder.text_of(found) == whole
 
