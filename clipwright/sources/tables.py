@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a row group of an intermediate: a task that writes one holds as much in memory, and
+#: whole texts make that much of it.
+ROW_GROUP = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read lazily."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,7 +46,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     however often the result is used.
     """
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
