@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clipwright.functions.lexicons import EMOTIONS
+
 GENRES = ["moba", "fps", "horror", "casual", "rpg", "mobile"]
 #: Marks of the two output formats; letter case counts.
 CUES, EMOTION = r"(?s)Cues:\s*(.*?)(?:\.\s*Emotion:)", r"Emotion:\s*([\p{L}\p{N}_]+)"
 THINK, ANSWER = r"(?s)<think>(.*?)</think>", r"(?s)<answer>(.*?)</answer>"
-LABELS = ["amused", "disgusted", "fear", "hype", "neutral", "sad", "shocked", "tilted"]
 
 
 def words(text: Column) -> Column:
@@ -101,7 +102,7 @@ def normalised_label(label: Column, confidence: Column, alternatives: Column) ->
     some = F.when(none, F.create_map().cast("map<string,double>")).otherwise(alternatives)
     total = F.aggregate(F.map_values(some), conf, lambda a, x: a + x)
     scale = F.when((F.size(some) > 0) & (total > 0), total).otherwise(1.0)
-    known = F.coalesce(label, F.lit("neutral")).isin(*LABELS) & F.forall(F.map_keys(some), lambda k: k.isin(*LABELS))
+    known = F.coalesce(label, F.lit("neutral")).isin(*EMOTIONS) & F.forall(F.map_keys(some), lambda k: k.isin(*EMOTIONS))
     return F.struct(
         F.coalesce(label, F.lit("neutral")).alias("label"), F.when(none, 0.0).otherwise(conf / scale).alias("confidence"),
         F.transform_values(some, lambda k, v: v / scale).alias("alternatives"), none.alias("placeholder"), known.alias("valid"),
@@ -111,16 +112,19 @@ def normalised_label(label: Column, confidence: Column, alternatives: Column) ->
 def consolidated(raw: Column, manual: Column) -> Column:
     """``struct<reasoning, label, confidence, distribution>`` of a consolidator's output: the
     last thought, a known answer or the manual label, a confidence within [0, 1] (a half
-    without one), and the known labels of a distribution, scaled to a sum of one."""
+    without one), and the known labels of a distribution, scaled to a sum of one. A
+    distribution with a value that is no number counts as none."""
     thoughts = F.regexp_extract_all(raw, F.lit(THINK), 1)
     answer = F.lower(F.regexp_extract(raw, r"(?i)<answer>\s*([\p{L}\p{N}_]+)\s*</answer>", 1))
     told = F.regexp_extract(raw, r"(?i)<confidence>\s*([0-9.]+)\s*</confidence>", 1).try_cast("double")
-    parsed = F.from_json(F.nullif(F.regexp_extract(raw, r"(?is)<distribution>\s*(\{.*?\})\s*</distribution>", 1), F.lit("")), "map<string,double>")
-    known = F.map_filter(parsed, lambda k, v: k.isin(*LABELS) & v.isNotNull())
+    parsed = F.from_json(F.nullif(F.regexp_extract(raw, r"(?is)<distribution>\s*(\{.*?\})\s*</distribution>", 1), F.lit("")), "map<string,string>")
+    numbers = F.transform_values(parsed, lambda k, v: v.try_cast("double"))
+    sound = F.when(F.forall(F.map_values(numbers), lambda v: v.isNotNull()), numbers)
+    known = F.map_filter(sound, lambda k, v: k.isin(*EMOTIONS))
     total = F.aggregate(F.map_values(known), F.lit(0.0), lambda a, x: a + x)
     spread = F.coalesce(F.when(total > 0, F.transform_values(known, lambda k, v: v / total)).otherwise(known), F.create_map().cast("map<string,double>"))
     return F.struct(
-        F.coalesce(strip(F.try_element_at(thoughts, F.lit(-1))), F.lit("")).alias("reasoning"), F.when(answer.isin(*LABELS), answer).otherwise(manual).alias("label"),
+        F.coalesce(strip(F.try_element_at(thoughts, F.lit(-1))), F.lit("")).alias("reasoning"), F.when(answer.isin(*EMOTIONS), answer).otherwise(manual).alias("label"),
         clamp(F.coalesce(told, F.lit(0.5)), 0.0, 1.0).alias("confidence"), spread.alias("distribution"),
     )
 

@@ -5,7 +5,8 @@ are all near each other. A cell with enough points is dense: all are cores of on
 and none of their pairs is formed. Only the few points of other cells meet their
 neighbours, in the five by five cells about them. Whether two dense cells touch is told by
 the boxes of their points: boxes that are wholly near link the cells, boxes that are wholly
-apart do not, and the rest are cut in four and compared again.
+apart do not, and the rest are cut in four and compared again, or point by point where they
+hold few.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from clipwright.sources.tables import stored
 #: Width of a cell in units of eps: below the root of one half, so that two cells reach past eps.
 WIDTH = 0.7
 #: Cuts of a cell's box; after so many halvings boxes are single points in double precision.
-DEPTH = 60
+#: Pairs of points below which two parts are compared point by point.
+DEPTH, PAIRS = 60, 10_000
 
 
 def least_reachable(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -57,42 +59,50 @@ def _gaps(a: str, b: str) -> tuple[Column, Column]:
     return square(apart("x0", "x1"), apart("y0", "y1")), square(wide("x0", "x1"), wide("y0", "y1"))
 
 
-def _boxes(points: DataFrame, depth: int, eps: float) -> DataFrame:
-    """The boxes of the points of each part of a cell that ``depth`` halvings make."""
+def _parted(points: DataFrame, depth: int, eps: float) -> DataFrame:
+    """Points with the part ``(p, q)`` of their cell that ``depth`` halvings put them in."""
     n = float(2**depth)
     part = lambda c, k: F.floor((F.col(c) / (eps * WIDTH) - F.col(k)) * n)
-    cut = points.withColumns({"p": part("x", "i"), "q": part("y", "j")})
-    box = F.struct(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    return cut.groupBy("key", "i", "j", "node", "p", "q").agg(box.alias("box"))
+    return points.select("node", "x", "y", part("x", "i").alias("p"), part("y", "j").alias("q"))
+
+
+def _side(rows: DataFrame, side: str, depth: int) -> DataFrame:
+    """The columns of one side of a pair, with the part that its part was cut from."""
+    half = lambda c: F.floor(F.col(c) / 2) if depth else F.lit(0).cast("long")
+    known = {"node": side, "p": f"{side}p", "q": f"{side}q"}
+    return rows.select(*[F.col(c).alias(known.get(c, f"{side}{c}")) for c in rows.columns], half("p").alias(f"{side}p0"), half("q").alias(f"{side}q0"))
 
 
 def _touching(dense: DataFrame, eps: float) -> DataFrame:
     """``(a, b)``: nodes of dense cells of which two points lie within ``eps``."""
     cells = dense.groupBy("key", "i", "j").agg(F.first("node").alias("node"))
     ahead = _around(cells).select("key", F.col("ni").alias("i"), F.col("nj").alias("j"), F.col("node").alias("a"))
-    open_ = ahead.join(cells.withColumnRenamed("node", "b"), ["key", "i", "j"]).filter("a < b").select("a", "b")
-    undecided, linked = stored(open_, "cell-pairs"), None
+    pairs = ahead.join(cells.withColumnRenamed("node", "b"), ["key", "i", "j"]).filter("a < b").select("a", "b")
+    zero = F.lit(0).cast("long")
+    undecided = stored(pairs.select("a", "b", *[zero.alias(f"{s}{c}") for s in ("a", "b") for c in ("p", "q")]), "cell-pairs")
+    linked, limit = undecided.select("a", "b").limit(0), eps * eps
     for depth in range(DEPTH):
         if undecided.isEmpty():
             break
         nodes = undecided.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        boxes = _boxes(dense.join(nodes, "node", "left_semi"), depth, eps)
-        if depth:
-            # Only parts of the boxes that were undecided are compared.
-            half = lambda c: F.floor(F.col(c) / 2)
-            side = lambda s: boxes.select(F.col("node").alias(s), half("p").alias(f"{s}p0"), half("q").alias(f"{s}q0"), F.col("p").alias(f"{s}p"), F.col("q").alias(f"{s}q"), F.col("box").alias(f"{s}box"))
-            before = undecided.select("a", "b", *[F.col(f"{s}{c}").alias(f"{s}{c}0") for s in ("a", "b") for c in ("p", "q")])
-            met = before.join(side("a"), ["a", "ap0", "aq0"]).join(side("b"), ["b", "bp0", "bq0"])
-        else:
-            side = lambda s: boxes.select(F.col("node").alias(s), F.col("p").alias(f"{s}p"), F.col("q").alias(f"{s}q"), F.col("box").alias(f"{s}box"))
-            met = undecided.join(side("a"), "a").join(side("b"), "b")
+        parted = _parted(dense.join(nodes, "node", "left_semi"), depth, eps)
+        box = F.struct(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+        boxes = parted.groupBy("node", "p", "q").agg(box.alias("box"), F.count("*").alias("n"))
+        before = undecided.select("a", "b", *[F.col(f"{s}{c}").alias(f"{s}{c}0") for s in ("a", "b") for c in ("p", "q")])
+        met = before.join(_side(boxes, "a", depth), ["a", "ap0", "aq0"]).join(_side(boxes, "b", depth), ["b", "bp0", "bq0"])
         least, most = _gaps("abox", "bbox")
-        limit = eps * eps
-        judged = stored(met.filter(least <= limit).select("a", "b", "ap", "aq", "bp", "bq", (most <= limit).alias("near")), "cell-boxes")
+        judged = met.filter(least <= limit).select("a", "b", "ap", "aq", "bp", "bq", (most <= limit).alias("near"), (F.col("an") * F.col("bn") <= PAIRS).alias("few"))
+        judged = stored(judged, "cell-boxes")
         found = judged.filter("near").select("a", "b").distinct()
-        linked = found if linked is None else linked.unionByName(found)
-        undecided = judged.join(found, ["a", "b"], "left_anti")
-    return linked if linked is not None else undecided.select("a", "b")
+        # Parts of few points are compared point by point.
+        few = judged.filter("few AND NOT near").join(found, ["a", "b"], "left_anti").select("a", "b", "ap", "aq", "bp", "bq")
+        points = lambda s: parted.select(F.col("node").alias(s), F.col("p").alias(f"{s}p"), F.col("q").alias(f"{s}q"), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))  # noqa: E731, B023
+        both = few.join(points("a"), ["a", "ap", "aq"]).join(points("b"), ["b", "bp", "bq"])
+        dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+        found = stored(found.unionByName(both.filter(dx * dx + dy * dy <= limit).select("a", "b")).distinct(), "cell-links")
+        linked = linked.unionByName(found)
+        undecided = judged.filter("NOT few").join(found, ["a", "b"], "left_anti")
+    return linked
 
 
 def density_clusters(points: DataFrame, eps: float, least: int) -> DataFrame:

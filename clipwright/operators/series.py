@@ -74,6 +74,18 @@ def peak(rows: DataFrame, key: str, order: str, score: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def peak_by(rows: DataFrame, key: str, order: str, score: str, method: str) -> DataFrame:
+    """``(key, frame, score)`` of each sequence's peak, numbered from 0 in ``order``: by
+    max_au_intensity the first of the greatest score, by middle the frame at n // 2 with a
+    score of 0; attention_pool stands for middle. Any other method is an error."""
+    if method not in ("max_au_intensity", "middle", "attention_pool"):
+        raise ValueError(f"unknown method {method!r}")
+    placed = ordered(rows, key, [F.col(order)])
+    if method == "max_au_intensity":
+        return peak(placed, key, "i", score).select(key, F.col("i").cast("int").alias("frame"), F.col(score).cast("double").alias("score"))
+    return placed.filter(F.col("i") == F.floor(F.col("n") / 2)).select(key, F.col("i").cast("int").alias("frame"), F.lit(0.0).alias("score"))
+
+
 def z_score(value: str, key: str) -> Column:
     """Population z-score within the sequence; 0 where the spread vanishes."""
     w = Window.partitionBy(key)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clipwright.functions import cues as C
 from clipwright.functions import text as T
 from clipwright.plans.evaluation import r6
-from clipwright.plans.texts import GAMES, NEGATIVE, QUERIES as TEXTS, W
+from clipwright.plans.texts import GAMES, NEGATIVE, TEXT_CUES, W
 from clipwright.sources.tables import table
 
 #: Stand-ins for measured values, read alike by both engines.
@@ -61,10 +61,8 @@ def composite_cue(spark: SparkSession, sf_dir: str) -> DataFrame:
     (long, all15), (short, all12) = C.composite(p["face"], p["voice"], p["text"], p["motion"]), C.composite(p["face"], p["voice"], p["text"])
     # Added up part by part, so that the order of addition is stated.
     face, voice, motion, text = (F.aggregate(p[k][1], F.lit(0.0), lambda a, x: a + x) for k in ("face", "voice", "motion", "text"))
-    # Many sums end in a 5 at the seventh digit: rounding is that of binary fractions, not of decimals.
-    rounded = lambda x: F.floor(x * 1e6 + 0.5) / 1e6
-    sum15, sum12 = rounded(face + voice + motion + text), rounded(face + voice + text)
-    return measured(spark, sf_dir).select("doc_id", long.alias("cue15"), short.alias("cue12"), F.size(all15).alias("n15"), F.size(all12).alias("n12"), sum15.alias("sum15"), sum12.alias("sum12"))
+    sum15, sum12 = face + voice + motion + text, face + voice + text
+    return measured(spark, sf_dir).select("doc_id", long.alias("cue15"), short.alias("cue12"), F.size(all15).alias("n15"), F.size(all12).alias("n12"), r6(sum15, "sum15"), r6(sum12, "sum12"))
 
 
 def attribute_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +118,7 @@ _ratio = lambda a, b, c, d, e, f: f"(({_dist(a, b)} + {_dist(c, d)}) / (2.0::DOU
 _lean = lambda a, b, k: f"CASE WHEN {a} + {b} > 1e-6 THEN ({a} - {b}) / ({a} + {b}) * {k} ELSE 0 END"
 _abs = lambda a, b: f"abs({a} - {b})"
 CUES = f"""WITH m AS (SELECT doc_id, {_LIST}, {W.format(t="lower(coalesce(text, ''))")} AS w FROM documents),
-t AS ({TEXTS["text_cues"][1]}),
+t AS ({TEXT_CUES}),
 p AS (SELECT m.*, t.cue AS text_cue, exclaims, negatives, games, length, len(w) / greatest(duration, 0.1)::DOUBLE AS rate FROM m JOIN t USING (doc_id)),
 f AS (SELECT *, concat_ws(', ', CASE WHEN ear > 0.25 THEN 'eyes=wide' WHEN ear < 0.18 THEN 'eyes=narrow' END, CASE WHEN mar > 0.4 THEN 'mouth=open' WHEN mar < 0.15 THEN 'mouth=closed' END,
   CASE WHEN brow_h > 0.06 THEN 'brows=raised' WHEN brow_h < 0.03 THEN 'brows=lowered' END, CASE WHEN yaw > 15 THEN 'head_turn=left' WHEN yaw < -15 THEN 'head_turn=right' END,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,6 +52,16 @@ def annotator_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("clip_id").cast("long").alias("clip_id"), F.inline("annotators")).select("clip_id", "agent_name", "output", F.col("metadata.n").cast("int").alias("n"))
 
 
+def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the training split, one file each; those of the other splits are broken and
+    are not opened."""
+    path, train = fresh_path(spark, "documents"), F.col("vec_id") % 10 < 7
+    clip = table(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("clip_id"), "label", F.when(train, "train").otherwise("val").alias("split"))
+    W.write_documents(clip.select("clip_id", F.when(train, F.to_json(F.struct("label"))).otherwise("{broken").alias("document")), path)
+    rows = R.read_split(spark, path, clip.select("clip_id", "split"), "train", "label int")
+    return rows.select(F.col("clip_id").cast("long").alias("vec_id"), "label")
+
+
 def raw_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations without a schema: whatever can be parsed, by a field that no schema names."""
     rows = R.read_any(spark, _annotation_lines(spark, sf_dir))
@@ -226,12 +237,21 @@ def group_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("header", True).schema("lang string, n_samples long, accuracy double, macro_f1 double, weighted_f1 double, uar double").csv(path)
 
 
+def group_report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same report as a Markdown table, line by line."""
+    path = fresh_path(spark, "report-md")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("unknown")).alias("lang"))
+    rows = M.summary(_binary(spark, sf_dir).join(docs, "doc_id"), 2, "lang").select("lang", "n_samples", "accuracy", "macro_f1")
+    W.write_markdown(rows, path, ["lang"], 4)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 def batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of rows, some of which raise: their error is a column."""
-    def score(row: dict) -> float:
-        if row["doc_id"] % 9 == 0:
+    """Scores of batches of rows, some of which raise: their error is a column."""
+    def score(part: pd.DataFrame) -> pd.Series:
+        if (part["doc_id"] % 9 == 0).any():
             raise ValueError("no frames")
-        return row["n_chars"] / 100
+        return part["n_chars"] / 100
 
     path = fresh_path(spark, "scores")
     W.write_json(W.scored(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), score, "doc_id"), path)
@@ -262,6 +282,7 @@ QUERIES = {
     "annotation_scan": (annotation_scan, f"SELECT doc_id AS clip_id, {EMOTION} AS emotion_label, {GENRE} AS genre, {_LANG} AS source_language, doc_id % 4 <> 0 AS has_face, false AS human_verified, false AS language_mismatch, (doc_id % 3 + 1)::INTEGER AS agents, printf('AU6=%.1f, AU12=4.2', doc_id % 10 / 2.0::DOUBLE) AS aus, md5(coalesce(text, '')) AS transcript_md5 FROM documents WHERE {_OK}"),
     "annotation_rejects": (annotation_rejects, "SELECT 'corrupt' AS problem, count(*) AS n FROM documents WHERE doc_id % 17 = 0 HAVING count(*) > 0 UNION ALL SELECT 'emotion_label', count(*) FROM documents WHERE doc_id % 17 <> 0 AND doc_id % 10 >= 8 HAVING count(*) > 0 UNION ALL SELECT 'webcam_bbox', count(*) FROM documents WHERE doc_id % 17 <> 0 AND doc_id % 4 <> 0 AND doc_id % 7 = 0 HAVING count(*) > 0"),
     "annotator_rows": (annotator_rows, f"SELECT doc_id AS clip_id, 'agent' || k.i AS agent_name, 'out' || k.i AS output, k.i::INTEGER AS n FROM documents, range(3) AS k(i) WHERE {_OK} AND k.i <= doc_id % 3"),
+    "split_documents": (split_documents, "SELECT vec_id, label FROM embeddings WHERE vec_id % 10 < 7"),
     "raw_annotations": (raw_annotations, f"SELECT doc_id AS clip_id, {EMOTION} AS emotion FROM documents WHERE doc_id % 17 <> 0"),
     "peak_frame_aus": (peak_frame_aus, "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 WHEN 2 THEN doc_id % 9 END AS au1, CASE WHEN doc_id % 5 <= doc_id % 4 THEN doc_id % 5 / 4.0::DOUBLE END AS au4 FROM documents"),
     "manifest_scan": (manifest_scan, "SELECT doc_id AS clip_id, CASE WHEN doc_id % 10 < 7 THEN 'train' ELSE 'val' END AS split FROM documents"),
@@ -279,6 +300,7 @@ QUERIES = {
     "keypoint_files": (keypoint_files, "WITH f AS (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events) SELECT user_id, count(*) AS n_frames, count(*) AS n_stated, 12 AS width, round(coalesce(sum(abs(value - old)), 0), 6) AS moved FROM f GROUP BY user_id"),
     "keyed_sink": (keyed_sink, "SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events"),
     "group_report": (group_report, GROUPED.format(rows=BY_LANG, by="lang") + "SELECT lang, n_samples, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1, round(uar, 6) AS uar FROM m"),
+    "group_report_markdown": (group_report_markdown, GROUPED.format(rows=BY_LANG, by="lang") + "SELECT '| lang | n_samples | accuracy | macro_f1 |' AS line UNION ALL SELECT '|---|---|---|---|' UNION ALL SELECT '| ' || lang || ' | ' || n_samples || ' | ' || printf('%.4f', accuracy) || ' | ' || printf('%.4f', macro_f1) || ' |' FROM m"),
     "batch_scores": (batch_scores, "SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN n_chars / 100.0::DOUBLE END AS score, CASE WHEN doc_id % 9 = 0 THEN 'ValueError: no frames' END AS error FROM documents"),
     "transcript_update": (transcript_update, "WITH f AS (SELECT conv_id, min(coalesce(text, '')) AS t FROM conversations GROUP BY 1), r AS (SELECT CASE WHEN doc_id % 3 = 0 AND trim(coalesce(d.text, ''), ' ') <> '' THEN 'skipped' WHEN f.t IS NULL THEN 'missing' ELSE 'transcribed' END AS fate, CASE WHEN doc_id % 3 = 0 THEN d.text ELSE ' ' END AS old, f.t FROM documents AS d LEFT JOIN f ON conv_id = doc_id) SELECT fate, count(*) AS n, sum(length(CASE WHEN fate = 'transcribed' THEN t ELSE old END))::BIGINT AS n_chars FROM r GROUP BY fate"),
     "misclassified_sink": (misclassified_sink, PRED + ", e AS (SELECT vec_id, y_true, CASE WHEN vec_id % k.every = 0 THEN (y_pred + 1) % 10 ELSE y_pred END AS y_pred, k.epoch FROM pred, (VALUES (0, 5), (1, 2), (2, 9)) AS k(epoch, every)), a AS (SELECT epoch, avg((y_true = y_pred)::INTEGER) AS accuracy FROM e GROUP BY epoch), b AS (SELECT max(epoch) AS epoch FROM a WHERE accuracy > coalesce((SELECT max(x.accuracy) FROM a AS x WHERE x.epoch < a.epoch), -1)) SELECT vec_id, y_true, y_pred, epoch FROM e JOIN b USING (epoch) WHERE y_true <> y_pred"),

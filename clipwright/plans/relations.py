@@ -14,6 +14,12 @@ from clipwright.plans.evaluation import PRED, predictions, r6
 from clipwright.sources.tables import table
 
 
+def split_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in a seeded order, divided in proportion without a stratum."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return S.proportional(docs, [S.seeded("doc_id", 9), F.col("doc_id")], ["train", "val", "test", "ood"], [0.7, 0.15, 0.1, 0.05])
+
+
 def split_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     return S.proportional(docs, [S.seeded("doc_id", 7), F.col("doc_id")], ["train", "val", "test", "ood"], [0.7, 0.15, 0.1, 0.05], "lang", "source")
@@ -144,6 +150,7 @@ f AS (SELECT vec_id, k, round(avg(p), 9) AS p FROM p GROUP BY vec_id, k)
 SELECT vec_id, k::INTEGER AS y_pred, round(p, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, k) AS r FROM f) AS x WHERE r = 1"""
 
 QUERIES = {
+    "split_seeded": (split_seeded, "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':9'), doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), e AS (SELECT *, floor(n * 0.7::DOUBLE) AS a, floor(n * 0.15::DOUBLE) AS b, floor(n * 0.1::DOUBLE) AS c FROM r) SELECT doc_id, CASE WHEN i < a THEN 'train' WHEN i < a + b THEN 'val' WHEN i < a + b + c THEN 'test' ELSE 'ood' END AS split FROM e"),
     "split_stratified": (split_stratified, f"WITH r AS ({RANKED}), e AS (SELECT *, floor(n * 0.7::DOUBLE) AS a, floor(n * 0.15::DOUBLE) AS b, floor(n * 0.1::DOUBLE) AS c FROM r) SELECT doc_id, lang, source, CASE WHEN i < a THEN 'train' WHEN i < a + b THEN 'val' WHEN i < a + b + c THEN 'test' ELSE 'ood' END AS split FROM e"),
     "leave_one_source_out": (leave_one_source_out, "SELECT source, count(*) AS held_out, (SELECT count(*) FROM documents) - count(*) AS trained_on FROM documents GROUP BY source"),
     "resume_anti": (resume_anti, "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"),

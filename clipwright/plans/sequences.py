@@ -59,6 +59,22 @@ def peak_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.peak(frames(spark, sf_dir), "clip_id", "event_id", "value").select("clip_id", "event_id", r6("value"))
 
 
+def peak_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The peak frame of each clip by every method."""
+    rows = frames(spark, sf_dir)
+    made = [S.peak_by(rows, "clip_id", "event_id", "value", m).withColumn("method", F.lit(m)) for m in ("max_au_intensity", "middle", "attention_pool")]
+    return made[0].unionByName(made[1]).unionByName(made[2]).select("clip_id", "method", "frame", r6("score"))
+
+
+def created_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of creation in UTC as ISO-8601 text with the offset, and read back from it."""
+    at = F.col("ts").cast("timestamp")
+    text = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    text = F.when(text.contains(".000000+"), F.replace(text, F.lit(".000000"), F.lit(""))).otherwise(text)
+    made = table(spark, sf_dir, "events").select("event_id", "ts", text.alias("created_at"))
+    return made.select("event_id", "created_at", (F.to_timestamp("created_at").cast("timestamp_ntz") == F.col("ts")).alias("same"))
+
+
 def middle_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = S.ordered(frames(spark, sf_dir), "clip_id", ORDER)
     return seq.filter(F.col("i") == F.floor(F.col("n") / 2)).select("clip_id", "event_id", "i")
@@ -160,6 +176,8 @@ QUERIES = {
     "periodicity": (periodicity, KIN + ", d AS (SELECT clip_id, i, n, velocity ** 2 - avg(velocity ** 2) OVER (PARTITION BY clip_id) AS d FROM k WHERE n >= 4), l AS (SELECT a.clip_id, b.i - a.i AS lag, sum(a.d * b.d) AS s FROM d AS a JOIN d AS b ON a.clip_id = b.clip_id AND b.i >= a.i GROUP BY 1, 2), m AS (SELECT clip_id, any_value(n) AS n FROM d GROUP BY clip_id) SELECT m.clip_id, m.n, round(coalesce(max(l.s) FILTER (l.lag >= 1 AND l.lag <= m.n // 2 - 1) / nullif(max(l.s) FILTER (l.lag = 0), 0), 0), 6) AS periodicity FROM m JOIN l USING (clip_id) GROUP BY m.clip_id, m.n"),
     "shoulder_norm": (shoulder_norm, SEQ + ", g AS (SELECT clip_id, median(value) AS width, count(*) AS n FROM f WHERE conf > 0.3 GROUP BY clip_id) SELECT event_id, round(value / coalesce(CASE WHEN g.n >= 3 AND width > 0 THEN width END, 1), 6) AS scaled FROM f LEFT JOIN g USING (clip_id)"),
     "au_frame_sum": (au_frame_sum, "SELECT user_id AS clip_id, date_trunc('hour', ts) AS frame, round(sum(value), 6) AS score FROM events GROUP BY 1, 2"),
+    "peak_methods": (peak_methods, "WITH f AS (SELECT user_id AS clip_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), p AS (SELECT clip_id, i, value FROM f QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY value DESC, i) = 1) SELECT clip_id, 'max_au_intensity' AS method, i::INTEGER AS frame, round(value, 6) AS score FROM p UNION ALL SELECT clip_id, m.m, i::INTEGER, 0.0 FROM f, (VALUES ('middle'), ('attention_pool')) AS m(m) WHERE i = n // 2"),
+    "created_at": (created_at, "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || '+00:00' AS created_at, true AS same FROM events"),
     "peak_frame": (peak_frame, "SELECT clip_id, event_id, round(value, 6) AS value FROM (SELECT user_id AS clip_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) AS x WHERE r = 1"),
     "middle_frame": (middle_frame, SEQ + "SELECT clip_id, event_id, i FROM f WHERE i = n // 2"),
     "peak_zscore": (peak_zscore, SEQ + ", z AS (SELECT clip_id, event_id, round(CASE WHEN stddev_pop(value) OVER w > 1e-8 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END + CASE WHEN stddev_pop(conf) OVER w > 1e-8 THEN (conf - avg(conf) OVER w) / stddev_pop(conf) OVER w ELSE 0 END, 9) AS z FROM f WINDOW w AS (PARTITION BY clip_id)) SELECT clip_id, event_id, round(z, 6) AS z FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY z DESC, event_id) AS r FROM z) AS x WHERE r = 1"),

@@ -193,8 +193,10 @@ s AS (SELECT *, (conv_id * 3 + turn) % 10 / 10.0::DOUBLE <= 0.6 AND NOT (said <>
 FIRST = lambda text, names, other: "CASE " + " ".join(f"WHEN contains(lower({text}), '{n}') THEN '{n}'" for n in names) + f" ELSE '{other}' END"
 OK = "regexp_matches(raw, '(?s)<think>.*?</think>\\s*<answer>.*?</answer>')"
 
+#: The text cue with its measures as they are, not rounded.
+TEXT_CUES = f"WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {W.format(t="lower(coalesce(text, ''))")} AS w FROM documents), c AS (SELECT doc_id, len(regexp_extract_all(text, '[!?]+')) AS e, len(list_filter(w, lambda x: x IN ({_in(NEGATIVE)}))) AS n, len(list_filter(w, lambda x: x IN ({_in(GAMES)}))) AS g, len(w) AS k FROM w) SELECT doc_id, CASE WHEN k = 0 THEN 'no_speech' ELSE concat_ws(', ', CASE WHEN e > 0 THEN 'exclamation' END, CASE WHEN n > 0 THEN 'negative_lexicon' END, CASE WHEN g > 0 THEN 'game_term' END, k || '_words') END AS cue, CASE WHEN k = 0 THEN 0 ELSE least(e, 5) / 5.0::DOUBLE END AS exclaims, least(n, 5) / 5.0::DOUBLE AS negatives, least(g, 5) / 5.0::DOUBLE AS games, least(k, 30) / 30.0::DOUBLE AS length FROM c"
 QUERIES = {
-    "text_cues": (text_cues, f"WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {W.format(t="lower(coalesce(text, ''))")} AS w FROM documents), c AS (SELECT doc_id, len(regexp_extract_all(text, '[!?]+')) AS e, len(list_filter(w, lambda x: x IN ({_in(NEGATIVE)}))) AS n, len(list_filter(w, lambda x: x IN ({_in(GAMES)}))) AS g, len(w) AS k FROM w) SELECT doc_id, CASE WHEN k = 0 THEN 'no_speech' ELSE concat_ws(', ', CASE WHEN e > 0 THEN 'exclamation' END, CASE WHEN n > 0 THEN 'negative_lexicon' END, CASE WHEN g > 0 THEN 'game_term' END, k || '_words') END AS cue, CASE WHEN k = 0 THEN 0 ELSE round(least(e, 5) / 5.0::DOUBLE, 6) END AS exclaims, round(least(n, 5) / 5.0::DOUBLE, 6) AS negatives, round(least(g, 5) / 5.0::DOUBLE, 6) AS games, round(least(k, 30) / 30.0::DOUBLE, 6) AS length FROM c"),
+    "text_cues": (text_cues, "SELECT doc_id, cue, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("exclaims", "negatives", "games", "length")) + f" FROM ({TEXT_CUES}) AS t"),
     "cue_bins": (cue_bins, "SELECT doc_id, CASE WHEN length(text) < 100 THEN 'short' WHEN length(text) < 1000 THEN 'middle' WHEN length(text) < 5000 THEN 'long' ELSE 'huge' END AS bin FROM documents"),
     "hallucination_filter": (hallucination_filter, SPOKEN + "SELECT conv_id, turn FROM s WHERE spoken"),
     "segment_join": (segment_join, SPOKEN + f"SELECT conv_id, md5({STRIP.format(x="coalesce(string_agg(said, ' ' ORDER BY turn, role, said) FILTER (spoken), '')")}) AS transcript_md5, count(*) FILTER (spoken) AS segments FROM s GROUP BY conv_id"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clipwright.functions import arrays as A
 from clipwright.operators import blocks as K
 from clipwright.operators import splits as S
-from clipwright.plans.evaluation import r6
+from clipwright.plans.evaluation import PRED, predictions, r6
 from clipwright.sources.tables import table
 
 WEIGHTS = [0.5 + 0.25 * k for k in range(10)]
@@ -95,11 +95,21 @@ def embed_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embed_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Noise of a tenth of each clip's own spread: what it changes, in spreads. The noise is
-    seeded, so a run repeats itself; no other engine draws the same."""
+    """Each vector with normal noise of a tenth of its own spread added, long; the draws follow
+    from the clip's number by hashes, so any engine and any run repeats them."""
     spread = F.sqrt(F.greatest((A.dot(F.col("v"), F.col("v")) - 64 * A.mean(F.col("v")) * A.mean(F.col("v"))) / 63, F.lit(1e-12)))
-    rows = _e(spark, sf_dir).select("vec_id", spread.alias("s"), F.array(*[F.randn(100 + i) for i in range(64)]).alias("z"))
-    return rows.select("vec_id", r6(0.1 * A.norm(F.col("z")) / 8, "moved"), (F.col("s") > 0).alias("spread"))
+    drawn = lambda salt: lambda i: (F.conv(F.substring(F.md5(F.concat(F.col("vec_id").cast("string"), F.lit(f":{salt}:"), i.cast("string"))), 1, 7), 16, 10).cast("double") + 0.5) / 2**28
+    normal = lambda i: F.sqrt(-2 * F.log(drawn("a")(i))) * F.cos(2 * F.pi() * drawn("b")(i))
+    rows = _e(spark, sf_dir).select("vec_id", "v", spread.alias("s"))
+    noisy = A.bound(F.col("s"), lambda s: F.transform(F.col("v"), lambda x, i: x + 0.1 * s * normal(i)))
+    return _long(rows.select("vec_id", noisy.alias("x")))
+
+
+def class_scores_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All class scores of each clip, the greatest first; of equal ones the lesser class."""
+    scored = predictions(spark, sf_dir).select("vec_id", F.transform("scores", lambda s, i: F.struct((-s).alias("minus"), i.alias("class"))).alias("s"))
+    listed = scored.select("vec_id", F.posexplode(F.array_sort("s")).alias("rank", "x"))
+    return listed.select("vec_id", (F.col("rank") + 1).alias("rank"), F.col("x.class").alias("class"), r6(-F.col("x.minus"), "score"))
 
 
 def modality_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +181,8 @@ QUERIES = {
     "token_pooling": (token_pooling, f"WITH {_B}, w AS (SELECT *, list_transform({_tok(0)}, lambda x: exp(2 * x)) AS a FROM b) SELECT vec_id, " + ", ".join(f"round(list_avg({_tok(d)}), 6) AS mean{d}, round(list_max({_tok(d)}), 6) AS max{d}, round(v[{d + 1}], 6) AS cls{d}, round(list_dot_product(a, {_tok(d)}) / list_sum(a), 6) AS attention{d}" for d in (0, 3)) + " FROM w"),
     "patch_pool": (patch_pool, f"WITH {_B} " + " UNION ALL ".join(f"SELECT vec_id, {k} AS i, round(({' + '.join(f'v[{8 * r + c + 1}]' for r, c in cells)}) / {len(cells)}, 6) AS x FROM b" for k, cells in enumerate(_GRID))),
     "embed_mask": (embed_mask, f"WITH {_B}, m AS (SELECT vec_id, v, {_h(1, 3)} + 1 AS n, {_h(2, 1000)} % (16 - {_h(1, 3)}) AS s, {_h(3, 2)} = 0 AS on_ FROM b) SELECT vec_id, CASE WHEN on_ THEN n::INTEGER ELSE 0 END AS gone, round(list_sum(v) - CASE WHEN on_ THEN list_sum(v[4 * s + 1:4 * (s + n)]) ELSE 0 END, 6) AS total FROM m"),
-    "embed_noise": (embed_noise, None),
+    "embed_noise": (embed_noise, f"WITH {_B}, m AS (SELECT vec_id, v, sqrt(greatest((list_dot_product(v, v) - 64 * list_avg(v) * list_avg(v)) / 63, 1e-12)) AS s FROM b), u AS (SELECT vec_id, s, k.i, v[k.i + 1] AS x, (('0x' || md5(vec_id || ':a:' || k.i)[1:7])::BIGINT::DOUBLE + 0.5) / 268435456 AS a, (('0x' || md5(vec_id || ':b:' || k.i)[1:7])::BIGINT::DOUBLE + 0.5) / 268435456 AS c FROM m, range(64) AS k(i)) SELECT vec_id, i::INTEGER AS i, round(x + 0.1::DOUBLE * s * (sqrt(-2 * ln(a)) * cos(2 * pi() * c)), 6) AS x FROM u"),
+    "class_scores_sorted": (class_scores_sorted, PRED + "SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, class)::INTEGER AS rank, class, round(s, 6) AS score FROM sims"),
     "modality_drop": (modality_drop, f"WITH {_B}, d AS (SELECT *, CASE WHEN {_h(5, 10)} < 3 THEN {_h(6, 4)} ELSE -1 END AS d FROM b) SELECT vec_id, d AS dropped, vec_id % 2 = 0 AND d <> 1 AS has_face, " + ", ".join(f"CASE WHEN d = {i} THEN 0 ELSE round(list_sum(v[{16 * i + 1}:{16 * i + 16}]), 6) END AS {m}" for i, m in enumerate(("audio", "face", "context", "text"))) + " FROM d"),
     "mixup": (mixup, f"WITH {_B}, p AS (SELECT vec_id AS partner, label AS label_b, v AS w, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM b WHERE label IN (1, 4, 7)), r AS (SELECT *, {_h(7, 1_000_003)} % (SELECT count(*) FROM p) AS place, greatest({_h(8, 1000)} / 1000.0::DOUBLE, 1 - {_h(8, 1000)} / 1000.0::DOUBLE) AS share FROM b) SELECT vec_id, partner, label AS label_a, label_b, round(share, 6) AS share, round(share * list_sum(v) + (1 - share) * list_sum(w), 6) AS total FROM r JOIN p USING (place)"),
     "pair_margin": (pair_margin, f"WITH {_B}, k AS (SELECT * FROM (VALUES (0, 1), (2, 5), (3, 99)) AS t(a, b)) SELECT k.a, k.b, count(*) AS n, round(avg(greatest(list_cosine_similarity(x.v, y.v) - 0.05, 0)), 6) AS loss FROM k JOIN b AS x ON x.label = k.a JOIN b AS y ON y.label = k.b GROUP BY 1, 2"),

@@ -76,7 +76,7 @@ def read_split(spark: SparkSession, path: str, manifest: DataFrame, split: str,
     documents = spark.read.schema(schema).option("mode", mode).option("multiLine", True).json(path)
     name = F.col("_metadata.file_name")
     stem = F.regexp_replace(name, r"\.[^.]*$", "").alias("clip_id")
-    out = documents.filter(F.lit(False)).select(F.lit("").alias("clip_id"), *[c for c in documents.columns if c != "clip_id"])
+    out = documents.filter(F.lit(False)).select(F.lit(None).cast("string").alias("clip_id"), *[c for c in documents.columns if c != "clip_id"])
     for i in range(0, len(stems), NAMES):
         part = documents.filter(name.isin([f"{s}{suffix}" for s in stems[i : i + NAMES]]))
         out = out.unionByName(part.select(stem, *[c for c in documents.columns if c != "clip_id"]))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from clipwright.sources.sinks import exists
+from clipwright.sources.sinks import exists, store_of
 
 ROWS = "clip_id string, modality string, row long, values array<double>, shape array<long>, problem string"
 WRITTEN = ["clip_id", "modality", "row", "values", "n", "clip_hash"]
@@ -44,10 +44,6 @@ PART_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
 STAGING = "_staging"
 
 
-def _store(path: str) -> tuple[stores.FileSystem, str]:
-    return stores.FileSystem.from_uri(path if "://" in path or path.startswith(("/", "file:")) else f"file:///{path}")
-
-
 def file_name(clip_id: str, modality: str | None) -> str:
     plain = lambda x: quote(x, safe="").replace(".", "%2E")
     return plain(clip_id) + (f".{plain(modality)}" if modality is not None else "") + ".npy"
@@ -111,7 +107,7 @@ class TensorReader(DataSourceReader):
         self.part_bytes = max(1, int(options.get("part_bytes", PART_BYTES)))
 
     def partitions(self) -> list[InputPartition]:
-        store, root = _store(self.path)
+        store, root = store_of(self.path)
         latest: dict[str, tuple[str, int]] = {}
         for info in sorted(store.get_file_info(stores.FileSelector(root, recursive=True, allow_not_found=True)), key=lambda x: x.path):
             inside = info.path[len(root) :].split("/")
@@ -121,7 +117,7 @@ class TensorReader(DataSourceReader):
         return cut(list(latest.values()), self.part_bytes) or [Ranges([])]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        store, _ = _store(self.path)
+        store, _ = store_of(self.path)
         for path, size, begin, end in partition.parts:
             yield from rows_of_range(store, path, size, begin, end)
 
@@ -194,7 +190,7 @@ class TensorWriter(DataSourceArrowWriter):
         self.job = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        store, root = _store(self.path)
+        store, root = store_of(self.path)
         task = TaskContext.get()
         folder = f"{task.partitionId():06d}-{task.taskAttemptId()}"
         out, lines = f"{root}/{STAGING}/{self.job}/{folder}", []
@@ -216,7 +212,7 @@ class TensorWriter(DataSourceArrowWriter):
         return Part(folder, len(lines))
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        store, root = _store(self.path)
+        store, root = store_of(self.path)
         staged = f"{root}/{STAGING}/{self.job}"
         kept = {m.folder for m in messages if m is not None and m.tensors}
         older = [x.path for x in store.get_file_info(stores.FileSelector(root, allow_not_found=True)) if x.type == stores.FileType.Directory and x.base_name != STAGING]
@@ -230,7 +226,7 @@ class TensorWriter(DataSourceArrowWriter):
             store.delete_dir(path)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        store, root = _store(self.path)
+        store, root = store_of(self.path)
         staged = f"{root}/{STAGING}/{self.job}"
         if store.get_file_info(staged).type == stores.FileType.Directory:
             store.delete_dir(staged)

@@ -83,3 +83,10 @@ def test_parser_branches(spark):
     rows = [(1, "Cues: face: eyes=wide. Emotion: hype.", "(face: eyes=wide, hype, True)"), (2, "<think>AU12 cao</think><answer>amused</answer>", "(AU12 cao, amused, True)"), (3, "some random text", "(some random text, neutral, False)"), (4, "<think>only thought</think>", "(only thought, neutral, False)"), (5, "cues: a. emotion: b", "(cues: a. emotion: b, neutral, False)")]
     got = spark.createDataFrame(rows, "id int, raw string, want string").select("want", T.output_parts(F.col("raw"), F.lit("neutral")).alias("x")).collect()
     assert all(f"({r.x.reasoning}, {r.x.answer}, {r.x.valid})" == r.want for r in got)
+
+
+def test_a_distribution_with_what_is_no_number_counts_as_none(spark):
+    told = ['{"hype": 1, "sad": 3}', '{"hype": 1, "sad": "x"}', '{"hype": 1, "odd": null}', '{"hype": "2"}', "{broken}"]
+    rows = spark.createDataFrame([(i, f"<answer>sad</answer><distribution>{t}</distribution>") for i, t in enumerate(told)], "i int, raw string")
+    got = [r.d for r in rows.orderBy("i").select(T.consolidated(F.col("raw"), F.lit("neutral"))["distribution"].alias("d")).collect()]
+    assert got == [{"hype": 0.25, "sad": 0.75}, {}, {}, {"hype": 1.0}, {}]

@@ -7,6 +7,7 @@ import pytest
 from clipwright.functions import arrays as A
 from clipwright.operators.classify import fold_accuracy, fold_models, stratified
 from clipwright.operators.sampling import first_fitting
+from clipwright.operators.series import peak_by
 from clipwright.operators.splits import positional_zip
 from clipwright.sources.files import read_split
 from clipwright.sources.sinks import write_if_better
@@ -94,6 +95,14 @@ def test_zip_with_lengths(spark):
     assert positional_zip(left.limit(1), right, "a", "b", "k", strict=True).count() == 1
 
 
+def test_unknown_peak_methods_are_rejected(spark):
+    rows = spark.createDataFrame([(1, i, float(i % 3)) for i in range(7)], "clip_id int, k int, v double")
+    assert tuple(peak_by(rows, "clip_id", "k", "v", "max_au_intensity").first()) == (1, 2, 2.0)
+    assert tuple(peak_by(rows, "clip_id", "k", "v", "middle").first()) == (1, 3, 0.0)
+    with pytest.raises(ValueError, match="unknown method"):
+        peak_by(rows, "clip_id", "k", "v", "loudest")
+
+
 def test_only_better_results_are_written(spark, tmp_path):
     path = str(tmp_path / "wrong")
     rows = lambda *p: spark.createDataFrame([(i, 1, x) for i, x in enumerate(p)], "k int, y_true int, y_pred int")
