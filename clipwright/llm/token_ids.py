@@ -23,7 +23,7 @@ from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units kept in each of the two generations of the cache, and the longest unit kept.
-CACHED_UNITS, CACHED_LENGTH = 400_000, 64
+CACHED_UNITS, CACHED_LENGTH = 150_000, 64
 #: Words encoded as one text, of which several make a batch; ids laid out at once.
 WORDS, BATCH, LAID = 50, 20_000, 1 << 22
 WORD = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
