@@ -80,7 +80,7 @@ def test_scores_do_not_depend_on_chunks(spark, sf):
     rng = random.Random(3)
     rows = [(i, "".join(rng.choice("ab é日\n 😀▁") for _ in range(n))) for i, n in enumerate([0, 1, 40, 900, 5000])] + [(9, "日本語" * 3000), (10, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(table(spark, sf, "documents").select("doc_id", "text").limit(40))
-    apart = [document_digests(docs, chunk=c) for c in (17, 61, 1 << 20)]
+    apart = [document_digests(docs, chunk=c).drop("n_chunks") for c in (17, 61, 1 << 20)]
     a, b, c = (sorted(map(tuple, d.collect()), key=str) for d in apart)
     decoded = apart[0].columns.index("decoded")
     assert a == b == c and not all(r[decoded] for r in a)
