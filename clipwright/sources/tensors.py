@@ -2,7 +2,8 @@
 
 ``spark.read.format("tensors").load(folder)`` gives one row for each row of each array. The
 planner lists names and sizes only and cuts the bytes into ranges: small files share a
-task, a large one is read by many. Each task reads the header of a file it has a range of
+task, a large one is read by many, and where the ranges asked for would make very many
+tasks they are widened. Each task reads the header of a file it has a range of
 and takes the rows that begin there. What cannot be read (no array, cut off, objects in
 it) is one row with a ``problem`` and no values, and never fails a job; nothing is ever
 unpickled.
@@ -41,6 +42,8 @@ WRITTEN = ["clip_id", "modality", "row", "values", "n", "clip_hash"]
 META = "clip_id string, modality string, file string, shape array<long>, dtype string, sha256 string, config_hash string, clip_hash string"
 #: Bytes of files that one task reads, and bytes of one Arrow batch.
 PART_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
+#: Tasks up to which ranges below PART_BYTES are made: a task costs more than some kilobytes do.
+TASKS = 200
 STAGING = "_staging"
 
 
@@ -63,7 +66,9 @@ class Ranges(InputPartition):
 
 
 def cut(files: list[tuple[str, int]], part_bytes: int) -> list[Ranges]:
-    """Files (path, size) as tasks of about ``part_bytes``; a larger file becomes several."""
+    """Files (path, size) as tasks of about ``part_bytes``; a larger file becomes several. Where
+    that makes over TASKS of them, each takes its share, up to PART_BYTES or what was asked."""
+    part_bytes = max(part_bytes, min(PART_BYTES, -(-sum(size for _, size in files) // TASKS)))
     out: list[Ranges] = []
     held: list[tuple[str, int, int, int]] = []
     filled = 0
@@ -196,15 +201,16 @@ class TensorWriter(DataSourceArrowWriter):
         out, lines = f"{root}/{STAGING}/{self.job}/{folder}", []
         tensor: _Tensor | None = None
         for batch in iterator:
-            values = batch.column(3).combine_chunks() if isinstance(batch.column(3), pa.ChunkedArray) else batch.column(3)
-            keys = zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5)), strict=True)
-            for i, (clip, modality, row, n, clip_hash) in enumerate(keys):
-                if tensor is None or (clip, modality) != tensor.key:
+            clips, modalities = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys = list(zip(clips, modalities, strict=True))
+            begins = [i for i, key in enumerate(keys) if i == 0 or key != keys[i - 1]]
+            for begin, end in zip(begins, [*begins[1:], len(keys)], strict=True):
+                if tensor is None or keys[begin] != tensor.key:
                     lines += [tensor.closed()] if tensor else []
                     if not lines and tensor is None:
                         store.create_dir(out, recursive=True)
-                    tensor = _Tensor(store, out, (clip, modality), n, clip_hash, self)
-                tensor.add(row, values[i].values)
+                    tensor = _Tensor(store, out, keys[begin], batch.column(4)[begin].as_py(), batch.column(5)[begin].as_py(), self)
+                tensor.add(batch.column(2)[begin:end], batch.column(3)[begin:end])
         lines += [tensor.closed()] if tensor else []
         if lines:
             with store.open_output_stream(f"{out}/meta.jsonl") as file:
@@ -241,21 +247,26 @@ class _Tensor:
         self.file = store.open_output_stream(f"{folder}/{self.name}")
         self.digest, self.shape = hashlib.sha256(), None
 
-    def add(self, row: int, values: pa.Array) -> None:
-        if row != self.done or self.done >= self.n:
-            raise ValueError(f"row {row} of {self.key}: row {self.done} of {self.n} was to come")
+    def add(self, rows: pa.Array, values: pa.ListArray) -> None:
+        """Rows that lie together in a batch."""
+        due = np.arange(self.done, self.done + len(rows))
+        wrong = np.flatnonzero((rows.to_numpy(zero_copy_only=False) != due) | (due >= self.n))
+        if len(wrong):
+            raise ValueError(f"row {rows[int(wrong[0])].as_py()} of {self.key}: row {due[wrong[0]]} of {self.n} was to come")
+        sizes, flat = values.value_lengths(), values.flatten()
         if self.shape is None:
-            self.width, tail = len(values), self.writer.tail or [len(values)]
+            self.width = sizes[0].as_py() or 0
+            tail = self.writer.tail or [self.width]
             if prod(tail) != self.width:
                 raise ValueError(f"{self.key}: {self.width} values do not fill {tail}")
             self.shape = [self.n, *tail]
             np.lib.format.write_array_header_1_0(self.file, {"descr": np.dtype(self.writer.dtype).newbyteorder("<").str, "fortran_order": False, "shape": tuple(self.shape)})
-        if len(values) != self.width or values.null_count:
-            raise ValueError(f"row {row} of {self.key}: {len(values)} values, {values.null_count} null, for {self.width}")
-        data = values.to_numpy(zero_copy_only=False).astype(np.dtype(self.writer.dtype).newbyteorder("<")).tobytes()
+        if values.null_count or flat.null_count or (sizes.to_numpy(zero_copy_only=False) != self.width).any():
+            raise ValueError(f"rows {due[0]} to {due[-1]} of {self.key}: nulls, or not {self.width} values in each")
+        data = flat.to_numpy(zero_copy_only=False).astype(np.dtype(self.writer.dtype).newbyteorder("<")).tobytes()
         self.digest.update(data)
         self.file.write(data)
-        self.done += 1
+        self.done += len(rows)
 
     def closed(self) -> dict:
         self.file.close()

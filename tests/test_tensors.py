@@ -111,3 +111,14 @@ def test_present_tensors_are_skipped_by_hash(spark, tmp_path):
     assert len(read(spark, path)) == 2
     line = json.loads(next(Path(tmp_path, "cache").glob("*/*/meta.jsonl")).read_text().splitlines()[0])
     assert line["shape"] == [2, 2] and len(line["sha256"]) == 64 and urllib.parse.unquote(line["file"]) == f"{line['clip_id']}.m.npy"
+
+
+def test_small_ranges_do_not_make_a_task_each(tmp_path):
+    for i in range(30):
+        np.save(tmp_path / f"{i}.npy", np.arange(600.0).reshape(200, 3) + i)
+    reader = T.TensorReader({"path": f"file://{tmp_path}", "part_bytes": 64})
+    parts = reader.partitions()
+    assert len(parts) <= T.TASKS + 1
+    rows = [(r["clip_id"], r["row"], r["values"][0]) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(rows) == sorted((str(i), k, 3.0 * k + i) for i in range(30) for k in range(200))
+    assert len(T.cut([("a", 10 * T.PART_BYTES * T.TASKS)], T.PART_BYTES)) == 10 * T.TASKS
