@@ -58,3 +58,33 @@ def test_nearest(spark, block):
     for i, (key, _) in enumerate(q):
         order = sorted(range(len(w)), key=lambda j: (-s[i, j], w[j][0]))[:3]
         assert [got[key, k + 1] for k in range(3)] == [(w[j][0], pytest.approx(s[i, j], abs=2e-9)) for j in order]
+
+
+@pytest.mark.parametrize("of", [K.silhouettes, lambda df: K.nearest(df, df, 3)])
+def test_copies_of_rows_do_not_grow_with_the_rows(spark, of, monkeypatch):
+    """What every row is dealt out to is fixed, so what is shuffled grows with the rows."""
+    seen, dealt = [], K._dealt
+
+    def counted(*args):
+        out = dealt(*args)
+        seen.append(out)
+        return out
+
+    monkeypatch.setattr(K, "_dealt", counted)
+    copies = []
+    for n in (20_000, 60_000):
+        seen.clear()
+        of(spark.range(n).selectExpr("IF(id % 3 = 0, 'a', 'b') AS by", "id", "array(CAST(id % 7 AS double), CAST(id % 11 AS double)) AS v"))
+        copies.append(sum(x.count() for x in seen) / n)
+    assert copies[1] == pytest.approx(copies[0])
+
+
+def test_best_words_of_equal_and_odd_rows():
+    r = np.random.default_rng(4)
+    x, y = K.unit(r.normal(size=(700, 3)).round(1)), K.unit(r.normal(size=(5000, 3)).round(0))
+    x[3], x[5], y[7], word = np.nan, 0.0, np.nan, r.permutation(5000)
+    s = np.round(x @ y.T, 9)
+    order = np.lexsort((np.broadcast_to(word, s.shape), -s), axis=1)[:, :3]
+    row, found, told = K.best_words(x, y, word, 3, 9)
+    assert row.tolist() == np.repeat(np.arange(700), 3).tolist() and found.tolist() == word[order].reshape(-1).tolist()
+    assert np.allclose(told, np.take_along_axis(s, order, 1).reshape(-1), atol=2e-9, equal_nan=True)
