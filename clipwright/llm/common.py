@@ -17,8 +17,9 @@ __all__ = [
     "text_bytes", "whole_groups",
 ]
 
-#: Bytes of text that one numpy pass takes at a time inside a Python task.
-PASS_BYTES = 4 << 20
+#: Bytes of text that one numpy pass takes at a time inside a Python task. Arrays of some megabytes
+#: are cut from a heap that the worker keeps, so larger passes stay with it as idle memory.
+PASS_BYTES = 1 << 20
 
 
 def tasks_of(df: DataFrame) -> int:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a row group of an intermediate: a task that writes one holds as much in memory, and
 #: whole texts make that much of it.
-ROW_GROUP = 16 << 20
+ROW_GROUP = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -57,7 +57,7 @@ ORACLE_SQL = None
 
 #: Rows of a batch that goes to a Python worker. Workers serve all stages one after the other,
 #: so what a batch of whole texts takes in one of them adds up.
-BATCH_ROWS, BATCH_SETTING = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_SETTING = 250, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextmanager
