@@ -1,9 +1,11 @@
 """Density clusters of points in the plane, for groups of any size.
 
-Points lie in cells narrower than eps by more than the root of two, so those of one cell
+A key of few points is clustered within one task, by all its distances: one shuffle of the
+points. The points of a larger key are dealt out over many tasks. They lie in cells narrower than eps by more than the root of two, so those of one cell
 are all near each other. A cell with enough points is dense: all are cores of one cluster,
 and none of their pairs is formed. Only the few points of other cells meet their
-neighbours, in the five by five cells about them. Whether two dense cells touch is told by
+neighbours, in the five by five cells about them: cells are joined by tiles of them, and a
+point goes to each tile that these reach, mostly one or two. Whether two dense cells touch is told by
 the boxes of their points: boxes that are wholly near link the cells, boxes that are wholly
 apart do not, and the rest are cut in four and compared again, or point by point where they
 hold few.
@@ -11,8 +13,14 @@ hold few.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from clipwright.sources.tables import stored
 
@@ -21,6 +29,10 @@ WIDTH = 0.7
 #: Cuts of a cell's box; after so many halvings boxes are single points in double precision.
 #: Pairs of points below which two parts are compared point by point.
 DEPTH, PAIRS = 60, 10_000
+#: Points of a key that one task clusters by all their distances, 8 MB of them.
+WHOLE = 1_000
+#: Cells on the side of a tile.
+TILE = 8
 
 
 def least_reachable(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -105,25 +117,89 @@ def _touching(dense: DataFrame, eps: float) -> DataFrame:
     return linked
 
 
-def density_clusters(points: DataFrame, eps: float, least: int) -> DataFrame:
-    """``(key, id, cluster)`` for ``points (key, id long, x, y)``; noise has a null cluster.
+def _first_cores(x: np.ndarray, y: np.ndarray, eps: float, least: int) -> np.ndarray:
+    """For each point of a key its cluster's first core, by position; -1 for noise."""
+    n = len(x)
+    dx, dy = x[:, None] - x, y[:, None] - y
+    near = dx * dx + dy * dy <= eps * eps
+    core = near.sum(axis=1) >= least
+    # A core hangs under the first that it or its neighbours hang under; n is none.
+    label, before = np.where(core, np.arange(n), n), None
+    while before is None or (label != before).any():
+        before, reached = label, np.where(near, label, n).min(axis=1)
+        step = np.append(np.where(core, reached, n), n)
+        label = step[step[:-1]]
+    return np.where(reached < n, reached, -1)
+
+
+def _whole_keys(eps: float, least: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds ``cluster`` to points that are in order of key and id."""
+
+    def clustered(points: pa.Table, ends: np.ndarray) -> list[pa.RecordBatch]:
+        x, y, first = points["x"].to_numpy(), points["y"].to_numpy(), np.full(len(points), -1)
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            if b - a >= least:
+                own = _first_cores(x[a:b], y[a:b], eps, least)
+                first[a:b] = np.where(own < 0, -1, own + a)
+        cluster = points["id"].take(pa.array(first, mask=first < 0))
+        return points.drop_columns(["x", "y"]).append_column("cluster", cluster).to_batches()
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ends = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, rows]).combine_chunks() if held else rows
+            ends = pc.run_end_encode(held["key"].chunk(0)).run_ends.to_numpy()
+            # The last key may go on in the next batch.
+            if len(ends) > 1:
+                yield from clustered(held.slice(0, ends[-2]), ends[:-1])
+                held, ends = held.slice(ends[-2]), ends[-1:] - ends[-2]
+        if held:
+            yield from clustered(held, ends)
+
+    return each
+
+
+def density_clusters(points: DataFrame, eps: float, least: int, whole: int = WHOLE) -> DataFrame:
+    """``(key, id, ..., cluster)`` for ``points (key, id long, x, y, ...)``; noise has a null cluster.
 
     A core has ``least`` points of its key within ``eps``, itself included; a cluster is named
     by its least core; a point at the border goes to the least cluster that reaches it. Ids
-    are unique over all keys. Points without a key or a place are noise; a key of any size, and any
+    are unique over all keys. Points without a key or a finite place are noise. Of a key
+    of up to ``whole`` points one task compares all pairs; a larger one of any size, and any
     number of equal points, are dealt out over many tasks.
     """
+    points = points.withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")})
+    placed = F.col("key").isNotNull() & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    noise = points.filter(~F.coalesce(placed, F.lit(False))).drop("x", "y").withColumn("cluster", F.lit(None).cast("long"))
+    points = points.filter(placed)
+    large = stored(points.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > whole).select("key"), "large-keys")
+    some = not large.isEmpty()
+    small = (points.join(large, "key", "left_anti").select(points.columns) if some else points).repartition("key").sortWithinPartitions("key", "id")
+    named = StructType([f for f in points.schema if f.name not in ("x", "y")] + [StructField("cluster", LongType())])
+    found = small.mapInArrow(_whole_keys(eps, least), named).unionByName(noise)
+    return found.unionByName(_dealt(points.join(large, "key", "left_semi"), eps, least).select(found.columns)) if some else found
+
+
+def _dealt(points: DataFrame, eps: float, least: int) -> DataFrame:
+    """``density_clusters`` of keys of any size."""
     width = eps * WIDTH
-    placed = points.select("key", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    placed = placed.withColumns({"i": F.floor(F.col("x") / width), "j": F.floor(F.col("y") / width)})
-    cells = placed.groupBy("key", "i", "j").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("i IS NOT NULL AND j IS NOT NULL")
-    known = placed.join(cells, ["key", "i", "j"]).select("key", "i", "j", "id", "x", "y", F.when(F.col("n") >= least, F.col("first")).alias("node"))
+    placed = points.withColumns({"i": F.floor(F.col("x") / width), "j": F.floor(F.col("y") / width)})
+    cells = placed.groupBy("key", "i", "j").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    known = placed.select("key", "i", "j", "id", "x", "y").join(cells, ["key", "i", "j"]).select("key", "i", "j", "id", "x", "y", F.when(F.col("n") >= least, F.col("first")).alias("node"))
     known = stored(known, "cells")
     dense = known.filter("node IS NOT NULL")
 
-    thin = _around(known.filter("node IS NULL")).select("key", F.col("id").alias("one"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("ni").alias("i"), F.col("nj").alias("j"))
+    tile = lambda c, by=0: F.floor((F.col(c) + by) / TILE)
+    thin = known.filter("node IS NULL").select("key", F.col("id").alias("one"), F.col("x").alias("x1"), F.col("y").alias("y1"), "i", "j")
+    for c in ("i", "j"):
+        thin = thin.withColumn(c, F.explode(F.array_distinct(F.array(tile(c, -2), tile(c, 2)))))
     dx, dy = F.col("x") - F.col("x1"), F.col("y") - F.col("y1")
-    near = stored(thin.join(known.select("key", "i", "j", "id", "x", "y", "node"), ["key", "i", "j"]).filter(dx * dx + dy * dy <= eps * eps).select("one", "id", "node"), "near-points")
+    # The few thin points of a tile are the side that a join holds; the others pass by.
+    met = known.select("key", tile("i").alias("i"), tile("j").alias("j"), "id", "x", "y", "node").join(thin, ["key", "i", "j"])
+    near = stored(met.filter(dx * dx + dy * dy <= eps * eps).select("one", "id", "node"), "near-points")
     cores = near.groupBy("one").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("one")
     other = cores.select(F.col("one").alias("id"), F.col("one").alias("own"))
     to_core = stored(near.join(other, "id", "left").select("one", F.coalesce("node", "own").alias("core")).filter("core IS NOT NULL").distinct(), "near-cores")
@@ -133,5 +209,6 @@ def density_clusters(points: DataFrame, eps: float, least: int) -> DataFrame:
     # A component's least node is the first point of a cell or a core itself: its least core.
     inner = dense.select("key", "id", "node").join(label, "node").select("key", "id", F.col("least").alias("cluster"))
     reached = to_core.join(label.withColumnRenamed("node", "core"), "core").groupBy(F.col("one").alias("id")).agg(F.min("least").alias("cluster"))
-    outer = placed.join(dense.select("id"), "id", "left_anti").join(reached, "id", "left").select("key", "id", "cluster")
-    return inner.unionByName(outer)
+    outer = known.filter("node IS NULL").join(reached, "id", "left").select("key", "id", "cluster")
+    labels, others = inner.unionByName(outer), [c for c in points.columns if c not in ("key", "x", "y")]
+    return labels.join(points.select(others), "id") if others != ["id"] else labels

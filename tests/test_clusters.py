@@ -1,5 +1,7 @@
 """Density clusters against all pairs of points, and groups that no task could hold."""
 
+import uuid
+
 import numpy as np
 import pytest
 from clipwright.operators.clusters import density_clusters, least_reachable
@@ -92,3 +94,63 @@ def test_least_reachable_on_a_path(spark):
     edges = [(i, i + 1) for i in range(200)] + [(900, 901), (5000, 5000)]
     got = {r.node: r.least for r in least_reachable(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(201), 0), 900: 900, 901: 900, 5000: 5000}
+
+
+@pytest.mark.parametrize("whole", [0, 300, 1000])
+def test_whole_keys_and_dealt_ones_equal_all_pairs(spark, whole):
+    """Keys below, at and above the bound, in batches that cut them, with other columns kept."""
+    r = np.random.default_rng(11)
+    sizes = [1, 2, 40, 300, 301, 700]
+    rows = []
+    for key, n in enumerate(sizes):
+        centres = r.random((4, 2))
+        points = np.where(r.random((n, 1)) < 0.5, centres[r.integers(0, 4, n)] + r.normal(size=(n, 2)) * 0.02, r.random((n, 2)) * 2 - 1)
+        rows += [(key, key * 1000 + i, float(x), float(y)) for i, (x, y) in enumerate(points)]
+    points = spark.createDataFrame([rows[i] for i in r.permutation(len(rows))], SCHEMA).withColumn("other", F.concat(F.lit("p"), "id"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = density_clusters(points, 0.05, 4, whole).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted((x.key, x.id, x.other) for x in got) == sorted((k, i, f"p{i}") for k, i, _, _ in rows)
+    assert {x.id: x.cluster for x in got} == expected(rows, 0.05, 4)
+
+
+def test_places_that_are_not_finite_are_noise(spark):
+    rows = [(1, 1, float("nan"), 0.5), (1, 2, float("nan"), 0.5), (1, 3, float("inf"), 0.5), (1, 4, float("inf"), 0.5), (1, 5, 0.5, 0.5), (1, 6, 0.5, 0.5)]
+    for whole in (0, 1000):
+        got = density_clusters(spark.createDataFrame(rows, SCHEMA), 0.1, 2, whole).collect()
+        assert {x.id: x.cluster for x in got} == {1: None, 2: None, 3: None, 4: None, 5: 5, 6: 5}
+
+
+def shuffled_rows(spark, run):
+    """Rows that all stages of ``run`` write into shuffles, by Spark's own status; as with tables
+    too large to broadcast."""
+    context, group, limit = spark.sparkContext, uuid.uuid4().hex, "spark.sql.autoBroadcastJoinThreshold"
+    context.setJobGroup(group, "shuffled rows")
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        run()
+    finally:
+        spark.conf.set(limit, before)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    told = context.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds}
+    store = context._jsc.sc().statusStore()
+    return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+@pytest.mark.parametrize(("keys", "most"), [(300, 3), (1, 25)])
+def test_scattered_points_are_shuffled_a_few_times(spark, keys, most):
+    """Points with few in any cell: once for keys that are few points, some times for a large
+    one, where each had gone to 25 cells."""
+    n = 18_000
+    r = np.random.default_rng(3)
+    wide = 9 / keys**0.5
+    rows = [(int(i % keys), int(i), float(x), float(y)) for i, (x, y) in enumerate(r.random((n, 2)) * wide)]
+    points = spark.createDataFrame(rows, SCHEMA)
+    moved = shuffled_rows(spark, lambda: density_clusters(points, 0.05, 5).write.format("noop").mode("overwrite").save())
+    assert moved < most * n
