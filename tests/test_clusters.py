@@ -5,6 +5,7 @@ import uuid
 import numpy as np
 import pytest
 from clipwright.operators.clusters import density_clusters, least_reachable
+from clipwright.plans import boxes
 from pyspark.sql import functions as F
 
 SCHEMA = "key long, id long, x double, y double"
@@ -124,11 +125,10 @@ def test_places_that_are_not_finite_are_noise(spark):
         assert {x.id: x.cluster for x in got} == {1: None, 2: None, 3: None, 4: None, 5: 5, 6: 5}
 
 
-def shuffled_rows(spark, run):
-    """Rows that all stages of ``run`` write into shuffles, by Spark's own status; as with tables
-    too large to broadcast."""
+def jobs_of(spark, run):
+    """Ids of the jobs that ``run`` starts, and of their stages, with tables as if too large to broadcast."""
     context, group, limit = spark.sparkContext, uuid.uuid4().hex, "spark.sql.autoBroadcastJoinThreshold"
-    context.setJobGroup(group, "shuffled rows")
+    context.setJobGroup(group, "counted")
     before = spark.conf.get(limit)
     spark.conf.set(limit, "-1")
     try:
@@ -138,9 +138,14 @@ def shuffled_rows(spark, run):
         context.setLocalProperty("spark.jobGroup.id", None)
     context._jsc.sc().listenerBus().waitUntilEmpty()
     told = context.statusTracker()
-    stages = {s for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds}
-    store = context._jsc.sc().statusStore()
-    return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    jobs = told.getJobIdsForGroup(group)
+    return jobs, {s for j in jobs for s in told.getJobInfo(j).stageIds}
+
+
+def shuffled_rows(spark, run):
+    """Rows that all stages of ``run`` write into shuffles, by Spark's own status."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in jobs_of(spark, run)[1])
 
 
 @pytest.mark.parametrize(("keys", "most"), [(300, 3), (1, 25)])
@@ -154,3 +159,9 @@ def test_scattered_points_are_shuffled_a_few_times(spark, keys, most):
     points = spark.createDataFrame(rows, SCHEMA)
     moved = shuffled_rows(spark, lambda: density_clusters(points, 0.05, 5).write.format("noop").mode("overwrite").save())
     assert moved < most * n
+
+
+def test_clips_of_few_detections_take_few_jobs(spark, sf):
+    """They are clustered where they lie, without rounds of joins."""
+    run = lambda: boxes.webcam_region(spark, sf).write.format("noop").mode("overwrite").save()
+    assert len(jobs_of(spark, run)[0]) <= 25
