@@ -1,14 +1,15 @@
 """Density clusters of points in the plane, for groups of any size.
 
 A key of few points is clustered within one task, by all its distances: one shuffle of the
-points. The points of a larger key are dealt out over many tasks. They lie in cells narrower than eps by more than the root of two, so those of one cell
-are all near each other. A cell with enough points is dense: all are cores of one cluster,
-and none of their pairs is formed. Only the few points of other cells meet their
-neighbours, in the five by five cells about them: cells are joined by tiles of them, and a
-point goes to each tile that these reach, mostly one or two. Whether two dense cells touch is told by
-the boxes of their points: boxes that are wholly near link the cells, boxes that are wholly
-apart do not, and the rest are cut in four and compared again, or point by point where they
-hold few.
+points. Equal points of a larger key are counted first, and if it has few places they are
+clustered the same way. The places of a key of many are dealt out over many tasks. They lie
+in cells narrower than eps by more than the root of two, so those of one cell are all near
+each other. A cell with enough points is dense: all are cores of one cluster, and none of
+their pairs is formed. Only the few points of other cells meet their neighbours, in the five
+by five cells about them: cells are joined by tiles of them, and a point goes to each tile
+that these reach, mostly one or two. Whether two dense cells touch is told by the boxes of
+their points: boxes that are wholly near link the cells, boxes that are wholly apart do not,
+and the rest are cut in four and compared again, or point by point where they hold few.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ WIDTH = 0.7
 #: Cuts of a cell's box; after so many halvings boxes are single points in double precision.
 #: Pairs of points below which two parts are compared point by point.
 DEPTH, PAIRS = 60, 10_000
-#: Points of a key that one task clusters by all their distances, 8 MB of them.
+#: Points of a key, or places of equal ones, that one task clusters by all their distances, 8 MB of them.
 WHOLE = 1_000
 #: Cells on the side of a tile.
 TILE = 8
@@ -117,12 +118,12 @@ def _touching(dense: DataFrame, eps: float) -> DataFrame:
     return linked
 
 
-def _first_cores(x: np.ndarray, y: np.ndarray, eps: float, least: int) -> np.ndarray:
+def _first_cores(x: np.ndarray, y: np.ndarray, n_equal: np.ndarray | None, eps: float, least: int) -> np.ndarray:
     """For each point of a key its cluster's first core, by position; -1 for noise."""
     n = len(x)
     dx, dy = x[:, None] - x, y[:, None] - y
     near = dx * dx + dy * dy <= eps * eps
-    core = near.sum(axis=1) >= least
+    core = (near.sum(axis=1) if n_equal is None else near @ n_equal) >= least
     # A core hangs under the first that it or its neighbours hang under; n is none.
     label, before = np.where(core, np.arange(n), n), None
     while before is None or (label != before).any():
@@ -133,13 +134,14 @@ def _first_cores(x: np.ndarray, y: np.ndarray, eps: float, least: int) -> np.nda
 
 
 def _whole_keys(eps: float, least: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds ``cluster`` to points that are in order of key and id."""
+    """Adds ``cluster`` to points that are in order of key and id; ``n_equal`` is how many points one stands for."""
 
     def clustered(points: pa.Table, ends: np.ndarray) -> list[pa.RecordBatch]:
         x, y, first = points["x"].to_numpy(), points["y"].to_numpy(), np.full(len(points), -1)
+        n_equal = points["n_equal"].to_numpy() if "n_equal" in points.column_names else None
         for a, b in zip([0, *ends[:-1]], ends, strict=True):
-            if b - a >= least:
-                own = _first_cores(x[a:b], y[a:b], eps, least)
+            if n_equal is not None or b - a >= least:
+                own = _first_cores(x[a:b], y[a:b], None if n_equal is None else n_equal[a:b], eps, least)
                 first[a:b] = np.where(own < 0, -1, own + a)
         cluster = points["id"].take(pa.array(first, mask=first < 0))
         return points.drop_columns(["x", "y"]).append_column("cluster", cluster).to_batches()
@@ -168,27 +170,49 @@ def density_clusters(points: DataFrame, eps: float, least: int, whole: int = WHO
     A core has ``least`` points of its key within ``eps``, itself included; a cluster is named
     by its least core; a point at the border goes to the least cluster that reaches it. Ids
     are unique over all keys. Points without a key or a finite place are noise. Of a key
-    of up to ``whole`` points one task compares all pairs; a larger one of any size, and any
-    number of equal points, are dealt out over many tasks.
+    of up to ``whole`` points, or places where they lie, one task compares all pairs; a larger
+    one of any size, and any number of equal points, are dealt out over many tasks.
     """
-    points = points.withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")})
+    points = stored(points.withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")}), "points")
     placed = F.col("key").isNotNull() & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
     noise = points.filter(~F.coalesce(placed, F.lit(False))).drop("x", "y").withColumn("cluster", F.lit(None).cast("long"))
-    points = points.filter(placed)
-    large = stored(points.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > whole).select("key"), "large-keys")
-    some = not large.isEmpty()
-    small = (points.join(large, "key", "left_anti").select(points.columns) if some else points).repartition("key").sortWithinPartitions("key", "id")
+    small, large = _parted_by_size(points.filter(placed), whole, "large-keys")
+    found = _whole(small, eps, least).unionByName(noise)
+    if large is None:
+        return found
+    labels = stored(_at_places(large, eps, least, whole), "place-clusters")
+    return found.unionByName(large.join(labels, ["key", "x", "y"]).select(found.columns))
+
+
+def _parted_by_size(points: DataFrame, whole: int, tag: str) -> tuple[DataFrame, DataFrame | None]:
+    """The points of keys of up to ``whole`` rows, and of larger ones if there are any."""
+    large = stored(points.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > whole).select("key"), tag)
+    if large.isEmpty():
+        return points, None
+    return points.join(large, "key", "left_anti").select(points.columns), points.join(large, "key", "left_semi").select(points.columns)
+
+
+def _whole(points: DataFrame, eps: float, least: int) -> DataFrame:
+    """``density_clusters`` of keys that a task holds."""
     named = StructType([f for f in points.schema if f.name not in ("x", "y")] + [StructField("cluster", LongType())])
-    found = small.mapInArrow(_whole_keys(eps, least), named).unionByName(noise)
-    return found.unionByName(_dealt(points.join(large, "key", "left_semi"), eps, least).select(found.columns)) if some else found
+    return points.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_whole_keys(eps, least), named)
+
+
+def _at_places(points: DataFrame, eps: float, least: int, whole: int) -> DataFrame:
+    """``(key, x, y, cluster)``: equal points share their neighbours and with them their
+    cluster, so each place counts once, by its least id and the number of its points."""
+    places = stored(points.groupBy("key", "x", "y").agg(F.min("id").alias("id"), F.count("*").alias("n_equal")), "places")
+    few, many = _parted_by_size(places, whole, "wide-keys")
+    found = _whole(few.withColumns({"at_x": F.col("x"), "at_y": F.col("y")}), eps, least).select("key", F.col("at_x").alias("x"), F.col("at_y").alias("y"), "cluster")
+    return found if many is None else found.unionByName(_dealt(many, eps, least))
 
 
-def _dealt(points: DataFrame, eps: float, least: int) -> DataFrame:
-    """``density_clusters`` of keys of any size."""
+def _dealt(places: DataFrame, eps: float, least: int) -> DataFrame:
+    """``(key, x, y, cluster)`` for ``places (key, x, y, id, n_equal)`` of keys of any size."""
     width = eps * WIDTH
-    placed = points.withColumns({"i": F.floor(F.col("x") / width), "j": F.floor(F.col("y") / width)})
-    cells = placed.groupBy("key", "i", "j").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    known = placed.select("key", "i", "j", "id", "x", "y").join(cells, ["key", "i", "j"]).select("key", "i", "j", "id", "x", "y", F.when(F.col("n") >= least, F.col("first")).alias("node"))
+    placed = places.withColumns({"i": F.floor(F.col("x") / width), "j": F.floor(F.col("y") / width)})
+    cells = placed.groupBy("key", "i", "j").agg(F.sum("n_equal").alias("n"), F.min("id").alias("first"))
+    known = placed.join(cells, ["key", "i", "j"]).select("key", "i", "j", "id", "x", "y", "n_equal", F.when(F.col("n") >= least, F.col("first")).alias("node"))
     known = stored(known, "cells")
     dense = known.filter("node IS NOT NULL")
 
@@ -198,17 +222,15 @@ def _dealt(points: DataFrame, eps: float, least: int) -> DataFrame:
         thin = thin.withColumn(c, F.explode(F.array_distinct(F.array(tile(c, -2), tile(c, 2)))))
     dx, dy = F.col("x") - F.col("x1"), F.col("y") - F.col("y1")
     # The few thin points of a tile are the side that a join holds; the others pass by.
-    met = known.select("key", tile("i").alias("i"), tile("j").alias("j"), "id", "x", "y", "node").join(thin, ["key", "i", "j"])
-    near = stored(met.filter(dx * dx + dy * dy <= eps * eps).select("one", "id", "node"), "near-points")
-    cores = near.groupBy("one").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("one")
+    met = known.select("key", tile("i").alias("i"), tile("j").alias("j"), "id", "x", "y", "n_equal", "node").join(thin, ["key", "i", "j"])
+    near = stored(met.filter(dx * dx + dy * dy <= eps * eps).select("one", "id", "n_equal", "node"), "near-points")
+    cores = near.groupBy("one").agg(F.sum("n_equal").alias("n")).filter(F.col("n") >= least).select("one")
     other = cores.select(F.col("one").alias("id"), F.col("one").alias("own"))
     to_core = stored(near.join(other, "id", "left").select("one", F.coalesce("node", "own").alias("core")).filter("core IS NOT NULL").distinct(), "near-cores")
     edges = to_core.join(cores, "one", "left_semi").select(F.col("one").alias("a"), F.col("core").alias("b"))
     edges = edges.unionByName(dense.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()).unionByName(_touching(dense, eps))
     label = stored(least_reachable(edges), "clusters")
     # A component's least node is the first point of a cell or a core itself: its least core.
-    inner = dense.select("key", "id", "node").join(label, "node").select("key", "id", F.col("least").alias("cluster"))
+    inner = dense.select("key", "x", "y", "node").join(label, "node").select("key", "x", "y", F.col("least").alias("cluster"))
     reached = to_core.join(label.withColumnRenamed("node", "core"), "core").groupBy(F.col("one").alias("id")).agg(F.min("least").alias("cluster"))
-    outer = known.filter("node IS NULL").join(reached, "id", "left").select("key", "id", "cluster")
-    labels, others = inner.unionByName(outer), [c for c in points.columns if c not in ("key", "x", "y")]
-    return labels.join(points.select(others), "id") if others != ["id"] else labels
+    return inner.unionByName(known.filter("node IS NULL").join(reached, "id", "left").select("key", "x", "y", "cluster"))

@@ -26,8 +26,12 @@ EPS, EPS_MEAN = 0.08, 0.05
 FOUND_SQL = FOUND.replace("213D", "213::DOUBLE").replace("21.3D", "21.3::DOUBLE").replace("10.65D", "10.65::DOUBLE")
 
 
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr(*_columns())
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "events").selectExpr(*_columns())
+    found = _found(spark, sf_dir)
     counts = found.groupBy("clip_id").agg(F.count("*").alias("n_sampled"))
     return found.join(counts, "clip_id")
 
@@ -46,7 +50,7 @@ def _columns() -> list[str]:
 
 def webcam_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stable region of small detections, expanded, with stability and edge distance."""
-    found = B.stable_region(B.small_or_all(detections(spark, sf_dir), "clip_id"), "clip_id", "event_id", eps=EPS)
+    found = B.stable_region(B.small_or_all(_found(spark, sf_dir), "clip_id"), "clip_id", "event_id", eps=EPS)
     grown = found.select("clip_id", "n_sampled", "n_in", *B.expanded())
     return _told(grown)
 
@@ -66,7 +70,7 @@ def core_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.small_or_all(detections(spark, sf_dir), "clip_id", 0.02).select("clip_id", "event_id")
+    return B.small_or_all(_found(spark, sf_dir), "clip_id", 0.02).select("clip_id", "event_id")
 
 
 def bbox_constraint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import uuid
 
 import numpy as np
 import pytest
+from clipwright.operators import boxes as operators
 from clipwright.operators.clusters import density_clusters, least_reachable
 from clipwright.plans import boxes
 from pyspark.sql import functions as F
@@ -165,3 +166,38 @@ def test_clips_of_few_detections_take_few_jobs(spark, sf):
     """They are clustered where they lie, without rounds of joins."""
     run = lambda: boxes.webcam_region(spark, sf).write.format("noop").mode("overwrite").save()
     assert len(jobs_of(spark, run)[0]) <= 25
+
+
+def copied(r, key, places, copies):
+    """Rows of a key that lie on few places, some of them alone."""
+    at = np.concatenate([r.random((places // 2, 2)) * 0.4, r.random((places - places // 2, 2)) * 3])
+    which = np.concatenate([np.arange(places), r.integers(0, places - places // 4, copies)])
+    return [(key, key * 100_000 + i, float(at[p][0]), float(at[p][1])) for i, p in enumerate(r.permutation(which))]
+
+
+@pytest.mark.parametrize("whole", [0, 50, 100])
+def test_equal_points_count_as_often_as_they_are(spark, whole):
+    """Keys of few places and of many, above the bound by their copies or by their places."""
+    r = np.random.default_rng(5)
+    rows = [*copied(r, 1, 40, 500), *copied(r, 2, 90, 500), *copied(r, 3, 200, 500), *copied(r, 4, 60, 5)]
+    for least in (4, 9):
+        got = density_clusters(spark.createDataFrame(rows, SCHEMA), 0.05, least, whole).collect()
+        assert len(got) == len(rows)
+        assert {x.id: x.cluster for x in got} == expected(rows, 0.05, least)
+
+
+def test_a_large_clip_of_few_places_takes_few_jobs(spark):
+    """They are clustered in one task by their numbers, without rounds of joins over all points."""
+    rows = copied(np.random.default_rng(6), 1, 120, 5000)
+    points = spark.createDataFrame(rows, SCHEMA)
+    run = lambda: density_clusters(points, 0.05, 5).write.format("noop").mode("overwrite").save()
+    assert len(jobs_of(spark, run)[0]) <= 25
+
+
+def test_two_boxes_count_only_where_a_clip_has_no_more(spark):
+    """Two boxes of noise beside a cluster, or of five, are not a clip of two boxes; one is none."""
+    at = {1: [0.1, 0.9], 2: [0.5, 0.5, 0.5, 0.1, 0.9], 3: [0.05, 0.25, 0.45, 0.65, 0.85], 4: [0.1], 5: [0.1] * 3 + [0.9, 0.8]}
+    rows = [(clip, clip * 10 + i, x, x, 0.02, 0.02, len(xs)) for clip, xs in at.items() for i, x in enumerate(xs)]
+    found = spark.createDataFrame(rows, "clip long, id long, xmin double, ymin double, width double, height double, n_sampled long")
+    got = {r.clip: (r.n_in, round(r.xmin, 6)) for r in operators.stable_region(found, "clip", "id").collect()}
+    assert got == {1: (2, 0.5), 2: (3, 0.5), 5: (3, 0.1)}
