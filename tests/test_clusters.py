@@ -201,3 +201,9 @@ def test_two_boxes_count_only_where_a_clip_has_no_more(spark):
     found = spark.createDataFrame(rows, "clip long, id long, xmin double, ymin double, width double, height double, n_sampled long")
     got = {r.clip: (r.n_in, round(r.xmin, 6)) for r in operators.stable_region(found, "clip", "id").collect()}
     assert got == {1: (2, 0.5), 2: (3, 0.5), 5: (3, 0.1)}
+
+
+def test_two_events_without_a_user_are_a_clip(spark, sf, tmp_path):
+    without = F.when(~F.col("event_id").isin(8, 16), F.col("user_id"))
+    spark.read.parquet(f"{sf}/events.parquet").withColumn("user_id", without).write.parquet(f"{tmp_path}/events.parquet")
+    assert [r.stability for r in boxes.webcam_region(spark, str(tmp_path)).filter("clip_id IS NULL").collect()] == [1.0]
