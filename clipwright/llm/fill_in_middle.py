@@ -96,15 +96,15 @@ class WaveletMatrix:
 
     def select(self, symbols: tuple[int, ...], wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The place of the symbol that is number ``wanted`` (from 1) of the set, by bisection
-        on ranks between ``low`` and ``high``; ``high`` if there is none before it."""
+        on ranks between ``low`` and ``high``; ``high`` if there is none before it. Only what is
+        still open is asked: past a place found at the very end no rank is defined."""
         low, high = low.copy(), high.copy()
-        end = high.copy()
-        while (open_ := low < high).any():
-            middle = (low + high) >> 1
-            enough = self.count(symbols, middle + 1) >= wanted
-            high = np.where(open_ & enough, middle, high)
-            low = np.where(open_ & ~enough, middle + 1, low)
-        return np.minimum(low, end)
+        while len(open_ := np.flatnonzero(low < high)):
+            middle = (low[open_] + high[open_]) >> 1
+            enough = self.count(symbols, middle + 1) >= wanted[open_]
+            high[open_[enough]] = middle[enough]
+            low[open_[~enough]] = middle[~enough] + 1
+        return low
 
 
 def draws(doc_id: int | None, seed: int) -> tuple[int, int, int, int]:

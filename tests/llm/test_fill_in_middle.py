@@ -69,3 +69,26 @@ def test_ranks_and_selection(n):
         wanted = np.arange(1, len(at) + 2)
         ends = np.full(len(wanted), n)
         assert matrix.select(some, wanted, np.zeros(len(wanted), int), ends).tolist() == [*at, n]
+
+
+@pytest.mark.parametrize("n", [63, 127, 64 * 20 + 63, 64 * 20 + 62, 64 * 20])
+def test_place_found_at_the_end_while_others_are_open(n):
+    symbols = np.random.default_rng(n).integers(0, 8, n).astype(np.uint8)
+    matrix, some = WaveletMatrix(symbols, BITS), (1, 2, 3, 4, 6, 7)
+    hits = np.isin(symbols, some)
+    low, high = np.array([0, n // 3, n - 2, n]), np.array([n // 3, n, n, n])
+    for k in range(1, n + 2):
+        at = [low[i] + np.flatnonzero(hits[low[i] : high[i]]) for i in range(4)]
+        wanted = np.array([hits[: low[i]].sum() + k for i in range(4)])
+        assert matrix.select(some, wanted, low, high).tolist() == [at[i][k - 1] if k <= len(at[i]) else high[i] for i in range(4)]
+
+
+@pytest.mark.parametrize("last", ["", None, "xyz"])
+def test_passes_that_end_a_byte_short_of_a_word(spark, last):
+    for n in (63, 127, 64 * 40 + 63):
+        first = ("a1 é\n" * n).encode()[: n - len(last or "")].decode(errors="ignore")
+        first += "q" * (n - len(last or "") - len(first.encode()))
+        for i in range(0, 60, 20):
+            rows = [(i, first), (i + 1, last)]
+            got = fill_in_middle(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+            assert list(map(tuple, got)) == [expected(*r) for r in rows]
